@@ -3,7 +3,7 @@
 OP3 = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws,
-             list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+             list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
 k AS (SELECT row_number() OVER () AS k, * FROM w),
 g AS (SELECT k, i, array_to_string(ws[i:i+7], ' ') AS gram FROM (SELECT k, ws, unnest(range(1, len(ws) - 6)) AS i FROM k WHERE len(ws) > 8)),
 r AS (SELECT k, i FROM (SELECT k, i, count(*) OVER (PARTITION BY k, gram) AS n FROM g) WHERE n > 1),
