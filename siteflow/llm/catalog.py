@@ -7,7 +7,7 @@ from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siteflow.llm import quality_rules, sentencepiece_codec, sharding
+from siteflow.llm import decontamination, pii, quality_rules, sentencepiece_codec, sharding
 from siteflow.llm.common import table
 from siteflow.llm.oracles import ORACLES as ORACLES
 
@@ -33,4 +33,12 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.ledger(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_sharding, op3_quality_rules)}
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_sharding, op3_quality_rules, op9_pii, op10_decontamination)}
