@@ -19,4 +19,29 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_li
        (failure_bits & 3) <> 0 AS base_failed, (failure_bits & 31) = 0 AS kept FROM f
 """
 
-ORACLES = {"op3_quality_rules": OP3}
+OP7 = r"""
+WITH c AS (SELECT page_id, coalesce(url, '') AS url, CAST(1704067200 + ((page_id * 7919) % 8640 + 8640) % 8640 * 300 AS BIGINT) AS fetched_at FROM pages),
+h AS (SELECT *, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)) AS host,
+             regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^/?#]+)', 1) AS seg FROM c),
+k AS (SELECT row_number() OVER () AS n, page_id, url, fetched_at, host, regexp_extract(host, '([^.]+\.[^.]+\.[^.]+)$', 1) AS site,
+             CASE WHEN host = '' OR seg = '' THEN '' ELSE host || '/' || seg END AS prefix,
+             CAST((fetched_at - 1704067200) // 86400 + 1 AS BIGINT) * 86400 + 1704067200 AS eff FROM h),
+e AS (SELECT 'host' AS l, host AS key, 'add' AS a, eff FROM k WHERE contains(url, 'utm_source=')
+      UNION ALL SELECT 'host', host, 'remove', eff FROM k WHERE contains(url, 'page=')
+      UNION ALL SELECT 'prefix', prefix, 'add', eff FROM k WHERE suffix(url, '#top')
+      UNION ALL SELECT 'prefix', prefix, 'remove', eff FROM k WHERE suffix(url, '.html')
+      UNION ALL SELECT 'site', site, 'add', eff FROM k WHERE suffix(url, '/') AND NOT contains(url, '://www.')
+      UNION ALL SELECT 'site', site, 'remove', eff FROM k WHERE contains(url, 'page=')),
+m AS (SELECT l, key, eff, max((a = 'add')::INT) AS listed FROM e WHERE key <> '' GROUP BY l, key, eff),
+x AS (SELECT *, coalesce(lag(listed) OVER (PARTITION BY l, key ORDER BY eff), 0) AS was FROM m),
+ch AS (SELECT l, key, eff, listed, coalesce(lead(eff) OVER (PARTITION BY l, key ORDER BY eff), 4611686018427387904) AS til FROM x WHERE listed <> was),
+v AS (SELECT * FROM ch WHERE listed = 1),
+ks AS (SELECT n, 'host' AS l, host AS key, fetched_at FROM k UNION ALL SELECT n, 'site', site, fetched_at FROM k UNION ALL SELECT n, 'prefix', prefix, fetched_at FROM k),
+j AS (SELECT n, min(CASE WHEN l = 'host' THEN eff END) AS hs, min(CASE WHEN l = 'site' THEN eff END) AS ss, min(CASE WHEN l = 'prefix' THEN eff END) AS ps
+      FROM ks JOIN v USING (l, key) WHERE fetched_at >= eff AND fetched_at < til GROUP BY n)
+SELECT page_id, host, fetched_at, hs IS NOT NULL AS host_listed, ss IS NOT NULL AS site_listed, ps IS NOT NULL AS prefix_listed,
+       (hs IS NOT NULL OR ss IS NOT NULL OR ps IS NOT NULL) AS blocked, least(hs, ss, ps) AS since
+FROM k LEFT JOIN j USING (n)
+"""
+
+ORACLES = {"op3_quality_rules": OP3, "op7_url_filters": OP7}
