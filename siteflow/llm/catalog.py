@@ -7,7 +7,7 @@ from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siteflow.llm import decontamination, pii, quality_rules, secret_scan, sentencepiece_codec, sharding, url_filters
+from siteflow.llm import decontamination, line_dedup, pii, quality_rules, secret_scan, sentencepiece_codec, sharding, url_filters
 from siteflow.llm.common import table
 from siteflow.llm.oracles import ORACLES as ORACLES
 
@@ -33,6 +33,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.ledger(table(spark, sf_dir, "documents"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     captures = url_filters.captures_of(table(spark, sf_dir, "pages"))
     return url_filters.blocked(captures, url_filters.entries_of(captures))
@@ -50,4 +54,4 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_sharding, op3_quality_rules, op7_url_filters, op8_secret_scan, op9_pii, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_sharding, op3_quality_rules, op4_line_dedup, op7_url_filters, op8_secret_scan, op9_pii, op10_decontamination)}
