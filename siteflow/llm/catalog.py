@@ -7,7 +7,7 @@ from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siteflow.llm import decontamination, lattice_lm, line_dedup, pii, quality_rules, secret_scan, sentencepiece_codec, sharding, url_filters
+from siteflow.llm import decontamination, jaccard_join, lattice_lm, line_dedup, pii, quality_rules, secret_scan, sentencepiece_codec, sharding, url_filters
 from siteflow.llm.common import table
 from siteflow.llm.oracles import ORACLES as ORACLES
 
@@ -37,6 +37,10 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.link(table(spark, sf_dir, "documents"))
+
+
 def op6_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice_lm.score(table(spark, sf_dir, "documents"), model_bytes())
 
@@ -58,4 +62,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_sharding, op3_quality_rules, op4_line_dedup, op6_lattice_lm, op7_url_filters, op8_secret_scan, op9_pii, op10_decontamination)}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpus_pipeline import run
+
+    return run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_sharding, op3_quality_rules, op4_line_dedup, op5_jaccard_join, op6_lattice_lm, op7_url_filters, op8_secret_scan, op9_pii, op10_decontamination, pipeline)}

@@ -53,6 +53,12 @@ def words_in_repeats(hashes: Column, window: int = WINDOW) -> Column:
     return F.when(hashes.isNull() | (F.size(F.array_distinct(hashes)) == F.size(hashes)), F.lit(0)).otherwise(once(placed, covered))
 
 
+def accepted(docs: DataFrame, *, policy: str = "v2", text_col: str = "text") -> DataFrame:
+    """The rows of docs that the policy keeps, with their own columns alone."""
+    noted = ledger(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text_col).alias("text")), policy=policy, id_col="row")
+    return noted.where("kept").select("doc_id.*")
+
+
 def ledger(docs: DataFrame, *, policy: str = "v2", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, measurements, failure_bits, base_failed, kept. kept applies `policy` to the bits."""
     base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
