@@ -1,3 +1,227 @@
-"""DuckDB SQL giving the same rows as the registered queries."""
+"""DuckDB SQL giving the same rows as the registered queries, put together from named common table expressions."""
 
-ORACLES = {}
+from __future__ import annotations
+
+from math import exp, log, pi, sin
+
+#: name -> (expressions it reads, body). Quantities are whole numbers, so their sums are exact in any order.
+CTES: dict[str, tuple[list[str], str]] = {
+    "raw": (
+        [],
+        """SELECT CAST(x.a AS INT) AS c0, CAST(y.b AS INT) AS c1, CAST(x.a * 50 + y.b AS BIGINT) AS site, CAST(z.t AS INT) AS t, CAST(coalesce(q.v, 0) AS DOUBLE) AS v
+        FROM range(50) x(a), range(50) y(b), range(7) z(t) LEFT JOIN (SELECT l_partkey % 50 AS a, l_suppkey % 50 AS b, year(l_shipdate) - 1995 AS t, sum(l_quantity) AS v FROM lineitem GROUP BY ALL) q
+        ON q.a = x.a AND q.b = y.b AND q.t = z.t""",
+    ),
+    "cube": (
+        ["raw"],
+        """SELECT c0, c1, site, t, v * CASE WHEN c0 % 10 < 3 AND c1 % 10 < 3 THEN CASE (c0 // 10 + c1 // 10) % 3 WHEN 0 THEN 40 - 5 * t WHEN 1 THEN 10 + 4 * t ELSE 20 END ELSE 1 END AS v FROM raw""",
+    ),
+    "solid": (
+        [],
+        """SELECT CAST(x.a AS INT) AS c0, CAST(y.b AS INT) AS c1, CAST(w.c AS INT) AS c2, CAST((x.a * 20 + y.b) * 20 + w.c AS BIGINT) AS site, CAST(z.t AS INT) AS t, CAST(coalesce(q.v, 0) AS DOUBLE) AS v
+        FROM range(7) x(a), range(20) y(b), range(20) w(c), range(7) z(t)
+        LEFT JOIN (SELECT l_linenumber % 7 AS a, l_partkey % 20 AS b, l_suppkey % 20 AS c, year(l_shipdate) - 1995 AS t, sum(l_quantity) AS v FROM lineitem GROUP BY ALL) q
+        ON q.a = x.a AND q.b = y.b AND q.c = w.c AND q.t = z.t""",
+    ),
+    "lm": (["cube"], "SELECT site, ln(sum(v) / 7) AS x FROM cube GROUP BY site HAVING sum(v) > 0"),
+    "kept": (["lm"], "SELECT site FROM lm WHERE x > (SELECT avg(x) + 2 * stddev_pop(x) FROM lm)"),
+    "slm": (["solid"], "SELECT site, ln(sum(v) / 7) AS x FROM solid GROUP BY site HAVING sum(v) > 0"),
+    "skept": (["slm"], "SELECT site FROM slm WHERE x > (SELECT avg(x) + 2 * stddev_pop(x) FROM slm)"),
+    "kc": (["cube", "kept"], "SELECT site, t, v FROM cube JOIN kept USING (site)"),
+    "xm": (["kc"], "SELECT site, t, v / nullif(avg(v) OVER (PARTITION BY site), 0) - 1 AS v FROM kc"),
+    "reach": (
+        ["kept"],
+        """SELECT a.site AS i, b.site AS j, a.site // 50 - b.site // 50 AS dx, a.site % 50 - b.site % 50 AS dy FROM kept a, kept b""",
+    ),
+    "comp": (
+        ["reach"],
+        """SELECT i AS site, i AS root FROM reach WHERE i = j UNION SELECT r.j, c.root FROM comp c JOIN reach r ON r.i = c.site AND abs(dx) <= 1 AND abs(dy) <= 1""",
+    ),
+    "roots": (["comp"], "SELECT site, min(root) AS root FROM comp GROUP BY site"),
+    "peaks": (["roots"], "SELECT site, CAST(dense_rank() OVER (ORDER BY root) - 1 AS BIGINT) AS peak FROM roots"),
+    "sreach": (
+        ["skept"],
+        """SELECT a.site AS i, b.site AS j FROM skept a, skept b WHERE abs(a.site // 400 - b.site // 400) <= 1 AND abs(a.site // 20 % 20 - b.site // 20 % 20) <= 1 AND abs(a.site % 20 - b.site % 20) <= 1""",
+    ),
+    "scomp": (["sreach"], "SELECT i AS site, i AS root FROM sreach WHERE i = j UNION SELECT r.j, c.root FROM scomp c JOIN sreach r ON r.i = c.site"),
+    "speaks": (
+        ["scomp"],
+        "SELECT site, CAST(dense_rank() OVER (ORDER BY root) - 1 AS BIGINT) AS peak FROM (SELECT site, min(root) AS root FROM scomp GROUP BY site)",
+    ),
+    "near": (["reach"], f"SELECT i, j, 1.0 / count(*) OVER (PARTITION BY i) AS w FROM reach WHERE dx * dx + dy * dy < {log(100)!r}"),
+    "hp": (
+        ["lm"],
+        """SELECT n, lo, hi, m, sd, iqr, iqr / pow(n, 1.0 / 3) AS w, CAST(ceil((hi - lo) / (iqr / pow(n, 1.0 / 3))) AS BIGINT) AS nb FROM (
+        SELECT count(*) AS n, min(x) AS lo, max(x) AS hi, avg(x) AS m, stddev_pop(x) AS sd,
+               max(x) FILTER (k = CAST(round_even(c * 0.75, 0) AS BIGINT)) - max(x) FILTER (k = CAST(round_even(c * 0.25, 0) AS BIGINT)) AS iqr
+        FROM (SELECT x, row_number() OVER (ORDER BY x) - 1 AS k, count(*) OVER () AS c FROM lm))""",
+    ),
+    "bins": (
+        ["hp", "lm"],
+        """SELECT CAST(b.i AS INT) AS bin, lo + (hi - lo) * b.i / nb AS left_edge, coalesce(c.n, 0) AS n, coalesce(c.s, 0) AS s, coalesce(c.ss, 0) AS ss, coalesce(c.n, 0) / (hp.n * w) AS density
+        FROM hp, range((SELECT nb FROM hp)) b(i) LEFT JOIN (SELECT least(CAST(floor((x - lo) / (hi - lo) * nb) AS BIGINT), nb - 1) AS bin, count(*) AS n, sum(x) AS s, sum((x - m) * (x - m)) AS ss
+        FROM lm, hp GROUP BY 1) c ON c.bin = b.i""",
+    ),
+    "vec": ([], "SELECT vec_id AS site, CAST(generate_subscripts(embedding, 1) - 1 AS INT) AS t, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings"),
+    "pvec": (["vec"], "SELECT CAST(b.site AS INT) AS k, b.t, 0.25 AS w, b.v AS mu, greatest(s.var, 1e-12) AS var FROM vec b JOIN (SELECT t, var_pop(v) AS var FROM vec GROUP BY t) s USING (t) WHERE b.site < 4"),
+    "p0": (
+        ["xm"],
+        """SELECT CAST(b.site // 10 AS INT) AS k, b.t, 1.0 / (SELECT count(*) FROM (SELECT DISTINCT site FROM xm WHERE site IN (0, 10, 20))) AS w, b.v AS mu, greatest(s.var, 1e-12) AS var
+        FROM xm b JOIN (SELECT t, var_pop(v) AS var FROM xm GROUP BY t) s USING (t) WHERE b.site IN (0, 10, 20)""",
+    ),
+}
+
+
+def responsibilities(name: str, x: str, p: str) -> str:
+    """Adds the E-step of table x under parameters p as `name` (site, k, r, lse)."""
+    CTES[f"{name}_d"] = (
+        [x, p],
+        f"SELECT site, k, any_value(w) AS w, -0.5 * (count(*) * ln({2 * pi!r}) + sum(ln(greatest(var, 1e-12))) + sum((v - mu) * (v - mu) / greatest(var, 1e-12))) AS ld FROM {x} JOIN {p} USING (t) GROUP BY site, k",
+    )
+    CTES[f"{name}_e"] = ([f"{name}_d"], f"SELECT site, k, w, ld, w * exp(ld - max(ld) OVER (PARTITION BY site)) AS e, max(ld) OVER (PARTITION BY site) AS top FROM {name}_d")
+    CTES[name] = ([f"{name}_e"], f"SELECT site, k, e / greatest(sum(e) OVER (PARTITION BY site), 1e-300) AS r, top + ln(sum(e) OVER (PARTITION BY site)) AS lse FROM {name}_e")
+    return name
+
+
+def maximised(name: str, x: str, r: str, p: str, eta: float = 1.0, reg: float = 0.0) -> str:
+    """Adds the M-step as `name` (k, t, w, mu, var)."""
+    CTES[f"{name}_s"] = ([x, r], f"SELECT k, t, count(*) AS n, sum(r) AS s0, greatest(sum(r), count(*) * 1e-10) AS d, sum(r * v) AS s1 FROM {x} JOIN {r} USING (site) GROUP BY k, t")
+    CTES[f"{name}_v"] = ([f"{name}_s", x, r], f"SELECT k, t, any_value(s0 / n) AS w, any_value(s1 / d) AS mu, sum(r * (v - s1 / d) * (v - s1 / d)) / any_value(d) + {reg!r} AS var FROM {x} JOIN {r} USING (site) JOIN {name}_s USING (k, t) GROUP BY k, t")
+    CTES[name] = ([f"{name}_v", p], f"SELECT n.k, n.t, n.w, {1 - eta!r} * o.mu + {eta!r} * n.mu AS mu, {1 - eta!r} * o.var + {eta!r} * n.var AS var FROM {name}_v n JOIN {p} o USING (k, t)")
+    return name
+
+
+def steps(name: str, x: str, p: str, etas: list[float], reg: float = 0.0) -> str:
+    for n, eta in enumerate(etas, 1):
+        p = maximised(f"{name}{n}", x, responsibilities(f"{name}{n}r", x, p), p, eta, reg)
+    return p
+
+
+def step_size(epoch: int) -> float:
+    return (epoch + 2) ** -0.7
+
+
+responsibilities("rv", "vec", "pvec")
+VEC1 = maximised("mv", "vec", "rv", "pvec")
+EM3 = steps("em", "xm", "p0", [1.0] * 3, 1e-6)
+STEP3 = steps("sw", "xm", "p0", [step_size(k) for k in range(3)])
+responsibilities("rl", "xm", EM3)
+CTES["labels"] = (["rl"], "SELECT site, CAST(arg_min(k, (-r, k)) AS INT) AS label FROM rl GROUP BY site")
+responsibilities("r0", "xm", "p0")
+CTES["r0s"] = (["near", "r0"], "SELECT i AS site, k, sum(w * r) AS r FROM near JOIN r0 ON r0.site = near.j GROUP BY i, k")
+maximised("sm1", "xm", "r0s", "p0", step_size(0))
+responsibilities("r1", "xm", "sm1")
+CTES["r1s"] = (["near", "r1"], "SELECT i AS site, k, sum(w * r) AS r FROM near JOIN r1 ON r1.site = near.j GROUP BY i, k")
+maximised("sm2", "xm", "r1s", "sm1", step_size(1))
+
+_PERIODIC = [(a, b) for a in range(10) for b in range(10) if exp(-(sin(pi * a / 10) ** 2 + sin(pi * b / 10) ** 2) / 0.04) > 1e-2]
+CTES["cls"] = (["kept"], "SELECT site, site // 50 % 10 * 10 + site % 50 % 10 AS class FROM kept")
+CTES["offs"] = ([], "SELECT * FROM (VALUES " + ", ".join(f"({a}, {b})" for a, b in _PERIODIC) + ") o(da, db)")
+CTES["cn"] = (["cls"], "SELECT class, count(*) AS n FROM cls GROUP BY class")
+CTES["cw"] = (
+    ["cn", "offs"],
+    "SELECT a.class, b.class AS other, 1.0 / sum(b.n) OVER (PARTITION BY a.class) AS w FROM cn a, offs, cn b WHERE b.class = (a.class // 10 + da) % 10 * 10 + (a.class % 10 + db) % 10",
+)
+
+
+def sql(need: list[str], final: str) -> str:
+    """WITH clause of everything needed, in order, and the final query."""
+    order: list[str] = []
+
+    def visit(name: str) -> None:
+        if name not in order:
+            for d in CTES[name][0]:
+                visit(d)
+            order.append(name)
+
+    for n in need:
+        visit(n)
+    plain = [n for n in order if n not in ("comp", "scomp")]
+    parts = ", ".join(f"{n} AS {'MATERIALIZED ' if n in plain else ''}({CTES[n][1]})" for n in order)
+    return (f"WITH RECURSIVE {parts} {final}") if parts else final
+
+
+R = "round({0}, 6) + 0.0 AS {1}".format
+PARAMS = f"SELECT k, t, {R('w', 'w')}, {R('mu', 'mu')}, {R('var', 'var')} FROM "
+
+ORACLES = {
+    "cube_dense": sql(["cube"], "SELECT c0, c1, site, t, v FROM cube"),
+    "cube_solid": sql(["solid"], "SELECT c0, c1, c2, site, t, v FROM solid"),
+    "cube_slice": sql(["cube"], "SELECT c0, c1, site, t, v FROM cube WHERE t + 1995 BETWEEN 1996 AND 1999 AND c0 / 10.0 BETWEEN 0.3 AND 1.2 AND c1 / 10.0 <= 4.0"),
+    "nearest_axis_index": "SELECT value, CAST(arg_min(p, (abs(p / 10 - value), p)) AS INT) AS pos, arg_min(p / 10, (abs(p / 10 - value), p)) AS axis_value, min(abs(p / 10 - value)) = 0 AS exact FROM (SELECT DISTINCT l_quantity / 16 AS value FROM lineitem), (SELECT CAST(i AS DOUBLE) AS p FROM range(50) r(i)) GROUP BY value",
+    "mask_zero_mean": sql(["raw"], "SELECT site, sum(v) / 7 > 0 AS kept FROM raw GROUP BY site"),
+    "mask_any_zeros": sql(["raw"], "SELECT site, min(v) > 0 AS kept FROM raw GROUP BY site"),
+    "mask_complement": sql(["raw"], "SELECT site, t, v, min(v) OVER (PARTITION BY site) > 0 AS kept FROM raw"),
+    "log_mean": sql(["lm"], f"SELECT site, {R('x', 'x')} FROM lm"),
+    "fd_bin_width": sql(["hp"], f"SELECT n, {R('iqr', 'iqr')}, {R('w', 'width')} FROM hp"),
+    "histogram_density": sql(["bins"], f"SELECT bin, {R('left_edge', 'left_edge')}, n, {R('density', 'density')} FROM bins"),
+    "cutoff_plot": sql(["bins", "hp"], f"SELECT bin, {R('density', 'density')}, {R(f'exp(-0.5 * ((left_edge - m) / sd) * ((left_edge - m) / sd)) / (sd * sqrt({2 * pi!r}))', 'pdf')}, left_edge > m + 2 * sd AS beyond FROM bins, hp"),
+    "kl_by_index": sql(
+        ["bins", "hp"],
+        f""", cum AS MATERIALIZED (SELECT bin + 1 AS i, sum(n) OVER u AS c, sum(s) OVER u AS s, sum(ss) OVER u AS ss FROM bins WINDOW u AS (ORDER BY bin)),
+        fit AS MATERIALIZED (SELECT i, s / c AS mean, greatest(sqrt(greatest(0, ss / c - (s / c - m) * (s / c - m))), 2.220446049250313e-16) AS sd, greatest(c / (hp.n * w) * (hi - lo) / nb, 2.220446049250313e-16) AS mass FROM cum, hp),
+        pq AS (SELECT i, density / mass AS p, exp(-0.5 * ((left_edge - mean) / sd) * ((left_edge - mean) / sd)) / (sd * sqrt({2 * pi!r})) + 1e-12 AS q FROM fit JOIN bins ON bin < i)
+        SELECT i, round(sum(CASE WHEN p > 0 THEN p * ln(p / q) ELSE 0 END), 5) AS kl FROM pq GROUP BY i""",
+    ),
+    "simple_cutoff": sql(["kept"], "SELECT site FROM kept"),
+    "no_threshold": sql(["lm"], "SELECT site FROM lm"),
+    "threshold_volume": sql(["kept"], "SELECT CAST(s // 50 AS INT) AS c0, CAST(s % 50 AS INT) AS c1, CAST(kept.site IS NOT NULL AS INT) AS value FROM range(2500) g(s) LEFT JOIN kept ON site = s"),
+    "high_variance_split": sql(["xm"], f"SELECT site, {R('stddev_pop(v)', 'std')}, stddev_pop(v) >= 0.3 AS high FROM xm GROUP BY site"),
+    "rescale_mean": sql(["xm"], f"SELECT site, t, {R('v', 'v')} FROM xm"),
+    "rescale_zscore": sql(["kc"], f"SELECT site, t, {R('(v - avg(v) OVER s) / nullif(stddev_pop(v) OVER s, 0)', 'v')} FROM kc WINDOW s AS (PARTITION BY site)"),
+    "rescale_log_mean": sql(["kc"], f"SELECT site, t, {R('ln(1 + v) - avg(ln(1 + v)) OVER (PARTITION BY site)', 'v')} FROM kc"),
+    "peak_labels_2d": sql(["peaks"], "SELECT site, peak FROM peaks"),
+    "peak_labels_3d": sql(["speaks"], "SELECT site, peak FROM speaks"),
+    "peak_trajectories": sql(["peaks", "cube"], f"SELECT peak, t, {R('avg(v)', 'v_mean')}, max(v) AS v_max FROM cube JOIN peaks USING (site) GROUP BY peak, t"),
+    "peak_sizes": sql(["peaks"], "SELECT peak, count(*) AS n, min(site) AS first_site FROM peaks GROUP BY peak"),
+    "pixel_labels": sql(["peaks"], "SELECT site, peak, CAST(min(site) OVER (PARTITION BY peak) % 3 AS INT) AS label FROM peaks"),
+    "edges_local": sql(["near"], f"SELECT i, j, {R('w', 'w')} FROM near"),
+    "edges_gaussian_weights": sql(["reach"], f"SELECT i, j, {R('exp(-(dx * dx + dy * dy)) / sum(exp(-(dx * dx + dy * dy))) OVER (PARTITION BY i)', 'w')} FROM reach WHERE dx * dx + dy * dy < {log(100)!r}"),
+    "edges_periodic": sql(["cw"], "SELECT class, other, round(w, 9) AS w FROM cw"),
+    "unit_cell_shape": "SELECT name, CAST(10 AS BIGINT) AS size FROM (VALUES ('c0'), ('c1')) v(name)",
+    "smooth_once": sql(["r0s"], f"SELECT site, k, {R('r', 'r')} FROM r0s"),
+    "smooth_periodic": sql(["cw", "cls", "r0"], f", s AS (SELECT class AS other, k, sum(r) AS s FROM r0 JOIN cls USING (site) GROUP BY class, k) SELECT site, k, {R('sum(w * s)', 'r')} FROM cls JOIN cw USING (class) JOIN s USING (other) GROUP BY site, k"),
+    "gmm_estep": sql(["rv"], f"SELECT site, k, {R('r', 'r')} FROM rv"),
+    "gmm_mstep": sql([VEC1], PARAMS + VEC1),
+    "gmm_loglik": sql(["rv"], "SELECT count(*) AS n, round(sum(lse), 4) AS ll FROM (SELECT DISTINCT site, any_value(lse) AS lse FROM rv GROUP BY site)"),
+    "gmm_em3": sql([EM3], PARAMS + EM3),
+    "gmm_stepwise3": sql([STEP3], PARAMS + STEP3),
+    "gmm_smoothed2": sql(["sm2"], PARAMS + "sm2"),
+    "gmm_labels": sql(["labels"], "SELECT site, label FROM labels"),
+    "cluster_sizes": sql(["labels", "p0"], "SELECT k AS label, count(site) AS n FROM (SELECT DISTINCT k FROM p0) LEFT JOIN labels ON label = k GROUP BY k"),
+    "discovery_cluster": sql(["labels", EM3], f", sc AS (SELECT k, CASE WHEN (SELECT count(*) FROM labels WHERE label = k) >= 2 THEN stddev_pop(mu) ELSE 0 END AS sd FROM {EM3} GROUP BY k) SELECT k AS label FROM sc ORDER BY sd DESC, k LIMIT 1"),
+    "second_pass_select": sql(["labels", EM3], f", sc AS (SELECT k, CASE WHEN (SELECT count(*) FROM labels WHERE label = k) >= 2 THEN stddev_pop(mu) ELSE 0 END AS sd FROM {EM3} GROUP BY k) SELECT site FROM labels WHERE label = (SELECT k FROM sc ORDER BY sd DESC, k LIMIT 1)"),
+    "reorder_clusters": sql(
+        ["labels", "cube", "p0"],
+        """, lv AS (SELECT label, avg(v) AS level FROM cube JOIN labels USING (site) WHERE t < 1 GROUP BY label),
+        mp AS (SELECT k, CAST(row_number() OVER (ORDER BY level DESC NULLS LAST, k) - 1 AS INT) AS nl FROM (SELECT DISTINCT k FROM p0) LEFT JOIN lv ON label = k) SELECT site, nl AS label FROM labels JOIN mp ON k = label""",
+    ),
+    "cluster_avg_intensity": sql(["labels", "cube"], f"SELECT label, t, {R('avg(v)', 'v')} FROM cube JOIN labels USING (site) GROUP BY label, t"),
+    "trajectory_envelope": sql([EM3], f"SELECT k, t, {R('mu', 'mu')}, {R('mu - sqrt(var)', 'low')}, {R('mu + sqrt(var)', 'high')} FROM {EM3}"),
+    "cluster_shifts": sql(["r0", "cube", "p0"], f", m AS (SELECT site, avg(v) AS m FROM cube GROUP BY site) SELECT k, {R('sum(r * m) / (count(*) * (SELECT any_value(w) FROM p0))', 'shift')} FROM r0 JOIN m USING (site) GROUP BY k"),
+    "qmap_grid": sql(["labels"], "SELECT CAST(s // 50 AS INT) AS c0, CAST(s % 50 AS INT) AS c1, CAST(coalesce(label + 1, 0) AS INT) AS value FROM range(2500) g(s) LEFT JOIN labels ON site = s"),
+    "zoom_view": sql(["labels"], "SELECT CAST(s // 50 AS INT) AS c0, CAST(s % 50 AS INT) AS c1, CAST(coalesce(label + 1, 0) AS INT) AS value FROM range(2500) g(s) LEFT JOIN labels ON site = s WHERE s // 50 BETWEEN 5 AND 24 AND s % 50 BETWEEN 0 AND 14"),
+    "kspace_slice": sql(
+        ["speaks", "skept"],
+        "SELECT CAST(s // 20 % 20 AS INT) AS c1, CAST(s % 20 AS INT) AS c2, CAST(CASE WHEN peak % 2 = 0 THEN peak + 2 WHEN skept.site IS NOT NULL THEN 1 ELSE 0 END AS INT) AS value FROM range(2800) g(s) LEFT JOIN speaks p ON p.site = s LEFT JOIN skept ON skept.site = s WHERE s // 400 = 3",
+    ),
+    "threshold_space": sql(["skept"], f"SELECT site, {R('(site // 400) / 6', 'u0')}, {R('(site // 20 % 20) / 19', 'u1')}, {R('(site % 20) / 19', 'u2')} FROM skept"),
+}
+
+
+def _bic(x: str, k_range: range, n_t: int) -> str:
+    """Two batch passes for each k from the first vectors, in SQL."""
+    CTES[f"{x}_first"] = ([x], f"SELECT site, dense_rank() OVER (ORDER BY site) - 1 AS rk, t, v FROM {x}")
+    CTES[f"{x}_var"] = ([x], f"SELECT t, greatest(var_pop(v), 1e-12) AS var FROM {x} GROUP BY t")
+    rows = []
+    for k in k_range:
+        CTES[f"{x}_b{k}"] = ([f"{x}_first", f"{x}_var"], f"SELECT CAST(rk AS INT) AS k, t, {1 / k!r} AS w, v AS mu, var FROM {x}_first JOIN {x}_var USING (t) WHERE rk < {k}")
+        last = steps(f"{x}_f{k}_", x, f"{x}_b{k}", [1.0] * 2, 1e-6)
+        responsibilities(f"{x}_r{k}", x, last)
+        rows.append((k, 2 * k * n_t + k - 1))
+    return " UNION ALL ".join(f"SELECT CAST({k} AS INT) AS k, ll, -2 * ll + {p} * ln(n) AS bic FROM (SELECT sum(lse) AS ll, count(*) AS n FROM {x}_r{k} WHERE k = 0)" for k, p in rows)
+
+
+_VEC_BIC = _bic("vec", range(2, 5), 64)
+ORACLES["bic_table"] = sql([f"vec_r{k}" for k in range(2, 5)], f"SELECT k, round(ll, 3) AS ll, round(bic, 3) AS bic FROM ({_VEC_BIC})")
+ORACLES["best_k"] = sql([f"vec_r{k}" for k in range(2, 5)], f"SELECT k, round(bic, 3) AS bic FROM ({_VEC_BIC}) ORDER BY bic, k LIMIT 1")
