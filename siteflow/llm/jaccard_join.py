@@ -22,9 +22,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 from xxhash import xxh64_intdigest
 
 from siteflow.llm.common import written
@@ -184,8 +186,7 @@ def key_table(docs: DataFrame) -> DataFrame:
 def verified(pairs: DataFrame, docs: DataFrame, threshold: int) -> DataFrame:
     """Those pairs (a, b) whose sets have 100 * intersection >= threshold * union. Only the documents in pairs move."""
     ids = written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ids")
-    few = ids.count() <= SEND_IDS
-    chosen = docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]) if not few else docs.join(F.broadcast(ids), "doc_id", "left_semi")
+    chosen = docs.join(F.broadcast(ids) if ids.count() <= SEND_IDS else ids, "doc_id", "left_semi")
     schema = pa.schema([("doc_id", pa.int64()), ("tokens", pa.binary())])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,24 +228,27 @@ def link(docs: DataFrame, *, threshold: int = 80, id_col: str = "doc_id", text_c
     shared = written(rows.where("prev is not null or next is not null"), "shared")
     named = written(class_of.join(shared.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi").distinct(), "named")
 
-    # First round: neighbours that share several keys.
-    near = shared.where("prev is not null and prev <> doc").groupBy(F.col("prev").alias("a"), F.col("doc").alias("b")).count().where("count >= 2").drop("count")
+    # First round: neighbours that share a fair part of the keys that similar sets must share.
+    near = shared.where("prev is not null and prev <> doc").groupBy(F.col("prev").alias("a"), F.col("doc").alias("b")).count()
     first = written(verified(_between_classes(near, named), known, threshold), "links")
     parts = written(components(first), "parts")
 
     # Second round: sets of different components that share a key. Dearest keys are left out while there are some to spare.
-    part_of = named.join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left").select(F.col("doc_id").alias("doc"), "n", "rep", F.coalesce("component", "rep").alias("part"))
-    keyed = shared.select("key", "doc").join(part_of, "doc").select("key", "rep", "n", "part").distinct()
-    mixed = keyed.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count("*").alias("rows")).where("p <> q").select("key", "rows")
-    open_ = written(keyed.join(mixed, "key"), "open")
-    spare = F.pandas_udf(lambda n: n.__class__(agreement(n.to_numpy()) - 1), "long")
+    part_of = named.join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left").select(F.col("doc_id").alias("doc"), "rep", F.coalesce("component", "rep").alias("part"))
+    here = Window.partitionBy("key")
+    keyed = shared.select("key", "doc").join(part_of, "doc").select("key", "rep", "part")
+    mixed = keyed.select("*", (F.min("part").over(here) != F.max("part").over(here)).alias("differs"), F.count("*").over(here).alias("rows"))
+    size_of = named.groupBy("rep").agg(F.first("n").alias("n"))
+    open_ = written(mixed.where("differs").drop("differs").dropDuplicates(["key", "rep"]).join(size_of, "rep"), "open")
     by_cost = Window.partitionBy("rep").orderBy(F.col("rows").desc(), "key")
-    probes = open_.withColumn("rank", F.row_number().over(by_cost)).withColumn("spare", spare("n")).where((F.col("rows") <= HOT) | (F.col("rank") > F.col("spare")))
-    left = probes.select("key", F.col("rep").alias("r"), F.col("n").alias("nr"), F.col("part").alias("pr"))
+    ranked = open_.select("*", F.row_number().over(by_cost).alias("rank"), surely("n").alias("sure"))
+    skipped = (F.col("rows") > HOT) & (F.col("rank") < F.col("sure"))
+    probes = ranked.select("*", (F.col("sure") - F.sum(skipped.cast("int")).over(Window.partitionBy("rep"))).alias("least"), skipped.alias("skipped")).where("not skipped")
+    left = probes.select("key", F.col("rep").alias("r"), F.col("n").alias("nr"), F.col("part").alias("pr"), "least")
     right = open_.select("key", F.col("rep").alias("s"), F.col("n").alias("ns"), F.col("part").alias("ps"))
     close = (F.col("pr") != F.col("ps")) & (100 * F.least("nr", "ns") >= threshold * F.greatest("nr", "ns"))
-    met = left.join(right, "key").where(close).groupBy(F.least("r", "s").alias("a"), F.greatest("r", "s").alias("b")).count().drop("count")
-    fresh = met.join(first, ["a", "b"], "left_anti")
+    met = left.join(right, "key").where(close).groupBy("r", "s", "least").count().where("count >= least")
+    fresh = met.select(F.least("r", "s").alias("a"), F.greatest("r", "s").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
     second = verified(written(fresh, "met"), known, threshold)
     ends = written(components(first.union(second)), "ends")
 
@@ -252,9 +256,15 @@ def link(docs: DataFrame, *, threshold: int = 80, id_col: str = "doc_id", text_c
     return nodes.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id"))
 
 
+@F.pandas_udf(LongType())
+def surely(n: pd.Series) -> pd.Series:
+    return pd.Series(agreement(n.to_numpy()))
+
+
 def _between_classes(pairs: DataFrame, named: DataFrame) -> DataFrame:
-    """Pairs of class representatives for pairs of documents, without those inside a class."""
-    a = named.select(F.col("doc_id").alias("a"), F.col("rep").alias("ra"))
-    b = named.select(F.col("doc_id").alias("b"), F.col("rep").alias("rb"))
-    both = pairs.join(a, "a").join(b, "b").where("ra <> rb")
+    """Pairs of class representatives for counted pairs of documents that may be similar, without those inside a class."""
+    a = named.select(F.col("doc_id").alias("a"), F.col("rep").alias("ra"), F.col("n").alias("na"), surely("n").alias("ta"))
+    b = named.select(F.col("doc_id").alias("b"), F.col("rep").alias("rb"), F.col("n").alias("nb"), surely("n").alias("tb"))
+    fair = (4 * F.col("count") >= F.greatest("ta", "tb")) & (10 * F.least("na", "nb") >= 8 * F.greatest("na", "nb"))
+    both = pairs.join(a, "a").join(b, "b").where((F.col("ra") != F.col("rb")) & fair)
     return written(both.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "near")
