@@ -5,23 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SITE = Window.partitionBy("site")
+def over_site(value):
+    return value.over(Window.partitionBy("site"))
 
 
 def by_mean(cube: DataFrame) -> DataFrame:
     """v over the site's mean, less one; null where the mean is 0."""
-    mean = F.sum("v").over(SITE) / F.count("*").over(SITE)
+    mean = over_site(F.sum("v")) / over_site(F.count("*"))
     return cube.withColumn("v", F.col("v") / F.nullif(mean, F.lit(0.0)) - 1)
 
 
 def by_zscore(cube: DataFrame) -> DataFrame:
     """Distance from the site's mean in population deviations; null where the deviation is 0."""
-    return cube.withColumn("v", (F.col("v") - F.avg("v").over(SITE)) / F.nullif(F.stddev_pop("v").over(SITE), F.lit(0.0)))
+    return cube.withColumn("v", (F.col("v") - over_site(F.avg("v"))) / F.nullif(over_site(F.stddev_pop("v")), F.lit(0.0)))
 
 
 def by_log_mean(cube: DataFrame) -> DataFrame:
     """log(1 + v) less its mean over the site."""
-    return cube.withColumn("v", F.log1p("v") - F.avg(F.log1p("v")).over(SITE))
+    return cube.withColumn("v", F.log1p("v") - over_site(F.avg(F.log1p("v"))))
 
 
 METHODS = {"mean": by_mean, "z-score": by_zscore, "log-mean": by_log_mean, "None": lambda cube: cube}
