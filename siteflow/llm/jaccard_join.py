@@ -6,8 +6,9 @@ on at least m - H // 2), so similar sets share many segment keys. Small sets use
 rows are affordable and segments would be too small without; large sets use whole segments.
 
 Allocation by cost: a set may leave out as many shared keys as it has to spare (one less than the guaranteed
-agreement), and leaves out those that most sets share: empty segments, boilerplate. Only what is left is probed. A pair is then checked
-exactly on its shingle sets.
+agreement), and leaves out those that most sets share: empty segments, boilerplate. Only what is left is joined, under
+conditions that similar sets must fulfil (sizes, a parity sketch, the number of shared keys). A pair is then checked exactly on
+its shingle sets.
 
 Large groups never become all pairs: sets that are equal form one class; then neighbours in a key's order are checked
 and linked; only sets whose keys still join different components are probed against each other.
@@ -24,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 from xxhash import xxh64_intdigest
@@ -34,8 +35,9 @@ from siteflow.llm.components import components
 from siteflow.llm.sentencepiece_codec import pieces_of
 
 WIDTH = 5
-SPARE = 0.2  # segments beyond those that pigeonhole needs, as a share
+SPARE = 0.25  # segments beyond those that pigeonhole needs, as a share
 DELETION_BELOW = 64  # sets of bands below this size use one-deletion neighbourhoods
+BITS = 256  # of a sketch
 HOT = 64  # rows of a key beyond which a set would rather leave it out
 SEND_IDS = 1_000_000  # most ids that are broadcast (8 MB)
 
@@ -91,19 +93,33 @@ def segments(band: np.ndarray) -> np.ndarray:
     return need + np.ceil(need * SPARE).astype(np.int64)
 
 
-def agreement(n: np.ndarray) -> np.ndarray:
-    """Segments on which a set of n surely agrees with any similar one, in whichever band the two meet."""
+def agreement(n: np.ndarray, parity: np.ndarray | None = None) -> np.ndarray:
+    """Segments on which a set of n surely agrees with any similar one that it meets in the band of that parity, or in any."""
 
     def at(band: np.ndarray) -> np.ndarray:
         most = needs(n, band)
         return segments(band) - np.where(deletes(band), most // 2, most)
 
     own = band_of(n)
-    return np.where(own > 0, np.minimum(at(own), at(np.maximum(own - 1, 0))), at(own))
+    here, below = at(own), at(np.maximum(own - 1, 0))
+    if parity is None:
+        return np.where(own > 0, np.minimum(here, below), here)
+    return np.where(parity == (own & 1), here, below)
+
+
+def sketches(tokens: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """(sets, 4) words of BITS parities: a set's tokens flip one bit each, so two sets differ in at least as many tokens as bits."""
+    row = np.repeat(np.arange(len(n)), n)
+    bit = (mix(tokens + U(5)) & U(BITS - 1)).astype(np.int64)
+    odd = (np.bincount(row * BITS + bit, minlength=len(n) * BITS) & 1).astype(np.uint8).reshape(len(n), BITS)
+    return np.packbits(odd, axis=1).view(np.int64)
 
 
 def keys_of(tokens: np.ndarray, row: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key) of every segment of every set, in its own band and the one below, and of its one-deletion neighbours."""
+    """(row, key) of every segment of every set, in its own band and the one below, and of its one-deletion neighbours.
+
+    The lowest bit of a key is its band's parity.
+    """
     rows, keys = [], []
     for below in (0, 1):
         band = band_of(n) - below
@@ -121,11 +137,12 @@ def keys_of(tokens: np.ndarray, row: np.ndarray, n: np.ndarray) -> tuple[np.ndar
         np.add.at(content, seg, grain)
         owner = np.repeat(np.arange(len(n)), m)
         name = mix((np.arange(total) - np.repeat(offset, m)).astype(U) * U(0xD6E8FEB86659FD93) + band[owner].astype(U))
+        parity = (band & 1).astype(U)
         rows.append(owner)
-        keys.append(mix(content ^ name))
+        keys.append((mix(content ^ name) & ~U(1)) | parity[owner])
         less = deletes(band)[r]
         rows.append(r[less])
-        keys.append(mix((content[seg] - grain)[less] ^ name[seg][less]))
+        keys.append((mix((content[seg] - grain)[less] ^ name[seg][less]) & ~U(1)) | parity[r[less]])
     return np.concatenate(rows), np.concatenate(keys)
 
 
@@ -136,19 +153,20 @@ def _slices(batches: Iterator[pa.RecordBatch]):
             yield batch.column(0).slice(part.start, part.stop - part.start), texts[part]
 
 
-SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64())])
+SKETCH = ["x0", "x1", "x2", "x3"]
+SETS = pa.schema([(c, pa.int64()) for c in ("doc_id", "n", "d1", "d2", *SKETCH)])
 
 
 def set_table(docs: DataFrame) -> DataFrame:
-    """doc_id, n (set size) and a 128-bit digest of the set."""
+    """doc_id, n (set size), a 128-bit digest and the sketch of the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in _slices(batches):
             tokens, n = shingle_sets(texts)
             d1, d2 = _digests(tokens, n)
-            yield pa.record_batch([ids, pa.array(n), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64))], schema=SETS)
+            yield pa.record_batch([ids, pa.array(n), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), *(pa.array(x) for x in sketches(tokens, n).T.copy())], schema=SETS)
 
-    return docs.mapInArrow(run, "doc_id long, n long, d1 long, d2 long")
+    return docs.mapInArrow(run, ", ".join(f"{c} long" for c in SETS.names))
 
 
 def _digests(tokens: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -219,8 +237,9 @@ def link(docs: DataFrame, *, threshold: int = 80, id_col: str = "doc_id", text_c
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     known = chosen.where("doc_id is not null")
     sets = written(set_table(chosen), "sizes")
-    classes = written(sets.where("n > 0 and doc_id is not null").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep")), "classes")
-    class_of = sets.where("n > 0 and doc_id is not null").join(classes, ["n", "d1", "d2"]).select("doc_id", "n", "rep")
+    whole = sets.where("n > 0 and doc_id is not null")
+    classes = written(whole.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep")), "classes")
+    class_of = whole.join(classes, ["n", "d1", "d2"]).select("doc_id", "n", "rep", *SKETCH)
 
     # Keys of at least two sets. A key's rows are sorted and streamed, never gathered in memory.
     of_key = Window.partitionBy("key").orderBy("doc")
@@ -230,7 +249,7 @@ def link(docs: DataFrame, *, threshold: int = 80, id_col: str = "doc_id", text_c
 
     # First round: neighbours that share a fair part of the keys that similar sets must share.
     near = shared.where("prev is not null and prev <> doc").groupBy(F.col("prev").alias("a"), F.col("doc").alias("b")).count()
-    first = written(verified(_between_classes(near, named), known, threshold), "links")
+    first = written(verified(_between_classes(near, named, threshold), known, threshold), "links")
     parts = written(components(first), "parts")
 
     # Second round: sets of different components that share a key. Dearest keys are left out while there are some to spare.
@@ -238,17 +257,19 @@ def link(docs: DataFrame, *, threshold: int = 80, id_col: str = "doc_id", text_c
     here = Window.partitionBy("key")
     keyed = shared.select("key", "doc").join(part_of, "doc").select("key", "rep", "part")
     mixed = keyed.select("*", (F.min("part").over(here) != F.max("part").over(here)).alias("differs"), F.count("*").over(here).alias("rows"))
-    size_of = named.groupBy("rep").agg(F.first("n").alias("n"))
-    open_ = written(mixed.where("differs").drop("differs").dropDuplicates(["key", "rep"]).join(size_of, "rep"), "open")
-    by_cost = Window.partitionBy("rep").orderBy(F.col("rows").desc(), "key")
-    ranked = open_.select("*", F.row_number().over(by_cost).alias("rank"), surely("n").alias("sure"))
+    known_sets = named.groupBy("rep").agg(*[F.first(c).alias(c) for c in ("n", *SKETCH)])
+    open_ = written(mixed.where("differs").drop("differs").dropDuplicates(["key", "rep"]).join(known_sets, "rep").withColumn("parity", F.col("key").bitwiseAND(F.lit(1))), "open")
+    by_cost = Window.partitionBy("rep", "parity").orderBy(F.col("rows").desc(), "key")
+    ranked = open_.select("*", F.row_number().over(by_cost).alias("rank"), surely("n", "parity").alias("sure"))
     skipped = (F.col("rows") > HOT) & (F.col("rank") < F.col("sure"))
-    probes = ranked.select("*", (F.col("sure") - F.sum(skipped.cast("int")).over(Window.partitionBy("rep"))).alias("least"), skipped.alias("skipped")).where("not skipped")
-    left = probes.select("key", F.col("rep").alias("r"), F.col("n").alias("nr"), F.col("part").alias("pr"), "least")
-    right = open_.select("key", F.col("rep").alias("s"), F.col("n").alias("ns"), F.col("part").alias("ps"))
-    close = (F.col("pr") != F.col("ps")) & (100 * F.least("nr", "ns") >= threshold * F.greatest("nr", "ns"))
-    met = left.join(right, "key").where(close).groupBy("r", "s", "least").count().where("count >= least")
-    fresh = met.select(F.least("r", "s").alias("a"), F.greatest("r", "s").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
+    probes = ranked.select("*", F.sum(skipped.cast("int")).over(Window.partitionBy("rep", "parity")).alias("left_out"), skipped.alias("skipped")).where("not skipped")
+    side = lambda mark: probes.select("key", *[F.col(c).alias(f"{c}_{mark}") for c in ("rep", "part", "n", "sure", "left_out", *SKETCH)])
+    # Both leave out the dearest keys of one common order, so the keys they lose are those that one of them left out.
+    close = (F.col("rep_r") < F.col("rep_s")) & (F.col("part_r") != F.col("part_s")) & alike("r", "s", threshold)
+    least = F.greatest("sure_r", "sure_s") - F.greatest("left_out_r", "left_out_s")
+    left, right = side("r"), side("s")
+    met = left.join(right, (left["key"] == right["key"]) & close).groupBy(F.col("rep_r").alias("a"), F.col("rep_s").alias("b"), least.alias("least")).count().where("count >= least")
+    fresh = met.select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
     second = verified(written(fresh, "met"), known, threshold)
     ends = written(components(first.union(second)), "ends")
 
@@ -257,14 +278,25 @@ def link(docs: DataFrame, *, threshold: int = 80, id_col: str = "doc_id", text_c
 
 
 @F.pandas_udf(LongType())
-def surely(n: pd.Series) -> pd.Series:
+def surely(n: pd.Series, parity: pd.Series) -> pd.Series:
+    return pd.Series(agreement(n.to_numpy(), parity.to_numpy()))
+
+
+@F.pandas_udf(LongType())
+def surely_somewhere(n: pd.Series) -> pd.Series:
     return pd.Series(agreement(n.to_numpy()))
 
 
-def _between_classes(pairs: DataFrame, named: DataFrame) -> DataFrame:
+def alike(r: str, s: str, threshold: int) -> Column:
+    """What sizes and sketches of similar sets must fulfil."""
+    n, m = F.col(f"n_{r}"), F.col(f"n_{s}")
+    bits = sum((F.bit_count(F.col(f"{x}_{r}").bitwiseXOR(F.col(f"{x}_{s}"))) for x in SKETCH), F.lit(0))
+    return (100 * F.least(n, m) >= threshold * F.greatest(n, m)) & (bits * 9 <= n + m)
+
+
+def _between_classes(pairs: DataFrame, named: DataFrame, threshold: int) -> DataFrame:
     """Pairs of class representatives for counted pairs of documents that may be similar, without those inside a class."""
-    a = named.select(F.col("doc_id").alias("a"), F.col("rep").alias("ra"), F.col("n").alias("na"), surely("n").alias("ta"))
-    b = named.select(F.col("doc_id").alias("b"), F.col("rep").alias("rb"), F.col("n").alias("nb"), surely("n").alias("tb"))
-    fair = (4 * F.col("count") >= F.greatest("ta", "tb")) & (10 * F.least("na", "nb") >= 8 * F.greatest("na", "nb"))
-    both = pairs.join(a, "a").join(b, "b").where((F.col("ra") != F.col("rb")) & fair)
-    return written(both.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "near")
+    side = lambda mark: named.select(F.col("doc_id").alias(mark), *[F.col(c).alias(f"{c}_{mark}") for c in ("rep", "n", *SKETCH)], surely_somewhere("n").alias(f"sure_{mark}"))
+    fair = (4 * F.col("count") >= F.greatest("sure_a", "sure_b")) & alike("a", "b", threshold)
+    both = pairs.join(side("a"), "a").join(side("b"), "b").where((F.col("rep_a") != F.col("rep_b")) & fair)
+    return written(both.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).distinct(), "near")
