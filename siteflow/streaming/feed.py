@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 def windowed(events: DataFrame, width: str = "1 day", late: str = "2 days") -> DataFrame:
     """Sum of values by user cell and tumbling window; rows later than the watermark are dropped."""
     return (
-        events.withWatermark("ts", late)
+        events.withColumn("ts", F.col("ts").cast("timestamp"))
+        .withWatermark("ts", late)
         .groupBy(F.window("ts", width).alias("w"), (F.col("user_id") % 10).cast("int").alias("c0"), F.expr("cast(user_id div 10 as int)").alias("c1"))
         .agg(F.sum("value").alias("v"))
         .select(F.col("w.start").alias("at"), "c0", "c1", "v")
