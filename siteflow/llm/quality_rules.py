@@ -56,7 +56,9 @@ def words_in_repeats(hashes: Column, window: int = WINDOW) -> Column:
 def accepted(docs: DataFrame, *, policy: str = "v2", text_col: str = "text") -> DataFrame:
     """The rows of docs that the policy keeps, with their own columns alone."""
     noted = ledger(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text_col).alias("text")), policy=policy, id_col="row")
-    return noted.where("kept").select("doc_id.*")
+    # A filter alone would be pushed below the measurements and repeat them; one that needs a row number stays above.
+    numbered = noted.select("doc_id", "kept", F.monotonically_increasing_id().alias("at"))
+    return numbered.where(F.col("kept") & (F.col("at") >= 0)).select("doc_id.*")
 
 
 def ledger(docs: DataFrame, *, policy: str = "v2", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -255,11 +255,14 @@ def test_op8_randomness(spark):
     from siteflow.llm import secret_scan
 
     rng = random.Random(1)
-    rand = "".join(rng.choice(secret_scan.ALPHABETS["base64"][:62]) for _ in range(64))
-    rows = [(1, f"key {rand} end"), (2, "abc1ABC" * 10), (3, "plain words only"), (4, 'secret=token: abcdefg "password" : hunter22')]
+    rand = ["".join(rng.choice(secret_scan.ALPHABETS["base64"][:62]) for _ in range(64)) for _ in range(12)]
+    rows = [(k, f"key {x} end") for k, x in enumerate(rand)]
+    rows += [(20 + k, f"abc{k}ABC" * 10) for k in range(9)] + [(40, "plain words only"), (41, 'secret=token: abcdefg "password" : hunter22')]
     got = {r["doc_id"]: r for r in secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got[1]["spans"] == "random:4:68" and got[2]["n_random"] == 0 and got[3]["spans"] == ""
-    assert got[4]["n_assign"] == 1 and got[4]["spans"].startswith("assign:24:")
+    # A random token is missed as often as the false-discovery level allows.
+    assert sum(got[k]["spans"] == "random:4:68" for k in range(12)) >= 10
+    assert all(got[20 + k]["n_random"] == 0 for k in range(9)) and got[40]["spans"] == ""
+    assert got[41]["n_assign"] == 1 and got[41]["spans"].startswith("assign:24:")
 
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
