@@ -308,7 +308,7 @@ def kmeans_init(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gaussian_init(spark: SparkSession, sf_dir: str) -> DataFrame:
-    means = gmm.init_means(src.embeddings(spark, sf_dir), 4, "xtec")
+    means = gmm.init_means(src.embeddings(spark, sf_dir), 4, "gaussian")
     return spark.createDataFrame([(k, t, float(v)) for k, row in enumerate(means) for t, v in enumerate(row)], "k int, t int, mu double")
 
 

@@ -210,7 +210,7 @@ def kmeanspp_means(packed: DataFrame, k: int, seed: int = 0) -> np.ndarray:
 def init_means(packed: DataFrame, k: int, how: str = "kmeans++", seed: int = 0) -> np.ndarray:
     if how == "kmeans++":
         return kmeanspp_means(packed, k, seed)
-    if how == "xtec":
+    if how == "gaussian":
         _, m, s = spread(packed)
         return m + np.random.default_rng(seed).standard_normal((k, len(m))) * np.sqrt(s)
     if how in ("sklearn-kmeans", "cuml-kmeans"):
