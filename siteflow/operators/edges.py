@@ -49,7 +49,6 @@ def periodic_classes(sites: DataFrame, sizes: list[int], unit: list[int] | None,
     """
     if unit is None:
         raise TypeError("the periodic kernel needs the unit cell's shape")
-    spark = sites.sparkSession
     kept = []
     for o in itertools.product(*[range(u) for u in unit]):
         w = math.exp(-sum(math.sin(math.pi * d / u) ** 2 for d, u in zip(o, unit, strict=True)) / l_scale**2)
@@ -68,7 +67,6 @@ def periodic_classes(sites: DataFrame, sizes: list[int], unit: list[int] | None,
     pairs = counts.select("class", moves).select("class", other.alias("other"), F.col("o.w").alias("w"))
     weighted = pairs.join(counts.select(F.col("class").alias("other"), "n"), "other")
     total = F.sum(F.col("w") * F.col("n")).over(Window.partitionBy("class"))
-    assert spark is not None
     return weighted.select("class", "other", (F.col("w") / F.greatest(total, F.lit(1e-12))).alias("w"))
 
 

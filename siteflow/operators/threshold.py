@@ -64,7 +64,7 @@ def binned(x: DataFrame, width: float | None = None) -> tuple[Histogram, DataFra
     where = F.least(F.floor((F.col("x") - F.lit(low)) / spread * nb), F.lit(nb - 1)).cast("int")
     sums = x.groupBy(where.alias("bin")).agg(F.count("*").alias("n"), F.sum("x").alias("s"), F.sum((F.col("x") - mean) * (F.col("x") - mean)).alias("ss"))
     bins = x.sparkSession.range(nb).select(F.col("id").cast("int").alias("bin")).join(sums, "bin", "left")
-    return h, bins.select("bin", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n",)], *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("s", "ss")])
+    return h, bins.select("bin", F.coalesce("n", F.lit(0)).alias("n"), *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("s", "ss")])
 
 
 def density(h: Histogram, bins: DataFrame) -> DataFrame:
