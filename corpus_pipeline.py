@@ -1,8 +1,13 @@
-"""From raw documents to token ids: five stages, each written as Parquet and read again as the next one's input."""
+"""From raw documents to token ids: five stages, each written as Parquet and read again as the next one's input.
+
+Nulls and repeated ids: a document is a doc_id (null is one of them) with a text, and every decision is about that pair. Of
+linked documents the smallest doc_id stays, null first, then the smallest hash of the text; of rows with equal
+doc_id and text that hold words one stays. Rows without words are never copies of each other.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siteflow.llm import decontamination, jaccard_join, line_dedup, quality_rules, sentencepiece_codec
@@ -10,6 +15,14 @@ from siteflow.llm.catalog import model_bytes
 from siteflow.llm.common import WORD, table, written
 
 
+#: A column that no input has: 64-bit hash of doc_id and text, never null.
+ROW = "__row"
+
+
+def row_key() -> Column:
+    return F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text")
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality policy accepts."""
     return quality_rules.accepted(docs)
@@ -21,16 +34,30 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return cut.select(*[F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
 
 
+def single(docs: DataFrame) -> DataFrame:
+    """docs with one row of each doc_id and text; rows without words all stay."""
+    named = docs.withColumn(ROW, row_key())
+    often = written(named.where(F.col("text").rlike(WORD)).groupBy(ROW).count().where("count > 1").select(ROW), "often")
+    if often.isEmpty():
+        return docs
+    one = named.join(often, ROW, "left_semi").groupBy(ROW).agg(F.min(F.struct(*docs.columns)).alias("x")).select("x.*")
+    return written(named.join(often, ROW, "left_anti").select(*docs.columns).unionByName(one), "single")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest doc_id stays."""
-    gone = jaccard_join.link(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of linked documents the one with the smallest doc_id stays, null first."""
+    named = single(docs).withColumn(ROW, row_key())
+    linked = written(jaccard_join.link(named, id_col=ROW).where("n_shingles > 0").select(F.col("doc_id").alias(ROW), "component_id"), "linked")
+    first = linked.join(named.select(ROW, "doc_id"), ROW).groupBy("component_id").agg(F.min(F.struct("doc_id", ROW)).alias("first"))
+    gone = written(linked.select(ROW).join(first.select(f"first.{ROW}"), ROW, "left_anti"), "gone")
+    return named.join(gone, ROW, "left_anti").select(*docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    hits = decontamination.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(hits, "doc_id", "left_anti").select(*docs.columns)
+    named = docs.withColumn(ROW, row_key())
+    hits = decontamination.contaminated(named, table(spark, sf_dir, "benchmark"), id_col=ROW).select(F.col("doc_id").alias(ROW)).distinct()
+    return named.join(hits, ROW, "left_anti").select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -74,3 +74,22 @@ def test_pipeline_stages_on_edges(spark, tmp_path):
             if k < 4:
                 assert out.columns == d.columns
             out.count()
+
+
+def test_pipeline_decides_by_id_and_text(spark, tmp_path):
+    import corpus_pipeline
+
+    item = "one two three four five six seven. eight nine."
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    stages = dict(corpus_pipeline.STAGES)
+
+    def kept(stage, rows):
+        out = stages[stage](spark, spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path)).collect()
+        return sorted(((r["doc_id"], r["text"]) for r in out), key=str)
+
+    bad, clean = f"x {item} y", "a clean text"
+    rows = [(None, bad), (None, clean), (7, bad), (7, clean), (8, None), (None, None)]
+    assert kept("decontamination", rows) == sorted([(None, clean), (7, clean), (8, None), (None, None)], key=str)
+    rows = [(None, a), (None, a), (5, a + " z"), (3, b), (9, b), (9, c), (9, c), (None, ""), (None, ""), (4, None)]
+    assert kept("near_duplicates", rows) == sorted([(None, a), (3, b), (9, c), (None, ""), (None, ""), (4, None)], key=str)
