@@ -10,7 +10,8 @@ at least HEAD_SHARE of all tokens (so at most 1 / HEAD_SHARE of them) travel to
 words travel to the word table. Common words therefore never gather in one task.
 
 Nulls: a null text is empty and has the end token alone; a null doc_id trains. Repeated rows give one row each, with
-equal values, and are counted as often as they occur. Rows of one doc_id with different texts are told apart. An empty table gives
+equal values, and are counted as often as they occur. Rows of one doc_id with different texts are told apart, by a 64-bit
+hash of the text. An empty table gives
 no rows. Other columns are ignored.
 """
 
@@ -209,7 +210,7 @@ def document_rows(docs: DataFrame, head: dict[bytes, tuple[int, float, float]])
                 yield pa.record_batch([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(cols, ROW, strict=True)], schema=ROW)
 
     ddl = "doc_id long, v long, word string, tf long, copies long, tokens long, known long, base double, lattice double"
-    return docs.select("doc_id", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("v"), "text").mapInArrow(run, ddl)
+    return docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("v"), "text").mapInArrow(run, ddl)
 
 
 def score(docs: DataFrame, model: bytes, *, id_col: str = "doc_id", text_col: str = "text", head_share: float = HEAD_SHARE) -> DataFrame:

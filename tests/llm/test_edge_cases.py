@@ -93,3 +93,12 @@ def test_pipeline_decides_by_id_and_text(spark, tmp_path):
     assert kept("decontamination", rows) == sorted([(None, clean), (7, clean), (8, None), (None, None)], key=str)
     rows = [(None, a), (None, a), (5, a + " z"), (3, b), (9, b), (9, c), (9, c), (None, ""), (None, ""), (4, None)]
     assert kept("near_duplicates", rows) == sorted([(None, a), (3, b), (9, c), (None, ""), (None, ""), (4, None)], key=str)
+
+
+def test_lm_tells_texts_of_one_checksum_apart(spark):
+    import zlib
+
+    a, b = "applee50f09ed147e", "pear af7fe79d0061"
+    assert zlib.crc32(a.encode()) == zlib.crc32(b.encode())
+    got = lattice_lm.score(spark.createDataFrame([(None, a), (None, b)], "doc_id long, text string"), model_bytes()).collect()
+    assert sorted(r["n_tokens"] for r in got) == [2, 3]
