@@ -24,8 +24,19 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+){3,}")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")
 NATIONAL = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
+ALNUM = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+#: Lengths that countries have fixed.
+IBAN_LENGTH = {
+    c: n
+    for n, cs in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+        23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV",
+        29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for c in cs.split()
+}
 
 BASE_KINDS = ["email", "ip", "card", "phone"]
 KINDS = [*BASE_KINDS, "iban", "national"]
@@ -79,6 +90,21 @@ def addresses(t: str) -> Iterator[tuple[int, int]]:
             at = end + 1
 
 
+def ibans(t: str) -> Iterator[tuple[int, int]]:
+    """Of the ends of tokens that the checksum confirms, the country's length wins, else the longest; the search goes on behind."""
+    found = IBAN.search(t)
+    while found:
+        start, best = found.start(), (False, 0)
+        for end in range(start + 15, found.end() + 1):
+            if t[end - 1] != " " and t[end : end + 1] not in ALNUM:
+                code = t[start:end].replace(" ", "")
+                if 15 <= len(code) <= 34 and mod97(code):
+                    best = max(best, (len(code) == IBAN_LENGTH.get(code[:2]), end))
+        if best[1]:
+            yield start, best[1]
+        found = IBAN.search(t, best[1] or start + 1)
+
+
 def _digits(s: str) -> str:
     return re.sub("[^0-9]", "", s)
 
@@ -99,10 +125,8 @@ def proposed(t: str) -> Iterator[tuple[str, int, int]]:
         for m in PHONE.finditer(t):
             if 8 <= len(_digits(m[0])) <= 15:
                 yield "phone", m.start(), m.end()
-    for m in IBAN.finditer(t):
-        code = m[0].replace(" ", "")
-        if 15 <= len(code) <= 34 and mod97(code):
-            yield "iban", m.start(), m.end()
+    for start, end in ibans(t):
+        yield "iban", start, end
     if "-" in t:
         for m in NATIONAL.finditer(t):
             yield "national", m.start(), m.end()

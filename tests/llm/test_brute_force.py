@@ -296,6 +296,18 @@ def test_op9_checksums_and_context():
     assert near > far
 
 
+@pytest.mark.parametrize(("before", "code", "after"), [("IBAN ", "DE89 3704 0044 0532 0130 00", " BIC COBADEFF"), ("", "DE89370400440532013000", " 250 euros"), ("AB12 ", "GB82 WEST 1234 5698 7654 32", " REF 77")])
+def test_op9_iban_before_other_codes(before, code, after):
+    assert ("iban", len(before), len(before) + len(code)) in pii.scan(before + code + after)[0]
+
+
+def test_op9_two_ibans_and_no_part_of_a_token():
+    t = "DE89370400440532013000 GB82WEST12345698765432"
+    assert pii.scan(t)[0] == [("iban", 0, 22), ("iban", 23, 45)]
+    for x in ("abc", "A" * 30):
+        assert not any(s[0] == "iban" for s in pii.scan("DE89370400440532013000" + x)[0])
+
+
 def test_op10_equals_exhaustive_scoring(spark, docs):
     items = [(r["item_id"], r["text"]) for r in table(spark, SF, "benchmark").collect()]
     index = decontamination.ItemIndex(items, 0.5)
