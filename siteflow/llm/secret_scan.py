@@ -1,9 +1,10 @@
 """Secrets: three fixed patterns, and a randomness test battery for other long tokens. DataFrame functions only.
 
-A long token of a known encoding (hex, base32, base64) is tested for uniform use of its alphabet (chi-squared), for
-runs above and below the middle, and for serial correlation; Fisher's method joins the three. Prose-like tokens are the
-discoveries that Benjamini-Hochberg makes within each length class, where few symbols must not count like many; the
-tokens that stay compatible with randomness are reported as `random` spans where no base span lies over them.
+A long token of a known encoding (hex, three forms of base32, base36, base64; upper or lower case where one case is
+enough) is tested for uniform use of its alphabet (chi-squared), for runs above and below the middle, and for serial
+correlation; Fisher's method joins the three. Prose-like tokens are the discoveries that Benjamini-Hochberg makes within
+each length class, where few symbols must not count like many; the tokens that stay compatible with randomness are
+reported as `random` spans where no base span lies over them.
 
 Positions are code points, ends exclusive. The texts are read once; the false-discovery step reads only a histogram of
 p-values (length classes x 64 bins, whatever the input).
@@ -27,7 +28,10 @@ ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 TOKEN = r"[A-Za-z0-9+/_-]{20,}={0,2}"
-ALPHABETS = {"hex": "0123456789abcdef", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
+ALPHABETS = {
+    "hex": "0123456789abcdef", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base32hex": "0123456789ABCDEFGHIJKLMNOPQRSTUV", "crockford": "0123456789ABCDEFGHJKMNPQRSTVWXYZ",
+    "base36": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
+}
 #: Lower ends of the length classes.
 CLASSES = [20, 32, 64, 128]
 BINS = 64
@@ -51,11 +55,14 @@ def matches(text: Column, pattern: str, keep=None) -> Column:
 
 
 def _encoding(token: Column) -> Column:
-    """Encoding that a token could have: only mixtures of letters and digits are taken, so that words are left out."""
+    """Smallest encoding that a token could have: only mixtures of letters and digits are taken, so that words are left out."""
     digits, lower, upper = token.rlike("[0-9]"), token.rlike("[a-z]"), token.rlike("[A-Z]")
     return (
         F.when(digits & (lower | upper) & token.rlike("^([0-9a-f]+|[0-9A-F]+)$"), F.lit("hex"))
-        .when(digits & upper & token.rlike("^[A-Z2-7]+=*$"), F.lit("base32"))
+        .when(digits & (lower | upper) & token.rlike("^([A-Z2-7]+|[a-z2-7]+)=*$"), F.lit("base32"))
+        .when(digits & (lower | upper) & token.rlike("^([0-9A-V]+|[0-9a-v]+)=*$"), F.lit("base32hex"))
+        .when(digits & (lower | upper) & token.rlike("^([0-9A-HJKMNP-TV-Z]+|[0-9a-hjkmnp-tv-z]+)=*$"), F.lit("crockford"))
+        .when(digits & (lower | upper) & token.rlike("^([0-9A-Z]+|[0-9a-z]+)=*$"), F.lit("base36"))
         .when(digits & lower & upper, F.lit("base64"))
     )
 
@@ -68,7 +75,7 @@ def _p_normal(z: Column) -> Column:
 def p_random(token: Column, encoding: Column) -> Column:
     """Fisher's joint p-value that the token's symbols are drawn uniformly and independently."""
     alphabet = F.element_at(F.create_map(*[F.lit(x) for pair in ALPHABETS.items() for x in pair]), encoding)
-    plain = F.when(encoding == "hex", F.lower(token)).when(encoding == "base64", F.translate(F.rtrim(token, F.lit("=")), "-_", "+/")).otherwise(F.rtrim(token, F.lit("=")))
+    plain = F.when(encoding == "hex", F.lower(token)).when(encoding == "base64", F.translate(F.rtrim(token, F.lit("=")), "-_", "+/")).otherwise(F.upper(F.rtrim(token, F.lit("="))))
 
     def tests(v: Column) -> Column:
         x, k = v["x"], v["k"].cast("double")

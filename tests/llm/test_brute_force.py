@@ -265,6 +265,20 @@ def test_op8_randomness(spark):
     assert got[41]["n_assign"] == 1 and got[41]["spans"].startswith("assign:23:43")
 
 
+@pytest.mark.parametrize("alphabet", ["0123456789abcdefghijklmnopqrstuvwxyz", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz234567", "0123456789ABCDEFGHJKMNPQRSTVWXYZ", "0123456789abcdefghijklmnopqrstuv"])
+def test_op8_random_tokens_of_one_case(spark, alphabet):
+    import random
+
+    from siteflow.llm import secret_scan
+
+    rng = random.Random(2)
+    rows = [(k, "key " + "".join(rng.choice(alphabet) for _ in range(40 if k < 12 else 600)) + " end") for k in range(24)]
+    rows += [(30 + k, ("xyz1" if alphabet.islower() else "XYZ1") * 12) for k in range(9)]
+    got = {r["doc_id"]: r for r in secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(got[k]["spans"] == "random:4:44" for k in range(12)) >= 10 and sum(got[k]["spans"] == "random:4:604" for k in range(12, 24)) >= 10
+    assert all(got[30 + k]["n_random"] == 0 for k in range(9))
+
+
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
