@@ -1,16 +1,20 @@
 """Secrets: three fixed patterns, and a randomness test battery for other long tokens. DataFrame functions only.
 
 A long token of a known encoding (hex, three forms of base32, base36, base64; upper or lower case where one case is
-enough) is tested for uniform use of its alphabet (chi-squared), for runs above and below the middle, and for serial
-correlation; Fisher's method joins the three. Prose-like tokens are the discoveries that Benjamini-Hochberg makes within
-each length class, where few symbols must not count like many; the tokens that stay compatible with randomness are
-reported as `random` spans where no base span lies over them.
+enough) goes through three tests: chi-squared for a uniform alphabet, runs of one kind of symbol (digits, lower,
+upper), and serial correlation. The null hypothesis of the report is prose: a name or identifier made of words. Such
+tokens repeat letters at least as often as words do and change the kind of symbol at most CHANGE_SHARE as often as random
+ones; the p-value is the chance that prose looks as random as the token. A token that clearly is not random (p below GATE
+when the three tests are joined the other way round) gets p-value 1. Benjamini-Hochberg within each
+length class then bounds the expected share of prose among the tokens that are reported, so short tokens, for which
+the tests have little power, are reported only when the evidence suffices. Reported tokens are `random` spans where no base span
+lies over them; tokens of letters alone are never candidates.
 
 Positions are code points, ends exclusive. The texts are read once; the false-discovery step reads only a histogram of
-p-values (length classes x 64 bins, whatever the input).
+p-values (length classes x BINS, whatever the input).
 
-Nulls: a null text counts as empty. Equal rows give equal results. An empty table gives no rows. Only id and text are
-read, so clashing names do no harm.
+Nulls: a null text counts as empty. Equal rows give equal results. An empty table gives no rows. A text may hold any number of
+spans of each kind. Only id and text are read, so clashing names do no harm.
 """
 
 from __future__ import annotations
@@ -34,23 +38,39 @@ ALPHABETS = {
 }
 #: Lower ends of the length classes.
 CLASSES = [20, 32, 64, 128]
-BINS = 64
+#: Quarters of an octave of the p-value.
+BINS = 256
+GATE = 0.001
+#: Chance that two letters of prose are equal, for all letters and among a to f alone; share of digits in identifiers.
+COINCIDENCE, COINCIDENCE_HEX, DIGITS = 0.066, 0.26, 0.3
+#: Identifiers change the kind of symbol at most this share as often as random tokens.
+CHANGE_SHARE = 0.7
+BLOCK = 256
 
 
 def matches(text: Column, pattern: str, keep=None) -> Column:
-    """Array of (start, end, hit) of the leftmost non-overlapping matches; gaps and matches laid end to end give the places."""
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(2)) if keep else hits
-    laid = F.zip_with(F.split(text, pattern, -1), F.arrays_zip(hits.alias("hit"), values.alias("value")), lambda gap, m: F.struct(F.char_length(gap).alias("gap"), m["hit"].alias("hit"), m["value"].alias("value")))
-    none = F.array().cast("array<struct<start:int,end:int,hit:string,value:string>>")
+    """Array of (start, end, hit) of the leftmost non-overlapping matches that `keep` accepts.
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        end = start + F.char_length(x["hit"])
-        return F.struct(end.alias("at"), F.concat(acc["found"], F.array(F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("hit"), x["value"].alias("value")))).alias("found"))
+    Matches and the gaps between them, laid end to end, give the places. They are summed in blocks, so that a text with very
+    many matches never grows one long array step by step.
+    """
+    none = F.array().cast("array<struct<start:int,end:int,hit:string>>")
+    laid = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda gap, hit: F.struct(F.char_length(gap).alias("gap"), F.char_length(hit).alias("len"), hit.alias("hit")))
 
-    placed = F.aggregate(F.filter(laid, lambda x: x["hit"].isNotNull()), F.struct(F.lit(0).alias("at"), none.alias("found")), step, lambda acc: acc["found"])
-    placed = F.filter(placed, lambda x: keep(x["value"])) if keep else placed
+    def place(acc: Column, x: Column) -> Column:
+        start = acc["at"] + x["gap"]
+        span = F.struct(start.alias("start"), (start + x["len"]).alias("end"), x["hit"].alias("hit"))
+        return F.struct((start + x["len"]).alias("at"), F.concat(acc["found"], F.array(span)).alias("found"))
+
+    def in_blocks(hits: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(hits) - 1) / BLOCK).cast("int")), lambda b: F.slice(hits, b * BLOCK + 1, BLOCK))
+        length = lambda block: F.aggregate(block, F.lit(0), lambda a, x: a + x["gap"] + x["len"])
+        first = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<at:int,hits:array<struct<gap:int,len:int,hit:string>>>>").alias("blocks"))
+        begun = F.aggregate(blocks, first, lambda acc, b: F.struct((acc["at"] + length(b)).alias("at"), F.concat(acc["blocks"], F.array(F.struct(acc["at"].alias("at"), b.alias("hits")))).alias("blocks")), lambda acc: acc["blocks"])
+        return F.flatten(F.transform(begun, lambda b: F.aggregate(b["hits"], F.struct(b["at"].alias("at"), none.alias("found")), place, lambda acc: acc["found"])))
+
+    placed = once(F.filter(laid, lambda x: x["hit"].isNotNull()), in_blocks)
+    placed = F.filter(placed, lambda x: keep(x["hit"])) if keep else placed
     return F.when(text.rlike(pattern), placed).otherwise(none)
 
 
@@ -67,41 +87,65 @@ def _encoding(token: Column) -> Column:
     )
 
 
-def _p_normal(z: Column) -> Column:
-    """Upper tail of the normal distribution (logistic approximation, error under 0.0002)."""
-    return F.lit(1.0) / (F.lit(1.0) + F.exp(F.least(F.lit(300.0), 1.5976 * z + 0.07056 * z * z * z)))
-
-
-def p_random(token: Column, encoding: Column) -> Column:
-    """Fisher's joint p-value that the token's symbols are drawn uniformly and independently."""
-    alphabet = F.element_at(F.create_map(*[F.lit(x) for pair in ALPHABETS.items() for x in pair]), encoding)
-    plain = F.when(encoding == "hex", F.lower(token)).when(encoding == "base64", F.translate(F.rtrim(token, F.lit("=")), "-_", "+/")).otherwise(F.upper(F.rtrim(token, F.lit("="))))
+def upper_tail(z: Column) -> Column:
+    """Upper tail of the normal distribution, from published bounds, never below the true value."""
+    a = F.abs(z)
+    density = F.exp(-0.5 * a * a) / math.sqrt(2 * math.pi)
+    return F.when(z >= 0, density * 4 / (3 * a + F.sqrt(a * a + 8))).otherwise(1 - density * 2 / (a + F.sqrt(a * a + 4)))
 
-    def tests(v: Column) -> Column:
-        x, k = v["x"], v["k"].cast("double")
-        n = F.size(x).cast("double")
-        squares = F.aggregate(F.transform(F.array_distinct(x), lambda c: F.pow(F.size(F.filter(x, lambda y: y == c)), 2.0)), F.lit(0.0), lambda a, b: a + b)
-        df = k - 1
-        cube = F.pow(F.greatest(F.lit(0.0), (k / n * squares - n) / df), 1.0 / 3)
-        p_uniform = _p_normal((cube - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df)))
 
-        high = F.aggregate(x, F.lit(0), lambda a, y: a + F.when(2 * y >= k, 1).otherwise(0)).cast("double")
-        runs = 1 + F.aggregate(F.zip_with(F.slice(x, 1, F.size(x) - 1), F.slice(x, 2, F.size(x) - 1), lambda a, b: F.when((2 * a >= k) != (2 * b >= k), 1).otherwise(0)), F.lit(0), lambda a, b: a + b).cast("double")
-        mean = 2 * high * (n - high) / n + 1
-        spread = F.sqrt(F.greatest(F.lit(1e-9), (mean - 1) * (mean - 2) / (n - 1)))
-        p_runs = F.when((high == 0) | (high == n), F.lit(1e-9)).otherwise(F.least(F.lit(1.0), 2 * _p_normal(F.abs(runs - mean) / spread)))
+def _prose(name: str) -> tuple[str, int, float, float]:
+    """Alphabet, its size, how far identifiers are from uniform (size times the chance of equal symbols, less one), and how often they change kind."""
+    alphabet = ALPHABETS[name]
+    k = len(alphabet)
+    letters = COINCIDENCE_HEX if name == "hex" else COINCIDENCE
+    excess = k * ((1 - DIGITS) ** 2 * letters + DIGITS**2 / 10) - 1
+    n_kinds = sum(c.isalnum() for c in alphabet)
+    kinds = [sum(f(c) for c in alphabet) / n_kinds for f in (str.isdigit, str.islower, str.isupper)]
+    return alphabet, k, excess, CHANGE_SHARE * (1 - sum(x * x for x in kinds))
 
-        total = F.aggregate(x, F.lit(0.0), lambda a, y: a + y)
-        around = F.aggregate(x, F.lit(0.0), lambda a, y: a + F.pow(y - total / n, 2.0))
-        lagged = F.aggregate(F.zip_with(F.slice(x, 1, F.size(x) - 1), F.slice(x, 2, F.size(x) - 1), lambda a, b: (a - total / n) * (b - total / n)), F.lit(0.0), lambda a, b: a + b)
-        p_serial = F.when(around <= 0, F.lit(1e-9)).otherwise(F.least(F.lit(1.0), 2 * _p_normal(F.abs(lagged / F.greatest(around, F.lit(1e-9))) * F.sqrt(n))))
 
-        half = -(F.ln(F.greatest(p_uniform, F.lit(1e-30))) + F.ln(F.greatest(p_runs, F.lit(1e-30))) + F.ln(F.greatest(p_serial, F.lit(1e-30))))
-        return F.exp(-half) * (1 + half + half * half / 2)
+def p_prose(token: Column, encoding: Column) -> Column:
+    """Chance that prose in the token's encoding looks as random as the token; 1 for a token that is clearly not random."""
+    rows = {n: F.struct(*[F.lit(v).alias(c) for c, v in zip(("a", "k", "excess", "change"), _prose(n), strict=True)]) for n in ALPHABETS}
+    of = F.element_at(F.create_map(*[x for n, v in rows.items() for x in (F.lit(n), v)]), encoding)
+    plain = F.when(encoding == "hex", F.lower(token)).when(encoding == "base64", F.translate(F.rtrim(token, F.lit("=")), "-_", "+/")).otherwise(F.upper(F.rtrim(token, F.lit("="))))
 
-    symbols = once(F.struct(plain.alias("s"), alphabet.alias("a")), lambda v: F.struct(F.transform(F.split(v["s"], ""), lambda c: F.instr(v["a"], c) - 1).alias("x"), F.char_length(v["a"]).alias("k")))
-    symbols = once(symbols, lambda v: F.struct(F.filter(v["x"], lambda y: y >= 0).alias("x"), v["k"].alias("k")))
-    return once(symbols, tests)
+    def tests(v: Column) -> Column:
+        x, k = v["x"], v["of"]["k"].cast("double")
+        n, df, least = F.size(x).cast("double"), v["of"]["k"] - 1.0, F.lit(1e-300)
+        total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, y: a + y)
+        pairs = lambda f: F.zip_with(F.slice(x, 1, F.size(x) - 1), F.slice(x, 2, F.size(x) - 1), f)
+
+        chi = k / n * total(F.transform(F.array_distinct(x), lambda c: F.pow(F.size(F.filter(x, lambda y: y == c)), 2.0))) - n
+        root = lambda mean, f: (F.pow(F.greatest(F.lit(0.0), chi) / mean, 1.0 / 3) - (1 - 2 / (9 * f))) / F.sqrt(2 / (9 * f))
+        far = n * v["of"]["excess"]  # noncentrality under prose
+        p_even = upper_tail(-root(df + far, (df + far) * (df + far) / (df + 2 * far)))
+
+        change, steps = v["of"]["change"], F.greatest(F.lit(1.0), v["steps"] - 1.0)
+        p_changes = upper_tail((v["runs"] - 1.5 - change * steps) / F.sqrt(steps * change * (1 - change)))
+        mean = total(x) / n
+        around = total(F.transform(x, lambda y: (y - mean) * (y - mean)))
+        rho = F.when(around > 0, total(pairs(lambda a, b: (a - mean) * (b - mean))) / around).otherwise(1.0)
+
+        # Fisher's method. Words' letters are hardly correlated by rank, so correlation speaks only against randomness, below.
+        joint = -(F.ln(F.greatest(p_even, least)) + F.ln(F.greatest(p_changes, least)))
+
+        high = total(F.transform(x, lambda y: F.when(2 * y >= k, 1.0).otherwise(0.0)))
+        runs = 1 + total(pairs(lambda a, b: F.when((2 * a >= k) != (2 * b >= k), 1.0).otherwise(0.0)))
+        expected = 2 * high * (n - high) / n + 1
+        spread = F.sqrt(F.greatest(F.lit(1e-9), (expected - 1) * (expected - 2) / (n - 1)))
+        both = lambda z: F.least(F.lit(1.0), 2 * upper_tail(F.abs(z)))
+        p_runs = F.when((high == 0) | (high == n), F.lit(1e-9)).otherwise(both((runs - expected) / spread))
+        half = -(F.ln(F.greatest(upper_tail(root(df, df)), least)) + F.ln(F.greatest(p_runs, least)) + F.ln(F.greatest(both(rho * F.sqrt(n)), least)))
+        random = F.exp(-half) * (1 + half + half * half / 2)
+        return F.when(random < GATE, F.lit(1.0)).otherwise(F.exp(-joint) * (1 + joint))
+
+    ranks = lambda v: F.filter(F.transform(F.split(v["s"], ""), lambda c: F.instr(v["of"]["a"], c) - 1), lambda y: y >= 0)
+    runs = lambda v: F.regexp_count(v["bare"], F.lit("[0-9]+|[a-z]+|[A-Z]+"))
+    bare = F.translate(plain, "+/", "")  # separators join words, so they do not count as a change
+    read = once(F.struct(plain.alias("s"), bare.alias("bare"), of.alias("of")), lambda v: F.struct(ranks(v).alias("x"), runs(v).alias("runs"), F.char_length(v["bare"]).alias("steps"), v["of"].alias("of")))
+    return once(read, tests)
 
 
 def _class(length: Column) -> Column:
@@ -111,46 +155,47 @@ def _class(length: Column) -> Column:
     return out
 
 
-def thresholds(found: DataFrame, q: float) -> dict[int, float]:
-    """By length class, the Benjamini-Hochberg bound below which a token is taken for prose, from binned p-values."""
-    token = found.select(F.explode("tokens").alias("t"))
-    binned = token.select(_class(F.col("t.end") - F.col("t.start")).alias("c"), F.least(F.lit(BINS - 1), F.floor(-F.log2(F.greatest(F.col("t.p"), F.lit(1e-30))))).cast("int").alias("b"))
-    counts: dict[int, dict[int, int]] = {}
-    for r in binned.groupBy("c", "b").count().collect():  # at most classes x bins rows
-        counts.setdefault(r["c"], {})[r["b"]] = r["count"]
+def limits(found: DataFrame, q: float) -> dict[int, int]:
+    """By length class, the least bin of p-values that Benjamini-Hochberg reports at level q; BINS where it reports none."""
+    by = found.select(F.explode("tokens").alias("t")).groupBy(_class(F.col("t.end") - F.col("t.start")).alias("c"), "t.bin").count()
+    counts: dict[int, dict[int, int]] = {c: {} for c in CLASSES}
+    for r in by.collect():  # at most classes x bins rows
+        counts[r["c"]][r["bin"]] = r["count"]
     out = {}
     for c, by_bin in counts.items():
-        total, seen, bound = sum(by_bin.values()), 0, 0.0
+        total, seen, out[c] = sum(by_bin.values()), 0, BINS
         for b in range(BINS - 1, -1, -1):
             seen += by_bin.get(b, 0)
-            if seen and math.pow(2, -b) <= q * seen / total:
-                bound = math.pow(2, -b)
-        out[c] = bound
+            if seen and 2 ** (-b / 4) <= q * seen / total:
+                out[c] = b
     return out
 
 
+def _kind(n: int):
+    """A span as (start, kind, end), which sorts by start and then kind."""
+    return lambda x: F.struct(x["start"].alias("start"), F.lit(n).alias("k"), x["end"].alias("end"))
+
+
 def scan(docs: DataFrame, *, q: float = 0.05, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: n_assign, n_access, n_hex, base_sha256, spans, n_random."""
+    """One row per document: n_assign, n_access, n_hex, base_sha256, spans, n_random. q: bound of the expected share of prose among random spans."""
     text = F.col("text")
     base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     hits = base.select(
         "doc_id",
-        matches(text, ASSIGN, lambda v: F.char_length(v) >= 6).alias("assign"),
+        matches(text, ASSIGN, lambda hit: F.char_length(F.regexp_extract(hit, ASSIGN, 2)) >= 6).alias("assign"),
         matches(text, ACCESS).alias("access"),
         matches(text, HEX).alias("hex"),
-        F.transform(matches(text, TOKEN), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["hit"].alias("hit"), _encoding(x["hit"]).alias("encoding"))).alias("tokens"),
+        F.filter(F.transform(matches(text, TOKEN), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["hit"].alias("hit"), _encoding(x["hit"]).alias("encoding"))), lambda x: x["encoding"].isNotNull()).alias("tokens"),
     )
-    tested = F.transform(F.filter("tokens", lambda x: x["encoding"].isNotNull()), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), p_random(x["hit"], x["encoding"]).alias("p")))
-    spans = F.array_sort(F.concat(*[F.transform(k, lambda x, n=n: F.struct(x["start"].alias("start"), F.lit(n).alias("k"), x["end"].alias("end"))) for n, k in enumerate(KINDS)]))
+    bin_of = lambda p: F.least(F.lit(BINS - 1), F.floor(-4 * F.log2(F.greatest(p, F.lit(1e-300))))).cast("int")
+    tested = F.transform("tokens", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), bin_of(p_prose(x["hit"], x["encoding"])).alias("bin")))
+    spans = F.array_sort(F.concat(*[F.transform(k, _kind(n)) for n, k in enumerate(KINDS)]))
     found = written(hits.select("doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS], spans.alias("base"), tested.alias("tokens")), "secrets")
 
-    bound = F.lit(0.0)
-    length = lambda t: t["end"] - t["start"]
-    for low, value in thresholds(found, q).items():
-        bound = (lambda low, value, before: lambda t: F.when(_class(length(t)) == low, F.lit(value)).otherwise(before(t) if callable(before) else before))(low, value, bound)
-    above = lambda t: t["p"] > (bound(t) if callable(bound) else bound)
+    least = F.create_map(*[F.lit(x) for kv in limits(found, q).items() for x in kv])
+    reported = lambda t: t["bin"] >= F.element_at(least, _class(t["end"] - t["start"]))
     clear = lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))
-    extra = F.transform(F.filter("tokens", lambda t: above(t) & clear(t)), lambda t: F.struct(t["start"].alias("start"), F.lit(len(KINDS)).alias("k"), t["end"].alias("end")))
+    extra = F.transform(F.filter("tokens", lambda t: reported(t) & clear(t)), _kind(len(KINDS)))
     names = F.array(*[F.lit(k) for k in [*KINDS, "random"]])
     joined = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.element_at(names, x["k"] + 1), x["start"].cast("string"), x["end"].cast("string"))), ",")
     return found.select(
