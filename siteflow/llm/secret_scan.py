@@ -111,41 +111,49 @@ def p_prose(token: Column, encoding: Column) -> Column:
     of = F.element_at(F.create_map(*[x for n, v in rows.items() for x in (F.lit(n), v)]), encoding)
     plain = F.when(encoding == "hex", F.lower(token)).when(encoding == "base64", F.translate(F.rtrim(token, F.lit("=")), "-_", "+/")).otherwise(F.upper(F.rtrim(token, F.lit("="))))
 
-    def tests(v: Column) -> Column:
-        x, k = v["x"], v["of"]["k"].cast("double")
-        n, df, least = F.size(x).cast("double"), v["of"]["k"] - 1.0, F.lit(1e-300)
-        total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, y: a + y)
-        pairs = lambda f: F.zip_with(F.slice(x, 1, F.size(x) - 1), F.slice(x, 2, F.size(x) - 1), f)
-
-        chi = k / n * total(F.transform(F.array_distinct(x), lambda c: F.pow(F.size(F.filter(x, lambda y: y == c)), 2.0))) - n
-        root = lambda mean, f: (F.pow(F.greatest(F.lit(0.0), chi) / mean, 1.0 / 3) - (1 - 2 / (9 * f))) / F.sqrt(2 / (9 * f))
-        far = n * v["of"]["excess"]  # noncentrality under prose
-        p_even = upper_tail(-root(df + far, (df + far) * (df + far) / (df + 2 * far)))
-
-        change, steps = v["of"]["change"], F.greatest(F.lit(1.0), v["steps"] - 1.0)
-        p_changes = upper_tail((v["runs"] - 1.5 - change * steps) / F.sqrt(steps * change * (1 - change)))
-        mean = total(x) / n
-        around = total(F.transform(x, lambda y: (y - mean) * (y - mean)))
-        rho = F.when(around > 0, total(pairs(lambda a, b: (a - mean) * (b - mean))) / around).otherwise(1.0)
-
-        # Fisher's method. Words' letters are hardly correlated by rank, so correlation speaks only against randomness, below.
-        joint = -(F.ln(F.greatest(p_even, least)) + F.ln(F.greatest(p_changes, least)))
-
+    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, y: a + y)
+    pairs = lambda x, f: F.zip_with(F.slice(x, 1, F.size(x) - 1), F.slice(x, 2, F.size(x) - 1), f)
+    fields = lambda v, names: [v[c].alias(c) for c in names]
+    floor = F.lit(1e-300)
+
+    def once_over(v: Column) -> Column:
+        x, k = v["x"], v["of"]["k"]
+        squares = total(F.transform(F.array_distinct(x), lambda c: F.pow(F.size(F.filter(x, lambda y: y == c)), 2.0)))
         high = total(F.transform(x, lambda y: F.when(2 * y >= k, 1.0).otherwise(0.0)))
-        runs = 1 + total(pairs(lambda a, b: F.when((2 * a >= k) != (2 * b >= k), 1.0).otherwise(0.0)))
-        expected = 2 * high * (n - high) / n + 1
-        spread = F.sqrt(F.greatest(F.lit(1e-9), (expected - 1) * (expected - 2) / (n - 1)))
+        runs = 1 + total(pairs(x, lambda a, b: F.when((2 * a >= k) != (2 * b >= k), 1.0).otherwise(0.0)))
+        return F.struct(*fields(v, ["x", "of", "kinds", "steps"]), F.size(x).cast("double").alias("n"), k.cast("double").alias("k"), (total(x) / F.size(x)).alias("mean"), squares.alias("squares"), high.alias("high"), runs.alias("runs"))
+
+    def twice_over(v: Column) -> Column:
+        around = total(F.transform(v["x"], lambda y: (y - v["mean"]) * (y - v["mean"])))
+        lagged = total(pairs(v["x"], lambda a, b: (a - v["mean"]) * (b - v["mean"])))
+        rho = F.when(around > 0, lagged / F.greatest(around, F.lit(1e-9))).otherwise(1.0)
+        chi = F.greatest(F.lit(0.0), v["k"] / v["n"] * v["squares"] - v["n"])
+        expected = 2 * v["high"] * (v["n"] - v["high"]) / v["n"] + 1
+        spread = F.sqrt(F.greatest(F.lit(1e-9), (expected - 1) * (expected - 2) / (v["n"] - 1)))
+        z_runs = F.when((v["high"] == 0) | (v["high"] == v["n"]), 9.0).otherwise((v["runs"] - expected) / spread)
+        return F.struct(*fields(v, ["of", "kinds", "n", "k"]), F.greatest(F.lit(1.0), v["steps"] - 1.0).alias("steps"), chi.alias("chi"), z_runs.alias("z_runs"), (rho * F.sqrt(v["n"])).alias("z_serial"))
+
+    def chances(v: Column) -> Column:
+        root = lambda mean, f: (F.pow(v["chi"] / mean, 1.0 / 3) - (1 - 2 / (9 * f))) / F.sqrt(2 / (9 * f))
         both = lambda z: F.least(F.lit(1.0), 2 * upper_tail(F.abs(z)))
-        p_runs = F.when((high == 0) | (high == n), F.lit(1e-9)).otherwise(both((runs - expected) / spread))
-        half = -(F.ln(F.greatest(upper_tail(root(df, df)), least)) + F.ln(F.greatest(p_runs, least)) + F.ln(F.greatest(both(rho * F.sqrt(n)), least)))
-        random = F.exp(-half) * (1 + half + half * half / 2)
-        return F.when(random < GATE, F.lit(1.0)).otherwise(F.exp(-joint) * (1 + joint))
+        log = lambda p: F.ln(F.greatest(p, floor))
+        df, far, change = v["k"] - 1, v["n"] * v["of"]["excess"], v["of"]["change"]  # far: noncentrality under prose
+        p_even = upper_tail(-root(df + far, (df + far) * (df + far) / (df + 2 * far)))
+        p_changes = upper_tail((v["kinds"] - 1.5 - change * v["steps"]) / F.sqrt(v["steps"] * change * (1 - change)))
+        # Fisher's method. Words' letters are hardly correlated by rank, so correlation speaks only against randomness.
+        return F.struct((-log(p_even) - log(p_changes)).alias("prose"), (-log(upper_tail(root(df, df))) - log(both(v["z_runs"])) - log(both(v["z_serial"]))).alias("random"))
+
+    def joined(v: Column) -> Column:
+        random = F.exp(-v["random"]) * (1 + v["random"] + v["random"] * v["random"] / 2)
+        return F.when(random < GATE, F.lit(1.0)).otherwise(F.exp(-v["prose"]) * (1 + v["prose"]))
 
     ranks = lambda v: F.filter(F.transform(F.split(v["s"], ""), lambda c: F.instr(v["of"]["a"], c) - 1), lambda y: y >= 0)
-    runs = lambda v: F.regexp_count(v["bare"], F.lit("[0-9]+|[a-z]+|[A-Z]+"))
+    kinds = lambda v: F.regexp_count(v["bare"], F.lit("[0-9]+|[a-z]+|[A-Z]+"))
     bare = F.translate(plain, "+/", "")  # separators join words, so they do not count as a change
-    read = once(F.struct(plain.alias("s"), bare.alias("bare"), of.alias("of")), lambda v: F.struct(ranks(v).alias("x"), runs(v).alias("runs"), F.char_length(v["bare"]).alias("steps"), v["of"].alias("of")))
-    return once(read, tests)
+    read = once(F.struct(plain.alias("s"), bare.alias("bare"), of.alias("of")), lambda v: F.struct(ranks(v).alias("x"), kinds(v).alias("kinds"), F.char_length(v["bare"]).alias("steps"), v["of"].alias("of")))
+    for step in (once_over, twice_over, chances, joined):
+        read = once(read, step)
+    return read
 
 
 def _class(length: Column) -> Column:
