@@ -2,15 +2,19 @@
 
 A window is the shortest row of consecutive lines with at least min_words words. The smallest line hash of each window
 is its fingerprint (the last one on ties), so any run of that many words that stands in two places gives both places the
-same fingerprint. Windows whose fingerprint stands in several places are joined with the first place of the same
-window; the match is then extended both ways line by line, and the run that comes later (by doc_id, then line) goes.
+same fingerprint. What is joined are the selected fingerprints with their positions, fewer rows than windows. A fingerprint
+that stands in one place only goes no further; around the others, matches are extended both ways: to the left through the
+windows in front, to the right through single lines up to where the next window ends. A line goes if it lies in a run of
+at least min_words words that also stands in an earlier place (by doc_id, then line).
 
 Lines are compared without white space at their ends; blank lines take no part and stay. Every deleted line has an
-earlier copy, so the first copy of any line always stays. No pairs are built: a window is only joined with its first
-place. Shuffles carry hashes, not texts, until the marked lines are joined back.
+earlier copy, so the first copy of any line always stays. No pairs are built: a run only meets its first place. Keys
+with more than HOT_SHARE of all rows (so fewer than 1 / HOT_SHARE keys) are joined by broadcast and never gather in a task.
+Shuffles carry hashes, not texts, until the marked lines are joined back.
 
 Nulls: a null text stays null; a null doc_id comes first. Rows with the same doc_id and text count as one document and
-get the same result. Empty texts stay. Empty tables give no rows. Other columns pass through `dedup` untouched.
+get the same result. Empty texts stay. Empty tables give no rows. `dedup` returns every other input column as it was; input columns
+named like its own three (n_lines, n_removed, removed_places) are replaced.
 """
 
 from __future__ import annotations
@@ -18,11 +22,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siteflow.llm.common import SPACES, words, written
+from siteflow.llm.common import SPACES, discard, words, written
 from siteflow.llm.quality_rules import once
 
 LEAST = -(2**63)
 MIN_WORDS = 50
+HOT_SHARE = 1e-3
+OWN = ["n_lines", "n_removed", "removed_places"]
 
 
 def _keys(text: Column, doc_id: str) -> list[Column]:
@@ -37,8 +43,12 @@ def line_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.where(text.isNotNull()).select(*_keys(text, id_col), lines.alias("lines")).where(F.size("lines") > 0)
 
 
-def windows(lines: DataFrame, min_words: int) -> DataFrame:
-    """d, v, s (first line), e (last line), gram (hash of the window), fp (its fingerprint) and at (its line)."""
+def postings(lines: DataFrame, min_words: int) -> DataFrame:
+    """d, v, fp, at (line of the fingerprint) and runs: (s, from, to, gram) around it.
+
+    The runs are the windows that selected the fingerprint, and those windows with lines added behind. s is the run's first line,
+    from and to are the places of its first and last line in the text, gram hashes its lines.
+    """
     start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("len"), F.lit(0).cast("long").alias("gram"), F.lit(2**63 - 1).alias("fp"), F.lit(0).alias("at"))
 
     def step(acc: Column, x: Column) -> Column:
@@ -49,54 +59,81 @@ def windows(lines: DataFrame, min_words: int) -> DataFrame:
         )
         return F.when(acc["n"] >= min_words, acc).otherwise(more)
 
-    # A line that is not blank has a word, so min_words lines always suffice.
-    each = F.transform("lines", lambda x, s: F.struct(s.alias("s"), F.when(x["n"] >= min_words, step(start, x)).otherwise(F.aggregate(F.slice("lines", s + 1, min_words), start, step)).alias("w")))
-    row = lines.select("d", "v", F.explode(F.filter(each, lambda x: x["w"]["n"] >= min_words)).alias("x"))
-    return row.select("d", "v", F.col("x.s").alias("s"), (F.col("x.s") + F.col("x.w.len") - 1).alias("e"), F.col("x.w.gram").alias("gram"), F.col("x.w.fp").alias("fp"), (F.col("x.s") + F.col("x.w.at")).alias("at"))
+    # A line that is not blank has a word, so min_words lines always suffice. Windows start at lines 0, 1, ... without a gap.
+    begun = F.transform("lines", lambda x, s: F.struct(s.alias("s"), F.when(x["n"] >= min_words, step(start, x)).otherwise(F.aggregate(F.slice("lines", s + 1, min_words), start, step)).alias("w")))
+    placed = F.transform(F.filter(begun, lambda x: x["w"]["n"] >= min_words), lambda x: F.struct(x["s"].alias("s"), (x["s"] + x["w"]["len"]).alias("end"), x["w"]["gram"].alias("gram"), x["w"]["fp"].alias("fp"), (x["s"] + x["w"]["at"]).alias("at")))
+
+    def with_runs(ws: Column) -> Column:
+        """Each window, and the same window with one or more of the lines behind it that the next window does not complete."""
+        place = lambda k: F.get("lines", k)["i"]
+        until = lambda k: F.coalesce(F.get(ws, k + 1)["end"] - 1, F.size("lines"))
+
+        def runs(w: Column, k: Column) -> Column:
+            run = lambda to, gram: F.struct(w["s"].alias("s"), place(w["s"]).alias("from"), to.alias("to"), gram.alias("gram"))
+            own = F.array(run(place(w["end"] - 1), w["gram"]))
+            longer = lambda acc, x: F.struct(F.xxhash64(acc["gram"], x["h"]).alias("gram"), F.concat(acc["runs"], F.array(run(x["i"], F.xxhash64(acc["gram"], x["h"])))).alias("runs"))
+            return F.aggregate(F.slice("lines", w["end"] + 1, F.greatest(F.lit(0), until(k) - w["end"])), F.struct(w["gram"].alias("gram"), own.alias("runs")), longer, lambda acc: acc["runs"])
+
+        return F.transform(ws, lambda w, k: F.struct(w["fp"].alias("fp"), w["at"].alias("at"), runs(w, k).alias("runs")))
+
+    def selected(ws: Column) -> Column:
+        """Windows in a row that have one position between them become one posting."""
+        firsts = F.filter(F.transform(ws, lambda w, k: F.when(F.coalesce(F.get(ws, k - 1)["at"] == w["at"], F.lit(False)), F.lit(None).cast("int")).otherwise(k)), lambda k: k.isNotNull())
+        return once(firsts, lambda ks: F.transform(ks, lambda k, j: F.struct(F.get(ws, k)["fp"].alias("fp"), F.get(ws, k)["at"].alias("at"), F.flatten(F.transform(F.slice(ws, k + 1, F.coalesce(F.get(ks, j + 1), F.size(ws)) - k), lambda w: w["runs"])).alias("runs"))))
+
+    each = once(once(placed, with_runs), selected)
+    return lines.select("d", "v", F.explode(each).alias("p")).select("d", "v", "p.fp", "p.at", "p.runs")
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, rows: int, how: str) -> DataFrame:
+    """left joined with right, which has one row a key and its number n of left rows; keys with over HOT_SHARE of the rows are broadcast."""
+    often = F.col("n") > F.lit(HOT_SHARE * rows)
+    hot = F.broadcast(right.where(often).drop("n"))  # fewer than 1 / HOT_SHARE keys
+    rest = left.join(hot.select(key), key, "left_anti").join(right.where(~often).drop("n"), key, how)
+    return left.join(hot, key, how).unionByName(rest)
 
 
 def repeated_runs(lines: DataFrame, min_words: int) -> DataFrame:
-    """d, v and places: the places of lines to delete, one row per document with any."""
-    found = written(windows(lines, min_words), "windows")
+    """d, v and runs: disjoint (from, to) of the places to delete, in order, one row per document with any."""
+    found = written(postings(lines, min_words), "postings")
     place = F.struct("d", "v", "at")
-    common = found.groupBy("fp").agg(F.min(place).alias("a"), F.max(place).alias("z")).where("a <> z").select("fp")
-    hopeful = found.join(common, "fp", "left_semi")
-    first = hopeful.groupBy("gram").agg(F.min(F.struct("d", "v", "s")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = hopeful.join(first, "gram").where(F.struct("d", "v", "s") != F.col("first"))
-    anchors = later.select("d", "v", "s", "e", F.col("first.d").alias("d0"), F.col("first.v").alias("v0"), (F.col("s") - F.col("first.s")).alias("shift"))
-
-    # Overlapping or touching windows with one shift are one anchor.
-    same = Window.partitionBy("d", "v", "d0", "v0", "shift").orderBy("s")
-    reach = F.max("e").over(same.rowsBetween(Window.unboundedPreceding, -1))
-    island = F.sum("new").over(same)
-    merged = (
-        anchors.withColumn("new", F.when(F.coalesce(F.col("s") <= reach + 1, F.lit(False)), 0).otherwise(1))
-        .withColumn("island", island)
-        .groupBy("d", "v", "d0", "v0", "shift", "island")
-        .agg(F.min("s").alias("s"), F.max("e").alias("e"))
-    )
-    here = lines.dropDuplicates(["d", "v"]).select("d", "v", "lines")
-    there = here.select(F.col("d").alias("d0"), F.col("v").alias("v0"), F.transform("lines", lambda x: x["h"]).alias("h0"))
-    both = merged.join(there, ["d0", "v0"]).join(here, ["d", "v"])
-
-    # Extend both ways up to the nearest line that differs.
-    differs = F.filter(F.transform("lines", lambda x, t: F.when(F.coalesce(F.get("h0", t - F.col("shift")) == x["h"], F.lit(False)), F.lit(None).cast("int")).otherwise(t)), lambda t: t.isNotNull())
-    run = once(differs, lambda ts: F.struct(F.coalesce(F.array_max(F.filter(ts, lambda t: t < F.col("s"))) + 1, F.lit(0)).alias("from"), F.coalesce(F.array_min(F.filter(ts, lambda t: t > F.col("e"))), F.size("lines")).alias("to")))
-    marked = both.select("d", "v", "lines", run.alias("r")).select("d", "v", F.transform(F.slice("lines", F.col("r.from") + 1, F.col("r.to") - F.col("r.from")), lambda x: x["i"]).alias("places"))
-    return marked.groupBy("d", "v").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"))
+    shared = written(found.groupBy("fp").agg(F.min(place).alias("a"), F.max(place).alias("z"), F.count("*").alias("n")).where("a <> z").select("fp", "n"), "shared")
+    hopeful = spread_join(found, shared, "fp", found.count(), "left_semi")
+    run = written(hopeful.select("d", "v", F.explode("runs").alias("r")).select("d", "v", "r.*"), "runs")
+    discard(found, shared)
+
+    spot = F.struct("d", "v", "s")
+    first = written(run.groupBy("gram").agg(F.min(spot).alias("first"), F.max(spot).alias("last"), F.count("*").alias("n")).where("first <> last").drop("last"), "first")
+    later = spread_join(run, first, "gram", run.count(), "inner").where(spot != F.col("first"))
+
+    # Overlapping or touching runs of a document are one.
+    line = Window.partitionBy("d", "v").orderBy("from", "to")
+    reach = F.max("to").over(line.rowsBetween(Window.unboundedPreceding, -1))
+    return (
+        later.withColumn("new", F.when(F.coalesce(F.col("from") <= reach + 1, F.lit(False)), 0).otherwise(1))
+        .withColumn("island", F.sum("new").over(line))
+        .groupBy("d", "v", "island").agg(F.min("from").alias("from"), F.max("to").alias("to"))
+        .groupBy("d", "v").agg(F.sort_array(F.collect_list(F.struct("from", "to"))).alias("runs"))
+    )
 
 
 def dedup(docs: DataFrame, *, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the repeated lines taken out of the text, and n_lines, n_removed, removed_places added."""
     lines = written(line_table(docs, id_col, text_col), "lines")
-    marked = repeated_runs(lines, min_words).select(F.col("d").alias("__d"), F.col("v").alias("__v"), F.col("places").alias("__places"))
+    marked = repeated_runs(lines, min_words)
     text = F.col(text_col).cast("string")
-    d, v = _keys(text, id_col)
-    joined = docs.withColumns({"__d": d, "__v": v}).join(marked, ["__d", "__v"], "left")
-    kept = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains("__places", i)), "\n")
-    return joined.select(
-        *[F.when(F.col("__places").isNull(), text).otherwise(kept).alias(c) if c == text_col else F.col(c) for c in docs.columns],
-        F.coalesce(F.size(F.split(text, "\n")), F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("__places"), F.lit(0)).cast("long").alias("n_removed"),
-        F.array_sort(F.coalesce("__places", F.array().cast("array<int>"))).alias("removed_places"),
-    )
+    named = docs.select(*_keys(text, id_col), text.alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    cut = named.join(marked, ["d", "v"], "left").select("row", "text", "runs", F.split("text", "\n").alias("cut"))
+    blank = lambda x: F.btrim(x, F.lit(SPACES)) == ""
+
+    def rest(ls: Column) -> Column:
+        """Lines between runs, and the blank lines inside; one step of the text for each run."""
+        end = F.array(F.struct(F.size(ls).alias("from"), F.size(ls).alias("to")))
+        between = lambda r, k: F.coalesce(F.get("runs", k - 1)["to"] + 1, F.lit(0))
+        piece = lambda r, k: F.concat(F.slice(ls, between(r, k) + 1, r["from"] - between(r, k)), F.filter(F.slice(ls, r["from"] + 1, r["to"] - r["from"] + 1), blank))
+        return F.flatten(F.transform(F.concat("runs", end), piece))
+
+    gone = F.flatten(F.transform("runs", lambda r: F.filter(F.sequence(r["from"], r["to"]), lambda i: ~blank(F.get("cut", i)))))
+    done = cut.select("row", "text", "runs", F.when(F.col("text").isNull(), 0).otherwise(F.size("cut")).cast("long").alias("n_lines"), F.when(F.col("runs").isNull(), F.array().cast("array<int>")).otherwise(gone).alias("removed_places"), F.when(F.col("runs").isNull(), F.col("text")).otherwise(F.array_join(once(F.col("cut"), rest), "\n")).alias("kept"))
+    others = [F.col("kept").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns if c not in OWN]
+    return done.select(*others, "n_lines", F.size("removed_places").cast("long").alias("n_removed"), "removed_places")

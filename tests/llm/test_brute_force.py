@@ -49,27 +49,24 @@ def brute_components(docs):
 
 
 def brute_removed(docs, least=50):
-    lines = {i: [(x.strip(BLANK), len(WORD.findall(x)), k) for k, x in enumerate(t.split("\n")) if x.strip(BLANK)] for i, t in docs}
-    first, gone = {}, {}
-    for i, _ in docs:
-        mine, hit = lines[i], set()
-        for s in range(len(mine)):
-            n, e = 0, s
-            while e < len(mine) and n < least:
-                n, e = n + mine[e][1], e + 1
-            if n < least:
-                break
-            window = tuple(x[0] for x in mine[s:e])
-            if window not in first:
-                first[window] = (i, s)
-                continue
-            j, at = first[window]
-            shift, a, b, theirs = s - at, s, e, lines[j]
-            while b < len(mine) and 0 <= b - shift < len(theirs) and mine[b][0] == theirs[b - shift][0]:
-                b += 1
-            while a > 0 and a - 1 - shift >= 0 and mine[a - 1][0] == theirs[a - 1 - shift][0]:
-                a -= 1
-            hit |= {x[2] for x in mine[a:b]}
+    """Places of the lines in runs of at least `least` words that stand in an earlier place too, by lining up every pair of texts that share a line."""
+    lines = [[(x.strip(BLANK), len(WORD.findall(x)), k) for k, x in enumerate((t or "").split("\n")) if x.strip(BLANK)] for _, t in docs]
+    places, gone = collections.defaultdict(list), {}
+    for n, (i, _) in enumerate(docs):
+        mine, hit = lines[n], set()
+        shifts = set()
+        for k, x in enumerate(mine):
+            shifts |= {(m, k - at) for m, at in places[x[0]]}
+            places[x[0]].append((n, k))
+        for m, shift in shifts:
+            theirs, k = lines[m], max(0, shift)
+            while k < len(mine) and k - shift < len(theirs):
+                e = k
+                while e < len(mine) and e - shift < len(theirs) and mine[e][0] == theirs[e - shift][0]:
+                    e += 1
+                if sum(x[1] for x in mine[k:e]) >= least:
+                    hit |= {x[2] for x in mine[k:e]}
+                k = e + 1
         gone[i] = sorted(hit)
     return gone
 
@@ -150,6 +147,36 @@ def test_op4_equals_brute_force(spark, docs):
     assert got == want and any(want.values())
 
 
+def test_op4_equals_brute_force_on_a_larger_table(spark):
+    sf = SF.replace("sf0.001", "sf0.01")
+    want = brute_removed(sorted((r["doc_id"], r["text"]) for r in table(spark, sf, "documents").select("doc_id", "text").collect()))
+    got = {r["doc_id"]: list(r["removed_places"]) for r in catalog.op4_line_dedup(spark, sf).collect()}
+    assert got == want and sum(map(bool, want.values())) > 50
+
+
+@pytest.mark.parametrize("least", [1, 4, 9])
+def test_op4_few_lines_in_many_orders(spark, least):
+    """Fingerprints that stand in many contexts, runs that repeat within a text, long ones, blank lines, one line in a third of all texts."""
+    import random
+
+    rng = random.Random(least)
+    pool = [" ".join(f"l{k}" for _ in range(rng.randint(1, 5))) for k in range(12)] + ["", "  "]
+    docs = [(i, "\n".join(rng.choice(pool) for _ in range(rng.randint(1, 14)))) for i in range(150)]
+    docs += [(200 + k, "\n".join(["hot line of several words here"] * (1 + k % 3) + [f"own {k} x y"])) for k in range(80)]
+    docs += [(300, "\n".join(rng.choice(pool) for _ in range(600)))]
+    got = {r["doc_id"]: (list(r["removed_places"]), r["text"]) for r in line_dedup.dedup(spark.createDataFrame(docs, "doc_id long, text string"), min_words=least).collect()}
+    want = brute_removed(docs, least)
+    assert {i: x[0] for i, x in got.items()} == want
+    assert all(got[i][1] == "\n".join(x for k, x in enumerate(t.split("\n")) if k not in set(want[i])) for i, t in docs)
+
+
+def test_op4_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "a b\nc d"), (2, "a b\nc d")], "doc_id long, text string").selectExpr("*", "7 AS d", "7 AS v", "7 AS `__d`", "7 AS n_lines", "7 AS n_removed", "7 AS removed_places", "7 AS cut", "7 AS runs", "7 AS `a.b`")
+    out = line_dedup.dedup(df, min_words=4)
+    assert out.columns == ["doc_id", "text", "d", "v", "__d", "cut", "runs", "a.b", "n_lines", "n_removed", "removed_places"]
+    assert sorted(map(tuple, out.collect())) == [(1, "a b\nc d", 7, 7, 7, 7, 7, 7, 2, 0, []), (2, "", 7, 7, 7, 7, 7, 7, 2, 2, [0, 1])]
+
+
 def test_op4_extends_both_ways(spark):
     passage = "\n".join(["short start", " ".join(f"w{k}" for k in range(60)), "short end"])
     rows = [(1, f"own one\n{passage}\nown two"), (2, f"other\n{passage}\n\nother end"), (3, "short start\nalone")]
