@@ -5,8 +5,10 @@ most H shingles agree on at least m - H segments (or, with one-deletion neighbou
 on at least m - H // 2), so similar sets share many segment keys. Small sets use the neighbourhoods, where their extra
 rows are affordable and segments would be too small without; large sets use whole segments.
 
-Allocation by cost: a set may leave out as many shared keys as it has to spare (one less than the guaranteed
-agreement), and leaves out those that most sets share: empty segments, boilerplate. Only what is left is joined, under
+Empty segments are no keys, and sets of up to three shingles have none at all, since only equal sets are similar to them.
+
+Allocation by cost: a set may leave out as many shared keys as it has to spare (one less than the agreement its own
+segments guarantee), and leaves out those that most sets share: boilerplate. Only what is left is joined, under
 conditions that similar sets must fulfil (sizes, a parity sketch, the number of shared keys). A pair is then checked exactly on
 its shingle sets.
 
@@ -38,6 +40,8 @@ WIDTH = 5
 SPARE = 0.25  # segments beyond those that pigeonhole needs, as a share
 DELETION_BELOW = 64  # sets of bands below this size use one-deletion neighbourhoods
 BITS = 256  # of a sketch
+EQUAL = 3  # sets of up to so many shingles are similar only to equal ones
+DEALS = 6
 HOT = 64  # rows of a key beyond which a set would rather leave it out
 SEND_IDS = 1_000_000  # most ids that are broadcast (8 MB)
 
@@ -67,8 +71,9 @@ def shingle_sets(texts: list) -> tuple[np.ndarray, np.ndarray]:
         at = starts[place[starts] + k < size[starts]]
         key[at] = mix(key[at] * U(0x9E3779B97F4A7C15) + h[at + k] + U(k + 1))
     row, key = row[starts], key[starts]
-    order = np.lexsort((key, row))
-    row, key = row[order], key[order]
+    ends = np.cumsum(np.bincount(row, minlength=len(cut)))
+    for low, high in zip((ends - np.diff(ends, prepend=0)).tolist(), ends.tolist(), strict=True):
+        key[low:high].sort()
     first = np.append(True, (row[1:] != row[:-1]) | (key[1:] != key[:-1])) if len(row) else np.zeros(0, bool)
     return key[first], np.bincount(row[first], minlength=len(cut)).astype(np.int64)
 
@@ -93,18 +98,25 @@ def segments(band: np.ndarray) -> np.ndarray:
     return need + np.ceil(need * SPARE).astype(np.int64)
 
 
-def agreement(n: np.ndarray, parity: np.ndarray | None = None) -> np.ndarray:
-    """Segments on which a set of n surely agrees with any similar one that it meets in the band of that parity, or in any."""
+def survivors(filled: np.ndarray, single: np.ndarray, most: np.ndarray, band: np.ndarray) -> np.ndarray:
+    """Filled segments of a set that surely agree with a set that differs in at most `most` shingles.
+
+    Such a set can spoil a whole segment with one shingle. Under one-deletion neighbourhoods that takes two, or one where the
+    segment holds a single shingle.
+    """
+    lost = np.minimum(most, single)
+    return filled - np.where(deletes(band), lost + (most - lost) // 2, most)
+
+
+def agreement(n: np.ndarray) -> np.ndarray:
+    """Segments, empty ones included, on which a set of n agrees with any similar one: the scale of a fair part."""
 
     def at(band: np.ndarray) -> np.ndarray:
         most = needs(n, band)
         return segments(band) - np.where(deletes(band), most // 2, most)
 
     own = band_of(n)
-    here, below = at(own), at(np.maximum(own - 1, 0))
-    if parity is None:
-        return np.where(own > 0, np.minimum(here, below), here)
-    return np.where(parity == (own & 1), here, below)
+    return np.where(own > 0, np.minimum(at(own), at(np.maximum(own - 1, 0))), at(own))
 
 
 def sketches(tokens: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -115,35 +127,52 @@ def sketches(tokens: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.packbits(odd, axis=1).view(np.int64)
 
 
-def keys_of(tokens: np.ndarray, row: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key) of every segment of every set, in its own band and the one below, and of its one-deletion neighbours.
+def keys_of(tokens: np.ndarray, row: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, key) of every filled segment of every set, in its own band and the one below, and of its one-deletion neighbours; and
+    (sets, 2): on how many keys of an even and an odd band a set surely agrees with any similar one.
 
-    The lowest bit of a key is its band's parity.
+    An empty segment is no key: small sets would all share it. A set whose filled segments could all be spoiled is thin. If two
+    similar sets agree on no filled segment, each of them is thin, so thin sets are dealt out once more with another
+    salt, and so on; the last deal, which hardly any set reaches, takes empty segments too. Sets of at most EQUAL shingles are
+    similar only to equal ones, which are one class, and give no keys. The lowest bit of a key is its band's parity.
     """
     rows, keys = [], []
+    surely = np.full((len(n), 2), 1, np.int64)
     for below in (0, 1):
-        band = band_of(n) - below
-        ok = (n > 0) & (band >= 0)
-        band = np.maximum(band, 0)
-        m = np.where(ok, segments(band), 0)
-        offset = np.cumsum(m) - m
-        total = int(m.sum())
-        taken = ok[row]
-        r, t = row[taken], tokens[taken]
-        salt = mix(band[r].astype(U) + U(77))
-        seg = offset[r] + (mix(t ^ salt) % m[r].astype(U)).astype(np.int64)
-        grain = mix(t + salt)
-        content = np.zeros(total, U)
-        np.add.at(content, seg, grain)
-        owner = np.repeat(np.arange(len(n)), m)
-        name = mix((np.arange(total) - np.repeat(offset, m)).astype(U) * U(0xD6E8FEB86659FD93) + band[owner].astype(U))
-        parity = (band & 1).astype(U)
-        rows.append(owner)
-        keys.append((mix(content ^ name) & ~U(1)) | parity[owner])
-        less = deletes(band)[r]
-        rows.append(r[less])
-        keys.append((mix((content[seg] - grain)[less] ^ name[seg][less]) & ~U(1)) | parity[r[less]])
-    return np.concatenate(rows), np.concatenate(keys)
+        band = np.maximum(band_of(n) - below, 0)
+        active = (n > EQUAL) & (band_of(n) >= below) & (LOWS[band + 1] - 1 > EQUAL)
+        most = needs(n, band)
+        for deal in range(DEALS):
+            m = np.where(active, segments(band), 0)
+            offset = np.cumsum(m) - m
+            total = int(m.sum())
+            taken = active[row]
+            r, t = row[taken], tokens[taken]
+            salt = mix(band[r].astype(U) + U(77 + 1000 * deal))
+            seg = offset[r] + (mix(t ^ salt) % m[r].astype(U)).astype(np.int64)
+            grain = mix(t + salt)
+            content = np.zeros(total, U)
+            np.add.at(content, seg, grain)
+            size = np.bincount(seg, minlength=total)
+            owner = np.repeat(np.arange(len(n)), m)
+            filled, single = (np.bincount(owner[size >= 1], minlength=len(n)), np.bincount(owner[size == 1], minlength=len(n)))
+            sure = survivors(filled, single, most, band)
+            if deal == 0:
+                surely[np.arange(len(n)), band & 1] = np.maximum(np.where(active, sure, 1), 1)
+            thin = active & (sure <= 0)
+            every = thin if deal == DEALS - 1 else np.zeros(len(n), bool)
+            name = mix((np.arange(total) - np.repeat(offset, m)).astype(U) * U(0xD6E8FEB86659FD93) + (band[owner] + 1000 * deal).astype(U))
+            parity = (band & 1).astype(U)
+            whole = (size >= 1) | every[owner]
+            rows.append(owner[whole])
+            keys.append((mix(content ^ name) & ~U(1))[whole] | parity[owner[whole]])
+            less = deletes(band)[r] & ((size[seg] >= 2) | every[r])
+            rows.append(r[less])
+            keys.append((mix((content[seg] - grain)[less] ^ name[seg][less]) & ~U(1)) | parity[r[less]])
+            active = thin
+            if not active.any():
+                break
+    return np.concatenate(rows), np.concatenate(keys), surely
 
 
 def _slices(batches: Iterator[pa.RecordBatch]):
@@ -193,7 +222,7 @@ def key_table(docs: DataFrame) -> DataFrame:
                     seen.add(digest)
                     new[k] = True
             row = np.repeat(np.arange(len(n)), n)
-            rows, keys = keys_of(tokens, row, np.where(new, n, 0))
+            rows, keys, _ = keys_of(tokens, row, np.where(new, n, 0))
             docs_ = ids.to_numpy(zero_copy_only=False)
             for at in range(0, len(rows), 500_000):
                 yield pa.record_batch([pa.array(keys[at : at + 500_000].view(np.int64)), pa.array(docs_[rows[at : at + 500_000]].astype(np.int64))], schema=schema)
@@ -201,10 +230,28 @@ def key_table(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "key long, doc long")
 
 
+def picked(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents with these ids (a written table); ids are broadcast only up to SEND_IDS of them."""
+    return docs.join(F.broadcast(ids) if ids.count() <= SEND_IDS else ids, "doc_id", "left_semi")
+
+
+def sure_table(docs: DataFrame) -> DataFrame:
+    """doc_id, even, odd: on how many keys of a parity a document's set surely agrees with any similar one."""
+    schema = pa.schema([("doc_id", pa.int64()), ("even", pa.int64()), ("odd", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, texts in _slices(batches):
+            tokens, n = shingle_sets(texts)
+            surely = keys_of(tokens, np.repeat(np.arange(len(n)), n), n)[2]
+            yield pa.record_batch([ids, pa.array(surely[:, 0].copy()), pa.array(surely[:, 1].copy())], schema=schema)
+
+    return docs.mapInArrow(run, "doc_id long, even long, odd long")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, threshold: int) -> DataFrame:
     """Those pairs (a, b) whose sets have 100 * intersection >= threshold * union. Only the documents in pairs move."""
     ids = written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ids")
-    chosen = docs.join(F.broadcast(ids) if ids.count() <= SEND_IDS else ids, "doc_id", "left_semi")
+    chosen = picked(docs, ids)
     schema = pa.schema([("doc_id", pa.int64()), ("tokens", pa.binary())])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,7 +307,9 @@ def link(docs: DataFrame, *, threshold: int = 80, id_col: str = "doc_id", text_c
     known_sets = named.groupBy("rep").agg(*[F.first(c).alias(c) for c in ("n", *SKETCH)])
     open_ = written(mixed.where("differs").drop("differs").dropDuplicates(["key", "rep"]).join(known_sets, "rep").withColumn("parity", F.col("key").bitwiseAND(F.lit(1))), "open")
     by_cost = Window.partitionBy("rep", "parity").orderBy(F.col("rows").desc(), "key")
-    ranked = open_.select("*", F.row_number().over(by_cost).alias("rank"), surely("n", "parity").alias("sure"))
+    reps = written(open_.select(F.col("rep").alias("doc_id")).distinct(), "reps")
+    sure = written(sure_table(picked(known, reps)).groupBy(F.col("doc_id").alias("rep")).agg(F.min("even").alias("even"), F.min("odd").alias("odd")), "sure")
+    ranked = open_.join(sure, "rep").select("*", F.row_number().over(by_cost).alias("rank"), F.when(F.col("parity") == 0, F.col("even")).otherwise(F.col("odd")).alias("sure"))
     skipped = (F.col("rows") > HOT) & (F.col("rank") < F.col("sure"))
     probes = ranked.select("*", F.sum(skipped.cast("int")).over(Window.partitionBy("rep", "parity")).alias("left_out"), skipped.alias("skipped")).where("not skipped")
     side = lambda mark: probes.select("key", *[F.col(c).alias(f"{c}_{mark}") for c in ("rep", "part", "n", "sure", "left_out", *SKETCH)])
@@ -278,12 +327,7 @@ def link(docs: DataFrame, *, threshold: int = 80, id_col: str = "doc_id", text_c
 
 
 @F.pandas_udf(LongType())
-def surely(n: pd.Series, parity: pd.Series) -> pd.Series:
-    return pd.Series(agreement(n.to_numpy(), parity.to_numpy()))
-
-
-@F.pandas_udf(LongType())
-def surely_somewhere(n: pd.Series) -> pd.Series:
+def usual(n: pd.Series) -> pd.Series:
     return pd.Series(agreement(n.to_numpy()))
 
 
@@ -296,7 +340,7 @@ def alike(r: str, s: str, threshold: int) -> Column:
 
 def _between_classes(pairs: DataFrame, named: DataFrame, threshold: int) -> DataFrame:
     """Pairs of class representatives for counted pairs of documents that may be similar, without those inside a class."""
-    side = lambda mark: named.select(F.col("doc_id").alias(mark), *[F.col(c).alias(f"{c}_{mark}") for c in ("rep", "n", *SKETCH)], surely_somewhere("n").alias(f"sure_{mark}"))
+    side = lambda mark: named.select(F.col("doc_id").alias(mark), *[F.col(c).alias(f"{c}_{mark}") for c in ("rep", "n", *SKETCH)], usual("n").alias(f"sure_{mark}"))
     fair = (4 * F.col("count") >= F.greatest("sure_a", "sure_b")) & alike("a", "b", threshold)
     both = pairs.join(side("a"), "a").join(side("b"), "b").where((F.col("rep_a") != F.col("rep_b")) & fair)
     return written(both.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).distinct(), "near")

@@ -122,7 +122,7 @@ def dedup(docs: DataFrame, *, min_words: int = MIN_WORDS, id_col: str = "doc_id"
     lines = written(line_table(docs, id_col, text_col), "lines")
     marked = repeated_runs(lines, min_words)
     text = F.col(text_col).cast("string")
-    named = docs.select(*_keys(text, id_col), text.alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    named = docs.select(*_keys(text, id_col), text.alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col], F.lit(0)).alias("row"))
     cut = named.join(marked, ["d", "v"], "left").select("row", "text", "runs", F.split("text", "\n").alias("cut"))
     blank = lambda x: F.btrim(x, F.lit(SPACES)) == ""
 
