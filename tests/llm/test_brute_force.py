@@ -221,6 +221,68 @@ def test_op5_bands_and_agreement_hold():
         assert jaccard_join.agreement(np.array([n]))[0] >= 1
 
 
+def test_op5_similar_sets_share_the_keys_they_surely_share():
+    """Random pairs at the edge of similarity, small ones most: never fewer common keys than both sets claim, also for thin sets."""
+    import numpy as np
+
+    rng, thin = np.random.default_rng(8), 0
+    pairs = []
+    for turn in range(6000):
+        n = int(rng.integers(4, 14)) if turn % 3 else int(rng.integers(4, 200))
+        x = rng.integers(0, 2**63, n).astype(np.uint64)
+        extra = int(rng.integers(0, n // 4 + 1))
+        drop = int(rng.integers(0, max(1, n // 5 + 1)))
+        y = np.concatenate([x[drop:], rng.integers(0, 2**63, extra).astype(np.uint64)])
+        if 100 * (n - drop) >= 80 * (n + extra):
+            pairs.append((x, y))
+    sets = [s for pair in pairs for s in pair]
+    n = np.array([len(s) for s in sets])
+    row = np.repeat(np.arange(len(sets)), n)
+    rows, keys, surely = jaccard_join.keys_of(np.concatenate(sets), row, n)
+    of = collections.defaultdict(set)
+    for r, k in zip(rows.tolist(), keys.tolist(), strict=True):
+        of[r].add(k)
+    for k in range(len(pairs)):
+        a, b = 2 * k, 2 * k + 1
+        if min(n[a], n[b]) <= jaccard_join.EQUAL:
+            continue
+        parity = int(jaccard_join.band_of(np.array([min(n[a], n[b])]))[0]) & 1
+        common = sum(x & 1 == parity for x in of[a] & of[b])
+        assert common >= max(surely[a, parity], surely[b, parity]) >= 1
+        thin += surely[a, parity] == 1
+    assert len(pairs) > 2000 and thin
+
+
+def test_op5_short_texts_in_great_number(spark):
+    """Distinct short texts share no key, small sets next to the smallest ones are compared exactly."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    word = lambda j: F.concat(F.lit("w"), F.pmod(F.xxhash64("id", F.lit(j)), F.lit(10**9)).cast("string"))
+    many = spark.range(50_000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", *[word(j) for j in range(3)]).alias("text"))
+    assert jaccard_join.link(many).where("component_id = doc_id and n_shingles = 1").count() == 50_000
+    of = jaccard_join.keys_of(*_small_sets(20_000, 8))
+    assert collections.Counter(of[1].tolist()).most_common(1)[0][1] < 30
+    rng, rows = random.Random(9), []
+    for family in range(60):
+        base = [f"f{family}w{k}" for k in range(rng.randint(1, 16))]
+        for _ in range(6):
+            text = list(base)
+            for _ in range(rng.randint(0, 2)):
+                rng.choice([lambda t: t.append(f"x{rng.randrange(3)}"), lambda t: t.pop(), lambda t: t.insert(0, "y")])(text) if text else None
+            rows.append((len(rows), " ".join(text)))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.link(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_components(rows)
+
+
+def _small_sets(count, n):
+    import numpy as np
+
+    sizes = np.full(count, n)
+    return np.random.default_rng(3).integers(0, 2**63, count * n).astype(np.uint64), np.repeat(np.arange(count), sizes), sizes
+
+
 def test_op6_base_and_lattice(spark, docs):
     rows = {r["doc_id"]: r for r in catalog.op6_lattice_lm(spark, SF).collect()}
     c, ends = collections.Counter(), 0
