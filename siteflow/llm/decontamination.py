@@ -1,32 +1,42 @@
 """Benchmark decontamination: a BM25 inverted index of test items, queried by every passage of every document.
 
-Items are scored as a share of their own best score, so one threshold fits short and long items. Passages overlap by
-half. A passage is dropped early when a bound cannot reach the threshold: common words are the non-essential lists
+Items are scored as a share of their own best score, so one threshold fits short and long items. Document frequencies
+and the mean length cover all items, however the items are dealt out to blocks. An item is held against passages of
+2 * stride words that overlap by half, where its stride is the least of LEAST_STRIDE, twice that, four times and so on that
+holds the item: it always stands whole in a passage, and other items change neither passages nor scores.
+
+A passage is dropped early when a bound cannot reach the threshold: common words are the non-essential lists
 (all of them together give an item at most `common_share` of the threshold), and the essential words' block maxima
 bound every block of items. What is left goes through block-max WAND, which returns all items above the
-threshold; a hit counts when question and answer of the item overlap the passage.
+threshold; a hit counts when question and answer of the item overlap the passage and its surroundings (one stride each way).
 
-The index is built from at most max_items items and shipped to every task; more items are taken in blocks.
+An index holds a block of about max_items items or max_words words at most and is shipped to every task; documents are read
+once for each block, and the blocks' hits together are those of one index.
 
-Nulls: null or empty texts have no passages; null items are not indexed. Repeated rows give repeated hits. Empty tables
-give no rows. Only id and text columns are read, so clashing names do no harm.
+Nulls: null or empty texts have no passages; items without words are not indexed; hits of an item without an id have a null
+item_id. Repeated rows give repeated hits. Empty tables give no rows. Only id and text columns are read, so clashing names do
+no harm.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siteflow.llm.common import written
 from siteflow.llm.sentencepiece_codec import pieces_of
 
 K1, B = 1.2, 0.75
+LEAST_STRIDE = 64
 #: Letters are lowered, ASCII punctuation and controls become spaces; other bytes stay.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
@@ -36,22 +46,39 @@ def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").translate(FOLD).split()
 
 
+def stride_of(words: int) -> int:
+    """The least stride that holds an item of so many words."""
+    return LEAST_STRIDE << max(0, math.ceil(math.log2(max(1, words) / LEAST_STRIDE)))
+
+
+class Corpus(NamedTuple):
+    """Statistics over all items: how many, their mean length, and in how many of them each word stands."""
+
+    n: int
+    mean: float
+    df: dict[bytes, int]
+
+    @staticmethod
+    def of(cut: list[list[bytes]]) -> Corpus:
+        cut = [c for c in cut if c]
+        return Corpus(len(cut), sum(map(len, cut)) / max(1, len(cut)), Counter(w for c in cut for w in set(c)))
+
+
 class ItemIndex:
     """Postings by term in item order, with block maxima."""
 
-    def __init__(self, items: list[tuple[int, str]], threshold: float, block: int = 2, common_share: float = 0.4):
+    def __init__(self, items: list[tuple[int | None, str]], threshold: float, corpus: Corpus | None = None, block: int = 2, common_share: float = 0.4):
         self.threshold, self.block = threshold, block
         kept = [(i, t, toks) for i, t in items if (toks := tokens(t))]
+        corpus = corpus or Corpus.of([toks for _, _, toks in kept])
         self.ids = [i for i, _, _ in kept]
         self.parts = [self._parts(t, toks) for _, t, toks in kept]
-        self.longest = max((len(toks) for _, _, toks in kept), default=1)
-        mean = sum(len(toks) for _, _, toks in kept) / max(1, len(kept))
-        df = Counter(w for _, _, toks in kept for w in set(toks))
-        self.term = {w: k for k, w in enumerate(sorted(df))}
+        df, mean = corpus.df, corpus.mean
+        self.term = {w: k for k, w in enumerate(sorted({w for _, _, toks in kept for w in toks}))}
         postings: list[list[tuple[int, float]]] = [[] for _ in self.term]
         for k, (_, _, toks) in enumerate(kept):
             norm = K1 * (1 - B + B * len(toks) / mean)
-            impact = {w: np.log1p((len(kept) - df[w] + 0.5) / (df[w] + 0.5)) * n * (K1 + 1) / (n + norm) for w, n in Counter(toks).items()}
+            impact = {w: np.log1p((corpus.n - df[w] + 0.5) / (df[w] + 0.5)) * n * (K1 + 1) / (n + norm) for w, n in Counter(toks).items()}
             best = sum(impact.values())
             for w, x in impact.items():
                 postings[self.term[w]].append((k, x / best))
@@ -148,9 +175,8 @@ def overlap(part: list[bytes], passage: list[bytes], n: int = 5) -> float:
     return sum(g in grams for g in wanted) / max(1, len(wanted))
 
 
-def hits_in(index: ItemIndex, texts: list, stride: int, least: float) -> list[tuple[int, int, float, float, float, int]]:
+def hits_in(index: ItemIndex, cut: list[list[bytes]], stride: int, least: float) -> list[tuple[int, int, float, float, float, int]]:
     """(row, item, score, question overlap, answer overlap, first word) of verified hits, best passage of each row and item."""
-    cut = [tokens(t) for t in texts]
     lengths = np.array([len(c) for c in cut], np.int64)
     get = index.term.get
     ids = np.fromiter((get(w, -1) for c in cut for w in c), np.int64, int(lengths.sum()))
@@ -171,7 +197,7 @@ def hits_in(index: ItemIndex, texts: list, stride: int, least: float) -> list[tu
         start = int(w - first_block[r]) * stride
         for item, score in index.search(terms[inside].tolist()):
             question, answer = index.parts[item]
-            passage = cut[r][max(0, start - index.longest) : start + 2 * stride + index.longest]
+            passage = cut[r][max(0, start - stride) : start + 3 * stride]
             q, a = overlap(question, passage), overlap(answer, passage)
             if min(q, a) >= least and score > best.get((r, item), (0.0,))[0]:
                 best[r, item] = (score, q, a, start)
@@ -182,30 +208,52 @@ HITS = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.
 DDL = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, first_word long"
 
 
-def contaminated(docs: DataFrame, items: DataFrame, *, threshold: float = 0.5, least_overlap: float = 0.5, max_items: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def item_words(items: DataFrame) -> DataFrame:
+    """item_id, text, n_words and words (each once) of the items that have words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cut = [tokens(t) for t in batch.column(1).to_pylist()]
+            keep = pa.array([bool(c) for c in cut], pa.bool_())
+            words = pa.array([sorted(set(c)) for c in cut], pa.list_(pa.binary()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(c) for c in cut], pa.int64()), words], ["item_id", "text", "n_words", "words"]).filter(keep)
+
+    chosen = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
+    return chosen.mapInArrow(run, "item_id long, text string, n_words long, words array<binary>")
+
+
+def contaminated(
+    docs: DataFrame, items: DataFrame, *, threshold: float = 0.5, least_overlap: float = 0.5, max_items: int = 20_000, max_words: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
     """Hits (doc_id, item_id, score, question_overlap, answer_overlap, first_word), no shuffle of documents.
 
-    Documents without a hit have no row. The items are read in blocks of at most about max_items, each its own index.
+    Documents without a hit have no row. The driver holds one block of items at a time, and the document frequencies of its words.
     """
     spark = docs.sparkSession
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    tests = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    blocks = -(-tests.count() // max_items) or 1
+    cut_items = written(item_words(items), "items")
+    n, words = cut_items.agg(F.count("*"), F.coalesce(F.sum("n_words"), F.lit(0))).first()
+    blocks = max(1, -(-n // max_items), -(-words // max_words))
+    tests = cut_items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)).cast("int"))
+    term = tests.select("block", F.explode("words").alias("word"))
+    frequency = written(term.groupBy("word").agg(F.count("*").alias("df"), F.collect_set("block").alias("blocks")), "frequency")  # at most one entry a block
 
     def one(block: int) -> DataFrame:
-        mine = tests.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
-        index = ItemIndex(sorted((r["item_id"] if r["item_id"] is not None else -1, r["text"]) for r in mine.collect()), threshold)
-        shipped = spark.sparkContext.broadcast(index)
-        stride = max(32, index.longest)
+        mine = sorted(((r["item_id"], r["text"], r["n_words"]) for r in tests.where(F.col("block") == block).select("item_id", "text", "n_words").collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+        df = {bytes(r["word"]): r["df"] for r in frequency.where(F.array_contains("blocks", block)).select("word", "df").collect()}
+        corpus = Corpus(n, words / max(1, n), df)
+        strides = sorted({stride_of(x[2]) for x in mine})
+        shipped = spark.sparkContext.broadcast([(s, ItemIndex([x[:2] for x in mine if stride_of(x[2]) == s], threshold, corpus)) for s in strides])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = shipped.value
             for batch in batches:
                 keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
                 for part in pieces_of(texts, 2_000_000):
-                    if found := hits_in(index, texts[part], stride, least_overlap):
-                        rows = [(keys[part.start + r], index.ids[item], *x) for r, item, *x in found]
-                        yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), HITS, strict=True)], schema=HITS)
+                    cut = [tokens(t) for t in texts[part]]
+                    for stride, index in shipped.value:
+                        if found := hits_in(index, cut, stride, least_overlap):
+                            rows = [(keys[part.start + r], index.ids[item], *x) for r, item, *x in found]
+                            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), HITS, strict=True)], schema=HITS)
 
         return chosen.mapInArrow(run, DDL)
 
