@@ -126,6 +126,34 @@ def test_op2_splits_a_group_that_overfills_its_range(spark):
     assert len(sizes) == 6 and max(sizes) - min(sizes) <= 40
 
 
+def test_op2_splits_equal_rows_and_grows_its_ranges(spark):
+    """A third of the rows are one row without id; small ranges stand for a large table."""
+    rows = [(None, "one and the same text")] * 3000 + [(k, f"text {k} " + "x" * (k % 90)) for k in range(6000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    for n_shards, per_shard, small in ((6, 32, 2**28), (7, 2, 500)):
+        got = sharding.shard(df, n_shards, ranges_per_shard=per_shard, range_bytes=small).collect()
+        assert len(got) == 9000 and sum(r["doc_id"] is None for r in got) == 3000
+        shards = collections.defaultdict(list)
+        for r in got:
+            shards[r["shard"]].append(r)
+        sizes = [sum(r["size"] for r in s) for s in shards.values()]
+        most = max(sum(sizes) / n_shards / 100, 150)
+        assert len(sizes) == n_shards and all(abs(x - sum(sizes) / n_shards) <= most for x in sizes), sizes
+        assert all(sorted(r["slot"] for r in s) == list(range(len(s))) for s in shards.values())
+
+
+def test_op2_ranges_of_keys_in_order():
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(2)
+    cuts = pd.DataFrame(rng.integers(0, 4, (30, 3)), columns=sharding.KEY).drop_duplicates().sort_values(sharding.KEY, ignore_index=True)
+    keys = rng.integers(0, 4, (500, 3))
+    found = sharding._range_of(cuts).func(iter([tuple(pd.Series(keys[:, c]) for c in range(3))]))
+    want = [sum(tuple(c) <= tuple(k) for c in cuts.to_numpy()) for k in keys]
+    assert next(found).tolist() == want
+
+
 def test_op3_ledger_equals_sql(spark):
     from oracle import same
 
