@@ -1,8 +1,8 @@
 """Language-model scores: a unigram base over words, and the marginal likelihood of a subword lattice.
 
-The vocabulary is an existing one; it is never trained. Its pieces get weights from the training documents (the
-vocabulary's own segmentation of every counted word, with the vocabulary's scores as prior), and a text's score sums
-the probability of all its segmentations: a forward recursion in log space runs over every distinct word once, since
+The vocabulary is an existing one; it is never trained. A piece's weight is a mixture: VOCABULARY_SHARE of it is the
+vocabulary's own score, whatever the size of the corpus, and the rest is the piece's share in the vocabulary's own
+segmentation of every word of the training documents. A text's score sums the probability of all its segmentations: a forward recursion in log space runs over every distinct word once, since
 no segmentation crosses a word boundary. Counts and statistics cover all documents.
 
 Spark side: words are counted with a combine inside each task; each distinct word is scored once; words that make up
@@ -33,6 +33,8 @@ from siteflow.llm.sentencepiece_codec import BPE, BYTE, CONTROL, MARK, UNKNOWN,
 
 FOLDS, HELD_OUT = 7, 2
 HEAD_SHARE = 1e-5
+#: Part of every piece's weight that is the vocabulary's own score, however much text there is.
+VOCABULARY_SHARE = 0.1
 FLUSH = 250_000
 LOG10 = math.log(10.0)
 
@@ -49,13 +51,16 @@ def held_out(doc_id) -> bool:
 class Lattice:
     """Log weights of pieces; `marginal` sums over all segmentations of a word."""
 
-    def __init__(self, data: bytes, counts: dict[int, float] | None = None, ends: float = 0.0, prior_weight: float = 32_000.0):
+    def __init__(self, data: bytes, counts: dict[int, float] | None = None, ends: float = 0.0, share: float = VOCABULARY_SHARE):
         m = parse_model(data)
         prior = self._prior(m)
         counts = counts or {}
-        total = sum(counts.values()) + ends + prior_weight + 1
-        log = lambda i: math.log((counts.get(i, 0.0) + prior_weight * prior[i]) / total)
-        self.end = math.log((ends + 1) / total)
+        total = sum(counts.values()) + ends
+        share = share if total else 1.0
+        end = 1 / (len(prior) + 1)  # the vocabulary has no score for the end, which stands as one piece of average weight
+        mixed = lambda own, c: math.log(max(share * own + (1 - share) * c / max(1.0, total), 1e-300))
+        log = lambda i: mixed((1 - end) * prior[i], counts.get(i, 0.0))
+        self.end = mixed(end, ends)
         self.bytes = {int(p[3:5], 16): log(i) for i, (p, t) in enumerate(zip(m.pieces, m.types, strict=True)) if t == BYTE}
         weights = {p: log(i) for i, (p, t) in enumerate(zip(m.pieces, m.types, strict=True)) if t not in (BYTE, CONTROL, UNKNOWN) and p}
         #: Every prefix of a piece is a key, so that a walk ends as soon as no piece can follow; None: not a piece itself.
