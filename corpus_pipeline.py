@@ -15,11 +15,16 @@ from siteflow.llm.catalog import model_bytes
 from siteflow.llm.common import WORD, table, written
 
 
-#: A column that no input has: 64-bit hash of doc_id and text, never null.
-ROW = "__row"
+def row_column(docs: DataFrame) -> str:
+    """A name that no column of docs has."""
+    name = "__row"
+    while name in docs.columns:
+        name += "_"
+    return name
 
 
 def row_key() -> Column:
+    """64-bit hash of doc_id and text, never null."""
     return F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text")
 
 
@@ -30,34 +35,46 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated runs of lines are cut out; a document that loses all its words goes."""
-    cut = line_dedup.dedup(docs).where((F.col("n_removed") == 0) | F.col("text").rlike(WORD))
-    return cut.select(*[F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    others = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in docs.columns if c != "text"])
+    cut = line_dedup.dedup(docs.select("doc_id", "text", others.alias("row"))).where((F.col("n_removed") == 0) | F.col("text").rlike(WORD))
+
+    def column(c: str) -> Column:
+        if c == "text":
+            return F.col("text")
+        old = F.col("row").getField(c)
+        return (F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(old) if c == "n_chars" else old).alias(c)
+
+    return cut.select(*[column(c) for c in docs.columns])
 
 
 def single(docs: DataFrame) -> DataFrame:
     """docs with one row of each doc_id and text; rows without words all stay."""
-    named = docs.withColumn(ROW, row_key())
-    often = written(named.where(F.col("text").rlike(WORD)).groupBy(ROW).count().where("count > 1").select(ROW), "often")
+    row = row_column(docs)
+    named = docs.withColumn(row, row_key())
+    often = written(named.where(F.col("text").rlike(WORD)).groupBy(row).count().where("count > 1").select(row), "often")
     if often.isEmpty():
         return docs
-    one = named.join(often, ROW, "left_semi").groupBy(ROW).agg(F.min(F.struct(*docs.columns)).alias("x")).select("x.*")
-    return written(named.join(often, ROW, "left_anti").select(*docs.columns).unionByName(one), "single")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    one = named.join(often, row, "left_semi").groupBy(row).agg(F.min(F.struct(*columns)).alias("x")).select("x.*")
+    return written(named.join(often, row, "left_anti").select(*columns).unionByName(one), "single")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the smallest doc_id stays, null first."""
-    named = single(docs).withColumn(ROW, row_key())
-    linked = written(jaccard_join.link(named, id_col=ROW).where("n_shingles > 0").select(F.col("doc_id").alias(ROW), "component_id"), "linked")
-    first = linked.join(named.select(ROW, "doc_id"), ROW).groupBy("component_id").agg(F.min(F.struct("doc_id", ROW)).alias("first"))
-    gone = written(linked.select(ROW).join(first.select(f"first.{ROW}"), ROW, "left_anti"), "gone")
-    return named.join(gone, ROW, "left_anti").select(*docs.columns)
+    row = row_column(docs)
+    named = single(docs).withColumn(row, row_key())
+    linked = written(jaccard_join.link(named, id_col=row).where("n_shingles > 0").select(F.col("doc_id").alias(row), "component_id"), "linked")
+    first = linked.join(named.select(row, "doc_id"), row).groupBy("component_id").agg(F.min(F.struct("doc_id", row)).alias("first"))
+    gone = written(linked.select(row).join(first.select(f"first.{row}"), row, "left_anti"), "gone")
+    return named.join(gone, row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    named = docs.withColumn(ROW, row_key())
-    hits = decontamination.contaminated(named, table(spark, sf_dir, "benchmark"), id_col=ROW).select(F.col("doc_id").alias(ROW)).distinct()
-    return named.join(hits, ROW, "left_anti").select(*docs.columns)
+    row = row_column(docs)
+    named = docs.withColumn(row, row_key())
+    hits = decontamination.contaminated(named, table(spark, sf_dir, "benchmark"), id_col=row).select(F.col("doc_id").alias(row)).distinct()
+    return named.join(hits, row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
