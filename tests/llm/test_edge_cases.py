@@ -14,7 +14,7 @@ N = len(ROWS)
 def docs(spark, rows=ROWS):
     """With extra columns whose names the operators use themselves."""
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    return df.withColumns({c: F.lit(1) for c in ("n", "key", "word", "shard", "part", "size", "lines", "d", "spans", "kept", "row", "places")})
+    return df.withColumns({c: F.lit(1) for c in ("n", "key", "word", "shard", "part", "size", "lines", "d", "v", "h", "r", "spans", "kept", "row", "runs", "cut", "places", "n_lines", "n_removed", "removed_places", "__row", "__d", "item_id", "block", "component_id", "tokens", "base")})
 
 
 OPERATORS = {
@@ -69,10 +69,11 @@ def test_pipeline_stages_on_edges(spark, tmp_path):
     bench.write.parquet(f"{tmp_path}/benchmark.parquet")
     for rows in (ROWS, []):
         d = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"lang": F.lit("en"), "source": F.lit("s"), "n_chars": F.lit(None).cast("long")})
+        d = d.withColumns({c: F.lit(1) for c in ("__row", "row", "n_removed", "removed_places", "n_lines", "component_id", "kept", "item_id", "first", "x", "d", "v")})
         for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
             out = stage(spark, d, str(tmp_path))
             if k < 4:
-                assert out.columns == d.columns
+                assert out.columns == d.columns and all(tuple(r) == (1, 1, 1) for r in out.select("__row", "n_removed", "d").collect())
             out.count()
 
 
