@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siteflow.functions.lineage import shared_folder
+from siteflow.jobs import pipeline
 from siteflow.operators import edges, gmm, mask, peaks, rescale, select, threshold, views
 from siteflow.sources import cube as src
 
@@ -40,8 +44,14 @@ def _rescaled(spark, sf_dir, method: str = "mean") -> DataFrame:
     return rescale.rescale(cube.join(_kept(cube), "site", "left_semi"), method)
 
 
+def _kept_packed(cube: DataFrame) -> DataFrame:
+    """Raw trajectories above the simple cutoff: one exchange by site, then filters."""
+    x = threshold.log_mean_packed(mask.keep_packed(src.pack(cube))).cache()
+    return threshold.above_packed(x, threshold.cutoff(x, "simple"))
+
+
 def _packed(spark, sf_dir) -> DataFrame:
-    return src.pack(_rescaled(spark, sf_dir)).cache()
+    return rescale.rescale_packed(_kept_packed(_planted(spark, sf_dir))).cache()
 
 
 def _seeded(packed: DataFrame) -> np.ndarray:
@@ -83,12 +93,24 @@ def cube_solid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cube_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     slices = src.parse_slices("1996:1999,0.3:1.2,:4.0", ["t", "c0", "c1"])
-    return src.sliced(_planted(spark, sf_dir), src.axis_table(spark), slices)
+    return src.sliced(_planted(spark, sf_dir), src.axis_table(spark, sf_dir), slices)
+
+
+def cube_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cube stored with its axes, read back by path, entry and text slices."""
+    path = f"{shared_folder(spark)}/cube-{uuid.uuid4().hex}"
+    src.save_cube(_planted(spark, sf_dir), src.axis_table(spark, sf_dir), path, "entry/data")
+    return src.load_cube(spark, path, "entry/data", "1996:1999,0.3:1.2,:4.0")[0]
+
+
+def cube_from_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    arrays = src.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("t"), F.col("embedding").alias("values"))
+    return src.from_arrays(arrays, 8).select("c0", "c1", "site", "t", r6("v").alias("v"))
 
 
 def nearest_axis_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     values = src.table(spark, sf_dir, "lineitem").select((F.col("l_quantity") / 16).alias("value")).distinct()
-    return src.nearest_position(values, src.axis_table(spark), "c0")
+    return src.nearest_position(values, src.axis_table(spark, sf_dir), "c0")
 
 
 # Masks
@@ -136,7 +158,8 @@ def kl_cutoff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def kl_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = threshold.cutoff(_log_means(_planted(spark, sf_dir)))
-    return spark.createDataFrame([(c.value, c.index, c.mean, c.std, c.success)], "cutoff double, i int, mean double, std double, success boolean")
+    found = spark.createDataFrame([(c.value, c.index, c.mean, c.std, c.success)], "cutoff double, i int, mean double, std double, success boolean")
+    return found.select(r6("cutoff").alias("cutoff"), "i", r6("mean").alias("mean"), r6("std").alias("std"), "success")
 
 
 def simple_cutoff(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -216,7 +239,7 @@ def edges_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def unit_cell_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edges.unit_cell(src.axis_table(spark), ["c0", "c1"])
+    return edges.unit_cell(src.axis_table(spark, sf_dir), ["c0", "c1"])
 
 
 def smooth_once(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -273,10 +296,42 @@ def gmm_smoothed2(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = edges.local_edges(packed.select("site"), src.PLANTED, SMOOTH_L)
     p = _start(packed)
     for epoch in range(2):
-        p, _ = gmm._smoothed_step(packed, p, gmm.Config(), near, epoch)
+        p, _ = gmm.smoothed_step(packed, p, gmm.Config(), edges.smoother(near), epoch)
     return _params_out(spark, p)
 
 
+def gmm_periodic2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = _packed(spark, sf_dir)
+    smooth = edges.periodic_smoother(packed.select("site"), src.PLANTED, [10, 10], 0.2)
+    p = _start(packed)
+    for epoch in range(2):
+        p, _ = gmm.smoothed_step(packed, p, gmm.Config(), smooth, epoch)
+    return _params_out(spark, p)
+
+
+def _orders(spark, sf_dir) -> DataFrame:
+    """Rescaled trajectories of every part and line number: as many as the data have."""
+    return rescale.rescale_packed(mask.keep_packed(src.order_cube(spark, sf_dir))).cache()
+
+
+def order_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return src.unpack(src.order_cube(spark, sf_dir)).select("site", "t", "v")
+
+
+def order_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = threshold.log_mean_packed(mask.keep_packed(src.order_cube(spark, sf_dir)))
+    return threshold.above_packed(x, threshold.cutoff(x, "simple")).select("site")
+
+
+def order_rescaled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rescaled_out(src.unpack(_orders(spark, sf_dir)))
+
+
+def gmm_order2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = _orders(spark, sf_dir)
+    return _params_out(spark, _steps(packed, gmm.start(packed, _first(packed, 3)), 2, reg=1e-6))
+
+
 def gmm_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _labels(spark, sf_dir)[0]
 
@@ -314,13 +369,13 @@ def gaussian_init(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def minibatch_stepwise(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = _packed(spark, sf_dir)
-    found = gmm.fit(packed, gmm.Config(k=3, solver="stepwise", batch_num=3, max_batch_epoch=3, max_full_epoch=3, means=_seeded(packed)))
+    found = gmm.fit(packed, gmm.Config(k=3, tol=-1.0, solver="stepwise", batch_num=3, max_batch_epoch=3, max_full_epoch=3, means=_seeded(packed)))
     return gmm.sizes(found.labels(), 3)
 
 
 def post_stepwise_refine(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = _packed(spark, sf_dir)
-    return _params_out(spark, gmm.fit(packed, gmm.Config(k=3, max_iter=5, refine_epochs=2, means=_seeded(packed))).params)
+    return _params_out(spark, gmm.fit(packed, gmm.Config(k=3, tol=-1.0, max_iter=5, refine_epochs=2, means=_seeded(packed))).params)
 
 
 # Selection
@@ -365,7 +420,14 @@ def recommend_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = select.best_k(_sweep(_packed(spark, sf_dir))).first()
     s = select.best_k(_sweep(_peak_packed(spark, sf_dir))).first()
     mode = select.recommend(d["bic"], s["bic"])
-    return spark.createDataFrame([(mode, (d if mode == "d" else s)["k"], d["bic"], s["bic"])], "mode string, k int, bic_d double, bic_s double")
+    return spark.createDataFrame([(mode, (d if mode == "d" else s)["k"], round(d["bic"], 3), round(s["bic"], 3))], "mode string, k int, bic_d double, bic_s double")
+
+
+def bic_saved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sweep saved in the shared folder and read back."""
+    out = f"{shared_folder(spark)}/bic-{uuid.uuid4().hex}"
+    pipeline.save_sweep(_sweep(src.embeddings(spark, sf_dir)), out)
+    return pipeline.load_sweep(spark, out).select("k", F.round("ll", 3).alias("ll"), F.round("bic", 3).alias("bic"))
 
 
 def workflow_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -398,11 +460,44 @@ def qmap_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.grid(_labels(spark, sf_dir)[0], src.PLANTED)
 
 
+def _solid_clusters(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Kept sites of the solid cube, their variance, and labels of those of high variance after two steps from the first three."""
+    kept = _kept_packed(src.solid_cube(spark, sf_dir))
+    packed = rescale.rescale_packed(kept).cache()
+    variance = threshold.high_variance(src.unpack(packed), 0.3)
+    moving = packed.join(variance.where("high"), "site", "left_semi").select("site", "y").cache()
+    if moving.isEmpty():
+        return kept.select("site"), variance, moving.select("site", F.lit(0).alias("label"))
+    p = _steps(moving, gmm.start(moving, _first(moving, 3)), 2, reg=1e-6)
+    return kept.select("site"), variance, gmm.labels(gmm.responsibilities(moving, p))
+
+
 def kspace_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cube = src.solid_cube(spark, sf_dir)
-    kept = _kept(cube)
-    peaks_ = peaks.label(kept, src.SOLID).where("peak % 2 = 0").select("site", F.col("peak").cast("int").alias("label"))
-    return views.slice_of(views.grid(peaks_, src.SOLID, 2, kept), src.SOLID, 0, 3)
+    kept, _, labels = _solid_clusters(spark, sf_dir)
+    return views.slice_of(views.grid(labels, src.SOLID, 2, kept), src.SOLID, 0, 3)
+
+
+def clusters_space(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, variance, labels = _solid_clusters(spark, sf_dir)
+    return views.clusters_in_space(labels, variance, src.SOLID).select("site", "group", *[r6(c).alias(c) for c in ("u0", "u1", "u2")])
+
+
+def threshold_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = _kept_packed(src.solid_cube(spark, sf_dir)).select("site", F.lit(0).alias("label"))
+    return views.slice_of(views.grid(kept, src.SOLID), src.SOLID, 1, 4)
+
+
+def plot_axes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    axis = src.axis_table(spark, sf_dir)
+    named = axis.select(F.when(F.col("name") == "c0", "Qk").when(F.col("name") == "c1", "Qh").otherwise("Ql").alias("name"), "pos", "value")
+    return views.plane_axes(named, ["Ql", "Qk", "Qh"], 0, 1996.0)
+
+
+def run_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = _packed(spark, sf_dir)
+    p = _steps(packed, _start(packed), 3, reg=1e-6)
+    rows = pipeline.bundle(gmm.labels(gmm.responsibilities(packed, p)), packed, src.axis_table(spark, sf_dir), src.PLANTED)
+    return rows.select("site", "c0", "c1", "label", "at", r6("v").alias("v"))
 
 
 def zoom_view(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -426,12 +521,12 @@ def cutoff_plot(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        cube_dense, cube_solid, cube_slice, nearest_axis_index, mask_zero_mean, mask_any_zeros, mask_complement, log_mean, fd_bin_width,
+        cube_dense, cube_solid, cube_slice, cube_loaded, cube_from_arrays, order_cube, order_kept, order_rescaled, nearest_axis_index, mask_zero_mean, mask_any_zeros, mask_complement, log_mean, fd_bin_width,
         histogram_density, kl_by_index, kl_cutoff, kl_diagnostics, simple_cutoff, no_threshold, threshold_volume, high_variance_split,
         rescale_mean, rescale_zscore, rescale_log_mean, peak_labels_2d, peak_labels_3d, peak_trajectories, peak_sizes, pixel_labels,
         edges_local, edges_gaussian_weights, edges_periodic, unit_cell_shape, smooth_once, smooth_periodic, gmm_estep, gmm_mstep, gmm_loglik,
-        gmm_em3, gmm_stepwise3, gmm_smoothed2, gmm_labels, cluster_sizes, discovery_cluster, gmm_full_em2, kmeanspp_init, kmeans_init,
-        gaussian_init, minibatch_stepwise, post_stepwise_refine, reorder_clusters, second_pass_select, bic_table, best_k, recommend_mode,
-        workflow_report, cluster_avg_intensity, trajectory_envelope, cluster_shifts, qmap_grid, kspace_slice, zoom_view, threshold_space, cutoff_plot,
+        gmm_em3, gmm_stepwise3, gmm_smoothed2, gmm_periodic2, gmm_order2, gmm_labels, cluster_sizes, discovery_cluster, gmm_full_em2, kmeanspp_init, kmeans_init,
+        gaussian_init, minibatch_stepwise, post_stepwise_refine, reorder_clusters, second_pass_select, bic_table, bic_saved, best_k, recommend_mode,
+        workflow_report, cluster_avg_intensity, trajectory_envelope, cluster_shifts, qmap_grid, kspace_slice, zoom_view, threshold_space, threshold_slice, clusters_space, plot_axes, run_bundle, cutoff_plot,
     )
 }

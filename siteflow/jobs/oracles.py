@@ -23,6 +23,16 @@ CTES: dict[str, tuple[list[str], str]] = {
         LEFT JOIN (SELECT l_linenumber % 7 AS a, l_partkey % 20 AS b, l_suppkey % 20 AS c, year(l_shipdate) - 1995 AS t, sum(l_quantity) AS v FROM lineitem GROUP BY ALL) q
         ON q.a = x.a AND q.b = y.b AND q.c = w.c AND q.t = z.t""",
     ),
+    "ord": (
+        [],
+        """SELECT p.site, CAST(z.t AS INT) AS t, CAST(coalesce(q.v, 0) AS DOUBLE) AS v FROM (SELECT DISTINCT l_partkey * 7 + l_linenumber % 7 AS site FROM lineitem) p, range(7) z(t)
+        LEFT JOIN (SELECT l_partkey * 7 + l_linenumber % 7 AS site, year(l_shipdate) - 1995 AS t, sum(l_quantity) AS v FROM lineitem GROUP BY ALL) q ON q.site = p.site AND q.t = z.t""",
+    ),
+    "olm": (["ord"], "SELECT site, ln(sum(v) / 7) AS x FROM ord GROUP BY site HAVING sum(v) > 0"),
+    "oxm": (["ord"], "SELECT site, t, v / nullif(avg(v) OVER (PARTITION BY site), 0) - 1 AS v FROM ord"),
+    "sxm": (["solid", "skept"], "SELECT site, t, v / nullif(avg(v) OVER (PARTITION BY site), 0) - 1 AS v FROM solid JOIN skept USING (site)"),
+    "svar": (["sxm"], "SELECT site, stddev_pop(v) >= 0.3 AS high FROM sxm GROUP BY site"),
+    "shx": (["sxm", "svar"], "SELECT site, t, v FROM sxm JOIN svar USING (site) WHERE high"),
     "lm": (["cube"], "SELECT site, ln(sum(v) / 7) AS x FROM cube GROUP BY site HAVING sum(v) > 0"),
     "kept": (["lm"], "SELECT site FROM lm WHERE x > (SELECT avg(x) + 2 * stddev_pop(x) FROM lm)"),
     "slm": (["solid"], "SELECT site, ln(sum(v) / 7) AS x FROM solid GROUP BY site HAVING sum(v) > 0"),
@@ -39,6 +49,10 @@ CTES: dict[str, tuple[list[str], str]] = {
     ),
     "roots": (["comp"], "SELECT site, min(root) AS root FROM comp GROUP BY site"),
     "peaks": (["roots"], "SELECT site, CAST(dense_rank() OVER (ORDER BY root) - 1 AS BIGINT) AS peak FROM roots"),
+    "pxm": (
+        ["peaks", "cube"],
+        "SELECT site, t, v / nullif(avg(v) OVER (PARTITION BY site), 0) - 1 AS v FROM (SELECT peak AS site, t, avg(v) AS v FROM cube JOIN peaks USING (site) GROUP BY peak, t)",
+    ),
     "sreach": (
         ["skept"],
         """SELECT a.site AS i, b.site AS j FROM skept a, skept b WHERE abs(a.site // 400 - b.site // 400) <= 1 AND abs(a.site // 20 % 20 - b.site // 20 % 20) <= 1 AND abs(a.site % 20 - b.site % 20) <= 1""",
@@ -62,6 +76,30 @@ CTES: dict[str, tuple[list[str], str]] = {
         FROM hp, range((SELECT nb FROM hp)) b(i) LEFT JOIN (SELECT least(CAST(floor((x - lo) / (hi - lo) * nb) AS BIGINT), nb - 1) AS bin, count(*) AS n, sum(x) AS s, sum((x - m) * (x - m)) AS ss
         FROM lm, hp GROUP BY 1) c ON c.bin = b.i""",
     ),
+    "cum": (["bins"], "SELECT bin + 1 AS i, sum(n) OVER u AS c, sum(s) OVER u AS s, sum(ss) OVER u AS ss FROM bins WINDOW u AS (ORDER BY bin)"),
+    "fit": (
+        ["cum", "hp"],
+        """SELECT i, s / c AS mean, greatest(sqrt(greatest(0, ss / c - (s / c - m) * (s / c - m))), 2.220446049250313e-16) AS sd, greatest(c / (hp.n * w) * (hi - lo) / nb, 2.220446049250313e-16) AS mass FROM cum, hp""",
+    ),
+    "kl": (
+        ["fit", "bins"],
+        f"""SELECT i, sum(CASE WHEN p > 0 THEN p * ln(p / q) ELSE 0 END) AS kl FROM (SELECT i, density / mass AS p, exp(-0.5 * ((left_edge - mean) / sd) * ((left_edge - mean) / sd)) / (sd * sqrt({2 * pi!r})) + 1e-12 AS q FROM fit JOIN bins ON bin < i) GROUP BY i""",
+    ),
+    "start": (
+        ["bins", "hp"],
+        """SELECT greatest(CASE WHEN i >= nb THEN peak - 2 ELSE i END, 0) AS i FROM (SELECT peak, nb, CAST(trunc(0.5 * peak + 0.5 * (SELECT count(*) FROM bins WHERE left_edge < m + sd)) AS BIGINT) AS i
+        FROM hp, (SELECT arg_min(bin, (-n, bin)) AS peak FROM bins))""",
+    ),
+    "walk": (
+        ["start", "kl", "bins", "hp"],
+        """SELECT i, CAST('inf' AS DOUBLE) AS step, 0 AS turn FROM start UNION ALL
+        SELECT CASE WHEN isinf(move) OR go >= nb THEN greatest(nb - 2, 0) ELSE go END, abs(move), turn + 1 FROM (
+            SELECT nb, turn, move, CASE WHEN isinf(move) THEN nb ELSE (SELECT count(*) FROM bins b WHERE b.left_edge < lo + (hi - lo) * x.i / nb - move) END AS go FROM (
+                SELECT r.i, r.turn, nb, lo, hi, CASE WHEN abs(move) < 1e-9 THEN 0 ELSE move END AS move FROM (
+                    SELECT r.i, r.turn, nb, lo, hi, CASE WHEN r.i > 0 THEN ln(greatest(b.kl, 2.220446049250313e-16)) - ln(greatest(a.kl, 2.220446049250313e-16)) ELSE CAST('-inf' AS DOUBLE) END AS move
+                    FROM walk r, hp LEFT JOIN kl a ON a.i = least(r.i, nb - 1) LEFT JOIN kl b ON b.i = least(r.i + 1, nb - 1) WHERE r.step > w AND r.turn < 100) r) x)""",
+    ),
+    "cutat": (["walk", "hp"], "SELECT i, lo + (hi - lo) * i / nb AS value FROM (SELECT arg_max(i, turn) AS i FROM walk), hp"),
     "vec": ([], "SELECT vec_id AS site, CAST(generate_subscripts(embedding, 1) - 1 AS INT) AS t, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings"),
     "pvec": (["vec"], "SELECT CAST(b.site AS INT) AS k, b.t, 0.25 AS w, b.v AS mu, greatest(s.var, 1e-12) AS var FROM vec b JOIN (SELECT t, var_pop(v) AS var FROM vec GROUP BY t) s USING (t) WHERE b.site < 4"),
     "p0": (
@@ -116,6 +154,11 @@ maximised("sm2", "xm", "r1s", "sm1", step_size(1))
 
 _PERIODIC = [(a, b) for a in range(10) for b in range(10) if exp(-(sin(pi * a / 10) ** 2 + sin(pi * b / 10) ** 2) / 0.04) > 1e-2]
 CTES["cls"] = (["kept"], "SELECT site, site // 50 % 10 * 10 + site % 50 % 10 AS class FROM kept")
+for _n, _x, _p, _new in ((0, "r0", "p0", "pq1"), (1, "pr1", "pq1", "pq2")):
+    if _n:
+        responsibilities(_x, "xm", _p)
+    CTES[f"{_x}q"] = (["cw", "cls", _x], f"SELECT c.site, k, sum(w * s) AS r FROM cls c JOIN cw USING (class) JOIN (SELECT class AS other, k, sum(r) AS s FROM {_x} JOIN cls USING (site) GROUP BY class, k) USING (other) GROUP BY c.site, k")
+    maximised(_new, "xm", f"{_x}q", _p, step_size(_n))
 CTES["offs"] = ([], "SELECT * FROM (VALUES " + ", ".join(f"({a}, {b})" for a, b in _PERIODIC) + ") o(da, db)")
 CTES["cn"] = (["cls"], "SELECT class, count(*) AS n FROM cls GROUP BY class")
 CTES["cw"] = (
@@ -136,7 +179,7 @@ def sql(need: list[str], final: str) -> str:
 
     for n in need:
         visit(n)
-    plain = [n for n in order if n not in ("comp", "scomp")]
+    plain = [n for n in order if n not in ("comp", "scomp", "walk")]
     parts = ", ".join(f"{n} AS {'MATERIALIZED ' if n in plain else ''}({CTES[n][1]})" for n in order)
     return (f"WITH RECURSIVE {parts} {final}") if parts else final
 
@@ -148,6 +191,11 @@ ORACLES = {
     "cube_dense": sql(["cube"], "SELECT c0, c1, site, t, v FROM cube"),
     "cube_solid": sql(["solid"], "SELECT c0, c1, c2, site, t, v FROM solid"),
     "cube_slice": sql(["cube"], "SELECT c0, c1, site, t, v FROM cube WHERE t + 1995 BETWEEN 1996 AND 1999 AND c0 / 10.0 BETWEEN 0.3 AND 1.2 AND c1 / 10.0 <= 4.0"),
+    "cube_loaded": sql(["cube"], "SELECT c0, c1, site, t, v FROM cube WHERE t + 1995 BETWEEN 1996 AND 1999 AND c0 / 10.0 BETWEEN 0.3 AND 1.2 AND c1 / 10.0 <= 4.0"),
+    "cube_from_arrays": f"SELECT CAST(i // 8 AS INT) AS c0, CAST(i % 8 AS INT) AS c1, CAST(i AS BIGINT) AS site, vec_id AS t, {R('v', 'v')} FROM (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS i, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings)",
+    "order_cube": sql(["ord"], "SELECT site, t, v FROM ord"),
+    "order_kept": sql(["olm"], "SELECT site FROM olm WHERE x > (SELECT avg(x) + 2 * stddev_pop(x) FROM olm)"),
+    "order_rescaled": sql(["oxm"], f"SELECT site, t, {R('v', 'v')} FROM oxm"),
     "nearest_axis_index": "SELECT value, CAST(arg_min(p, (abs(p / 10 - value), p)) AS INT) AS pos, arg_min(p / 10, (abs(p / 10 - value), p)) AS axis_value, min(abs(p / 10 - value)) = 0 AS exact FROM (SELECT DISTINCT l_quantity / 16 AS value FROM lineitem), (SELECT CAST(i AS DOUBLE) AS p FROM range(50) r(i)) GROUP BY value",
     "mask_zero_mean": sql(["raw"], "SELECT site, sum(v) / 7 > 0 AS kept FROM raw GROUP BY site"),
     "mask_any_zeros": sql(["raw"], "SELECT site, min(v) > 0 AS kept FROM raw GROUP BY site"),
@@ -156,12 +204,10 @@ ORACLES = {
     "fd_bin_width": sql(["hp"], f"SELECT n, {R('iqr', 'iqr')}, {R('w', 'width')} FROM hp"),
     "histogram_density": sql(["bins"], f"SELECT bin, {R('left_edge', 'left_edge')}, n, {R('density', 'density')} FROM bins"),
     "cutoff_plot": sql(["bins", "hp"], f"SELECT bin, {R('density', 'density')}, {R(f'exp(-0.5 * ((left_edge - m) / sd) * ((left_edge - m) / sd)) / (sd * sqrt({2 * pi!r}))', 'pdf')}, left_edge > m + 2 * sd AS beyond FROM bins, hp"),
-    "kl_by_index": sql(
-        ["bins", "hp"],
-        f""", cum AS MATERIALIZED (SELECT bin + 1 AS i, sum(n) OVER u AS c, sum(s) OVER u AS s, sum(ss) OVER u AS ss FROM bins WINDOW u AS (ORDER BY bin)),
-        fit AS MATERIALIZED (SELECT i, s / c AS mean, greatest(sqrt(greatest(0, ss / c - (s / c - m) * (s / c - m))), 2.220446049250313e-16) AS sd, greatest(c / (hp.n * w) * (hi - lo) / nb, 2.220446049250313e-16) AS mass FROM cum, hp),
-        pq AS (SELECT i, density / mass AS p, exp(-0.5 * ((left_edge - mean) / sd) * ((left_edge - mean) / sd)) / (sd * sqrt({2 * pi!r})) + 1e-12 AS q FROM fit JOIN bins ON bin < i)
-        SELECT i, round(sum(CASE WHEN p > 0 THEN p * ln(p / q) ELSE 0 END), 5) AS kl FROM pq GROUP BY i""",
+    "kl_by_index": sql(["kl"], "SELECT i, round(kl, 5) AS kl FROM kl"),
+    "kl_cutoff": sql(["cutat", "lm"], "SELECT site FROM lm, cutat WHERE x > value"),
+    "kl_diagnostics": sql(
+        ["cutat", "fit", "hp"], f"SELECT {R('value', 'cutoff')}, CAST(c.i AS INT) AS i, {R('f.mean', 'mean')}, {R('f.sd', 'std')}, value BETWEEN m - hp.sd AND m + 2 * hp.sd AS success FROM cutat c, hp, fit f WHERE f.i = greatest(c.i, 1)"
     ),
     "simple_cutoff": sql(["kept"], "SELECT site FROM kept"),
     "no_threshold": sql(["lm"], "SELECT site FROM lm"),
@@ -178,7 +224,7 @@ ORACLES = {
     "edges_local": sql(["near"], f"SELECT i, j, {R('w', 'w')} FROM near"),
     "edges_gaussian_weights": sql(["reach"], f"SELECT i, j, {R('exp(-(dx * dx + dy * dy)) / sum(exp(-(dx * dx + dy * dy))) OVER (PARTITION BY i)', 'w')} FROM reach WHERE dx * dx + dy * dy < {log(100)!r}"),
     "edges_periodic": sql(["cw"], "SELECT class, other, round(w, 9) AS w FROM cw"),
-    "unit_cell_shape": "SELECT name, CAST(10 AS BIGINT) AS size FROM (VALUES ('c0'), ('c1')) v(name)",
+    "unit_cell_shape": "WITH a AS (SELECT DISTINCT l_partkey % 50 AS p FROM lineitem), f AS (SELECT min(p / 10.0) AS x FROM a WHERE p % 10 = 0) SELECT name, count(*) - 1 AS size FROM a, f, (VALUES ('c0'), ('c1')) v(name) WHERE p / 10.0 BETWEEN x AND x + 1 GROUP BY name",
     "smooth_once": sql(["r0s"], f"SELECT site, k, {R('r', 'r')} FROM r0s"),
     "smooth_periodic": sql(["cw", "cls", "r0"], f", s AS (SELECT class AS other, k, sum(r) AS s FROM r0 JOIN cls USING (site) GROUP BY class, k) SELECT site, k, {R('sum(w * s)', 'r')} FROM cls JOIN cw USING (class) JOIN s USING (other) GROUP BY site, k"),
     "gmm_estep": sql(["rv"], f"SELECT site, k, {R('r', 'r')} FROM rv"),
@@ -187,6 +233,8 @@ ORACLES = {
     "gmm_em3": sql([EM3], PARAMS + EM3),
     "gmm_stepwise3": sql([STEP3], PARAMS + STEP3),
     "gmm_smoothed2": sql(["sm2"], PARAMS + "sm2"),
+    "gmm_periodic2": sql(["pq2"], PARAMS + "pq2"),
+    "run_bundle": sql(["labels", "xm"], f"SELECT site, CAST(site // 50 AS INT) AS c0, CAST(site % 50 AS INT) AS c1, label, CAST(t + 1995 AS DOUBLE) AS at, {R('v', 'v')} FROM xm JOIN labels USING (site)"),
     "gmm_labels": sql(["labels"], "SELECT site, label FROM labels"),
     "cluster_sizes": sql(["labels", "p0"], "SELECT k AS label, count(site) AS n FROM (SELECT DISTINCT k FROM p0) LEFT JOIN labels ON label = k GROUP BY k"),
     "discovery_cluster": sql(["labels", EM3], f", sc AS (SELECT k, CASE WHEN (SELECT count(*) FROM labels WHERE label = k) >= 2 THEN stddev_pop(mu) ELSE 0 END AS sd FROM {EM3} GROUP BY k) SELECT k AS label FROM sc ORDER BY sd DESC, k LIMIT 1"),
@@ -201,22 +249,92 @@ ORACLES = {
     "cluster_shifts": sql(["r0", "cube", "p0"], f", m AS (SELECT site, avg(v) AS m FROM cube GROUP BY site) SELECT k, {R('sum(r * m) / (count(*) * (SELECT any_value(w) FROM p0))', 'shift')} FROM r0 JOIN m USING (site) GROUP BY k"),
     "qmap_grid": sql(["labels"], "SELECT CAST(s // 50 AS INT) AS c0, CAST(s % 50 AS INT) AS c1, CAST(coalesce(label + 1, 0) AS INT) AS value FROM range(2500) g(s) LEFT JOIN labels ON site = s"),
     "zoom_view": sql(["labels"], "SELECT CAST(s // 50 AS INT) AS c0, CAST(s % 50 AS INT) AS c1, CAST(coalesce(label + 1, 0) AS INT) AS value FROM range(2500) g(s) LEFT JOIN labels ON site = s WHERE s // 50 BETWEEN 5 AND 24 AND s % 50 BETWEEN 0 AND 14"),
-    "kspace_slice": sql(
-        ["speaks", "skept"],
-        "SELECT CAST(s // 20 % 20 AS INT) AS c1, CAST(s % 20 AS INT) AS c2, CAST(CASE WHEN peak % 2 = 0 THEN peak + 2 WHEN skept.site IS NOT NULL THEN 1 ELSE 0 END AS INT) AS value FROM range(2800) g(s) LEFT JOIN speaks p ON p.site = s LEFT JOIN skept ON skept.site = s WHERE s // 400 = 3",
-    ),
+    "threshold_slice": sql(["skept"], "SELECT CAST(s // 400 AS INT) AS c0, CAST(s % 20 AS INT) AS c2, CAST(site IS NOT NULL AS INT) AS value FROM range(2800) g(s) LEFT JOIN skept ON site = s WHERE s // 20 % 20 = 4"),
+    "plot_axes": """WITH a AS (SELECT CAST(max(l_partkey % 50) AS DOUBLE) / 10 AS high, CAST(min(l_partkey % 50) AS DOUBLE) / 10 AS low FROM lineitem)
+        SELECT 'cut' AS role, 'L' AS name, 1996.0::DOUBLE AS low, 1996.0::DOUBLE AS high UNION ALL SELECT 'y', 'K', low, high FROM a UNION ALL SELECT 'x', 'H', low, high FROM a""",
     "threshold_space": sql(["skept"], f"SELECT site, {R('(site // 400) / 6', 'u0')}, {R('(site // 20 % 20) / 19', 'u1')}, {R('(site % 20) / 19', 'u2')} FROM skept"),
 }
 
 
-def _bic(x: str, k_range: range, n_t: int) -> str:
-    """Two batch passes for each k from the first vectors, in SQL."""
+def first_sites(x: str, k: int) -> str:
+    """Adds equal weights, the first k sites as means and the whole variance, as the start of a fit."""
     CTES[f"{x}_first"] = ([x], f"SELECT site, dense_rank() OVER (ORDER BY site) - 1 AS rk, t, v FROM {x}")
     CTES[f"{x}_var"] = ([x], f"SELECT t, greatest(var_pop(v), 1e-12) AS var FROM {x} GROUP BY t")
+    CTES[f"{x}_b{k}"] = ([f"{x}_first", f"{x}_var"], f"SELECT CAST(rk AS INT) AS k, t, {1 / k!r} AS w, v AS mu, var FROM {x}_first JOIN {x}_var USING (t) WHERE rk < {k}")
+    return f"{x}_b{k}"
+
+
+def full_step(name: str, x: str, means: str, covs: str, n_t: int, reg: float) -> tuple[str, str]:
+    """One EM step with full covariances: elimination of each matrix column by column, then the same on every site's deviation."""
+    CTES[f"{name}_a0"] = ([covs], f"SELECT k, i, j, a + CASE WHEN i = j THEN 1e-6 ELSE 0 END AS a FROM {covs}")
+    CTES[f"{name}_z0"] = ([x, means], f"SELECT site, k, t, w, v - mu AS z FROM {x} JOIN {means} USING (t)")
+    for s in range(n_t - 1):
+        CTES[f"{name}_l{s}"] = ([f"{name}_a{s}"], f"SELECT c.k, c.i, c.a / p.a AS l FROM {name}_a{s} c JOIN {name}_a{s} p ON p.k = c.k AND p.i = {s} AND p.j = {s} WHERE c.j = {s} AND c.i > {s}")
+        CTES[f"{name}_a{s + 1}"] = (
+            [f"{name}_l{s}"],
+            f"SELECT m.k, m.i, m.j, CASE WHEN m.i > {s} THEN m.a - l.l * r.a ELSE m.a END AS a FROM {name}_a{s} m LEFT JOIN {name}_l{s} l ON l.k = m.k AND l.i = m.i JOIN {name}_a{s} r ON r.k = m.k AND r.i = {s} AND r.j = m.j",
+        )
+        CTES[f"{name}_z{s + 1}"] = (
+            [f"{name}_z{s}", f"{name}_l{s}"],
+            f"SELECT z.site, z.k, z.t, z.w, CASE WHEN z.t > {s} THEN z.z - l.l * h.z ELSE z.z END AS z FROM {name}_z{s} z LEFT JOIN {name}_l{s} l ON l.k = z.k AND l.i = z.t JOIN {name}_z{s} h ON h.site = z.site AND h.k = z.k AND h.t = {s}",
+        )
+    last = n_t - 1
+    CTES[f"{name}_r_d"] = (
+        [f"{name}_z{last}", f"{name}_a{last}"],
+        f"SELECT site, z.k, any_value(w) AS w, -0.5 * ({n_t} * ln({2 * pi!r}) + sum(ln(a)) + sum(z * z / a)) AS ld FROM {name}_z{last} z JOIN {name}_a{last} p ON p.k = z.k AND p.i = z.t AND p.j = z.t GROUP BY site, z.k",
+    )
+    CTES[f"{name}_r_e"] = ([f"{name}_r_d"], f"SELECT site, k, w * exp(ld - max(ld) OVER (PARTITION BY site)) AS e FROM {name}_r_d")
+    CTES[f"{name}_r"] = ([f"{name}_r_e"], f"SELECT site, k, e / greatest(sum(e) OVER (PARTITION BY site), 1e-300) AS r FROM {name}_r_e")
+    CTES[f"{name}_m"] = ([x, f"{name}_r"], f"SELECT k, t, sum(r) / count(*) AS w, sum(r * v) / greatest(sum(r), count(*) * 1e-10) AS mu FROM {x} JOIN {name}_r USING (site) GROUP BY k, t")
+    CTES[f"{name}_c"] = (
+        [x, f"{name}_r", f"{name}_m"],
+        f"""SELECT a.k, a.t AS i, b.t AS j, sum(a.r * a.e * b.e) / greatest(sum(a.r), count(*) * 1e-10) + CASE WHEN a.t = b.t THEN {reg!r} ELSE 0 END AS a
+        FROM (SELECT site, k, t, r, v - mu AS e FROM {x} JOIN {name}_r USING (site) JOIN {name}_m USING (k, t)) a JOIN (SELECT site, k, t, v - mu AS e FROM {x} JOIN {name}_r USING (site) JOIN {name}_m USING (k, t)) b USING (site, k) GROUP BY a.k, a.t, b.t""",
+    )
+    return f"{name}_m", f"{name}_c"
+
+
+CTES["f0c"] = (["p0"], "SELECT a.k, a.t AS i, b.t AS j, CASE WHEN a.t = b.t THEN a.var + 1e-6 ELSE 0 END AS a FROM p0 a JOIN p0 b USING (k)")
+_FULL = full_step("f2", "xm", *full_step("f1", "xm", "p0", "f0c", 7, 1e-6), 7, 1e-6)
+ORACLES["gmm_full_em2"] = sql([*_FULL], f"SELECT m.k, m.t, {R('w', 'w')}, {R('mu', 'mu')}, {R('greatest(a, 0)', 'var')} FROM {_FULL[0]} m JOIN {_FULL[1]} c ON c.k = m.k AND c.i = m.t AND c.j = m.t")
+
+ORDER2 = steps("oem", "oxm", first_sites("oxm", 3), [1.0] * 2, 1e-6)
+ORACLES["gmm_order2"] = sql([ORDER2], PARAMS + ORDER2)
+
+responsibilities("shr", "shx", steps("she", "shx", first_sites("shx", 3), [1.0] * 2, 1e-6))
+CTES["shl"] = (["shr"], "SELECT site, CAST(arg_min(k, (-r, k)) AS INT) AS label FROM shr GROUP BY site")
+ORACLES["kspace_slice"] = sql(
+    ["shl", "skept"],
+    "SELECT CAST(s // 20 % 20 AS INT) AS c1, CAST(s % 20 AS INT) AS c2, CAST(CASE WHEN label IS NOT NULL THEN label + 2 WHEN skept.site IS NOT NULL THEN 1 ELSE 0 END AS INT) AS value FROM range(2800) g(s) LEFT JOIN shl p ON p.site = s LEFT JOIN skept ON skept.site = s WHERE s // 400 = 3",
+)
+ORACLES["clusters_space"] = sql(
+    ["shl", "svar"],
+    f"SELECT v.site, CAST(CASE WHEN high THEN label + 1 ELSE 0 END AS INT) AS \"group\", {R('(v.site // 400) / 6', 'u0')}, {R('(v.site // 20 % 20) / 19', 'u1')}, {R('(v.site % 20) / 19', 'u2')} FROM svar v LEFT JOIN shl l ON l.site = v.site",
+)
+
+_REFINED = steps("rf", "xm", "p0", [1.0] * 5, 1e-6)
+for _k in range(2):
+    _REFINED = maximised(f"rg{_k}", "xm", responsibilities(f"rg{_k}r", "xm", _REFINED), _REFINED, step_size(_k))
+ORACLES["post_stepwise_refine"] = sql([_REFINED], PARAMS + _REFINED)
+
+_LAST = _P = "p0"
+for _k in range(7):  # three rounds of three mini-batches, then four full passes; labels follow the last pass's E-step
+    for _b in range(3) if _k < 3 else [None]:
+        _X, _LAST = "xm", _P
+        if _b is not None:
+            _X = f"xm_{_k}{_b}"
+            CTES[_X] = (["xm"], f"SELECT * FROM xm WHERE (((site % 2147483648 * 2 + 1) % 2147483648) * {2_654_435_761 % 2**31 + 2 * 7919 * _k} % 4294967296) // 65536 % 3 = {_b}")
+        _R = responsibilities(f"mb{_k}{_b}r", _X, _P)
+        _P = maximised(f"mb{_k}{_b}", _X, _R, _P, step_size(_k))
+responsibilities("mbl", "xm", _LAST)
+ORACLES["minibatch_stepwise"] = sql(["mbl", "p0"], "SELECT k AS label, count(site) AS n FROM (SELECT unnest(range(3)) AS k) LEFT JOIN (SELECT site, arg_min(k, (-r, k)) AS label FROM mbl GROUP BY site) ON label = k GROUP BY k".replace("SELECT k AS label", "SELECT CAST(k AS INT) AS label"))
+
+
+def _bic(x: str, k_range: range, n_t: int) -> str:
+    """Two batch passes for each k from the first vectors, in SQL."""
     rows = []
     for k in k_range:
-        CTES[f"{x}_b{k}"] = ([f"{x}_first", f"{x}_var"], f"SELECT CAST(rk AS INT) AS k, t, {1 / k!r} AS w, v AS mu, var FROM {x}_first JOIN {x}_var USING (t) WHERE rk < {k}")
-        last = steps(f"{x}_f{k}_", x, f"{x}_b{k}", [1.0] * 2, 1e-6)
+        last = steps(f"{x}_f{k}_", x, first_sites(x, k), [1.0] * 2, 1e-6)
         responsibilities(f"{x}_r{k}", x, last)
         rows.append((k, 2 * k * n_t + k - 1))
     return " UNION ALL ".join(f"SELECT CAST({k} AS INT) AS k, ll, -2 * ll + {p} * ln(n) AS bic FROM (SELECT sum(lse) AS ll, count(*) AS n FROM {x}_r{k} WHERE k = 0)" for k, p in rows)
@@ -225,3 +343,10 @@ def _bic(x: str, k_range: range, n_t: int) -> str:
 _VEC_BIC = _bic("vec", range(2, 5), 64)
 ORACLES["bic_table"] = sql([f"vec_r{k}" for k in range(2, 5)], f"SELECT k, round(ll, 3) AS ll, round(bic, 3) AS bic FROM ({_VEC_BIC})")
 ORACLES["best_k"] = sql([f"vec_r{k}" for k in range(2, 5)], f"SELECT k, round(bic, 3) AS bic FROM ({_VEC_BIC}) ORDER BY bic, k LIMIT 1")
+ORACLES["bic_saved"] = ORACLES["bic_table"]
+_BOTH = {m: (_bic(x, range(2, 5), 7), [f"{x}_r{k}" for k in range(2, 5)]) for m, x in (("d", "xm"), ("s", "pxm"))}
+ORACLES["recommend_mode"] = sql(
+    _BOTH["d"][1] + _BOTH["s"][1],
+    f""", d AS (SELECT k, bic FROM ({_BOTH["d"][0]}) ORDER BY bic, k LIMIT 1), s AS (SELECT k, bic FROM ({_BOTH["s"][0]}) ORDER BY bic, k LIMIT 1)
+    SELECT CASE WHEN s.bic < d.bic THEN 's' ELSE 'd' END AS mode, CASE WHEN s.bic < d.bic THEN s.k ELSE d.k END AS k, round(d.bic, 3) AS bic_d, round(s.bic, 3) AS bic_s FROM d, s""",
+)

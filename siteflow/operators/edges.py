@@ -92,6 +92,24 @@ def smooth_periodic(resp: DataFrame, classes: DataFrame, of_site: DataFrame) ->
     return of_site.join(mixed, "class").select("site", "k", "r")
 
 
+def smoother(edges: DataFrame, times: int = 1):
+    """What a fit applies to its responsibilities: averages over the neighbours of an edge table."""
+    return lambda resp: smooth(resp, edges, times)
+
+
+def periodic_smoother(sites: DataFrame, sizes: list[int], unit: list[int], l_scale: float, times: int = 1, **options):
+    """The same for the periodic kernel, through residue classes."""
+    classes = periodic_classes(sites, sizes, unit, l_scale, **options).cache()
+    of_site = residues(sites, sizes, unit).cache()
+
+    def apply(resp: DataFrame) -> DataFrame:
+        for _ in range(times):
+            resp = smooth_periodic(resp, classes, of_site)
+        return resp
+
+    return apply
+
+
 def unit_cell(axis: DataFrame, names: list[str]) -> DataFrame:
     """name and size: positions from the first whole coordinate x up to x + 1, the upper end not counted."""
     mine = axis.where(F.col("name").isin(names))

@@ -7,16 +7,16 @@ epoch is one scan with a combine of K x T rows per task.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siteflow.functions.lineage import cut
-from siteflow.operators.edges import smooth
+from siteflow.operators.edges import smoother
 
 FLOOR = 1e-12
 
@@ -190,6 +190,9 @@ def kmeanspp_means(packed: DataFrame, k: int, seed: int = 0) -> np.ndarray:
     """k sites drawn by k-means++; the draw hashes site, seed and round, so partitioning does not matter."""
     chosen: list[np.ndarray] = []
     picked: list[int] = []
+    own_cache = not packed.is_cached
+    if own_cache:
+        packed = packed.persist()  # k passes over it
     for turn in range(k):
         u = (F.pmod(F.xxhash64("site", F.lit(seed), F.lit(turn)), F.lit(2**53)) + 1) / float(2**53 + 1)
         if chosen:
@@ -204,6 +207,8 @@ def kmeanspp_means(packed: DataFrame, k: int, seed: int = 0) -> np.ndarray:
             continue
         chosen.append(np.array(row["y"]))
         picked.append(row["site"])
+    if own_cache:
+        packed.unpersist()
     return np.array(chosen)
 
 
@@ -279,12 +284,18 @@ def _batch(packed: DataFrame, p: Params, cfg: Config) -> tuple[Params, list[floa
     return p, history, False
 
 
-def _stepwise(packed: DataFrame, p: Params, cfg: Config, edges: DataFrame | None) -> tuple[Params, Params, list[float], bool]:
+def batch_of(site: Column, seed: int, epoch: int, n: int) -> Column:
+    """Mini-batch of a site: a multiplicative hash of site, seed and epoch in plain arithmetic, the same in any engine."""
+    mixed = F.pmod(F.pmod(site, F.lit(2**31)) * 2 + 1 + 2 * seed, F.lit(2**31)) * (2_654_435_761 % 2**31 + 2 * 7919 * epoch)
+    return F.floor(F.pmod(mixed, F.lit(2**32)) / 65_536).cast("int") % n
+
+
+def _stepwise(packed: DataFrame, p: Params, cfg: Config, smooth: Smoother | None) -> tuple[Params, Params, list[float], bool]:
     """Mini-batches by a seeded hash, then full passes; returns also the parameters of the last E-step."""
     epoch, history, last = 0, [-1e6], p
     change = math.inf
     while change > cfg.tol and epoch < cfg.max_batch_epoch:
-        batches = [packed] if cfg.batch_num == 1 else [packed.where(F.pmod(F.xxhash64("site", F.lit(cfg.seed), F.lit(epoch)), F.lit(cfg.batch_num)) == b) for b in range(cfg.batch_num)]
+        batches = [packed] if cfg.batch_num == 1 else [packed.where(batch_of(F.col("site"), cfg.seed, epoch, cfg.batch_num) == b) for b in range(cfg.batch_num)]
         for part in batches:
             last, s = p, sums(part, p)
             if s.n:
@@ -293,9 +304,9 @@ def _stepwise(packed: DataFrame, p: Params, cfg: Config, edges: DataFrame | None
         change = abs(history[-1] - history[-2])
         epoch += 1
     done = change <= cfg.tol
-    for _ in range(cfg.max_full_epoch + 1 if not done or edges is not None else 0):
+    for _ in range(cfg.max_full_epoch + 1 if not done or smooth is not None else 0):
         last = p
-        p, _ = _smoothed_step(packed, p, cfg, edges, epoch) if edges is not None else (m_step(sums(packed, p), p, eta(epoch, cfg.alpha)), None)
+        p, _ = smoothed_step(packed, p, cfg, smooth, epoch) if smooth is not None else (m_step(sums(packed, p), p, eta(epoch, cfg.alpha)), None)
         history.append(sums(packed, p).ll)
         epoch += 1
         if abs(history[-1] - history[-2]) <= cfg.tol:
@@ -304,23 +315,28 @@ def _stepwise(packed: DataFrame, p: Params, cfg: Config, edges: DataFrame | None
     return p, last, history[1:], done
 
 
-def _smoothed_step(packed: DataFrame, p: Params, cfg: Config, edges: DataFrame, epoch: int) -> tuple[Params, DataFrame]:
-    resp = cut(array_form(smooth(long_form(responsibilities(packed, p)), edges, cfg.smoothing_iterations)))
+Smoother = Callable[[DataFrame], DataFrame]
+
+
+def smoothed_step(packed: DataFrame, p: Params, cfg: Config, smooth: Smoother, epoch: int) -> tuple[Params, DataFrame]:
+    """One step whose responsibilities (site, k, r) are smoothed between E and M."""
+    resp = cut(array_form(smooth(long_form(responsibilities(packed, p)))))
     return m_step(sums_given(packed, resp, p), p, eta(epoch, cfg.alpha)), resp
 
 
-def fit(packed: DataFrame, cfg: Config, edges: DataFrame | None = None, *, params: Params | None = None) -> Fit:
-    """Fit a mixture; edges (i, j, w) smooth the responsibilities between E and M. Labels follow the last E-step."""
+def fit(packed: DataFrame, cfg: Config, edges: DataFrame | Smoother | None = None, *, params: Params | None = None) -> Fit:
+    """Fit a mixture; edges (i, j, w), or any smoother of responsibilities, act between E and M. Labels follow the last E-step."""
+    smooth = smoother(edges, cfg.smoothing_iterations) if isinstance(edges, DataFrame) else edges
     p = params or start(packed, cfg.means if cfg.means is not None else init_means(packed, cfg.k, cfg.init, cfg.seed), cfg.cov_type, cfg.reg)
     resp: DataFrame | None = None
     if cfg.solver == "batch":
         p, history, done = _batch(packed, p, cfg)
         last = p
-        if edges is not None:
+        if smooth is not None:
             before = -1e6
             done = False
             for epoch in range(cfg.max_smooth_epoch):
-                p, resp = _smoothed_step(packed, p, cfg, edges, epoch)
+                p, resp = smoothed_step(packed, p, cfg, smooth, epoch)
                 history.append(sums(packed, p).ll)
                 if abs(history[-1] - before) <= cfg.tol:
                     done = True
@@ -334,9 +350,9 @@ def fit(packed: DataFrame, cfg: Config, edges: DataFrame | None = None, *, param
                 if cfg.refine_tol is not None and len(history) > 1 and abs(history[-1] - history[-2]) <= cfg.refine_tol:
                     break
     elif cfg.solver == "stepwise":
-        p, last, history, done = _stepwise(packed, p, cfg, edges)
-        if edges is not None:
-            resp = array_form(smooth(long_form(responsibilities(packed, last)), edges, cfg.smoothing_iterations))
+        p, last, history, done = _stepwise(packed, p, cfg, smooth)
+        if smooth is not None:
+            resp = array_form(smooth(long_form(responsibilities(packed, last))))
     else:
         raise ValueError("solver must be 'batch' or 'stepwise'")
     s = sums(packed, p)

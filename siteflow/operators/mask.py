@@ -23,3 +23,12 @@ def split(cube: DataFrame, mask: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The cells of kept sites and of the others."""
     kept = mask.where("kept").select("site")
     return cube.join(kept, "site", "left_semi"), cube.join(kept, "site", "left_anti")
+
+
+def keep_packed(packed: DataFrame, mask_type: str = "zero_mean", check_nan: bool = False) -> DataFrame:
+    """The sites of a packed cube that the mask keeps: a filter, without an exchange."""
+    if mask_type not in TYPES:
+        raise ValueError(f"mask_type must be one of {TYPES}")
+    total = F.aggregate("y", F.lit(0.0), lambda a, v: a + v)
+    keep = ~(total / F.size("y") <= 0) if mask_type == "zero_mean" else ~F.exists("y", lambda v: v <= 0)
+    return packed.where(keep & ~F.exists("y", F.isnan) if check_nan else keep)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import math
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -41,8 +42,18 @@ def label(sites: DataFrame, sizes: list[int], rounds: int = 10_000) -> DataFrame
         state = new
         if not changed:
             break
-    roots = state.select("root").distinct().withColumn("peak", (F.dense_rank().over(Window.orderBy("root")) - 1).cast("long"))  # a row a peak
-    return state.join(roots, "root").select("site", "peak")
+    return state.join(numbered(state.select("root").distinct(), sizes), "root").select("site", "peak")
+
+
+def numbered(roots: DataFrame, sizes: list[int], chunks: int = 4096) -> DataFrame:
+    """root and peak, its number in order: counted by chunks of the grid, whose offsets are a running sum of at most `chunks` rows."""
+    n_sites = math.prod(sizes)
+    chunk = F.expr(f"root div {max(1, -(-n_sites // chunks))}").alias("chunk")
+    placed = roots.select("root", chunk)
+    before = Window.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    counts = placed.groupBy("chunk").count().select("chunk", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
+    rank = F.row_number().over(Window.partitionBy("chunk").orderBy("root")) - 1
+    return placed.withColumn("rank", rank).join(F.broadcast(counts), "chunk").select("root", (F.col("before") + F.col("rank")).cast("long").alias("peak"))
 
 
 def trajectories(cube: DataFrame, members: DataFrame) -> DataFrame:
@@ -50,6 +61,12 @@ def trajectories(cube: DataFrame, members: DataFrame) -> DataFrame:
     return cube.join(members, "site").groupBy("peak", "t").agg((F.sum("v") / F.count("*")).alias("v_mean"), F.max("v").alias("v_max"))
 
 
+def trajectories_packed(packed: DataFrame, members: DataFrame) -> DataFrame:
+    """The same from packed raw trajectories (site, y) of the members."""
+    cells = packed.join(members, "site").select("peak", F.posexplode("y").alias("t", "v"))
+    return cells.groupBy("peak", "t").agg((F.sum("v") / F.count("*")).alias("v_mean"), F.max("v").alias("v_max"))
+
+
 def to_pixels(members: DataFrame, peak_labels: DataFrame) -> DataFrame:
     """site, peak and the label of its peak."""
     return members.join(peak_labels, "peak").select("site", "peak", "label")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 def over_site(value):
@@ -32,3 +32,25 @@ def rescale(cube: DataFrame, method: str = "mean") -> DataFrame:
     if method not in METHODS:
         raise ValueError(f"rescale must be one of {sorted(METHODS)}")
     return METHODS[method](cube)
+
+
+def _average(y: Column) -> Column:
+    return F.aggregate(y, F.lit(0.0), lambda a, v: a + v) / F.size(y)
+
+
+def rescale_packed(packed: DataFrame, method: str = "mean") -> DataFrame:
+    """The same on packed trajectories (site, y), row by row."""
+    if method not in METHODS:
+        raise ValueError(f"rescale must be one of {sorted(METHODS)}")
+    if method == "None":
+        return packed
+    y = F.transform("y", F.log1p) if method == "log-mean" else F.col("y")
+    noted = packed.select("site", y.alias("y"), _average(y).alias("m"))
+    if method == "mean":
+        new = F.transform("y", lambda v: v / F.nullif(F.col("m"), F.lit(0.0)) - 1)
+    elif method == "log-mean":
+        new = F.transform("y", lambda v: v - F.col("m"))
+    else:
+        noted = noted.select("site", "y", "m", F.sqrt(_average(F.transform("y", lambda v: (v - F.col("m")) * (v - F.col("m"))))).alias("std"))
+        new = F.transform("y", lambda v: (v - F.col("m")) / F.nullif(F.col("std"), F.lit(0.0)))
+    return noted.select("site", new.alias("y"))

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 EPS = 2.220446049250313e-16
+#: Most bins that a search takes to the driver (three numbers each), and most for the table of all divergences, whose work is their square.
+MOST_BINS, MOST_TABLED = 2_000_000, 20_000
 SNAP = 1e-9  # a step below this is rounding noise: an empty bin leaves the divergence as it is
 
 
@@ -18,6 +21,12 @@ def log_mean(cube: DataFrame) -> DataFrame:
     return means.where("m > 0").select("site", F.log("m").alias("x"))
 
 
+def log_mean_packed(packed: DataFrame) -> DataFrame:
+    """The same from packed trajectories (site, y), without an exchange; y stays beside x."""
+    mean = F.aggregate("y", F.lit(0.0), lambda a, v: a + v) / F.size("y")
+    return packed.select("site", "y", mean.alias("m")).where("m > 0").select("site", "y", F.log("m").alias("x"))
+
+
 def half_even(n: int, share: float) -> int:
     return round(n * share)
 
@@ -42,7 +51,6 @@ class Histogram:
     mean: float
     std: float
     n_bins: int
-    rows: list = field(default_factory=list)  # by bin: count, sum, sum of squares about the overall mean
 
     def edge(self, i: int) -> float:
         return self.low + (self.high - self.low) * i / self.n_bins
@@ -59,6 +67,8 @@ def binned(x: DataFrame, width: float | None = None) -> tuple[Histogram, DataFra
     if width <= 0:
         raise ValueError("a histogram needs a positive bin width")
     nb = max(1, math.ceil((high - low) / width))
+    if nb > MOST_BINS:
+        raise ValueError(f"{nb} bins: the range is too wide for the width {width}; give a width")
     h = Histogram(n, width, low, high, mean, std, nb)
     spread = F.lit(high - low if high > low else 1.0)
     where = F.least(F.floor((F.col("x") - F.lit(low)) / spread * nb), F.lit(nb - 1)).cast("int")
@@ -74,10 +84,13 @@ def density(h: Histogram, bins: DataFrame) -> DataFrame:
 
 
 def divergence(h: Histogram, bins: DataFrame) -> DataFrame:
-    """i and kl: the divergence of the bins below i from the Gaussian fitted to the samples below i's edge.
+    """i and kl: the divergence of the bins below i from the Gaussian fitted to the samples below i's edge, for every i.
 
-    One cumulative pass over the bins gives every fit; a self-join of the bins (as many as the histogram has) sums the rest.
+    One cumulative pass over the bins gives every fit; a self-join of the bins sums the rest. This is a table for inspection; the
+    search for a cutoff asks `Divergence` for single indices.
     """
+    if h.n_bins > MOST_TABLED:
+        raise ValueError(f"{h.n_bins} bins are too many for a table of all divergences")
     up_to = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cum = bins.select((F.col("bin") + 1).alias("i"), F.sum("n").over(up_to).alias("c"), F.sum("s").over(up_to).alias("s"), F.sum("ss").over(up_to).alias("ss"))
     # With no sample below the edge the smallest one alone is taken.
@@ -92,13 +105,45 @@ def divergence(h: Histogram, bins: DataFrame) -> DataFrame:
     return fits.join(y, y["bin"] < fits["i"]).groupBy("i").agg(F.sum(term).alias("kl"), F.first("mean").alias("mean"), F.first("std").alias("std"))
 
 
-def truncate(h: Histogram, kl: dict[int, float], counts: list[int], max_iter: int = 100) -> int:
-    """Index at which the search for a flat divergence ends; kl holds every index, so no step touches the data."""
+class Divergence:
+    """The same for one index at a time, over the bins' sums: the work of an index is one pass over the bins below it."""
+
+    def __init__(self, h: Histogram, rows: list):
+        self.h = h
+        self.n, self.s, self.ss = (np.array([r[c] for r in rows], float) for c in ("n", "s", "ss"))
+        self.sums = [np.cumsum(x) for x in (self.n, self.s, self.ss)]
+        self.edges = np.array([h.edge(i) for i in range(h.n_bins)])
+        self.known: dict[int, float] = {}
+
+    def fit(self, i: int) -> tuple[float, float]:
+        """Mean and deviation of the samples below i's edge; with none, the smallest sample alone."""
+        c, s, ss = (float(x[i - 1]) for x in self.sums)
+        if c <= 0:
+            return self.h.low, EPS
+        mean = s / c
+        return mean, max(math.sqrt(max(0.0, ss / c - (mean - self.h.mean) ** 2)), EPS)
+
+    def __call__(self, i: int) -> float:
+        if not 1 <= i <= self.h.n_bins:
+            return math.inf
+        if i not in self.known:
+            mean, std = self.fit(i)
+            mass = max(float(self.sums[0][i - 1]) / (self.h.n * self.h.width) * (self.h.high - self.h.low) / self.h.n_bins, EPS)
+            z = (self.edges[:i] - mean) / std
+            q = np.exp(-0.5 * z * z) / (std * math.sqrt(2 * math.pi)) + 1e-12
+            p = self.n[:i] / (self.h.n * self.h.width) / mass
+            some = p > 0
+            self.known[i] = float((p[some] * np.log(p[some] / q[some])).sum())
+        return self.known[i]
+
+
+def truncate(h: Histogram, kl: Divergence, max_iter: int = 100) -> int:
+    """Index at which the search for a flat divergence ends; no step touches the data."""
     nb = h.n_bins
     # Left-inclusive search among the left edges.
-    at = lambda v: next((i for i in range(nb) if h.edge(i) >= v), nb)
-    value = lambda i: max(kl.get(min(i, nb - 1), math.inf), EPS)
-    peak = max(range(nb), key=lambda i: (counts[i], -i))
+    at = lambda v: int(np.searchsorted(kl.edges, v, "left"))
+    value = lambda i: max(kl(min(i, nb - 1)), EPS)
+    peak = int(np.argmax(kl.n))
     i = int(0.5 * peak + 0.5 * at(h.mean + h.std))
     i = peak - 2 if i >= nb else i
     i = max(i, 0)
@@ -134,14 +179,11 @@ def cutoff(x: DataFrame, kind: str = "KL", *, width: float | None = None, max_it
     if kind != "KL":
         return Cutoff(set_cutoff, kind)
     h, bins = binned(x, width)
-    bins = bins.cache()
-    table = {r["i"]: r for r in divergence(h, bins).collect()}  # one row a bin
-    counts = [r["n"] for r in bins.orderBy("bin").collect()]
-    bins.unpersist()
-    i = truncate(h, {k: r["kl"] for k, r in table.items()}, counts, max_iter)
+    kl = Divergence(h, bins.orderBy("bin").collect())  # at most MOST_BINS rows
+    i = truncate(h, kl, max_iter)
     value = h.edge(i)
-    fit = table.get(max(i, 1))
-    return Cutoff(value, kind, fit["mean"], fit["std"], i, h.mean - h.std <= value <= h.mean + 2 * h.std)
+    mean, std = kl.fit(max(i, 1))
+    return Cutoff(value, kind, mean, std, i, h.mean - h.std <= value <= h.mean + 2 * h.std)
 
 
 def above(x: DataFrame, cut: Cutoff) -> DataFrame:
@@ -149,6 +191,11 @@ def above(x: DataFrame, cut: Cutoff) -> DataFrame:
     return x.where((F.col("x") > F.lit(cut.value)) & ~F.isnan("x")).select("site")
 
 
+def above_packed(x: DataFrame, cut: Cutoff) -> DataFrame:
+    """site and y of the packed sites strictly above the cutoff: a filter, without a join."""
+    return x.where((F.col("x") > F.lit(cut.value)) & ~F.isnan("x")).select("site", "y")
+
+
 def high_variance(cube: DataFrame, cutoff: float = 0.5) -> DataFrame:
     """site, std over t, and whether it is at least the cutoff."""
     return cube.groupBy("site").agg(F.stddev_pop("v").alias("std")).withColumn("high", F.col("std") >= cutoff)

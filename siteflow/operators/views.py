@@ -55,7 +55,31 @@ def zoom(plane: DataFrame, rows: tuple[int, int], cols: tuple[int, int]) -> Data
     return plane.where(F.col(r).between(rows[0], rows[1] - 1) & F.col(c).between(cols[0], cols[1] - 1))
 
 
-def unit_coordinates(sites: DataFrame, sizes: list[int]) -> DataFrame:
-    """Coordinates of sites as shares of each axis, for drawings in space."""
+def display_name(axis: str) -> str:
+    """`Qh` as `H`; other names as they are."""
+    return axis[1:].upper() if len(axis) == 2 and axis[0] in "qQ" else axis
+
+
+def plane_axes(axis: DataFrame, names: list[str], cut: int, value: float) -> DataFrame:
+    """role (x, y, cut), name, low and high of a plane's picture: extent and labels; the title's value is that of the cut axis."""
+    if cut not in (0, 1, 2) or len(names) != 3:
+        raise ValueError("a plane is cut from three axes at axis 0, 1 or 2")
+    y, x = [n for k, n in enumerate(names) if k != cut]
+    roles = F.create_map(*[F.lit(v) for kv in {x: "x", y: "y", names[cut]: "cut"}.items() for v in kv])
+    shown = F.create_map(*[F.lit(v) for n in names for v in (n, display_name(n))])
+    ends = axis.where(F.col("name").isin(names)).groupBy("name").agg(F.min_by("value", "pos").alias("low"), F.max_by("value", "pos").alias("high"))
+    own = F.col("name") == names[cut]
+    return ends.select(F.element_at(roles, F.col("name")).alias("role"), F.element_at(shown, F.col("name")).alias("name"), F.when(own, value).otherwise(F.col("low")).alias("low"), F.when(own, value).otherwise(F.col("high")).alias("high"))
+
+
+def clusters_in_space(labels: DataFrame, variance: DataFrame, sizes: list[int]) -> DataFrame:
+    """site, share of each axis and group: 0 for sites of low variance, label + 1 for clustered sites of high variance."""
+    low = variance.where(~F.col("high")).select("site", F.lit(0).alias("group"))
+    high = variance.where("high").select("site").join(labels, "site").select("site", (F.col("label") + 1).alias("group"))
+    return unit_coordinates(low.unionByName(high), sizes, "group")
+
+
+def unit_coordinates(sites: DataFrame, sizes: list[int], *others: str) -> DataFrame:
+    """Coordinates of sites as shares of each axis, for drawings in space, beside other columns."""
     placed = with_coords(sites, sizes)
-    return placed.select("site", *[(F.col(c) / max(1, n - 1)).alias(f"u{k}") for k, (c, n) in enumerate(zip(coords(len(sizes)), sizes, strict=True))])
+    return placed.select("site", *others, *[(F.col(c) / max(1, n - 1)).alias(f"u{k}") for k, (c, n) in enumerate(zip(coords(len(sizes)), sizes, strict=True))])

@@ -79,12 +79,47 @@ def solid_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
     return densify(facts, SOLID, YEARS)
 
 
-def axis_table(spark: SparkSession) -> DataFrame:
-    """axis(name, pos, value): years for t, tenths for the coordinates, so that a unit cell has 10 positions."""
-    return spark.range(50).select(
-        F.explode(F.array(*[F.struct(F.lit(n).alias("name"), v.cast("double").alias("value"), F.lit(top).alias("top")) for n, v, top in (("t", F.col("id") + 1995, YEARS), ("c0", F.col("id") / 10, 50), ("c1", F.col("id") / 10, 50))])).alias("x"),
-        F.col("id").cast("int").alias("pos"),
-    ).where("pos < x.top").select("x.name", "pos", "x.value")
+def axis_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """axis(name, pos, value) of the planted cube: the years met for t; tenths of the residues met for c0 and c1, so that a unit cell has 10 positions."""
+    line = table(spark, sf_dir, "lineitem")
+    years = line.select(_year("l_shipdate").alias("pos")).distinct().select(F.lit("t").alias("name"), "pos", (F.col("pos") + 1995).cast("double").alias("value"))
+    residues = line.select((F.col("l_partkey") % 50).cast("int").alias("pos")).distinct().select(F.explode(F.array(F.lit("c0"), F.lit("c1"))).alias("name"), "pos", (F.col("pos") / 10).alias("value"))
+    return years.unionByName(residues)
+
+
+def shape(axis: DataFrame) -> dict[str, int]:
+    """Positions of each axis: a row an axis."""
+    return {r["name"]: r["n"] for r in axis.groupBy("name").agg((F.max("pos") + 1).alias("n")).collect()}
+
+
+def save_cube(cube: DataFrame, axis: DataFrame, path: str, entry: str) -> None:
+    """A cube and its axes as Parquet under path/entry, in the layout that `load_cube` reads."""
+    cube.write.mode("overwrite").parquet(f"{path}/{entry}/cells")
+    axis.write.mode("overwrite").parquet(f"{path}/{entry}/axes")
+
+
+def load_cube(spark: SparkSession, path: str, entry: str = "entry/data", slices: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Cells and axes of any cube stored under path/entry, cut to text slices such as `:,0:1,-10:10` over t and the coordinates in order."""
+    cube, axis = spark.read.parquet(f"{path}/{entry}/cells"), spark.read.parquet(f"{path}/{entry}/axes")
+    names = ["t", *[c for c in ("c0", "c1", "c2") if c in cube.columns]]
+    return (sliced(cube, axis, parse_slices(slices, names)) if slices else cube), axis
+
+
+def from_arrays(arrays: DataFrame, width: int) -> DataFrame:
+    """A long cube of rank 2 from one array of values for each t (columns t and values, row by row, `width` values a row)."""
+    cells = arrays.select("t", F.posexplode("values").alias("site", "v"))
+    site = F.col("site").cast("long")
+    return cells.select((site / width).cast("int").alias("c0"), (site % width).cast("int").alias("c1"), site.alias("site"), "t", F.col("v").cast("double").alias("v"))
+
+
+def synthetic_cube(spark: SparkSession, sizes: list[int], n_t: int, zero_rows: int = 0, seed: int = 0) -> DataFrame:
+    """Uniform random values on a grid, 0 in the first zero_rows rows: for trying things out."""
+    n = 1
+    for x in sizes:
+        n *= x
+    cells = spark.range(n * n_t).select(F.expr(f"id div {n_t}").alias("site"), (F.col("id") % n_t).cast("int").alias("t"), F.rand(seed).alias("v"))
+    full = with_coords(cells, sizes)
+    return full.select(*coords(len(sizes)), "site", "t", F.when(F.col("c0") < zero_rows, 0.0).otherwise(F.col("v")).alias("v"))
 
 
 def sliced(cube: DataFrame, axis: DataFrame, slices: dict[str, tuple[float | None, float | None]]) -> DataFrame:
@@ -124,6 +159,25 @@ def parse_slices(text: str, names: list[str]) -> dict[str, tuple[float | None, f
     return out
 
 
+def parse_ints(text: str | None) -> list[int] | None:
+    """`0,1,3` as numbers; None stays None."""
+    return None if text is None else [int(x) for x in text.split(",") if x.strip()]
+
+
+def parse_window(text: str | None) -> tuple[tuple[int, int], tuple[int, int]] | None:
+    """`r0:r1,c0:c1` as two ranges; each start must be below its stop."""
+    if text is None:
+        return None
+    try:
+        rows, cols = (tuple(int(x) for x in part.split(":")) for part in text.split(","))
+        (r0, r1), (c0, c1) = rows, cols
+    except ValueError:
+        raise ValueError(f"a window looks like r0:r1,c0:c1, not {text!r}") from None
+    if r0 >= r1 or c0 >= c1:
+        raise ValueError(f"a window needs start < stop: {text!r}")
+    return (r0, r1), (c0, c1)
+
+
 def pack(cube: DataFrame) -> DataFrame:
     """site and y, its values in order of t: the layout of iterated fits."""
     return cube.groupBy("site").agg(F.transform(F.sort_array(F.collect_list(F.struct("t", "v"))), lambda r: r["v"]).alias("y"))
@@ -133,6 +187,26 @@ def unpack(packed: DataFrame) -> DataFrame:
     return packed.select("site", F.posexplode("y").alias("t", "v"))
 
 
+def pack_facts(facts: DataFrame, sizes: list[int], n_t: int) -> DataFrame:
+    """site and y straight from facts (coordinates, t, v), for the sites that have any; positions without facts are 0.
+
+    One exchange: facts are summed by site and t as they are read, then a site's few sums become its array.
+    """
+    sums = facts.groupBy(site_of(sizes).alias("site"), "t").agg(F.sum("v").cast("double").alias("v"))
+    found = sums.groupBy("site").agg(F.map_from_entries(F.collect_list(F.struct("t", "v"))).alias("m"))
+    return found.select("site", F.transform(F.sequence(F.lit(0), F.lit(n_t - 1)), lambda t: F.coalesce(F.element_at("m", t), F.lit(0.0))).alias("y"))
+
+
+LINES = 7
+
+
+def order_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packed yearly quantities of every part by line number: a cube whose sites grow with the data (7 for each part)."""
+    line = table(spark, sf_dir, "lineitem")
+    facts = line.select(F.col("l_partkey").alias("c0"), (F.col("l_linenumber") % LINES).cast("int").alias("c1"), _year("l_shipdate").alias("t"), F.col("l_quantity").alias("v"))
+    return pack_facts(facts, [0, LINES], YEARS)
+
+
 def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packed trajectories from the embedding table."""
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("site"), F.col("embedding").cast("array<double>").alias("y"))

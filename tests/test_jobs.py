@@ -45,3 +45,17 @@ def test_stream_equals_batch(spark, tmp_path):
     assert sorted(map(key, spark.table("windows").collect())) == sorted(map(key, feed.windowed(events).collect()))
     cube = src.densify(feed.as_facts(feed.windowed(events), "2024-01-01"), [10, 15], 31)
     assert cube.count() == 10 * 15 * 31
+
+
+def test_periodic_job_bic_job_and_saved_sweeps(spark, tmp_path):
+    cube = src.planted_cube(spark, SF).cache()
+    axis = src.axis_table(spark, SF)
+    m = pipeline.smoothed(cube, src.PLANTED, src.YEARS, gmm.Config(k=2, max_iter=2, max_smooth_epoch=1), l_scale=0.2, kernel="periodic", axis=axis)
+    assert m.labels.count() == 45 and m.settings["kernel"] == "periodic"
+    table = pipeline.bic_job(cube, src.PLANTED, "s", str(tmp_path / "s"), k_min=2, k_max=4, config=gmm.Config(max_iter=2, tol=-1.0))
+    assert [r["k"] for r in table.orderBy("k").collect()] == [2, 3] and table.columns == ["k", "ll", "bic"]
+    _, report = pipeline.workflow(cube, src.PLANTED, src.YEARS, modes=("d",), k_min=2, k_max=4, config=gmm.Config(max_iter=2), out=str(tmp_path / "w"))
+    saved = {r["k"]: r["bic"] for r in pipeline.load_sweep(spark, str(tmp_path / "w/d")).collect()}
+    assert saved == {r["k"]: r["bic"] for r in report["sweeps"]["d"]}
+    rows = pipeline.bundle(m.labels, m.packed, axis, src.PLANTED)
+    assert rows.count() == 45 * src.YEARS and rows.agg({"at": "max"}).first()[0] == 2001

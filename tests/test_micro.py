@@ -208,3 +208,92 @@ def test_wrong_settings(spark):
             gmm.fit(data, cfg)
     with pytest.raises(ValueError):
         gmm.spread(data.limit(0))
+
+
+def test_text_parsers():
+    assert src.parse_ints("0, 1,3") == [0, 1, 3] and src.parse_ints(None) is None and src.parse_ints("") == []
+    assert src.parse_window("200:300, 0:100") == ((200, 300), (0, 100)) and src.parse_window(None) is None
+    for bad in ("3:3,0:1", "0:1,5:2", "1:2", "a:b,0:1", "1,2"):
+        with pytest.raises(ValueError):
+            src.parse_window(bad)
+
+
+def test_synthetic_and_stored_cubes(spark, tmp_path):
+    c = src.synthetic_cube(spark, [6, 5], 4, zero_rows=2, seed=3).cache()
+    assert c.count() == 120 and c.where("c0 < 2").agg({"v": "max"}).first()[0] == 0 and c.where("v > 0").count() == 80
+    axis = spark.createDataFrame([("t", k, 10.0 * k) for k in range(4)] + [("c0", k, k / 2) for k in range(6)] + [("c1", k, -1.0 * k) for k in range(5)], "name string, pos int, value double")
+    src.save_cube(c, axis, str(tmp_path), "entry/data")
+    whole, again = src.load_cube(spark, str(tmp_path))
+    assert whole.count() == 120 and src.shape(again) == {"t": 4, "c0": 6, "c1": 5}
+    part, _ = src.load_cube(spark, str(tmp_path), "entry/data", "10:,0.4:1.6,:")
+    assert {(r["t"], r["c0"]) for r in part.select("t", "c0").distinct().collect()} == {(t, x) for t in (1, 2, 3) for x in (1, 2, 3)}
+
+
+def test_dense_arrays_become_a_long_cube(spark):
+    arrays = spark.createDataFrame([(0, [1.0, 2.0, 3.0, 4.0, 5.0, 6.0]), (1, [0.0] * 6)], "t int, values array<double>")
+    rows = {(r["c0"], r["c1"]): (r["site"], r["v"]) for r in src.from_arrays(arrays, 3).where("t = 0").collect()}
+    assert rows == {(a, b): (3 * a + b, 3 * a + b + 1.0) for a in range(2) for b in range(3)}
+
+
+@pytest.mark.parametrize("method", ["mean", "z-score", "log-mean", "None"])
+def test_packed_and_long_forms_agree(spark, method):
+    rows = [(s, t, float((s * 7 + t * t) % 11) if s else 0.0) for s in range(9) for t in range(5)]
+    long = spark.createDataFrame(rows, "site long, t int, v double")
+    packed = src.pack(long)
+    for kind in ("zero_mean", "any_zeros"):
+        kept = mask.split(long, mask.site_mask(long, kind))[0].select("site").distinct()
+        assert {r[0] for r in kept.collect()} == {r[0] for r in mask.keep_packed(packed, kind).select("site").collect()}
+    a = {r["site"]: r["x"] for r in threshold.log_mean(long).collect()}
+    b = {r["site"]: r["x"] for r in threshold.log_mean_packed(packed).collect()}
+    assert a == pytest.approx(b)
+    one = {(r["site"], r["t"]): r["v"] for r in rescale.rescale(long, method).collect()}
+    two = {(r["site"], r["t"]): r["v"] for r in src.unpack(rescale.rescale_packed(packed, method)).collect()}
+    assert all(x is None and two[k] is None or two[k] == pytest.approx(x) for k, x in one.items()) and len(one) == len(two)
+
+
+def test_single_divergences_equal_the_table(spark):
+    x = spark.range(400).selectExpr("id AS site", "pow((id % 37) / 10.0, 2) + (id % 7) / 3.0 AS x")
+    h, bins = threshold.binned(x)
+    kl = threshold.Divergence(h, bins.orderBy("bin").collect())
+    table = {r["i"]: r for r in threshold.divergence(h, bins).collect()}
+    assert len(table) == h.n_bins
+    for i, r in table.items():
+        assert kl(i) == pytest.approx(r["kl"]) and kl.fit(i) == pytest.approx((r["mean"], r["std"]))
+    with pytest.raises(ValueError):
+        threshold.binned(x, 1e-9)
+
+
+def test_peaks_are_numbered_in_order_by_chunks(spark):
+    roots = spark.createDataFrame([(r,) for r in (0, 3, 4, 77, 78, 95, 99)], "root long")
+    for chunks in (1, 7, 4096):
+        got = {r["root"]: r["peak"] for r in peaks.numbered(roots, [10, 10], chunks).collect()}
+        assert got == {r: k for k, r in enumerate((0, 3, 4, 77, 78, 95, 99))}
+
+
+def test_plane_axes_and_names(spark):
+    assert [views.display_name(n) for n in ("Qh", "qk", "Te", "Qhk")] == ["H", "K", "Te", "Qhk"]
+    axis = spark.createDataFrame([(n, k, v0 + k) for n, v0 in (("Ql", 0.0), ("Qk", 10.0), ("Qh", 20.0)) for k in range(3)], "name string, pos int, value double")
+    got = {r["role"]: (r["name"], r["low"], r["high"]) for r in views.plane_axes(axis, ["Ql", "Qk", "Qh"], 1, 11.0).collect()}
+    assert got == {"cut": ("K", 11.0, 11.0), "y": ("L", 0.0, 2.0), "x": ("H", 20.0, 22.0)}
+    with pytest.raises(ValueError):
+        views.plane_axes(axis, ["Ql", "Qk", "Qh"], 3, 0.0)
+
+
+def test_mini_batches_part_the_sites(spark):
+    sites = spark.range(3000).select(gmm.batch_of(F.col("id"), 5, 2, 4).alias("b")).groupBy("b").count().collect()
+    assert sorted(r["b"] for r in sites) == [0, 1, 2, 3] and min(r["count"] for r in sites) > 500
+
+
+def test_shared_folder_is_never_local_on_a_cluster():
+    from types import SimpleNamespace
+
+    from siteflow.functions.lineage import shared_folder
+
+    chosen = []
+    sc = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: chosen[-1] if chosen else None, setCheckpointDir=chosen.append)
+    conf = {}
+    fake = SimpleNamespace(sparkContext=sc, conf=SimpleNamespace(get=lambda k, d=None: conf.get(k, d)))
+    with pytest.raises(RuntimeError):
+        shared_folder(fake)
+    conf["spark.checkpoint.dir"] = "hdfs://x/shared"
+    assert shared_folder(fake) == "hdfs://x/shared"
