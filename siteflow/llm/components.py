@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siteflow.llm.common import written
+from siteflow.llm.common import discard, written
 
 
 def components(edges: DataFrame, *, rounds: int = 60) -> DataFrame:
@@ -24,15 +24,16 @@ def components(edges: DataFrame, *, rounds: int = 60) -> DataFrame:
     # Larger node first.
     e = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     nodes = e.select(F.col("u").alias("node")).union(e.select("v")).distinct()
-    before = state(e)
+    before, first = state(e), e
     for _ in range(rounds):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = both.join(smallest(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = written(large.where("u <> v").distinct(), "large")
+        last, large = e, written(large.where("u <> v").distinct(), "large")
         least = smallest(large)
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
         e = written(small.where("u <> v").distinct(), "small")
         after = state(e)
+        discard(large, *([last] if last is not first else []))
         if after == before:
             break
         before = after

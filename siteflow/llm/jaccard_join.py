@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 from xxhash import xxh64_intdigest
 
-from siteflow.llm.common import written
+from siteflow.llm.common import discard, written
 from siteflow.llm.components import components
 from siteflow.llm.sentencepiece_codec import pieces_of
 
@@ -304,14 +304,15 @@ def link(docs: DataFrame, *, threshold: int = 80, id_col: str = "doc_id", text_c
     here = Window.partitionBy("key")
     keyed = shared.select("key", "doc").join(part_of, "doc").select("key", "rep", "part")
     mixed = keyed.select("*", (F.min("part").over(here) != F.max("part").over(here)).alias("differs"), F.count("*").over(here).alias("rows"))
-    known_sets = named.groupBy("rep").agg(*[F.first(c).alias(c) for c in ("n", *SKETCH)])
+    known_sets = named.select("rep", "n", *SKETCH).distinct()  # several rows for an id with several texts
     open_ = written(mixed.where("differs").drop("differs").dropDuplicates(["key", "rep"]).join(known_sets, "rep").withColumn("parity", F.col("key").bitwiseAND(F.lit(1))), "open")
-    by_cost = Window.partitionBy("rep", "parity").orderBy(F.col("rows").desc(), "key")
+    own = ["rep", "parity", "n", *SKETCH]
+    by_cost = Window.partitionBy(*own).orderBy(F.col("rows").desc(), "key")
     reps = written(open_.select(F.col("rep").alias("doc_id")).distinct(), "reps")
     sure = written(sure_table(picked(known, reps)).groupBy(F.col("doc_id").alias("rep")).agg(F.min("even").alias("even"), F.min("odd").alias("odd")), "sure")
     ranked = open_.join(sure, "rep").select("*", F.row_number().over(by_cost).alias("rank"), F.when(F.col("parity") == 0, F.col("even")).otherwise(F.col("odd")).alias("sure"))
     skipped = (F.col("rows") > HOT) & (F.col("rank") < F.col("sure"))
-    probes = ranked.select("*", F.sum(skipped.cast("int")).over(Window.partitionBy("rep", "parity")).alias("left_out"), skipped.alias("skipped")).where("not skipped")
+    probes = ranked.select("*", F.sum(skipped.cast("int")).over(Window.partitionBy(*own)).alias("left_out"), skipped.alias("skipped")).where("not skipped")
     side = lambda mark: probes.select("key", *[F.col(c).alias(f"{c}_{mark}") for c in ("rep", "part", "n", "sure", "left_out", *SKETCH)])
     # Both leave out the dearest keys of one common order, so the keys they lose are those that one of them left out.
     close = (F.col("rep_r") < F.col("rep_s")) & (F.col("part_r") != F.col("part_s")) & alike("r", "s", threshold)
@@ -319,8 +320,10 @@ def link(docs: DataFrame, *, threshold: int = 80, id_col: str = "doc_id", text_c
     left, right = side("r"), side("s")
     met = left.join(right, (left["key"] == right["key"]) & close).groupBy(F.col("rep_r").alias("a"), F.col("rep_s").alias("b"), least.alias("least")).count().where("count >= least")
     fresh = met.select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
-    second = verified(written(fresh, "met"), known, threshold)
+    fresh = written(fresh, "met")
+    second = verified(fresh, known, threshold)
     ends = written(components(first.union(second)), "ends")
+    discard(shared, named, first, parts, open_, reps, sure, fresh)
 
     nodes = sets.join(classes, ["n", "d1", "d2"], "left").join(ends.select(F.col("node").alias("rep"), "component"), "rep", "left")
     return nodes.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id"))

@@ -304,6 +304,16 @@ def test_op5_short_texts_in_great_number(spark):
     assert got == brute_components(rows)
 
 
+def test_op5_one_id_with_several_texts(spark):
+    """Rows of one doc_id are one node: its links are those of all its texts."""
+    base = {k: [f"b{k}w{j}" for j in range(30)] for k in range(12)}
+    edit = lambda k, n: " ".join([*base[k][:-1], f"z{n}"])
+    rows = [(k, " ".join(base[k])) for k in range(12)] + [(100 + k, edit(k, k)) for k in range(12)] + [(100, edit(5, 77)), (103, edit(7, 78)), (103, edit(9, 79)), (200, "alone"), (200, "a b c d e f g")]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.link(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    want = {k: k for k in range(12)} | {100 + k: k for k in range(12)} | {200: 200} | {5: 0, 105: 0, 7: 3, 107: 3, 9: 3, 109: 3}
+    assert got == want
+
+
 def _small_sets(count, n):
     import numpy as np
 
