@@ -3,7 +3,8 @@
 The model protobuf is parsed here (wire format only), and from it the tokenizer is rebuilt: character map or
 identity normaliser, the metaspace marker, a unigram model from the scores or a BPE model whose merges follow
 the scores, and byte fallback. Encoding runs per Arrow batch inside Spark tasks; every distinct piece of text
-between markers is encoded once per task and checked against the SentencePiece library (parity).
+between markers is encoded once per task and checked against the SentencePiece library (parity). The library adds scores up
+in 32 bits, so segmentations of a unigram model that score the same can come out either way; parity tells.
 
 Nulls: a null text has null ids and pieces count 0. An empty text has no ids. Rows with equal texts give equal ids.
 Columns of the input that are not asked for are ignored, so clashing names do no harm.
@@ -128,7 +129,9 @@ def build_tokenizer(m: Model):
         vocab = {p: i for i, p in enumerate(m.pieces)}
         model = models.BPE(vocab=vocab, merges=merges_by_score(m), unk_token=m.pieces[m.types.index(UNKNOWN)], fuse_unk=True, byte_fallback=m.byte_fallback)
     elif m.kind == UNIGRAM:
-        model = models.Unigram(list(zip(m.pieces, m.scores, strict=True)), unk_id=m.types.index(UNKNOWN), byte_fallback=m.byte_fallback)
+        # A text never stands for a control, unused or byte piece, so these get names that no text holds; `Codec` spells unknowns in bytes.
+        named = [p if t in (NORMAL, USER_DEFINED) else f"\U0010ffff{i}\U0010ffff" for i, (p, t) in enumerate(zip(m.pieces, m.types, strict=True))]
+        model = models.Unigram(list(zip(named, m.scores, strict=True)), unk_id=m.types.index(UNKNOWN), byte_fallback=False)
     else:
         raise ValueError(f"model type {m.kind} is not supported")
     return Tokenizer(model)
@@ -163,6 +166,8 @@ class Codec:
             self.reference = sentencepiece.SentencePieceProcessor(model_proto=data)
         self.opens = np.array([p.startswith(MARK) for p in m.pieces])
         self.bytes_of = [bytes([int(p[3:5], 16)]) if t == BYTE else b"" if t == CONTROL else p.replace(MARK, " ").encode() for p, t in zip(m.pieces, m.types, strict=True)]
+        self.unknown = m.types.index(UNKNOWN)
+        self.spelled = {int(p[3:5], 16): i for i, (p, t) in enumerate(zip(m.pieces, m.types, strict=True)) if t == BYTE} if m.kind == UNIGRAM and m.byte_fallback else None
         self.limit = cache
         self.forget()
 
@@ -176,6 +181,7 @@ class Codec:
             text = self.charsmap.normalize_str(text)
         if self.model.squeeze_spaces:
             text = re.sub(" +", " ", text.strip(" "))
+            text = text.rstrip(f" {MARK}") if self.model.escape_spaces else text  # a marker in the text counts as a space at its end
         return text
 
     def chunks(self, text: str) -> list[str]:
@@ -190,11 +196,22 @@ class Codec:
             return [x[1:] if x[1:2] != MARK and len(x) > 1 else MARK + x for x in re.findall(f"{MARK}+[^{MARK}]*", whole)]
         return found
 
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text; unknown characters of a unigram model become their bytes."""
+        coded = [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        if self.spelled is None:
+            return coded
+        for k in [k for k, ids in enumerate(coded) if (ids == self.unknown).any()]:
+            e = self.tokenizer.encode(texts[k], add_special_tokens=False)
+            spelled = [[self.spelled[b] for b in texts[k][a:z].encode()] if i == self.unknown else [i] for i, (a, z) in zip(e.ids, e.offsets, strict=True)]
+            coded[k] = np.array(list(chain.from_iterable(spelled)), np.int32)
+        return coded
+
     def _together(self, plain: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids and lengths of chunks with one marker each, encoded as long strings: a piece with a marker opens a chunk."""
         self.tokenizer.pre_tokenizer = self.cutter
         groups = [MARK + MARK.join(plain[k : k + 2000]) for k in range(0, len(plain), 2000)]
-        ids = np.concatenate([np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(groups, add_special_tokens=False)])
+        ids = np.concatenate(self._ids(groups))
         at = np.flatnonzero(self.opens[ids])
         if len(at) != len(plain):
             raise AssertionError("a chunk did not open with a marked piece")
@@ -213,7 +230,7 @@ class Codec:
         ids, sizes = self._together(plain) if plain else (np.zeros(0, np.int32), np.zeros(0, np.int64))
         if odd:
             self.tokenizer.pre_tokenizer = None
-            coded = [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast([c[1:] for c in odd], add_special_tokens=False)]
+            coded = self._ids([c[1:] for c in odd])
             ids, sizes = np.concatenate([ids, *coded]), np.append(sizes, [len(x) for x in coded])
         ends = np.cumsum(sizes)
         self.index.update(zip(plain + odd, range(len(self.start), len(self.start) + len(new)), strict=True))
@@ -234,8 +251,7 @@ class Codec:
                 parts = np.split(ours, ends[: n - 1])
                 good[:n] = [np.array_equal(a, self.reference.encode(c)) for a, c in zip(parts, plain, strict=True)]
         for k, c in enumerate(odd, n):
-            text = c[1:].replace(MARK, " ")
-            given = text[1:] if self.model.dummy_prefix else text
+            given = c[2:] if self.model.dummy_prefix else c[1:]  # markers stay: the library would squeeze spaces
             good[k] = np.array_equal(ids[ends[k - 1] if k else 0 : ends[k]], self.reference.encode(given)) if given else True
         return good
 
@@ -254,9 +270,9 @@ class Codec:
         return ids, np.diff(per_text), np.diff(bad) == 0
 
     def decode(self, ids) -> str:
-        """Text of the ids: byte pieces join into UTF-8, control pieces vanish, the first marker goes."""
+        """Text of the ids: byte pieces join into UTF-8, control pieces vanish, the first marker goes where the model adds one or squeezes spaces."""
         text = b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
-        return text[1:] if self.model.dummy_prefix and text.startswith(" ") else text
+        return text[1:] if (self.model.dummy_prefix or self.model.squeeze_spaces) and text.startswith(" ") else text
 
 
 @lru_cache(maxsize=2)

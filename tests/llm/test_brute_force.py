@@ -90,23 +90,56 @@ def test_op1_odd_texts(text):
     assert codec.decode(ids.tolist()) == text.replace("▁", " ")
 
 
-def test_op1_unigram_model_from_scores():
-    def field(number, kind, payload):
-        return bytes([number << 3 | kind]) + payload
+def varint(n):
+    out = b""
+    while n > 127:
+        out, n = out + bytes([n & 127 | 128]), n >> 7
+    return out + bytes([n])
+
+
+def proto_field(number, kind, payload):
+    return varint(number << 3 | kind) + (varint(len(payload)) + payload if kind == 2 else payload)
+
+
+def unigram_model(pieces, charsmap=b"", squeeze=True, dummy=True, fallback=True):
+    """A model file of (piece, score, type), written by hand."""
+    import struct
 
-    def piece(text, score, kind=1):
-        import struct
+    out = b"".join(proto_field(1, 2, proto_field(1, 2, t.encode()) + proto_field(2, 5, struct.pack("<f", s)) + proto_field(3, 0, varint(k))) for t, s, k in pieces)
+    out += proto_field(2, 2, proto_field(3, 0, varint(1)) + proto_field(35, 0, varint(int(fallback))))
+    flags = b"".join(proto_field(n, 0, varint(int(v))) for n, v in ((3, dummy), (4, squeeze), (5, True)))
+    return out + proto_field(3, 2, (proto_field(2, 2, charsmap) if charsmap else b"") + flags)
 
-        raw = text.encode()
-        body = field(1, 2, bytes([len(raw)]) + raw) + field(2, 5, struct.pack("<f", score)) + field(3, 0, bytes([kind]))
-        return field(1, 2, bytes([len(body)]) + body)
 
-    data = piece("<unk>", 0, 2) + piece("▁a", -1) + piece("b", -2) + piece("▁ab", -1.5) + piece("▁", -4) + piece("a", -3)
+def test_op1_unigram_model_from_scores():
+    data = unigram_model([("<unk>", 0, 2), ("▁a", -1, 1), ("b", -2, 1), ("▁ab", -1.5, 1), ("▁", -4, 1), ("a", -3, 1)], fallback=False)
     m = sentencepiece_codec.parse_model(data)
     assert m.kind == sentencepiece_codec.UNIGRAM and m.pieces[3] == "▁ab" and m.scores[4] == -4.0
     assert sentencepiece_codec.build_tokenizer(m).encode("▁ab").ids == [3]
 
 
+@pytest.mark.parametrize("how", ["plain", "keep_spaces", "no_prefix", "no_bytes", "charsmap"])
+def test_op1_unigram_equals_the_library(docs, how):
+    """The public vocabulary as a unigram model: scores, byte fallback, control pieces in a text, white space rules, a character map."""
+    import sentencepiece
+
+    public = sentencepiece_codec.parse_model(catalog.model_bytes())
+    pieces = [(p, -math.log(i + 2) if t == 1 else s, t) for i, (p, s, t) in enumerate(zip(public.pieces, public.scores, public.types, strict=True))]
+    options = {"keep_spaces": {"squeeze": False}, "no_prefix": {"dummy": False}, "no_bytes": {"fallback": False}}.get(how, {})
+    if how == "no_bytes":
+        pieces = [x for x in pieces if x[2] != 6]
+    if how == "charsmap":
+        options = {"charsmap": sentencepiece_codec.parse_model(sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc").serialized_model_proto()).charsmap}
+    codec = sentencepiece_codec.Codec(unigram_model(pieces, **options))
+    odd = ["a  b", " a", "a ", "", "\n", "▁x", "a\x00b", "😀 \u200b", "   ", "x▁y  z▁▁", "<s> </s> <0x41>", "ﬁne ① Ａ\u3000b", "naïve é café", "漢字 仮名", "ﷺ x", "a\u0301", "tab\there", "½ ™ Å", "x ▁ ▁"]
+    lines = [x for _, t in docs[:60] for x in t.split("\n")[:8] if len(x) < 400 and not re.search(r"[%&#*!$|<>]{2}", x)]  # runs of one symbol tie
+    for t in odd + lines:
+        ids, _, same = codec.encode([t])
+        assert ids.tolist() == codec.reference.encode(t) and same.all(), t
+        if how != "no_bytes":
+            assert codec.decode(ids.tolist()) == codec.reference.decode(ids.tolist()), t
+
+
 def test_op2_law_and_slots(spark, docs):
     rows = catalog.op2_sharding(spark, SF).collect()
     size = {i: len(t.encode()) + 8 for i, t in docs}
