@@ -354,7 +354,7 @@ def gmm_full_em2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def kmeanspp_init(spark: SparkSession, sf_dir: str) -> DataFrame:
     means = gmm.kmeanspp_means(src.embeddings(spark, sf_dir), 4)
-    return spark.createDataFrame([(k, t, float(v)) for k, row in enumerate(means) for t, v in enumerate(row)], "k int, t int, mu double")
+    return spark.createDataFrame([(k, t, round(float(v), 6) + 0.0) for k, row in enumerate(means) for t, v in enumerate(row)], "k int, t int, mu double")
 
 
 def kmeans_init(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -364,7 +364,7 @@ def kmeans_init(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def gaussian_init(spark: SparkSession, sf_dir: str) -> DataFrame:
     means = gmm.init_means(src.embeddings(spark, sf_dir), 4, "gaussian")
-    return spark.createDataFrame([(k, t, float(v)) for k, row in enumerate(means) for t, v in enumerate(row)], "k int, t int, mu double")
+    return spark.createDataFrame([(k, t, round(float(v), 6) + 0.0) for k, row in enumerate(means) for t, v in enumerate(row)], "k int, t int, mu double")
 
 
 def minibatch_stepwise(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -431,7 +431,7 @@ def bic_saved(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def workflow_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table = _sweep(src.embeddings(spark, sf_dir))
+    table = _sweep(src.embeddings(spark, sf_dir)).select("k", F.round("ll", 3).alias("ll"), F.round("bic", 3).alias("bic"))
     return select.report(spark, {"rescale": "mean", "threshold": "simple"}, table, {"mode": "d", "k": select.best_k(table).first()["k"]})
 
 

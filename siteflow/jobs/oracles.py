@@ -256,6 +256,15 @@ ORACLES = {
 }
 
 
+def drawn(site: str, seed: int, turn: int) -> str:
+    """The draw of the operators, as an expression."""
+    p = 2**31 - 1
+    x = f"(({site} + {7919 * seed + 104_729 * turn}) % {p} + 1)"
+    first = f"(({x} * 48271 % {p}) * ({x} * 48271 % {p}) % {p})"
+    second = f"(({first} * {x} + 40692) % {p})"
+    return f"((({second} * {second} % {p}) * 48271 + {x}) % {p})"
+
+
 def first_sites(x: str, k: int) -> str:
     """Adds equal weights, the first k sites as means and the whole variance, as the start of a fit."""
     CTES[f"{x}_first"] = ([x], f"SELECT site, dense_rank() OVER (ORDER BY site) - 1 AS rk, t, v FROM {x}")
@@ -323,7 +332,7 @@ for _k in range(7):  # three rounds of three mini-batches, then four full passes
         _X, _LAST = "xm", _P
         if _b is not None:
             _X = f"xm_{_k}{_b}"
-            CTES[_X] = (["xm"], f"SELECT * FROM xm WHERE (((site % 2147483648 * 2 + 1) % 2147483648) * {2_654_435_761 % 2**31 + 2 * 7919 * _k} % 4294967296) // 65536 % 3 = {_b}")
+            CTES[_X] = (["xm"], f"SELECT * FROM xm WHERE {drawn('site', 0, _k)} % 3 = {_b}")
         _R = responsibilities(f"mb{_k}{_b}r", _X, _P)
         _P = maximised(f"mb{_k}{_b}", _X, _R, _P, step_size(_k))
 responsibilities("mbl", "xm", _LAST)
@@ -350,3 +359,24 @@ ORACLES["recommend_mode"] = sql(
     f""", d AS (SELECT k, bic FROM ({_BOTH["d"][0]}) ORDER BY bic, k LIMIT 1), s AS (SELECT k, bic FROM ({_BOTH["s"][0]}) ORDER BY bic, k LIMIT 1)
     SELECT CASE WHEN s.bic < d.bic THEN 's' ELSE 'd' END AS mode, CASE WHEN s.bic < d.bic THEN s.k ELSE d.k END AS k, round(d.bic, 3) AS bic_d, round(s.bic, 3) AS bic_s FROM d, s""",
 )
+
+for _k in range(4):  # k-means++: each pick is the least exponential, at the rate of the distance to the nearest pick so far
+    _gaps = " UNION ALL ".join(f"SELECT a.site, sum((a.v - b.v) * (a.v - b.v)) AS gap FROM vec a JOIN vec b USING (t) JOIN pick{j} p ON b.site = p.site GROUP BY a.site" for j in range(_k)) or "SELECT DISTINCT site, CAST(1 AS DOUBLE) AS gap FROM vec"
+    _done = " AND ".join(f"site <> (SELECT site FROM pick{j})" for j in range(_k)) or "true"
+    CTES[f"pick{_k}"] = (
+        ["vec", *[f"pick{j}" for j in range(_k)]],
+        f"""SELECT site FROM (SELECT site, min(gap) AS gap, any_value(({drawn("site", 0, _k)} + 1) / CAST({2**31} AS DOUBLE)) AS u FROM ({_gaps}) GROUP BY site) WHERE {_done}
+        ORDER BY gap > 0 DESC, CASE WHEN gap > 0 THEN -ln(u) / gap ELSE u END, site LIMIT 1""",
+    )
+ORACLES["kmeanspp_init"] = sql(["vec", *[f"pick{k}" for k in range(4)]], " UNION ALL ".join(f"SELECT CAST({k} AS INT) AS k, t, {R('v', 'mu')} FROM vec JOIN pick{k} USING (site)" for k in range(4)))
+ORACLES["workflow_report"] = sql(
+    [f"vec_r{k}" for k in range(2, 5)],
+    f""", b AS (SELECT k, round(ll, 3) AS ll, round(bic, 3) AS bic FROM ({_VEC_BIC}))
+    SELECT '{{"rescale":"mean","threshold":"simple"}}' AS settings, '[' || string_agg('{{"k":' || k || ',"ll":' || ll || ',"bic":' || bic || '}}', ',' ORDER BY k) || ']' AS sweep,
+    '{{"mode":"d","k":"' || arg_min(k, (bic, k)) || '"}}' AS choice FROM b""",
+)
+ORACLES["gaussian_init"] = sql(
+    ["vec"],
+    f""", m AS (SELECT t, avg(v) AS m, var_pop(v) AS s FROM vec GROUP BY t), u AS (SELECT CAST(c AS INT) AS k, t, m, s, ({drawn("(c * 64 + t)", 0, 0)} + 1) / CAST({2**31} AS DOUBLE) AS a, ({drawn("(c * 64 + t)", 0, 1)} + 1) / CAST({2**31} AS DOUBLE) AS b FROM m, range(4) r(c))
+    SELECT k, t, {R(f"m + sqrt(-2 * ln(a)) * cos({2 * pi!r} * b) * sqrt(s)", "mu")} FROM u""",
+)

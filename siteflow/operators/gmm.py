@@ -186,6 +186,18 @@ def spread(packed: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
     return rows[0]["n"], np.array([r["m"] for r in rows]), np.array([r["s"] for r in rows])
 
 
+DRAWS = 2**31 - 1
+
+
+def drawn(site: Column | int, seed: int, turn: int):
+    """A number from 0 to DRAWS - 1 for each site, seed and turn: powers in a prime field, the same in any engine and partitioning."""
+    moved = site + (7919 * seed + 104_729 * turn)
+    x = (moved % DRAWS if isinstance(site, int) else F.pmod(moved, F.lit(DRAWS))) + 1
+    square = lambda y: y * y % DRAWS
+    first = square(x * 48_271 % DRAWS)
+    return (square((first * x + 40_692) % DRAWS) * 48_271 + x) % DRAWS
+
+
 def kmeanspp_means(packed: DataFrame, k: int, seed: int = 0) -> np.ndarray:
     """k sites drawn by k-means++; the draw hashes site, seed and round, so partitioning does not matter."""
     chosen: list[np.ndarray] = []
@@ -194,7 +206,7 @@ def kmeanspp_means(packed: DataFrame, k: int, seed: int = 0) -> np.ndarray:
     if own_cache:
         packed = packed.persist()  # k passes over it
     for turn in range(k):
-        u = (F.pmod(F.xxhash64("site", F.lit(seed), F.lit(turn)), F.lit(2**53)) + 1) / float(2**53 + 1)
+        u = (drawn(F.col("site"), seed, turn) + 1) / float(DRAWS + 1)
         if chosen:
             gaps = [F.aggregate(F.zip_with("y", F.lit(m.tolist()), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, b: a + b) for m in chosen]
             gap = F.least(*gaps) if len(gaps) > 1 else gaps[0]
@@ -217,7 +229,8 @@ def init_means(packed: DataFrame, k: int, how: str = "kmeans++", seed: int = 0)
         return kmeanspp_means(packed, k, seed)
     if how == "gaussian":
         _, m, s = spread(packed)
-        return m + np.random.default_rng(seed).standard_normal((k, len(m))) * np.sqrt(s)
+        u = [np.array([[(drawn(c * len(m) + t, seed, turn) + 1) / (DRAWS + 1) for t in range(len(m))] for c in range(k)]) for turn in (0, 1)]
+        return m + np.sqrt(-2 * np.log(u[0])) * np.cos(2 * math.pi * u[1]) * np.sqrt(s)  # normal by pairs of uniform draws
     if how in ("sklearn-kmeans", "cuml-kmeans"):
         from pyspark.ml.clustering import KMeans
         from pyspark.ml.functions import array_to_vector
@@ -285,9 +298,8 @@ def _batch(packed: DataFrame, p: Params, cfg: Config) -> tuple[Params, list[floa
 
 
 def batch_of(site: Column, seed: int, epoch: int, n: int) -> Column:
-    """Mini-batch of a site: a multiplicative hash of site, seed and epoch in plain arithmetic, the same in any engine."""
-    mixed = F.pmod(F.pmod(site, F.lit(2**31)) * 2 + 1 + 2 * seed, F.lit(2**31)) * (2_654_435_761 % 2**31 + 2 * 7919 * epoch)
-    return F.floor(F.pmod(mixed, F.lit(2**32)) / 65_536).cast("int") % n
+    """Mini-batch of a site, drawn anew for each epoch."""
+    return (drawn(site, seed, epoch) % n).cast("int")
 
 
 def _stepwise(packed: DataFrame, p: Params, cfg: Config, smooth: Smoother | None) -> tuple[Params, Params, list[float], bool]:
