@@ -6,6 +6,7 @@ import os
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from siteflow.llm import decontamination, jaccard_join, lattice_lm, line_dedup, pii, quality_rules, secret_scan, sentencepiece_codec, sharding, url_filters
 from siteflow.llm.common import table
@@ -34,7 +35,8 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.withColumn("removed_places", F.array_join("removed_places", ","))
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

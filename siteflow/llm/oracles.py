@@ -55,4 +55,21 @@ r AS (SELECT doc_id, doc_id AS root FROM documents UNION SELECT u.b, r.root FROM
 SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id FROM (SELECT doc_id, min(root) AS component_id FROM r GROUP BY doc_id) LEFT JOIN n USING (doc_id)
 """
 
-ORACLES = {"op3_quality_rules": OP3, "op5_jaccard_join": OP5, "op7_url_filters": OP7}
+# Runs of at least 50 words that lose this when their first or their last line goes, by their own text; any but the first place of a run goes.
+OP4 = r"""
+WITH l AS MATERIALIZED (SELECT doc_id, i, line, trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS x
+  FROM (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL)),
+c AS MATERIALIZED (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY k) AS cum FROM (
+  SELECT doc_id, i, x, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k, len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS n FROM l WHERE x <> '')),
+r AS MATERIALIZED (SELECT a.doc_id, a.k AS s, z.k AS e FROM c a JOIN c z ON z.doc_id = a.doc_id AND z.k BETWEEN a.k AND a.k + 49
+  WHERE z.cum - a.cum + a.n >= 50 AND (z.cum - z.n - a.cum + a.n < 50 OR z.cum - a.cum < 50)),
+g AS MATERIALIZED (SELECT r.doc_id, s, e, string_agg(x, chr(10) ORDER BY k) AS gram FROM r JOIN c ON c.doc_id = r.doc_id AND k BETWEEN s AND e GROUP BY r.doc_id, s, e),
+f AS (SELECT doc_id, s, e, row_number() OVER (PARTITION BY gram ORDER BY doc_id, s) AS nth FROM g),
+m AS MATERIALIZED (SELECT DISTINCT f.doc_id, i FROM f JOIN c ON c.doc_id = f.doc_id AND k BETWEEN s AND e WHERE nth > 1),
+t AS (SELECT l.doc_id, count(*) AS n_lines, count(m.i) AS n_removed, string_agg(CAST(m.i AS VARCHAR), ',' ORDER BY m.i) AS removed, string_agg(line, chr(10) ORDER BY l.i) FILTER (WHERE m.i IS NULL) AS kept
+  FROM l LEFT JOIN m ON m.doc_id = l.doc_id AND m.i = l.i GROUP BY l.doc_id)
+SELECT d.doc_id, CASE WHEN n_removed > 0 THEN coalesce(kept, '') ELSE text END AS text, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, coalesce(removed, '') AS removed_places
+FROM documents d LEFT JOIN t USING (doc_id)
+"""
+
+ORACLES = {"op3_quality_rules": OP3, "op4_line_dedup": OP4, "op5_jaccard_join": OP5, "op7_url_filters": OP7}

@@ -204,14 +204,17 @@ def test_op3_ablations_sum_up(spark):
 
 def test_op4_equals_brute_force(spark, docs):
     want = brute_removed(docs)
-    got = {r["doc_id"]: list(r["removed_places"]) for r in catalog.op4_line_dedup(spark, SF).collect()}
+    got = {r["doc_id"]: [int(x) for x in r["removed_places"].split(",") if x] for r in catalog.op4_line_dedup(spark, SF).collect()}
     assert got == want and any(want.values())
+    from oracle import same
+
+    same(catalog.op4_line_dedup(spark, SF), catalog.ORACLES["op4_line_dedup"], SF)
 
 
 def test_op4_equals_brute_force_on_a_larger_table(spark):
     sf = SF.replace("sf0.001", "sf0.01")
     want = brute_removed(sorted((r["doc_id"], r["text"]) for r in table(spark, sf, "documents").select("doc_id", "text").collect()))
-    got = {r["doc_id"]: list(r["removed_places"]) for r in catalog.op4_line_dedup(spark, sf).collect()}
+    got = {r["doc_id"]: [int(x) for x in r["removed_places"].split(",") if x] for r in catalog.op4_line_dedup(spark, sf).collect()}
     assert got == want and sum(map(bool, want.values())) > 50
 
 
