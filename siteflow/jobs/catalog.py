@@ -31,7 +31,8 @@ def _planted(spark, sf_dir):
 
 
 def _log_means(cube: DataFrame) -> DataFrame:
-    return threshold.log_mean(mask.split(cube, mask.site_mask(cube))[0])
+    """Several passes follow, so the few numbers of a site are kept."""
+    return threshold.log_mean_packed(mask.keep_packed(src.pack(cube))).select("site", "x").cache()
 
 
 def _kept(cube: DataFrame, kind: str = "simple") -> DataFrame:
@@ -134,7 +135,8 @@ def mask_complement(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def log_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _log_means(_planted(spark, sf_dir)).select("site", r6("x").alias("x"))
+    cube = _planted(spark, sf_dir)
+    return threshold.log_mean(mask.split(cube, mask.site_mask(cube))[0]).select("site", r6("x").alias("x"))
 
 
 def fd_bin_width(spark: SparkSession, sf_dir: str) -> DataFrame:
