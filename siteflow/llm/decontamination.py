@@ -196,6 +196,7 @@ def hits_in(index: ItemIndex, cut: list[list[bytes]], stride: int, least: float)
         r = int(np.searchsorted(first_block, w, "right") - 1)
         start = int(w - first_block[r]) * stride
         for item, score in index.search(terms[inside].tolist()):
+            score = round(score, 9)  # of passages that score the same the first counts
             question, answer = index.parts[item]
             passage = cut[r][max(0, start - stride) : start + 3 * stride]
             q, a = overlap(question, passage), overlap(answer, passage)

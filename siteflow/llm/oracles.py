@@ -72,4 +72,31 @@ SELECT d.doc_id, CASE WHEN n_removed > 0 THEN coalesce(kept, '') ELSE text END A
 FROM documents d LEFT JOIN t USING (doc_id)
 """
 
-ORACLES = {"op3_quality_rules": OP3, "op4_line_dedup": OP4, "op5_jaccard_join": OP5, "op7_url_filters": OP7}
+# Every item against every passage of its own length class, by BM25 as a share of the item's best score; then five-word runs of question and answer.
+_FOLD = r"list_filter(string_split(regexp_replace(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+', ' ', 'g'), ' '), lambda y: y <> '')"
+OP10 = r"""
+WITH it AS MATERIALIZED (SELECT row_number() OVER () AS it, item_id, text FROM benchmark WHERE text IS NOT NULL),
+folded AS (SELECT it, item_id, text, FOLDED_TEXT AS ws FROM it),
+iw AS MATERIALIZED (SELECT it, item_id, text, ws, CAST(64 * pow(2, greatest(0, ceil(log2(len(ws) / 64.0)))) AS BIGINT) AS stride FROM folded WHERE len(ws) > 0),
+tf AS MATERIALIZED (SELECT it, w, count(*) AS tf FROM (SELECT it, unnest(ws) AS w FROM iw) GROUP BY it, w),
+st AS MATERIALIZED (SELECT count(*) AS n, avg(len(ws)) AS mean FROM iw),
+dfs AS MATERIALIZED (SELECT w, count(*) AS df FROM tf GROUP BY w),
+gain AS MATERIALIZED (SELECT it, w, stride, g / sum(g) OVER (PARTITION BY it) AS g FROM (
+  SELECT it, w, stride, ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(ws) / mean)) AS g FROM tf JOIN iw USING (it) JOIN dfs USING (w), st)),
+dw AS MATERIALIZED (SELECT row_number() OVER () AS d, doc_id, FOLDED_TEXT AS ws FROM documents WHERE text IS NOT NULL),
+dt AS MATERIALIZED (SELECT d, w, p FROM (SELECT d, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS p FROM dw) SEMI JOIN dfs USING (w)),
+hit AS MATERIALIZED (SELECT d, it, b, stride, sum(g) AS score FROM (
+    SELECT DISTINCT d, it, p // stride - o AS b, stride, w, g FROM dt JOIN gain USING (w), (SELECT unnest([0, 1]) AS o) WHERE p // stride - o >= 0) GROUP BY d, it, b, stride HAVING sum(g) >= 0.5 - 1e-9),
+sent AS (SELECT it, ws, list_filter(list_transform(string_split_regex(regexp_replace(text, '([.!?])\s+', '\1' || chr(10), 'g'), '\n+'),
+    lambda x: FOLDED_SENTENCE), lambda s: len(s) > 0) AS ss FROM iw),
+part AS (SELECT it, 'q' AS side, CASE WHEN len(ss) > 1 THEN flatten(ss[:-2]) ELSE ws END AS ws FROM sent UNION ALL SELECT it, 'a', CASE WHEN len(ss) > 1 THEN ss[-1] ELSE ws END FROM sent),
+wanted AS MATERIALIZED (SELECT it, side, len(ws) AS size, least(5, len(ws)) AS n, array_to_string(ws[i:i + least(5, len(ws)) - 1], ' ') AS gram FROM (SELECT *, unnest(range(1, len(ws) - least(5, len(ws)) + 2)) AS i FROM part)),
+around AS MATERIALIZED (SELECT d, it, b, score, stride, ws[greatest(0, (b - 1) * stride) + 1:(b + 3) * stride] AS ws FROM hit JOIN dw USING (d)),
+grams AS (SELECT DISTINCT d, it, b, n, array_to_string(ws[i:i + n - 1], ' ') AS gram FROM (SELECT d, it, b, n, ws, unnest(range(1, len(ws) - n + 2)) AS i FROM around JOIN (SELECT DISTINCT it, n FROM wanted) USING (it))),
+over AS (SELECT d, it, b, side, count(g.gram) / count(*) AS share FROM (SELECT d, it, b, side, wanted.n, wanted.gram FROM hit JOIN wanted USING (it)) x LEFT JOIN grams g USING (d, it, b, n, gram) GROUP BY d, it, b, side),
+both_ AS (SELECT d, it, b, max(share) FILTER (side = 'q') AS q, max(share) FILTER (side = 'a') AS a FROM over GROUP BY d, it, b),
+best AS (SELECT d, it, h.b * stride AS first_word, score, q, a, row_number() OVER (PARTITION BY d, it ORDER BY round(score, 9) DESC, h.b) AS nth FROM hit h JOIN both_ USING (d, it, b) WHERE least(q, a) >= 0.5)
+SELECT doc_id, item_id, round(score, 6) AS score, round(q, 6) AS question_overlap, round(a, 6) AS answer_overlap, CAST(first_word AS BIGINT) AS first_word FROM best JOIN dw USING (d) JOIN it USING (it) WHERE nth = 1
+""".replace("FOLDED_TEXT", _FOLD.format("text")).replace("FOLDED_SENTENCE", _FOLD.format("x"))
+
+ORACLES = {"op10_decontamination": OP10, "op3_quality_rules": OP3, "op4_line_dedup": OP4, "op5_jaccard_join": OP5, "op7_url_filters": OP7}

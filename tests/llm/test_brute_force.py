@@ -623,6 +623,13 @@ def test_op10_equals_plain_bm25(spark, docs, blocks):
     assert found[0] == 10 and found[1] <= 3 and found[3] >= 4, found
 
 
+@pytest.mark.parametrize("scale", ["0.001", "0.01"])
+def test_op10_equals_sql(spark, scale):
+    from oracle import same
+
+    same(catalog.op10_decontamination(spark, f"/root/testdata/sf{scale}"), catalog.ORACLES["op10_decontamination"], f"/root/testdata/sf{scale}")
+
+
 def test_op10_search_returns_all_above_the_threshold(spark, docs):
     """WAND and the early drop lose nothing that a full sum of impacts finds."""
     items = [(r["item_id"], r["text"]) for r in table(spark, SF, "benchmark").collect()]
