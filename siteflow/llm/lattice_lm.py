@@ -1,8 +1,8 @@
 """Language-model scores: a unigram base over words, and the marginal likelihood of a subword lattice.
 
 The vocabulary is an existing one; it is never trained. A piece's weight is a mixture: VOCABULARY_SHARE of it is the
-vocabulary's own score, whatever the size of the corpus, and the rest is the piece's share in the vocabulary's own
-segmentation of every word of the training documents. A text's score sums the probability of all its segmentations: a forward recursion in log space runs over every distinct word once, since
+vocabulary's own score, whatever the size of the corpus, and the rest is the piece's expected share in all segmentations of
+the training documents' words (one step of expectation-maximisation from counts of the vocabulary's own segmentation). A text's score sums the probability of all its segmentations: a forward recursion in log space runs over every distinct word once, since
 no segmentation crosses a word boundary. Counts and statistics cover all documents.
 
 Spark side: words are counted with a combine inside each task; each distinct word is scored once; words that make up
@@ -69,6 +69,8 @@ class Lattice:
             for k in range(1, len(p)):
                 self.table.setdefault(p[:k], None)
         self.table.update(weights)
+        self.ids = {p: i for i, (p, t) in enumerate(zip(m.pieces, m.types, strict=True)) if p in weights and t not in (BYTE, CONTROL, UNKNOWN)}
+        self.byte_ids = {int(p[3:5], 16): i for i, (p, t) in enumerate(zip(m.pieces, m.types, strict=True)) if t == BYTE}
 
     @staticmethod
     def _prior(m) -> list[float]:
@@ -113,6 +115,47 @@ class Lattice:
         return (top + math.log(sum(math.exp(x - top) for x in got))) / LOG10
 
 
+    def expected(self, word: str, times: float, into: list[float]) -> None:
+        """Adds to `into`, by piece, how often each piece is expected in `times` draws of the word's segmentations.
+
+        Forward in log space; backward each place shares out its own expected visits over the pieces that lead to it.
+        """
+        s = MARK + word
+        n, table = len(s), self.table
+        arriving: list[list[float]] = [[] for _ in range(n + 1)]
+        arriving[0].append(0.0)
+        here = [0.0] * (n + 1)
+        steps: list[tuple[int, int, float, str | None]] = []
+        for i in range(n + 1):
+            got = arriving[i]
+            if not got:
+                continue
+            top = max(got)
+            here[i] = x = top if len(got) == 1 else top + math.log(sum([math.exp(v - top) for v in got]))
+            covered = i == n
+            for j in range(i + 1, n + 1):
+                sub = s[i:j]
+                if sub not in table:
+                    break
+                v = table[sub]
+                if v is not None:
+                    arriving[j].append(x + v)
+                    steps.append((i, j, v, sub))
+                    covered |= j == i + 1
+            if not covered:
+                v = sum(self.bytes.get(b, -20.0) for b in s[i].encode("utf-8", "replace"))
+                arriving[i + 1].append(x + v)
+                steps.append((i, i + 1, v, None))
+        visits = [0.0] * (n + 1)
+        visits[n] = times
+        for i, j, v, sub in reversed(steps):
+            if visits[j]:
+                share = visits[j] * math.exp(here[i] + v - here[j])
+                visits[i] += share
+                for k in (self.ids[sub],) if sub is not None else [self.byte_ids[b] for b in s[i].encode("utf-8", "replace") if b in self.byte_ids]:
+                    into[k] += share
+
+
 @lru_cache(maxsize=1)
 def _reference(data: bytes):
     import sentencepiece
@@ -167,6 +210,24 @@ def piece_counts(counted: DataFrame, model: bytes) -> dict[int, float]:
     return {r["piece"]: float(r["c"]) for r in found.groupBy("piece").agg(F.sum("c").alias("c")).collect()}
 
 
+def expected_counts(counted: DataFrame, model: bytes, pieces: dict[int, float], ends: float) -> dict[int, float]:
+    """How often each piece is expected over all segmentations of the training words, under the weights of first counts."""
+    shipped = counted.sparkSession.sparkContext.broadcast((model, pieces, ends))
+    schema = pa.schema([("piece", pa.int32()), ("c", pa.float64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lattice = Lattice(*shipped.value)
+        total = [0.0] * (max([*lattice.ids.values(), *lattice.byte_ids.values()], default=0) + 1)
+        for batch in batches:
+            for w, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                lattice.expected(w, c, total)
+        at = [k for k, x in enumerate(total) if x > 0]
+        yield pa.record_batch([pa.array(at, pa.int32()), pa.array([total[k] for k in at], pa.float64())], schema=schema)
+
+    found = counted.where("c > 0").select("word", "c").mapInArrow(run, "piece int, c double")
+    return {r["piece"]: r["c"] for r in found.groupBy("piece").agg(F.sum("c").alias("c")).collect()}
+
+
 def score_words(counted: DataFrame, model: bytes, pieces: dict[int, float], ends: float) -> DataFrame:
     """word, n, known, base (log10 of count plus one) and lattice (log10 marginal) of every distinct word."""
     shipped = counted.sparkSession.sparkContext.broadcast((model, pieces, ends))
@@ -227,7 +288,7 @@ def score(docs: DataFrame, model: bytes, *, id_col: str = "doc_id", text_col: st
     stats = counted.agg(F.sum("c").alias("c"), F.sum("n").alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
     n, v = (stats["c"] or 0) + ends, stats["v"] + (1 if ends else 0)
 
-    pieces = piece_counts(counted, model)
+    pieces = expected_counts(counted, model, piece_counts(counted, model), float(ends))
     scored = written(score_words(counted, model, pieces, float(ends)), "scored")
     often = scored.where(F.col("n") > F.lit(head_share * (stats["n"] or 0)))  # fewer than 1 / head_share rows
     head = {r["word"].encode(): (r["known"], r["base"], r["lattice"]) for r in often.collect()}

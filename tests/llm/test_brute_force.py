@@ -372,7 +372,11 @@ def test_op6_base_and_lattice(spark, docs):
     for w, k in c.items():
         for p in sp.encode(w):
             pieces[p] += k
-    lattice = lattice_lm.Lattice(catalog.model_bytes(), {k: float(x) for k, x in pieces.items()}, float(ends))
+    first = lattice_lm.Lattice(catalog.model_bytes(), {k: float(x) for k, x in pieces.items()}, float(ends))
+    total = [0.0] * sp.get_piece_size()
+    for w, k in c.items():
+        first.expected(w, k, total)
+    lattice = lattice_lm.Lattice(catalog.model_bytes(), {k: x for k, x in enumerate(total) if x > 0}, float(ends))
     for i, t in docs[:60]:
         w, r = WORD.findall(lowered(t)), rows[i]
         assert (r["n_tokens"], r["n_known"], r["train_tokens"], r["held_out"]) == (len(w) + 1, sum(c[x] > 0 for x in w) + 1, n, lattice_lm.held_out(i))
@@ -380,6 +384,33 @@ def test_op6_base_and_lattice(spark, docs):
         assert r["score"] == pytest.approx(sum(map(lattice.marginal, w)) + lattice.end / math.log(10))
 
 
+def test_op6_expected_counts_weigh_all_segmentations():
+    lattice = lattice_lm.Lattice(catalog.model_bytes())
+    name = {i: p for p, i in lattice.ids.items()}
+
+    def every(s):
+        if not s:
+            yield 1.0, []
+        for k in range(1, len(s) + 1):
+            if lattice.table.get(s[:k]) is not None:
+                for p, rest in every(s[k:]):
+                    yield p * math.exp(lattice.table[s[:k]]), [s[:k], *rest]
+
+    for w in ("the", "token", "banana"):
+        found = list(every("▁" + w))
+        want, total = collections.Counter(), sum(p for p, _ in found)
+        for p, used in found:
+            for x in used:
+                want[x] += 3 * p / total
+        got = [0.0] * 32_000
+        lattice.expected(w, 3, got)
+        assert {name[k]: x for k, x in enumerate(got) if x > 1e-9} == pytest.approx({x: v for x, v in want.items() if v > 1e-9}, rel=1e-6)
+    odd = [0.0] * 32_000
+    for w in ("漢퟿😀", "a" * 5000, ""):
+        lattice.expected(w, 2, odd)
+    assert all(map(math.isfinite, odd)) and odd[lattice.byte_ids[0xED]] == pytest.approx(2)
+
+
 def test_op6_marginal_sums_all_segmentations():
     lattice = lattice_lm.Lattice(catalog.model_bytes())
 
