@@ -47,6 +47,11 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return cut.select(*[column(c) for c in docs.columns])
 
 
+def without(named: DataFrame, gone: DataFrame, row: str) -> DataFrame:
+    """The rows of named whose key is not in gone, a written table of keys; keys are broadcast only up to SEND_IDS of them."""
+    return named.join(F.broadcast(gone) if gone.count() <= jaccard_join.SEND_IDS else gone, row, "left_anti")
+
+
 def single(docs: DataFrame) -> DataFrame:
     """docs with one row of each doc_id and text; rows without words all stay."""
     row = row_column(docs)
@@ -66,15 +71,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     linked = written(jaccard_join.link(named, id_col=row).where("n_shingles > 0").select(F.col("doc_id").alias(row), "component_id"), "linked")
     first = linked.join(named.select(row, "doc_id"), row).groupBy("component_id").agg(F.min(F.struct("doc_id", row)).alias("first"))
     gone = written(linked.select(row).join(first.select(f"first.{row}"), row, "left_anti"), "gone")
-    return named.join(gone, row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return without(named, gone, row).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
     row = row_column(docs)
     named = docs.withColumn(row, row_key())
-    hits = decontamination.contaminated(named, table(spark, sf_dir, "benchmark"), id_col=row).select(F.col("doc_id").alias(row)).distinct()
-    return named.join(hits, row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    hits = written(decontamination.contaminated(named, table(spark, sf_dir, "benchmark"), id_col=row).select(F.col("doc_id").alias(row)).distinct(), "hits")
+    return without(named, hits, row).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
