@@ -36,6 +36,7 @@ HEAD_SHARE = 1e-5
 #: Part of every piece's weight that is the vocabulary's own score, however much text there is.
 VOCABULARY_SHARE = 0.1
 FLUSH = 250_000
+SMALLEST = 1e-290
 LOG10 = math.log(10.0)
 
 
@@ -70,6 +71,7 @@ class Lattice:
                 self.table.setdefault(p[:k], None)
         self.table.update(weights)
         self.ids = {p: i for i, (p, t) in enumerate(zip(m.pieces, m.types, strict=True)) if p in weights and t not in (BYTE, CONTROL, UNKNOWN)}
+        self.products: dict[str, tuple[int, float] | None] | None = None
         self.byte_ids = {int(p[3:5], 16): i for i, (p, t) in enumerate(zip(m.pieces, m.types, strict=True)) if t == BYTE}
 
     @staticmethod
@@ -118,42 +120,56 @@ class Lattice:
     def expected(self, word: str, times: float, into: list[float]) -> None:
         """Adds to `into`, by piece, how often each piece is expected in `times` draws of the word's segmentations.
 
-        Forward in log space; backward each place shares out its own expected visits over the pieces that lead to it.
+        Forward; then backward each place shares out its own expected visits over the pieces that lead to it. Products stand for sums
+        of logs here; a long word whose probability is too small for a double is counted half by half.
         """
-        s = MARK + word
-        n, table = len(s), self.table
-        arriving: list[list[float]] = [[] for _ in range(n + 1)]
-        arriving[0].append(0.0)
+        self._expected(MARK + word, times, into)
+
+    def _expected(self, s: str, times: float, into: list[float]) -> None:
+        n, pieces = len(s), self._products()
         here = [0.0] * (n + 1)
-        steps: list[tuple[int, int, float, str | None]] = []
-        for i in range(n + 1):
-            got = arriving[i]
-            if not got:
+        here[0] = 1.0
+        steps = []
+        for i in range(n):
+            x = here[i]
+            if not x:
                 continue
-            top = max(got)
-            here[i] = x = top if len(got) == 1 else top + math.log(sum([math.exp(v - top) for v in got]))
-            covered = i == n
+            covered = False
             for j in range(i + 1, n + 1):
                 sub = s[i:j]
-                if sub not in table:
+                if sub not in pieces:
                     break
-                v = table[sub]
-                if v is not None:
-                    arriving[j].append(x + v)
-                    steps.append((i, j, v, sub))
-                    covered |= j == i + 1
+                piece = pieces[sub]
+                if piece is not None:
+                    here[j] += x * piece[1]
+                    steps.append((i, j, piece))
+                    if j == i + 1:
+                        covered = True
             if not covered:
-                v = sum(self.bytes.get(b, -20.0) for b in s[i].encode("utf-8", "replace"))
-                arriving[i + 1].append(x + v)
-                steps.append((i, i + 1, v, None))
+                spelled = s[i].encode("utf-8", "replace")
+                weight = math.exp(sum(self.bytes.get(b, -20.0) for b in spelled))
+                here[i + 1] += x * weight
+                steps.append((i, i + 1, ([self.byte_ids[b] for b in spelled if b in self.byte_ids], weight)))
+        if here[n] < SMALLEST and n > 1:
+            self._expected(s[: n // 2], times, into)
+            self._expected(s[n // 2 :], times, into)
+            return
         visits = [0.0] * (n + 1)
         visits[n] = times
-        for i, j, v, sub in reversed(steps):
+        for i, j, (piece, weight) in reversed(steps):
             if visits[j]:
-                share = visits[j] * math.exp(here[i] + v - here[j])
+                share = visits[j] * here[i] * weight / here[j]
                 visits[i] += share
-                for k in (self.ids[sub],) if sub is not None else [self.byte_ids[b] for b in s[i].encode("utf-8", "replace") if b in self.byte_ids]:
-                    into[k] += share
+                if type(piece) is int:
+                    into[piece] += share
+                else:
+                    for k in piece:
+                        into[k] += share
+
+    def _products(self) -> dict[str, tuple[int, float] | None]:
+        if self.products is None:
+            self.products = {p: None if v is None else (self.ids[p], math.exp(v)) for p, v in self.table.items()}
+        return self.products
 
 
 @lru_cache(maxsize=1)

@@ -406,9 +406,9 @@ def test_op6_expected_counts_weigh_all_segmentations():
         lattice.expected(w, 3, got)
         assert {name[k]: x for k, x in enumerate(got) if x > 1e-9} == pytest.approx({x: v for x, v in want.items() if v > 1e-9}, rel=1e-6)
     odd = [0.0] * 32_000
-    for w in ("漢퟿😀", "a" * 5000, ""):
+    for w in ("漢퟿😀", "a" * 5000, "", "\U000abcde" * 300):
         lattice.expected(w, 2, odd)
-    assert all(map(math.isfinite, odd)) and odd[lattice.byte_ids[0xED]] == pytest.approx(2)
+    assert all(map(math.isfinite, odd)) and odd[lattice.byte_ids[0xED]] == pytest.approx(2) and odd[lattice.byte_ids[0xF2]] == pytest.approx(600)
 
 
 def test_op6_marginal_sums_all_segmentations():
