@@ -8,7 +8,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteflow.llm import decontamination, jaccard_join, lattice_lm, line_dedup, pii, quality_rules, secret_scan, sentencepiece_codec, sharding, url_filters
+from siteflow.llm import decontamination, jaccard_join, lattice_lm, line_dedup, pii, prefix_trie, quality_rules, secret_scan, sentencepiece_codec, sharding, url_filters
 from siteflow.llm.common import table
 from siteflow.llm.oracles import ORACLES as ORACLES
 
@@ -65,10 +65,14 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.withColumns({c: F.round(c, 6) for c in ("score", "question_overlap", "answer_overlap")})
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.rebuilt_trie(table(spark, sf_dir, "conversations"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpus_pipeline import run
 
     return run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_sharding, op3_quality_rules, op4_line_dedup, op5_jaccard_join, op6_lattice_lm, op7_url_filters, op8_secret_scan, op9_pii, op10_decontamination, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_sharding, op3_quality_rules, op4_line_dedup, op5_jaccard_join, op6_lattice_lm, op7_url_filters, op8_secret_scan, op9_pii, op10_decontamination, op13_prefix_trie, pipeline)}

@@ -99,4 +99,29 @@ best AS (SELECT d, it, h.b * stride AS first_word, score, q, a, row_number() OVE
 SELECT doc_id, item_id, round(score, 6) AS score, round(q, 6) AS question_overlap, round(a, 6) AS answer_overlap, CAST(first_word AS BIGINT) AS first_word FROM best JOIN dw USING (d) JOIN it USING (it) WHERE nth = 1
 """.replace("FOLDED_TEXT", _FOLD.format("text")).replace("FOLDED_SENTENCE", _FOLD.format("x"))
 
-ORACLES = {"op10_decontamination": OP10, "op3_quality_rules": OP3, "op4_line_dedup": OP4, "op5_jaccard_join": OP5, "op7_url_filters": OP7}
+# CRC-32 of the UTF-8 bytes of {0}, a byte at a time through the table of 256 remainders in `crc`.
+_CRC = r"xor(4294967295, list_reduce([4294967295] || list_transform(range(octet_length(encode({0}))), lambda i: CAST(concat('0x', hex(encode({0}))[2 * i + 1:2 * i + 2]) AS BIGINT)), lambda a, b: xor(a >> 8, remainders[(xor(a, b) & 255) + 1])))"
+_CRC_TABLE = r"crc AS MATERIALIZED (SELECT list_transform(range(256), lambda b: list_reduce([b] || range(8), lambda a, k: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS remainders)"
+
+OP13 = r"""
+WITH CRC_TABLE,
+t AS (SELECT conv_id, turn, md5(concat(octet_length(encode(coalesce(role, ''))), ':', coalesce(role, ''), coalesce(text, ''))) AS id, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words
+      FROM conversations WHERE conv_id IS NOT NULL),
+o AS MATERIALIZED (SELECT conv_id, list({'id': id, 'words': words} ORDER BY turn NULLS FIRST, id) AS own FROM t GROUP BY conv_id),
+h AS (SELECT conv_id, own, CRC_OF % 4 AS h FROM o, crc),
+r AS MATERIALIZED (SELECT h.conv_id, list_concat(coalesce(d.own[1:h.h], []), h.own[h.h + 1:]) AS turns FROM h LEFT JOIN o d ON d.conv_id = h.conv_id - h.conv_id % 20),
+p AS MATERIALIZED (SELECT conv_id, turns, len(turns) AS n, depth, md5(array_to_string(list_transform(turns[1:depth], lambda x: x.id), ',')) AS node,
+      CASE WHEN depth > 0 THEN md5(array_to_string(list_transform(turns[1:depth - 1], lambda x: x.id), ',')) END AS parent, coalesce(turns[depth].words, 0) AS words
+      FROM (SELECT *, unnest(range(0, len(turns) + 1)) AS depth FROM r)),
+n AS MATERIALIZED (SELECT node, any_value(parent) AS parent, any_value(depth) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(words) AS saved,
+      sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE n = depth), '')) AS ends_sha256, any_value(turns) AS turns FROM p GROUP BY node),
+c AS MATERIALIZED (SELECT parent AS node, count(*) AS n_children FROM n WHERE parent IS NOT NULL GROUP BY parent),
+u AS (SELECT md5(array_to_string(list_transform(turns[1:up], lambda x: x.id), ',')) AS node, saved, leaf FROM (
+      SELECT turns, saved, (c.node IS NULL)::INT AS leaf, unnest(range(0, depth + 1)) AS up FROM n LEFT JOIN c USING (node))),
+s AS (SELECT node, sum(saved) AS saved_tokens, sum(leaf) AS n_leaves FROM u GROUP BY node)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, q.conv_id AS parent_conv_id, CAST(n.n_convs AS BIGINT) AS n_convs, CAST(coalesce(n_children, 0) AS BIGINT) AS n_children,
+       CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM n JOIN s ON s.node = n.node LEFT JOIN c ON c.node = n.node LEFT JOIN n q ON q.node = n.parent
+""".replace("CRC_TABLE", _CRC_TABLE).replace("CRC_OF", _CRC.format("CAST(conv_id AS VARCHAR)"))
+
+ORACLES = {"op13_prefix_trie": OP13, "op10_decontamination": OP10, "op3_quality_rules": OP3, "op4_line_dedup": OP4, "op5_jaccard_join": OP5, "op7_url_filters": OP7}
