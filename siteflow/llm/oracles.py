@@ -124,4 +124,21 @@ SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, q.conv_id AS parent_conv_id,
 FROM n JOIN s ON s.node = n.node LEFT JOIN c ON c.node = n.node LEFT JOIN n q ON q.node = n.parent
 """.replace("CRC_TABLE", _CRC_TABLE).replace("CRC_OF", _CRC.format("CAST(conv_id AS VARCHAR)"))
 
-ORACLES = {"op13_prefix_trie": OP13, "op10_decontamination": OP10, "op3_quality_rules": OP3, "op4_line_dedup": OP4, "op5_jaccard_join": OP5, "op7_url_filters": OP7}
+# Words with one place cut out or opened, marked by a star, meet their neighbours.
+OP11 = r"""
+WITH RECURSIVE CRC_TABLE,
+t AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS d, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{00C0}-\x{00FF}]+')) AS run FROM documents),
+k AS MATERIALIZED (SELECT run, count(*) AS n, concat(d, ':', run) AS key FROM t GROUP BY ALL),
+h AS MATERIALIZED (SELECT run, n, CRC_OF AS h FROM k, crc),
+w AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (SELECT n, CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM h)
+      WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+cut AS MATERIALIZED (SELECT word, substr(word, 1, i) || '*' || substr(word, i + 2) AS x FROM (SELECT word, unnest(range(0, length(word))) AS i FROM w)),
+gap AS MATERIALIZED (SELECT word, substr(word, 1, i) || '*' || substr(word, i + 1) AS x FROM (SELECT word, unnest(range(0, length(word) + 1)) AS i FROM w)),
+near AS MATERIALIZED (SELECT a.word, b.word AS v FROM cut a JOIN cut b USING (x) WHERE a.word <> b.word UNION SELECT a.word, b.word FROM cut a JOIN gap b USING (x) UNION SELECT b.word, a.word FROM cut a JOIN gap b USING (x)),
+best AS MATERIALIZED (SELECT near.word, count(*) AS n_near, max(w.n) AS n_best, min_by(v, (-w.n, v)) AS v FROM near JOIN w ON w.word = v GROUP BY near.word),
+j AS MATERIALIZED (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN n_best >= 5 * w.n THEN v END AS form, CASE WHEN n_best >= 5 * w.n THEN n_best END AS form_n FROM w LEFT JOIN best USING (word)),
+up AS (SELECT word, word AS root FROM j UNION ALL SELECT up.word, j.form FROM up JOIN j ON j.word = up.root WHERE j.form IS NOT NULL)
+SELECT j.word, j.form, up.root, j.n, CAST(j.n_near AS BIGINT) AS n_near, j.form_n FROM j JOIN up USING (word) JOIN j r ON r.word = up.root WHERE r.form IS NULL
+""".replace("CRC_TABLE", _CRC_TABLE).replace("CRC_OF", _CRC.format("key"))
+
+ORACLES = {"op11_spelling_variants": OP11, "op13_prefix_trie": OP13, "op10_decontamination": OP10, "op3_quality_rules": OP3, "op4_line_dedup": OP4, "op5_jaccard_join": OP5, "op7_url_filters": OP7}
