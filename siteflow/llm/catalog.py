@@ -8,7 +8,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteflow.llm import decontamination, jaccard_join, lattice_lm, line_dedup, pii, prefix_trie, quality_rules, secret_scan, sentencepiece_codec, sharding, spelling_variants, url_filters
+from siteflow.llm import decontamination, jaccard_join, lattice_lm, line_dedup, pii, prefix_trie, quality_rules, secret_scan, sentencepiece_codec, sharding, simhash_join, spelling_variants, url_filters
 from siteflow.llm.common import table
 from siteflow.llm.oracles import ORACLES as ORACLES
 
@@ -69,6 +69,10 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants.variants(table(spark, sf_dir, "documents"))
 
 
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_join.classes(table(spark, sf_dir, "documents"))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.rebuilt_trie(table(spark, sf_dir, "conversations"))
 
@@ -79,4 +83,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_sharding, op3_quality_rules, op4_line_dedup, op5_jaccard_join, op6_lattice_lm, op7_url_filters, op8_secret_scan, op9_pii, op10_decontamination, op11_spelling_variants, op13_prefix_trie, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_sharding, op3_quality_rules, op4_line_dedup, op5_jaccard_join, op6_lattice_lm, op7_url_filters, op8_secret_scan, op9_pii, op10_decontamination, op11_spelling_variants, op12_simhash, op13_prefix_trie, pipeline)}
