@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siteflow.operators.order_stats import order_statistics
+
 EPS = 2.220446049250313e-16
-#: Most bins that a search takes to the driver (three numbers each), and most for the table of all divergences, whose work is their square.
-MOST_BINS, MOST_TABLED = 2_000_000, 20_000
+#: Most bins that a search takes to the driver (four numbers each); their number grows with the cube root of the sites.
+MOST_BINS = 2_000_000
 SNAP = 1e-9  # a step below this is rounding noise: an empty bin leaves the divergence as it is
 
 
@@ -37,8 +41,7 @@ def bin_width(x: DataFrame) -> tuple[int, float, float]:
     low, high = half_even(n, 0.25), half_even(n, 0.75)
     if n < 3:
         raise ValueError("the width needs at least three sites")
-    pick = lambda i: F.expr(f"percentile_disc({(i + 0.5) / n!r}) within group (order by x)")
-    q1, q3 = x.agg(pick(low), pick(high)).first()
+    q1, q3 = order_statistics(x, "x", [low, high])
     return n, q3 - q1, (q3 - q1) / n ** (1 / 3)
 
 
@@ -84,56 +87,110 @@ def density(h: Histogram, bins: DataFrame) -> DataFrame:
 
 
 def divergence(h: Histogram, bins: DataFrame) -> DataFrame:
-    """i and kl: the divergence of the bins below i from the Gaussian fitted to the samples below i's edge, for every i.
+    """i, kl, mean, std: the divergence of the bins below i from the Gaussian fitted to the samples below i's edge, for every i.
 
-    One cumulative pass over the bins gives every fit; a self-join of the bins sums the rest. This is a table for inspection; the
-    search for a cutoff asks `Divergence` for single indices.
+    A table for inspection, in Arrow blocks of i over the bins that hold samples; the search for a cutoff asks for single indices.
     """
-    if h.n_bins > MOST_TABLED:
-        raise ValueError(f"{h.n_bins} bins are too many for a table of all divergences")
-    up_to = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cum = bins.select((F.col("bin") + 1).alias("i"), F.sum("n").over(up_to).alias("c"), F.sum("s").over(up_to).alias("s"), F.sum("ss").over(up_to).alias("ss"))
-    # With no sample below the edge the smallest one alone is taken.
-    mean = F.when(F.col("c") > 0, F.col("s") / F.greatest("c", F.lit(1))).otherwise(h.low)
-    var = F.when(F.col("c") > 0, F.greatest(F.lit(0.0), F.col("ss") / F.greatest("c", F.lit(1)) - (mean - h.mean) * (mean - h.mean))).otherwise(0.0)
-    fits = cum.select("i", mean.alias("mean"), F.greatest(F.sqrt(var), F.lit(EPS)).alias("std"), F.greatest(F.col("c") / (h.n * h.width) * (h.high - h.low) / h.n_bins, F.lit(EPS)).alias("mass"))
-    y = density(h, bins).select("bin", "left_edge", "density")
-    z = (F.col("left_edge") - F.col("mean")) / F.col("std")
-    q = F.exp(-0.5 * z * z) / (F.col("std") * math.sqrt(2 * math.pi)) + 1e-12
-    p = F.col("density") / F.col("mass")
-    term = F.when(p > 0, p * F.log(F.when(p > 0, p).otherwise(1.0) / q)).otherwise(0.0)
-    return fits.join(y, y["bin"] < fits["i"]).groupBy("i").agg(F.sum(term).alias("kl"), F.first("mean").alias("mean"), F.first("std").alias("std"))
+    spark = bins.sparkSession
+    shipped = spark.sparkContext.broadcast(Divergence.of(h, bins))  # at most MOST_BINS bins
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            i = b.column(0).to_numpy()
+            yield pa.record_batch([pa.array(i.astype(np.int32)), *map(pa.array, shipped.value.table(i))], names=["i", "kl", "mean", "std"])
+
+    return spark.range(1, h.n_bins + 1).mapInArrow(run, "i int, kl double, mean double, std double")
 
 
 class Divergence:
-    """The same for one index at a time, over the bins' sums: the work of an index is one pass over the bins below it."""
+    """Divergences from sums of the bins that hold samples.
+
+    With q the Gaussian plus FLOOR and p the bins' share, sum p ln(p / q) below an index is made of prefix sums of y ln y, y, y x and
+    y x x for y the densities, as long as the floor does not matter; bins so far out that it does (the Gaussian is below SURE) are
+    corrected one by one. Where the Gaussian is too narrow for that (only a few bins lie below) every bin is summed.
+    """
+
+    FLOOR, SURE, NARROW = 1e-12, 1e-3, 1e6
 
     def __init__(self, h: Histogram, rows: list):
-        self.h = h
-        self.n, self.s, self.ss = (np.array([r[c] for r in rows], float) for c in ("n", "s", "ss"))
-        self.sums = [np.cumsum(x) for x in (self.n, self.s, self.ss)]
-        self.edges = np.array([h.edge(i) for i in range(h.n_bins)])
+        self._take(h, *(np.array([r[c] for r in rows], float) for c in ("n", "s", "ss")), np.arange(len(rows)))
+
+    @classmethod
+    def of(cls, h: Histogram, bins: DataFrame) -> Divergence:
+        """From a table of bins: four Arrow columns, of at most MOST_BINS rows."""
+        held = bins.where("n > 0").orderBy("bin").toArrow()
+        made = cls.__new__(cls)
+        made._take(h, *(held.column(c).to_numpy().astype(float) for c in ("n", "s", "ss")), held.column("bin").to_numpy())
+        return made
+
+    def _take(self, h: Histogram, n: np.ndarray, s: np.ndarray, ss: np.ndarray, at: np.ndarray) -> None:
+        some = n > 0
+        self.h, self.at, self.n = h, at[some].astype(np.int64), n[some]
+        self.x = h.low + (h.high - h.low) * self.at / h.n_bins
+        self.y = self.n / (h.n * h.width)
+        far = self.x - h.mean
+        prefix = lambda v: np.concatenate([[0.0], np.cumsum(v)])
+        self.sums = [prefix(v) for v in (self.n, s[some], ss[some], self.y, self.y * np.log(self.y), self.y * far, self.y * far * far)]
         self.known: dict[int, float] = {}
 
+    def edge_at_least(self, v: float) -> int:
+        """The first bin whose left edge is not below v; n_bins if there is none."""
+        h = self.h
+        guess = int(np.clip((v - h.low) / ((h.high - h.low) or 1.0) * h.n_bins, 0, h.n_bins)) if math.isfinite(v) else (h.n_bins if v > 0 else 0)
+        while guess > 0 and h.edge(guess - 1) >= v:
+            guess -= 1
+        while guess < h.n_bins and h.edge(guess) < v:
+            guess += 1
+        return guess
+
+    def peak(self) -> int:
+        return int(self.at[np.argmax(self.n)])
+
+    def fits(self, i: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Bins with samples below i, their mass, and mean and deviation of the samples below i's edge; with none, the smallest sample alone."""
+        m = np.searchsorted(self.at, i)
+        c, s, ss = (x[m] for x in self.sums[:3])
+        some = np.maximum(c, 1)
+        mean = np.where(c > 0, s / some, self.h.low)
+        var = np.where(c > 0, np.maximum(0.0, ss / some - (mean - self.h.mean) ** 2), 0.0)
+        mass = np.maximum(c / (self.h.n * self.h.width) * (self.h.high - self.h.low) / self.h.n_bins, EPS)
+        return m, mass, mean, np.maximum(np.sqrt(var), EPS)
+
     def fit(self, i: int) -> tuple[float, float]:
-        """Mean and deviation of the samples below i's edge; with none, the smallest sample alone."""
-        c, s, ss = (float(x[i - 1]) for x in self.sums)
-        if c <= 0:
-            return self.h.low, EPS
-        mean = s / c
-        return mean, max(math.sqrt(max(0.0, ss / c - (mean - self.h.mean) ** 2)), EPS)
+        _, _, mean, std = self.fits(np.array([i]))
+        return float(mean[0]), float(std[0])
+
+    def table(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """kl, mean and std at the indices i, all within 1 and the number of bins."""
+        m, mass, mean, std = self.fits(i)
+        y, plain, first, second = (x[m] for x in self.sums[3:])
+        d, scale = mean - self.h.mean, np.log(std * math.sqrt(2 * math.pi))
+        kl = (plain - y * np.log(mass) + 0.5 * (second - 2 * d * first + d * d * y) / std**2 + y * scale) / mass
+        if not len(self.x):
+            return np.zeros(len(i)), mean, std
+        widest = np.maximum(np.abs(self.x[0] - mean), np.abs(self.x[np.maximum(m - 1, 0)] - mean)) / std
+        narrow = np.maximum(widest, np.abs(d) / std) ** 2 > self.NARROW
+        reach = np.sqrt(np.maximum(0.0, -2 * (math.log(self.SURE) + scale))) * std
+        left = np.where(narrow, m, np.minimum(np.searchsorted(self.x, mean - reach), m))
+        right = np.where(narrow, m, np.clip(np.searchsorted(self.x, mean + reach, "right"), left, m))
+        count = left + m - right
+        kl[narrow] = 0.0
+        for part in np.split(np.arange(len(i)), np.flatnonzero(np.diff(np.cumsum(count) >> 20)) + 1):
+            row = np.repeat(part, count[part])
+            nth = np.arange(len(row)) - np.repeat(np.cumsum(count[part]) - count[part], count[part])
+            j = np.where(nth < left[row], nth, nth - left[row] + right[row])
+            z = (self.x[j] - mean[row]) / std[row]
+            log_pdf = -0.5 * z * z - scale[row]
+            p, log_q = self.y[j] / mass[row], np.log(np.exp(log_pdf) + self.FLOOR)
+            # A narrow fit's bins are summed whole, others lose what their sums took for the floor.
+            kl += np.bincount(row, p * np.where(narrow[row], np.log(p) - log_q, log_pdf - log_q), minlength=len(i))
+        return kl, mean, std
 
     def __call__(self, i: int) -> float:
         if not 1 <= i <= self.h.n_bins:
             return math.inf
         if i not in self.known:
-            mean, std = self.fit(i)
-            mass = max(float(self.sums[0][i - 1]) / (self.h.n * self.h.width) * (self.h.high - self.h.low) / self.h.n_bins, EPS)
-            z = (self.edges[:i] - mean) / std
-            q = np.exp(-0.5 * z * z) / (std * math.sqrt(2 * math.pi)) + 1e-12
-            p = self.n[:i] / (self.h.n * self.h.width) / mass
-            some = p > 0
-            self.known[i] = float((p[some] * np.log(p[some] / q[some])).sum())
+            self.known[i] = float(self.table(np.array([i]))[0][0])
         return self.known[i]
 
 
@@ -141,9 +198,9 @@ def truncate(h: Histogram, kl: Divergence, max_iter: int = 100) -> int:
     """Index at which the search for a flat divergence ends; no step touches the data."""
     nb = h.n_bins
     # Left-inclusive search among the left edges.
-    at = lambda v: int(np.searchsorted(kl.edges, v, "left"))
+    at = kl.edge_at_least
     value = lambda i: max(kl(min(i, nb - 1)), EPS)
-    peak = int(np.argmax(kl.n))
+    peak = kl.peak()
     i = int(0.5 * peak + 0.5 * at(h.mean + h.std))
     i = peak - 2 if i >= nb else i
     i = max(i, 0)
@@ -179,7 +236,7 @@ def cutoff(x: DataFrame, kind: str = "KL", *, width: float | None = None, max_it
     if kind != "KL":
         return Cutoff(set_cutoff, kind)
     h, bins = binned(x, width)
-    kl = Divergence(h, bins.orderBy("bin").collect())  # at most MOST_BINS rows
+    kl = Divergence.of(h, bins)
     i = truncate(h, kl, max_iter)
     value = h.edge(i)
     mean, std = kl.fit(max(i, 1))
