@@ -204,11 +204,11 @@ def rescale_log_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def peak_labels_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return peaks.label(_kept(_planted(spark, sf_dir)), src.PLANTED)
+    return peaks.label(_kept(_planted(spark, sf_dir)), src.PLANTED, side=16)
 
 
 def peak_labels_3d(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return peaks.label(_kept(src.solid_cube(spark, sf_dir)), src.SOLID)
+    return peaks.label(_kept(src.solid_cube(spark, sf_dir)), src.SOLID, side=4)
 
 
 def peak_trajectories(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -246,16 +246,14 @@ def unit_cell_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def smooth_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = _packed(spark, sf_dir)
-    near = edges.local_edges(packed.select("site"), src.PLANTED, SMOOTH_L)
-    resp = gmm.long_form(gmm.responsibilities(packed, _start(packed)))
-    return edges.smooth(resp, near).select("site", "k", r6("r").alias("r"))
+    smooth = edges.near_smoother(src.PLANTED, SMOOTH_L, side=16)
+    return gmm.long_form(smooth(gmm.responsibilities(packed, _start(packed)))).select("site", "k", r6("r").alias("r"))
 
 
 def smooth_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = _packed(spark, sf_dir)
-    classes = edges.periodic_classes(packed.select("site"), src.PLANTED, [10, 10], 0.2)
-    resp = gmm.long_form(gmm.responsibilities(packed, _start(packed)))
-    return edges.smooth_periodic(resp, classes, edges.residues(packed.select("site"), src.PLANTED, [10, 10])).select("site", "k", r6("r").alias("r"))
+    smoothed = edges.smooth_periodic(gmm.responsibilities(packed, _start(packed)), src.PLANTED, [10, 10], 0.2)
+    return gmm.long_form(smoothed).select("site", "k", r6("r").alias("r"))
 
 
 # Mixtures on the embedding table: initial means are the first four vectors
@@ -295,16 +293,16 @@ def gmm_stepwise3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def gmm_smoothed2(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = _packed(spark, sf_dir)
-    near = edges.local_edges(packed.select("site"), src.PLANTED, SMOOTH_L)
+    smooth = edges.near_smoother(src.PLANTED, SMOOTH_L, side=16)
     p = _start(packed)
     for epoch in range(2):
-        p, _ = gmm.smoothed_step(packed, p, gmm.Config(), edges.smoother(near), epoch)
+        p, _ = gmm.smoothed_step(packed, p, gmm.Config(), smooth, epoch)
     return _params_out(spark, p)
 
 
 def gmm_periodic2(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = _packed(spark, sf_dir)
-    smooth = edges.periodic_smoother(packed.select("site"), src.PLANTED, [10, 10], 0.2)
+    smooth = edges.periodic_smoother(src.PLANTED, [10, 10], 0.2)
     p = _start(packed)
     for epoch in range(2):
         p, _ = gmm.smoothed_step(packed, p, gmm.Config(), smooth, epoch)

@@ -98,13 +98,13 @@ def smoothed(
     kept, cut = prepared(cube, kind=kind)
     packed = rescale.rescale_packed(kept, method).cache()
     if kernel == "local":
-        smooth = edges.smoother(edges.local_edges(packed.select("site"), sizes, l_scale).cache(), config.smoothing_iterations)
+        smooth = edges.near_smoother(sizes, l_scale, config.smoothing_iterations)
     elif kernel == "periodic":
         if axis is None:
             raise TypeError("the periodic kernel needs the axes")
         names = src.coords(len(sizes))
         cell = {r["name"]: r["size"] for r in edges.unit_cell(axis, names).collect()}  # a row an axis
-        smooth = edges.periodic_smoother(packed.select("site"), sizes, [cell[c] for c in names], l_scale, config.smoothing_iterations)
+        smooth = edges.periodic_smoother(sizes, [cell[c] for c in names], l_scale, config.smoothing_iterations)
     else:
         raise ValueError("kernel must be 'local' or 'periodic'")
     found = gmm.fit(packed, config, smooth)

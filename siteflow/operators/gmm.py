@@ -7,7 +7,7 @@ epoch is one scan with a combine of K x T rows per task.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 
 import numpy as np
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from siteflow.functions.lineage import cut
 from siteflow.operators.edges import smoother
+from siteflow.operators.tiles import Smoother
 
 FLOOR = 1e-12
 
@@ -327,12 +328,9 @@ def _stepwise(packed: DataFrame, p: Params, cfg: Config, smooth: Smoother | None
     return p, last, history[1:], done
 
 
-Smoother = Callable[[DataFrame], DataFrame]
-
-
 def smoothed_step(packed: DataFrame, p: Params, cfg: Config, smooth: Smoother, epoch: int) -> tuple[Params, DataFrame]:
-    """One step whose responsibilities (site, k, r) are smoothed between E and M."""
-    resp = cut(array_form(smooth(long_form(responsibilities(packed, p)))))
+    """One step whose responsibilities (site, r) are smoothed between E and M."""
+    resp = cut(smooth(responsibilities(packed, p)))
     return m_step(sums_given(packed, resp, p), p, eta(epoch, cfg.alpha)), resp
 
 
@@ -364,7 +362,7 @@ def fit(packed: DataFrame, cfg: Config, edges: DataFrame | Smoother | None = Non
     elif cfg.solver == "stepwise":
         p, last, history, done = _stepwise(packed, p, cfg, smooth)
         if smooth is not None:
-            resp = array_form(smooth(long_form(responsibilities(packed, last))))
+            resp = smooth(responsibilities(packed, last))
     else:
         raise ValueError("solver must be 'batch' or 'stepwise'")
     s = sums(packed, p)

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import itertools
 import math
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siteflow.functions.lineage import cut
+from siteflow.operators.tiles import connected
 from siteflow.sources.cube import coords, site_of, with_coords
 
 
@@ -26,22 +26,9 @@ def neighbours(sites: DataFrame, sizes: list[int], offsets: list[tuple[int, ...]
     return moved.where(inside).select("i", site_of(sizes).alias("j"), "w").join(sites.select(F.col("site").alias("j")), "j", "left_semi").select("i", "j", "w")
 
 
-def label(sites: DataFrame, sizes: list[int], rounds: int = 10_000) -> DataFrame:
-    """site and peak: connected by any of the 8 or 26 neighbours, numbered from 0 in raster order of the first site.
-
-    Labels fall to the neighbourhood's least, then each site takes its label's label, so long paths shorten by halves.
-    """
-    edges = cut(neighbours(sites, sizes, list(itertools.product((-1, 0, 1), repeat=len(sizes)))).select("i", "j"))
-    state = cut(sites.select("site", F.col("site").alias("root")))
-    for _ in range(rounds):
-        least = edges.join(state.select(F.col("site").alias("j"), "root"), "j").groupBy("i").agg(F.min("root").alias("low"))
-        hooked = least.select(F.col("i").alias("site"), "low")
-        jumped = hooked.join(hooked.select(F.col("site").alias("low"), F.col("low").alias("far")), "low").select("site", F.least("low", "far").alias("root"))
-        new = cut(jumped)
-        changed = new.join(state.withColumnRenamed("root", "old"), "site").where("root <> old").limit(1).count()
-        state = new
-        if not changed:
-            break
+def label(sites: DataFrame, sizes: list[int], side: int | None = None) -> DataFrame:
+    """site and peak: connected by any of the 8 or 26 neighbours, numbered from 0 in raster order of the first site."""
+    state = cut(connected(sites, sizes, side))
     return state.join(numbered(state.select("root").distinct(), sizes), "root").select("site", "peak")
 
 
