@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from siteflow.functions.lineage import shared_folder
 from siteflow.jobs import pipeline
 from siteflow.operators import edges, gmm, mask, peaks, rescale, select, threshold, views
+from siteflow.operators.order_stats import order_statistics
 from siteflow.sources import cube as src
 
 SEEDS = [0, 10, 20]  # sites (0,0), (0,10), (0,20): one of each planted kind
@@ -332,6 +333,61 @@ def gmm_order2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _params_out(spark, _steps(packed, gmm.start(packed, _first(packed, 3)), 2, reg=1e-6))
 
 
+def order_bin_width(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = threshold.log_mean_packed(mask.keep_packed(src.order_cube(spark, sf_dir))).select("site", "x").cache()
+    n, iqr, width = threshold.bin_width(x)
+    return spark.createDataFrame([(n, float(iqr), float(width))], "n long, iqr double, width double").select("n", r6("iqr").alias("iqr"), r6("width").alias("width"))
+
+
+def order_deciles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The values at the tenths of the sorted log means, picked without a sort."""
+    x = threshold.log_mean_packed(mask.keep_packed(src.order_cube(spark, sf_dir))).select("x").cache()
+    n = x.count()
+    found = order_statistics(x, "x", [(n - 1) * k // 10 for k in range(11)]) if n else []
+    return spark.createDataFrame(list(enumerate(found)), "decile int, x double").select("decile", r6("x").alias("x"))
+
+
+def _field(spark, sf_dir) -> tuple[DataFrame, list[int]]:
+    """Sites of the field half a deviation above the mean: a grid that grows with the data, clusters across tiles."""
+    packed, sizes = src.field_cube(spark, sf_dir)
+    x = threshold.log_mean_packed(mask.keep_packed(packed)).cache()
+    cut = threshold.cutoff(x, "simple")
+    return threshold.above_packed(x, threshold.Cutoff(cut.mean + 0.5 * cut.std, "half")), sizes
+
+
+def field_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _field(spark, sf_dir)[0].select("site")
+
+
+def field_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept, sizes = _field(spark, sf_dir)
+    return peaks.label(kept, sizes)
+
+
+def field_peak_trajectories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept, sizes = _field(spark, sf_dir)
+    kept = kept.cache()
+    return peaks.trajectories_packed(kept, peaks.label(kept, sizes)).select("peak", "t", r6("v_mean").alias("v_mean"), "v_max")
+
+
+def _field_start(spark, sf_dir) -> tuple[DataFrame, list[int], gmm.Params]:
+    kept, sizes = _field(spark, sf_dir)
+    packed = rescale.rescale_packed(kept).cache()
+    return packed, sizes, gmm.start(packed, _first(packed, 3))
+
+
+def field_smooth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed, sizes, p = _field_start(spark, sf_dir)
+    smooth = edges.near_smoother(sizes, SMOOTH_L)
+    return gmm.long_form(smooth(gmm.responsibilities(packed, p))).select("site", "k", r6("r").alias("r"))
+
+
+def field_smoothed_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed, sizes, p = _field_start(spark, sf_dir)
+    p, _ = gmm.smoothed_step(packed, p, gmm.Config(), edges.near_smoother(sizes, SMOOTH_L), 0)
+    return _params_out(spark, p)
+
+
 def gmm_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _labels(spark, sf_dir)[0]
 
@@ -525,7 +581,7 @@ QUERIES = {
         histogram_density, kl_by_index, kl_cutoff, kl_diagnostics, simple_cutoff, no_threshold, threshold_volume, high_variance_split,
         rescale_mean, rescale_zscore, rescale_log_mean, peak_labels_2d, peak_labels_3d, peak_trajectories, peak_sizes, pixel_labels,
         edges_local, edges_gaussian_weights, edges_periodic, unit_cell_shape, smooth_once, smooth_periodic, gmm_estep, gmm_mstep, gmm_loglik,
-        gmm_em3, gmm_stepwise3, gmm_smoothed2, gmm_periodic2, gmm_order2, gmm_labels, cluster_sizes, discovery_cluster, gmm_full_em2, kmeanspp_init, kmeans_init,
+        gmm_em3, gmm_stepwise3, gmm_smoothed2, gmm_periodic2, gmm_order2, order_bin_width, order_deciles, field_kept, field_peaks, field_peak_trajectories, field_smooth, field_smoothed_step, gmm_labels, cluster_sizes, discovery_cluster, gmm_full_em2, kmeanspp_init, kmeans_init,
         gaussian_init, minibatch_stepwise, post_stepwise_refine, reorder_clusters, second_pass_select, bic_table, bic_saved, best_k, recommend_mode,
         workflow_report, cluster_avg_intensity, trajectory_envelope, cluster_shifts, qmap_grid, kspace_slice, zoom_view, threshold_space, threshold_slice, clusters_space, plot_axes, run_bundle, cutoff_plot,
     )

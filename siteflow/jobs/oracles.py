@@ -179,7 +179,7 @@ def sql(need: list[str], final: str) -> str:
 
     for n in need:
         visit(n)
-    plain = [n for n in order if n not in ("comp", "scomp", "walk")]
+    plain = [n for n in order if n not in ("comp", "scomp", "fcomp", "walk")]
     parts = ", ".join(f"{n} AS {'MATERIALIZED ' if n in plain else ''}({CTES[n][1]})" for n in order)
     return (f"WITH RECURSIVE {parts} {final}") if parts else final
 
@@ -307,6 +307,38 @@ CTES["f0c"] = (["p0"], "SELECT a.k, a.t AS i, b.t AS j, CASE WHEN a.t = b.t THEN
 _FULL = full_step("f2", "xm", *full_step("f1", "xm", "p0", "f0c", 7, 1e-6), 7, 1e-6)
 ORACLES["gmm_full_em2"] = sql([*_FULL], f"SELECT m.k, m.t, {R('w', 'w')}, {R('mu', 'mu')}, {R('greatest(a, 0)', 'var')} FROM {_FULL[0]} m JOIN {_FULL[1]} c ON c.k = m.k AND c.i = m.t AND c.j = m.t")
 
+CTES["ohp"] = (
+    ["olm"],
+    """SELECT count(*) AS n, max(x) FILTER (k = CAST(round_even(c * 0.75, 0) AS BIGINT)) - max(x) FILTER (k = CAST(round_even(c * 0.25, 0) AS BIGINT)) AS iqr
+    FROM (SELECT x, row_number() OVER (ORDER BY x) - 1 AS k, count(*) OVER () AS c FROM olm)""",
+)
+ORACLES["order_bin_width"] = sql(["ohp"], f"SELECT n, {R('iqr', 'iqr')}, {R('iqr / pow(n, 1.0 / 3)', 'width')} FROM ohp")
+ORACLES["order_deciles"] = sql(["olm"], f"SELECT CAST(d AS INT) AS decile, {R('x', 'x')} FROM (SELECT x, row_number() OVER (ORDER BY x) - 1 AS k, count(*) OVER () AS c FROM olm), range(11) r(d) WHERE k = (c - 1) * d // 10")
+
+# The field: blocks of 20 parts by weeks, seven line numbers.
+CTES["ff"] = ([], "SELECT l_partkey // 20 AS a, CAST(l_shipdate AS DATE) - DATE '1995-01-01' AS days, l_linenumber % 7 AS t, l_quantity AS v FROM lineitem")
+CTES["fdim"] = (["ff"], "SELECT max(days // 7) + 1 AS n1 FROM ff")
+CTES["fq"] = (["ff", "fdim"], "SELECT CAST(a * n1 + days // 7 AS BIGINT) AS site, t, CAST(sum(v) AS DOUBLE) AS v FROM ff, fdim GROUP BY ALL")
+CTES["fld"] = (["fq"], "SELECT p.site, CAST(z.t AS INT) AS t, coalesce(q.v, 0) AS v FROM (SELECT DISTINCT site FROM fq) p CROSS JOIN range(7) z(t) LEFT JOIN fq q ON q.site = p.site AND q.t = z.t")
+CTES["flm"] = (["fld"], "SELECT site, ln(sum(v) / 7) AS x FROM fld GROUP BY site HAVING sum(v) > 0")
+CTES["fkept"] = (["flm"], "SELECT site FROM flm WHERE x > (SELECT avg(x) + 0.5 * stddev_pop(x) FROM flm)")
+CTES["fxm"] = (["fld", "fkept"], "SELECT site, t, v / nullif(avg(v) OVER (PARTITION BY site), 0) - 1 AS v FROM fld JOIN fkept USING (site)")
+CTES["freach"] = (
+    ["fkept", "fdim"],
+    """SELECT a.site AS i, b.site AS j, dx, dy FROM fkept a, fdim, (SELECT x - 2 AS dx FROM range(5) r(x)), (SELECT y - 2 AS dy FROM range(5) r(y)), fkept b
+    WHERE b.site = a.site + dx * n1 + dy AND a.site % n1 + dy BETWEEN 0 AND n1 - 1""",
+)
+CTES["fcomp"] = (["freach"], "SELECT i AS site, i AS root FROM freach WHERE i = j UNION SELECT r.j, c.root FROM fcomp c JOIN freach r ON r.i = c.site AND abs(dx) <= 1 AND abs(dy) <= 1")
+CTES["fpeaks"] = (["fcomp"], "SELECT site, CAST(dense_rank() OVER (ORDER BY root) - 1 AS BIGINT) AS peak FROM (SELECT site, min(root) AS root FROM fcomp GROUP BY site)")
+CTES["fnear"] = (["freach"], f"SELECT i, j, 1.0 / count(*) OVER (PARTITION BY i) AS w FROM freach WHERE dx * dx + dy * dy < {log(100)!r}")
+ORACLES["field_kept"] = sql(["fkept"], "SELECT site FROM fkept")
+ORACLES["field_peaks"] = sql(["fpeaks"], "SELECT site, peak FROM fpeaks")
+ORACLES["field_peak_trajectories"] = sql(["fpeaks", "fld"], f"SELECT peak, t, {R('avg(v)', 'v_mean')}, max(v) AS v_max FROM fld JOIN fpeaks USING (site) GROUP BY peak, t")
+responsibilities("fr0", "fxm", first_sites("fxm", 3))
+CTES["fr0s"] = (["fnear", "fr0"], "SELECT i AS site, k, sum(w * r) AS r FROM fnear JOIN fr0 ON fr0.site = fnear.j GROUP BY i, k")
+ORACLES["field_smooth"] = sql(["fr0s"], f"SELECT site, k, {R('r', 'r')} FROM fr0s")
+ORACLES["field_smoothed_step"] = sql([maximised("fsm", "fxm", "fr0s", "fxm_b3", step_size(0))], PARAMS + "fsm")
+
 ORDER2 = steps("oem", "oxm", first_sites("oxm", 3), [1.0] * 2, 1e-6)
 ORACLES["gmm_order2"] = sql([ORDER2], PARAMS + ORDER2)
 

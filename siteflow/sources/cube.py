@@ -207,6 +207,18 @@ def order_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_facts(facts, [0, LINES], YEARS)
 
 
+BLOCK = 20
+
+
+def field_cube(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[int]]:
+    """Packed quantities by line number on a grid of part blocks and weeks, and the grid's sizes: sites and rows of the grid grow with the data."""
+    line = table(spark, sf_dir, "lineitem")
+    week = F.expr("datediff(l_shipdate, DATE '1995-01-01') div 7").cast("int")
+    facts = line.select(F.expr(f"cast(l_partkey div {BLOCK} as int)").alias("c0"), week.alias("c1"), (F.col("l_linenumber") % LINES).cast("int").alias("t"), F.col("l_quantity").alias("v"))
+    sizes = [n + 1 for n in facts.agg(F.max("c0"), F.max("c1")).first()]
+    return pack_facts(facts, sizes, LINES), sizes
+
+
 def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packed trajectories from the embedding table."""
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("site"), F.col("embedding").cast("array<double>").alias("y"))
