@@ -488,7 +488,59 @@ def bic_saved(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def workflow_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = _sweep(src.embeddings(spark, sf_dir)).select("k", F.round("ll", 3).alias("ll"), F.round("bic", 3).alias("bic"))
-    return select.report(spark, {"rescale": "mean", "threshold": "simple"}, table, {"mode": "d", "k": select.best_k(table).first()["k"]})
+    top = select.best_k(table).first()
+    return select.report(spark, {"rescale": "mean", "threshold": "simple"}, table, {"mode": select.recommend(top["bic"], None), "k": top["k"]})  # vectors have no peaks
+
+
+# Jobs from the raw cube to their result
+
+
+PASSES = 30
+
+
+def _job_config(spark, sf_dir, **more) -> gmm.Config:
+    """Passes enough to settle, from the trajectories of the planted kinds, so that the result does not depend on draws."""
+    return gmm.Config(**({"k": 3, "tol": -1.0, "max_iter": PASSES, "means": _seeded(_packed(spark, sf_dir))} | more))
+
+
+def job_direct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mask, threshold, rescale, fit, reorder: the label of every kept site."""
+    return pipeline.direct(_planted(spark, sf_dir), src.YEARS, _job_config(spark, sf_dir), kind="simple").labels
+
+
+def job_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over peaks, back to pixels."""
+    return pipeline.by_peaks(_planted(spark, sf_dir), src.PLANTED, src.YEARS, _job_config(spark, sf_dir), kind="simple").pixels
+
+
+def job_two_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A second fit, of two components from the sites kept first, over the sites of the first fit's label 0."""
+    first = _job_config(spark, sf_dir)
+    second = gmm.Config(k=2, tol=-1.0, max_iter=5, means=first.means[:2])
+    one, two = pipeline.two_pass(_planted(spark, sf_dir), src.YEARS, first, second, keep=0, kind="simple")
+    return one.labels.withColumnRenamed("label", "first").join(two.labels.withColumnRenamed("label", "second"), "site", "left")
+
+
+def job_smoothed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fit whose responsibilities are averaged over near sites, epoch by epoch: its parameters, brightest cluster first."""
+    found = pipeline.smoothed(_planted(spark, sf_dir), src.PLANTED, src.YEARS, _job_config(spark, sf_dir, max_iter=3, max_smooth_epoch=3), l_scale=SMOOTH_L, kind="simple")
+    return _params_out(spark, found.fit.params)
+
+
+def job_workflow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both sweeps, the recommendation and the recommended run: one row a candidate, with the run's clusters where it was chosen."""
+    config = _job_config(spark, sf_dir, max_iter=10)
+    run, report = pipeline.workflow(_planted(spark, sf_dir), src.PLANTED, src.YEARS, k_min=2, k_max=4, config=config, kind="simple")
+    n = run.pixels.groupBy("label").count().count()
+    rows = [(m, r["k"], round(r["bic"], 3), n if (m, r["k"]) == (report["mode"], report["k"]) else None) for m, table in report["sweeps"].items() for r in table]
+    return spark.createDataFrame(rows, "mode string, k int, bic double, n_clusters int")
+
+
+def job_converged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A direct job with drawn starts and the usual tolerance, run until it converges: whether it did, and that likelihoods never fall."""
+    found = pipeline.direct(_planted(spark, sf_dir), src.YEARS, gmm.Config(k=3), kind="simple").fit
+    falls = sum(b < a - 1e-6 * abs(a) for a, b in zip(found.history, found.history[1:], strict=False))
+    return spark.createDataFrame([(found.n, found.converged, falls)], "n long, converged boolean, falls int")
 
 
 # Views
@@ -583,6 +635,6 @@ QUERIES = {
         edges_local, edges_gaussian_weights, edges_periodic, unit_cell_shape, smooth_once, smooth_periodic, gmm_estep, gmm_mstep, gmm_loglik,
         gmm_em3, gmm_stepwise3, gmm_smoothed2, gmm_periodic2, gmm_order2, order_bin_width, order_deciles, field_kept, field_peaks, field_peak_trajectories, field_smooth, field_smoothed_step, gmm_labels, cluster_sizes, discovery_cluster, gmm_full_em2, kmeanspp_init, kmeans_init,
         gaussian_init, minibatch_stepwise, post_stepwise_refine, reorder_clusters, second_pass_select, bic_table, bic_saved, best_k, recommend_mode,
-        workflow_report, cluster_avg_intensity, trajectory_envelope, cluster_shifts, qmap_grid, kspace_slice, zoom_view, threshold_space, threshold_slice, clusters_space, plot_axes, run_bundle, cutoff_plot,
+        job_direct, job_peaks, job_two_pass, job_smoothed, job_workflow, job_converged, workflow_report, cluster_avg_intensity, trajectory_envelope, cluster_shifts, qmap_grid, kspace_slice, zoom_view, threshold_space, threshold_slice, clusters_space, plot_axes, run_bundle, cutoff_plot,
     )
 }

@@ -364,7 +364,7 @@ for _k in range(7):  # three rounds of three mini-batches, then four full passes
         _X, _LAST = "xm", _P
         if _b is not None:
             _X = f"xm_{_k}{_b}"
-            CTES[_X] = (["xm"], f"SELECT * FROM xm WHERE {drawn('site', 0, _k)} % 3 = {_b}")
+            CTES[_X] = (["xm"], f"SELECT * FROM xm WHERE {drawn('(' + drawn('site', 0, 10_000) + ' % 64)', 0, _k)} % 3 = {_b}")
         _R = responsibilities(f"mb{_k}{_b}r", _X, _P)
         _P = maximised(f"mb{_k}{_b}", _X, _R, _P, step_size(_k))
 responsibilities("mbl", "xm", _LAST)
@@ -392,6 +392,59 @@ ORACLES["recommend_mode"] = sql(
     SELECT CASE WHEN s.bic < d.bic THEN 's' ELSE 'd' END AS mode, CASE WHEN s.bic < d.bic THEN s.k ELSE d.k END AS k, round(d.bic, 3) AS bic_d, round(s.bic, 3) AS bic_s FROM d, s""",
 )
 
+def seeded(name: str, x: str, k: int) -> str:
+    """Adds the first k planted kinds as means, with equal weights and x's variance."""
+    CTES[name] = (["xm", x], f"SELECT CAST(b.site // 10 AS INT) AS k, b.t, {1 / k!r} AS w, b.v AS mu, greatest(s.var, 1e-12) AS var FROM xm b JOIN (SELECT t, var_pop(v) AS var FROM {x} GROUP BY t) s USING (t) WHERE b.site IN ({', '.join(str(10 * j) for j in range(k))})")
+    return name
+
+
+def labelled(name: str, x: str, p: str) -> str:
+    responsibilities(f"{name}_r", x, p)
+    CTES[name] = ([f"{name}_r"], f"SELECT site, CAST(arg_min(k, (-r, k)) AS INT) AS label FROM {name}_r GROUP BY site")
+    return name
+
+
+def reordered(name: str, labels: str, raw: str, k: int) -> str:
+    """Adds label -> new label by the mean of raw (site, t, v) at the first value of the axis, brightest first."""
+    CTES[name] = (
+        [labels, raw],
+        f"""SELECT CAST(g.k AS INT) AS k, CAST(row_number() OVER (ORDER BY level DESC NULLS LAST, g.k) - 1 AS INT) AS nl FROM range({k}) g(k)
+        LEFT JOIN (SELECT label, avg(v) AS level FROM {raw} JOIN {labels} USING (site) WHERE t < 1 GROUP BY label) ON label = g.k""",
+    )
+    return name
+
+
+PASSES = 30
+_DIRECT = labelled("jdl", "xm", steps("jd", "xm", "p0", [1.0] * PASSES, 1e-6))
+ORACLES["job_direct"] = sql([_DIRECT, reordered("jdo", _DIRECT, "cube", 3)], "SELECT site, nl AS label FROM jdl JOIN jdo ON k = label")
+CTES["praw"] = (["peaks", "cube"], "SELECT peak AS site, t, avg(v) AS v FROM cube JOIN peaks USING (site) GROUP BY peak, t")
+_PEAKED = labelled("jsl", "pxm", steps("js", "pxm", seeded("ps0", "pxm", 3), [1.0] * PASSES, 1e-6))
+ORACLES["job_peaks"] = sql([_PEAKED, reordered("jso", _PEAKED, "praw", 3), "peaks"], "SELECT peaks.site, nl AS label FROM peaks JOIN jsl ON jsl.site = peak JOIN jso ON k = label")
+CTES["x2"] = (["xm", _DIRECT], "SELECT site, t, v FROM xm JOIN jdl USING (site) WHERE label = 0")
+_SECOND = labelled("j2l", "x2", steps("j2", "x2", seeded("p20", "x2", 2), [1.0] * 5, 1e-6))
+ORACLES["job_two_pass"] = sql([_DIRECT, _SECOND], "SELECT a.site, a.label AS first, b.label AS second FROM jdl a LEFT JOIN j2l b ON b.site = a.site")
+_P = steps("jm", "xm", "p0", [1.0] * 3, 1e-6)
+for _k in range(3):
+    responsibilities(f"jm_r{_k}", "xm", _P)
+    CTES[f"jm_s{_k}"] = (["near", f"jm_r{_k}"], f"SELECT i AS site, k, sum(w * r) AS r FROM near JOIN jm_r{_k} x ON x.site = near.j GROUP BY i, k")
+    _P = maximised(f"jm_p{_k}", "xm", f"jm_s{_k}", _P, step_size(_k))
+CTES["jml"] = (["jm_s2"], "SELECT site, CAST(arg_min(k, (-r, k)) AS INT) AS label FROM jm_s2 GROUP BY site")
+ORACLES["job_smoothed"] = sql([_P, reordered("jmo", "jml", "cube", 3)], f"SELECT nl AS k, t, {R('w', 'w')}, {R('mu', 'mu')}, {R('var', 'var')} FROM {_P} JOIN jmo USING (k)")
+
+_ROWS, _NEED = [], []
+for _m, _x in (("d", "xm"), ("s", "pxm")):
+    for _k in (2, 3):
+        _last = steps(f"jw{_m}{_k}", _x, seeded(f"jw{_m}{_k}s", _x, _k), [1.0] * 10, 1e-6)
+        labelled(f"jw{_m}{_k}l", _x, _last)
+        _NEED += [f"jw{_m}{_k}l"]
+        _ROWS.append(f"SELECT '{_m}' AS mode, CAST({_k} AS INT) AS k, round(-2 * ll + {2 * _k * 7 + _k - 1} * ln(n), 3) AS bic, (SELECT count(DISTINCT label) FROM jw{_m}{_k}l) AS n FROM (SELECT sum(lse) AS ll, count(*) AS n FROM jw{_m}{_k}l_r WHERE k = 0)")
+ORACLES["job_workflow"] = sql(
+    _NEED,
+    f", c AS (SELECT *, row_number() OVER (PARTITION BY mode ORDER BY bic, k) AS rk FROM ({' UNION ALL '.join(_ROWS)})), w AS (SELECT mode, k FROM c WHERE rk = 1 ORDER BY bic, mode LIMIT 1) "
+    "SELECT c.mode, c.k, bic, CAST(CASE WHEN w.mode IS NOT NULL THEN n END AS INT) AS n_clusters FROM c LEFT JOIN w ON w.mode = c.mode AND w.k = c.k",
+)
+ORACLES["job_converged"] = sql(["kept"], "SELECT count(*) AS n, true AS converged, CAST(0 AS INT) AS falls FROM kept")
+
 for _k in range(4):  # k-means++: each pick is the least exponential, at the rate of the distance to the nearest pick so far
     _gaps = " UNION ALL ".join(f"SELECT a.site, sum((a.v - b.v) * (a.v - b.v)) AS gap FROM vec a JOIN vec b USING (t) JOIN pick{j} p ON b.site = p.site GROUP BY a.site" for j in range(_k)) or "SELECT DISTINCT site, CAST(1 AS DOUBLE) AS gap FROM vec"
     _done = " AND ".join(f"site <> (SELECT site FROM pick{j})" for j in range(_k)) or "true"

@@ -49,11 +49,14 @@ def _ordered(cube: DataFrame, found: gmm.Fit, labels: DataFrame, n_t: int, reord
 Ready = tuple[DataFrame, threshold.Cutoff]
 
 
-def direct(cube: DataFrame, n_t: int, config: gmm.Config, *, kind: str = "KL", method: str = "mean", reorder: bool = True, ready: Ready | None = None) -> Result:
-    """Cluster every site above the background. ready: what `prepared` gave for this cube, where it is at hand."""
+def direct(cube: DataFrame, n_t: int, config: gmm.Config, *, kind: str = "KL", method: str = "mean", reorder: bool = True, ready: Ready | None = None, epochs: str | None = None) -> Result:
+    """Cluster every site above the background. ready: what `prepared` gave for this cube, where it is at hand.
+
+    epochs: a shared folder that keeps the fit's epochs; the same job, started again after its driver was lost, goes on from there.
+    """
     kept, cut = ready or prepared(cube, kind=kind)
     packed = rescale.rescale_packed(kept, method).cache()
-    found = gmm.fit(packed, config)
+    found = gmm.fit(packed, config, log=gmm.EpochLog(cube.sparkSession, epochs) if epochs else None)
     found, labels = _ordered(src.unpack(kept), found, found.labels(), n_t, reorder)
     return Result(labels, found, packed, labels, cut, {"mode": "d", "k": config.k, "rescale": method, "threshold": kind})
 

@@ -6,16 +6,19 @@ epoch is one scan with a combine of K x T rows per task.
 
 from __future__ import annotations
 
+import json
 import math
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteflow.functions.lineage import cut
+from siteflow.functions.lineage import cut, shared_folder
 from siteflow.operators.edges import smoother
 from siteflow.operators.tiles import Smoother
 
@@ -81,7 +84,10 @@ def _columns(params: Params) -> int:
 
 
 def _collect(partial: DataFrame, params: Params) -> Sums:
-    rows = partial.groupBy("k", "c").agg(F.sum("x").alias("x")).collect()  # K times the columns, whatever the input
+    return _sums(partial.groupBy("k", "c").agg(F.sum("x").alias("x")).collect(), params)  # K times the columns, whatever the input
+
+
+def _sums(rows: list, params: Params) -> Sums:
     n_t = params.means.shape[1]
     grid = np.zeros((params.k + 1, max(2, _columns(params))))
     for r in rows:
@@ -108,19 +114,29 @@ def _emit(total: np.ndarray, n: int, ll: float) -> pd.DataFrame:
 
 def sums(packed: DataFrame, params: Params) -> Sums:
     """E-step and the M-step's sums in one pass."""
+    return sums_many(packed, [params])[0]
+
+
+def sums_many(packed: DataFrame, mixtures: list[Params]) -> list[Sums]:
+    """The same for several mixtures at once: one scan, whatever their number."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, n, ll = np.zeros((params.k, _columns(params))), 0, 0.0
+        totals, n, ll = [np.zeros((p.k, _columns(p))) for p in mixtures], 0, [0.0] * len(mixtures)
         for pdf in parts:
             x = matrix(pdf)
             if not len(x):
                 continue
-            r, more = params.responsibilities(x)
-            total += _moments(x, r, params)
-            n, ll = n + len(x), ll + more
-        yield _emit(total, n, ll)
+            n += len(x)
+            for m, p in enumerate(mixtures):
+                r, more = p.responsibilities(x)
+                totals[m] += _moments(x, r, p)
+                ll[m] += more
+        for m, total in enumerate(totals):
+            yield _emit(total, n, ll[m]).assign(m=np.int32(m))
 
-    return _collect(packed.select("y").mapInPandas(run, "k int, c int, x double"), params)
+    partial = packed.select("y").mapInPandas(run, "k int, c int, x double, m int")
+    rows = partial.groupBy("m", "k", "c").agg(F.sum("x").alias("x")).collect()  # the mixtures' K times the columns, whatever the input
+    return [_sums([r for r in rows if r["m"] == m], p) for m, p in enumerate(mixtures)]
 
 
 def sums_given(packed: DataFrame, resp: DataFrame, params: Params) -> Sums:
@@ -287,40 +303,108 @@ class Fit:
         return labels(self.resp)
 
 
-def _batch(packed: DataFrame, p: Params, cfg: Config) -> tuple[Params, list[float], bool]:
-    history: list[float] = []
-    for _ in range(cfg.max_iter):
-        s = sums(packed, p)
-        history.append(s.ll)
-        if len(history) > 1 and abs(history[-1] - history[-2]) / s.n < cfg.tol:
-            return p, history, True
-        p = m_step(s, p, 1.0, cfg.reg)
-    return p, history, False
+class EpochLog:
+    """Epochs of a fit in a shared folder: a fit that starts again with the same folder goes on from the last whole epoch.
+
+    An epoch is one small Parquet folder, complete once Spark has committed it; parameters are exact, as JSON numbers round-trip.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def save(self, epoch: int, state: dict) -> None:
+        text = json.dumps({k: [x.tolist() for x in (v.weights, v.means, v.covs)] if isinstance(v, Params) else v for k, v in state.items()})
+        self.spark.createDataFrame([(epoch, text)], "epoch int, state string").coalesce(1).write.mode("append").parquet(self.path)
+
+    def load(self) -> dict | None:
+        try:
+            row = self.spark.read.schema("epoch int, state string").parquet(self.path).orderBy(F.col("epoch").desc()).first()
+        except AnalysisException:  # nothing was saved yet
+            return None
+        return None if row is None else {k: Params(*map(np.array, v)) if k in ("p", "last") else v for k, v in json.loads(row["state"]).items()}
+
+
+def fit_many(packed: DataFrame, starts: list[Params], cfg: Config, log: EpochLog | None = None) -> list[tuple[Params, list[float], bool]]:
+    """Batch EM of several mixtures side by side: parameters, likelihoods by epoch, whether it converged.
+
+    Every epoch is one scan that advances all fits that have not converged. A last scan gives the likelihood of those that never do;
+    the last of the likelihoods is always that of the parameters.
+    """
+    done: dict[int, bool] = {}
+    ps, histories = list(starts), [[] for _ in starts]
+    first = 0
+    if log is not None and len(starts) == 1 and (saved := log.load()) is not None:
+        ps, histories, first = [saved["p"]], [saved["history"]], saved["epoch"]
+    for epoch in range(first, cfg.max_iter + 1):
+        going = [m for m in range(len(ps)) if m not in done]
+        if not going:
+            break
+        for m, s in zip(going, sums_many(packed, [ps[m] for m in going]), strict=True):
+            h = histories[m]
+            h.append(s.ll)
+            if epoch == cfg.max_iter:
+                done[m] = False
+            elif len(h) > 1 and abs(h[-1] - h[-2]) / s.n < cfg.tol:
+                done[m] = True
+            else:
+                ps[m] = m_step(s, ps[m], 1.0, cfg.reg)
+                if log is not None:
+                    log.save(epoch + 1, {"epoch": epoch + 1, "p": ps[m], "history": h})
+    return [(p, h, done[m]) for m, (p, h) in enumerate(zip(ps, histories, strict=True))]
+
 
+#: Storage cells of mini-batches, and the turn of the draw that deals sites to them.
+CELLS, CELL_TURN = 64, 10_000
 
-def batch_of(site: Column, seed: int, epoch: int, n: int) -> Column:
-    """Mini-batch of a site, drawn anew for each epoch."""
-    return (drawn(site, seed, epoch) % n).cast("int")
+
+def cell_of(site: Column, seed: int) -> Column:
+    """The storage cell of a site: a draw that never changes."""
+    return (drawn(site, seed, CELL_TURN) % CELLS).cast("int")
+
+
+def batch_of(cell: int, seed: int, epoch: int, n: int) -> int:
+    """Mini-batch of a cell, drawn anew for each epoch."""
+    return drawn(cell, seed, epoch) % n
+
+
+def by_cells(packed: DataFrame, seed: int) -> DataFrame:
+    """packed in files by cell, so that a batch, which is some of the cells, reads its own files only."""
+    spark = packed.sparkSession
+    path = f"{shared_folder(spark)}/cells-{uuid.uuid4().hex}"
+    spread = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // CELLS)  # tasks a cell
+    placed = packed.select("site", "y", cell_of(F.col("site"), seed).alias("cell"))
+    placed.repartition("cell", F.pmod(F.xxhash64("site"), F.lit(spread))).write.partitionBy("cell").parquet(path)
+    return spark.read.schema(placed.schema).parquet(path)
 
 
 def _stepwise(packed: DataFrame, p: Params, cfg: Config, smooth: Smoother | None) -> tuple[Params, Params, list[float], bool]:
-    """Mini-batches by a seeded hash, then full passes; returns also the parameters of the last E-step."""
+    """Mini-batches of seeded cells, then full passes; returns also the parameters of the last E-step.
+
+    A full pass yields the likelihood of the parameters it starts from, so it also closes the epoch before.
+    """
     epoch, history, last = 0, [-1e6], p
     change = math.inf
+    cells = by_cells(packed, cfg.seed) if cfg.batch_num > 1 else None
+    ahead: Sums | None = None  # sums for p, where a pass has made them
     while change > cfg.tol and epoch < cfg.max_batch_epoch:
-        batches = [packed] if cfg.batch_num == 1 else [packed.where(batch_of(F.col("site"), cfg.seed, epoch, cfg.batch_num) == b) for b in range(cfg.batch_num)]
-        for part in batches:
-            last, s = p, sums(part, p)
-            if s.n:
-                p = m_step(s, p, eta(epoch, cfg.alpha))
-        history.append(sums(packed, p).ll)
+        if cells is None:
+            last, s = p, ahead or sums(packed, p)
+            p = m_step(s, p, eta(epoch, cfg.alpha)) if s.n else p
+        else:
+            for b in range(cfg.batch_num):
+                mine = [c for c in range(CELLS) if batch_of(c, cfg.seed, epoch, cfg.batch_num) == b]
+                last, s = p, sums(cells.where(F.col("cell").isin(mine)), p)
+                p = m_step(s, p, eta(epoch, cfg.alpha)) if s.n else p
+        ahead = sums(packed, p)
+        history.append(ahead.ll)
         change = abs(history[-1] - history[-2])
         epoch += 1
     done = change <= cfg.tol
     for _ in range(cfg.max_full_epoch + 1 if not done or smooth is not None else 0):
         last = p
-        p, _ = smoothed_step(packed, p, cfg, smooth, epoch) if smooth is not None else (m_step(sums(packed, p), p, eta(epoch, cfg.alpha)), None)
-        history.append(sums(packed, p).ll)
+        p, _ = smoothed_step(packed, p, cfg, smooth, epoch) if smooth is not None else (m_step(ahead or sums(packed, p), p, eta(epoch, cfg.alpha)), None)
+        ahead = sums(packed, p)
+        history.append(ahead.ll)
         epoch += 1
         if abs(history[-1] - history[-2]) <= cfg.tol:
             done = True
@@ -334,13 +418,18 @@ def smoothed_step(packed: DataFrame, p: Params, cfg: Config, smooth: Smoother, e
     return m_step(sums_given(packed, resp, p), p, eta(epoch, cfg.alpha)), resp
 
 
-def fit(packed: DataFrame, cfg: Config, edges: DataFrame | Smoother | None = None, *, params: Params | None = None) -> Fit:
-    """Fit a mixture; edges (i, j, w), or any smoother of responsibilities, act between E and M. Labels follow the last E-step."""
+def fit(packed: DataFrame, cfg: Config, edges: DataFrame | Smoother | None = None, *, params: Params | None = None, log: EpochLog | None = None) -> Fit:
+    """Fit a mixture; edges (i, j, w), or any smoother of responsibilities, act between E and M. Labels follow the last E-step.
+
+    log: where a batch fit's epochs are kept; an interrupted fit goes on from there.
+    """
     smooth = smoother(edges, cfg.smoothing_iterations) if isinstance(edges, DataFrame) else edges
+    if cfg.solver not in ("batch", "stepwise"):
+        raise ValueError("solver must be 'batch' or 'stepwise'")
     p = params or start(packed, cfg.means if cfg.means is not None else init_means(packed, cfg.k, cfg.init, cfg.seed), cfg.cov_type, cfg.reg)
     resp: DataFrame | None = None
     if cfg.solver == "batch":
-        p, history, done = _batch(packed, p, cfg)
+        p, history, done = fit_many(packed, [p], cfg, log)[0]
         last = p
         if smooth is not None:
             before = -1e6
@@ -353,20 +442,21 @@ def fit(packed: DataFrame, cfg: Config, edges: DataFrame | Smoother | None = Non
                     break
                 before = history[-1]
         else:
+            ahead = sums(packed, p) if cfg.refine_epochs else None
             for epoch in range(cfg.refine_epochs):
                 last = p
-                p = m_step(sums(packed, p), p, eta(epoch, cfg.alpha))
-                history.append(sums(packed, p).ll)
+                p = m_step(ahead, p, eta(epoch, cfg.alpha))
+                ahead = sums(packed, p)
+                history.append(ahead.ll)
                 if cfg.refine_tol is not None and len(history) > 1 and abs(history[-1] - history[-2]) <= cfg.refine_tol:
                     break
-    elif cfg.solver == "stepwise":
+    else:
         p, last, history, done = _stepwise(packed, p, cfg, smooth)
         if smooth is not None:
             resp = smooth(responsibilities(packed, last))
-    else:
-        raise ValueError("solver must be 'batch' or 'stepwise'")
-    s = sums(packed, p)
-    return Fit(p, resp if resp is not None else responsibilities(packed, last), s.ll, s.n, len(history), done, history)
+    n = packed.count()
+    ll = history[-1] if history else sums(packed, p).ll
+    return Fit(p, resp if resp is not None else responsibilities(packed, last), ll, n, len(history), done, history)
 
 
 def param_table(spark: SparkSession, p: Params) -> DataFrame:

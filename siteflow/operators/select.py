@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import math
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import replace
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siteflow.operators.gmm import Config, fit
+from siteflow.operators.gmm import Config, Params, fit, fit_many, init_means, start
 
 
 def parameter_count(k: int, n_t: int, cov_type: str = "diag") -> int:
@@ -23,19 +25,29 @@ def bic(ll: float, k: int, n_t: int, n: int, cov_type: str = "diag") -> float:
 
 
 def sweep(packed: DataFrame, k_min: int, k_max: int, base: Config | None = None, parallel: int = 4) -> DataFrame:
-    """k, ll, bic for k_min up to, but without, k_max: independent fits over one cached table, a few at a time."""
-    from dataclasses import replace
+    """k, ll, bic for k_min up to, but without, k_max.
 
+    Batch fits advance together, one scan an epoch for all that have not converged; draws of fewer means are the first of those of
+    more, so one start serves all. Other solvers fit one by one, a few at a time, over one cached table.
+    """
     base = base or Config()
     packed = packed.cache()
     n_t = len(packed.select("y").first()["y"])
+    ks = range(k_min, k_max)
 
     def one(k: int) -> tuple[int, float, float]:
         found = fit(packed, replace(base, k=k, means=None if base.means is None else base.means[:k]))
         return k, found.ll, bic(found.ll, k, n_t, found.n, base.cov_type)
 
-    with ThreadPoolExecutor(parallel) as pool:
-        rows = list(pool.map(one, range(k_min, k_max)))
+    if base.solver == "batch" and not base.refine_epochs and base.init in ("kmeans++", "gaussian") and ks:
+        means = base.means if base.means is not None else init_means(packed, ks[-1], base.init, base.seed)
+        whole = start(packed, means, base.cov_type, base.reg)
+        starts = [Params(np.full(len(means[:k]), 1 / len(means[:k])), whole.means[:k], whole.covs[:k]) for k in ks]
+        n = packed.count()
+        rows = [(k, h[-1], bic(h[-1], k, n_t, n, base.cov_type)) for k, (_, h, _) in zip(ks, fit_many(packed, starts, base), strict=True)]
+    else:
+        with ThreadPoolExecutor(parallel) as pool:
+            rows = list(pool.map(one, ks))
     packed.unpersist()
     return packed.sparkSession.createDataFrame(rows, "k int, ll double, bic double")
 

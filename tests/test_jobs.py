@@ -1,9 +1,14 @@
 """The jobs end to end on the planted cube, their sinks, and the stream."""
 
 import json
+from dataclasses import replace
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from siteflow.jobs import pipeline
-from siteflow.operators import gmm
+from siteflow.operators import gmm, select
 from siteflow.sources import cube as src
 from siteflow.streaming import feed
 
@@ -59,3 +64,52 @@ def test_periodic_job_bic_job_and_saved_sweeps(spark, tmp_path):
     assert saved == {r["k"]: r["bic"] for r in report["sweeps"]["d"]}
     rows = pipeline.bundle(m.labels, m.packed, axis, src.PLANTED)
     assert rows.count() == 45 * src.YEARS and rows.agg({"at": "max"}).first()[0] == 2001
+
+
+def test_interrupted_fit_goes_on(spark, tmp_path, monkeypatch):
+    """A driver lost in its fifth epoch: the next one reads four epochs and ends with the same parameters."""
+    data = src.embeddings(spark, SF).cache()
+    cfg = gmm.Config(k=3, max_iter=9, tol=-1.0)
+    whole = gmm.fit(data, cfg)
+    real, calls = gmm.sums_many, []
+
+    def dies(*a):
+        calls.append(a)
+        if len(calls) == 5:
+            raise ConnectionError("lost")
+        return real(*a)
+
+    log = gmm.EpochLog(spark, str(tmp_path / "epochs"))
+    assert log.load() is None
+    monkeypatch.setattr(gmm, "sums_many", dies)
+    with pytest.raises(ConnectionError):
+        gmm.fit(data, cfg, log=log)
+    assert log.load()["epoch"] == 4
+    calls.clear()
+    monkeypatch.setattr(gmm, "sums_many", lambda *a: calls.append(a) or real(*a))
+    again = gmm.fit(data, cfg, log=log)
+    assert len(calls) == 6 and again.ll == pytest.approx(whole.ll) and again.history == pytest.approx(whole.history)
+    assert np.allclose(again.params.means, whole.params.means) and np.allclose(again.params.covs, whole.params.covs)
+
+
+def test_sweep_scans_once_an_epoch(spark, monkeypatch):
+    """Five fits side by side give the criteria of five fits one by one, in as many scans as the longest takes."""
+    data = src.embeddings(spark, SF).cache()
+    base = gmm.Config(max_iter=40, tol=1e-3)
+    alone = {k: gmm.fit(data, replace(base, k=k)) for k in range(2, 7)}
+    real, scans = gmm.sums_many, []
+    monkeypatch.setattr(gmm, "sums_many", lambda *a: scans.append(len(a[1])) or real(*a))
+    table = {r["k"]: r["ll"] for r in select.sweep(data, 2, 7, base).collect()}
+    assert table == pytest.approx({k: f.ll for k, f in alone.items()})
+    assert scans[0] == 5 and len(scans) == max(len(f.history) for f in alone.values()) and scans == sorted(scans, reverse=True)
+
+
+def test_mini_batches_read_their_own_cells(spark):
+    data = src.embeddings(spark, SF).select("site", "y")
+    cells = gmm.by_cells(data, 0)
+    mine = [c for c in range(gmm.CELLS) if gmm.batch_of(c, 0, 0, 4) == 1]
+    part = cells.where(F.col("cell").isin(mine))
+    assert "PartitionFilters: [isnotnull(cell" in part._jdf.queryExecution().toString() or "PartitionFilters: [cell" in part._jdf.queryExecution().toString()
+    read = {r[0] for r in part.select(F.input_file_name()).distinct().collect()}
+    assert 0 < len(read) < len(cells.inputFiles()) and all(int(f.split("cell=")[1].split("/")[0]) in mine for f in read)
+    assert cells.count() == data.count()
