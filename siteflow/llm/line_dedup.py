@@ -2,13 +2,15 @@
 
 A window is the shortest row of consecutive lines with at least min_words words. The smallest line hash of each window
 is its fingerprint (the last one on ties), so any run of that many words that stands in two places gives both places the
-same fingerprint. What is joined are the selected fingerprints with their positions, fewer rows than windows. A fingerprint
-that stands in one place only goes no further; around the others, matches are extended both ways: to the left through the
-windows in front, to the right through single lines up to where the next window ends. A line goes if it lies in a run of
-at least min_words words that also stands in an earlier place (by doc_id, then line).
-
-Lines are compared without white space at their ends; blank lines take no part and stay. Every deleted line has an
-earlier copy, so the first copy of any line always stays. No pairs are built: a run only meets its first place. Keys
+same fingerprint at the same line. Only these selected positions are joined: every later position of a fingerprint meets the first one, and
+the match is extended line by line to the left and to the right as long as the lines are equal. With min_words words or more
+it is deleted. Runs around a later position that the match does not contain differ from the first place; they meet
+further places in the order of documents, among positions of the same fingerprint with the same run. A line goes if it lies in a
+run of at least min_words words that also stands in an earlier place (by doc_id, then line).
+
+Lines are compared without white space at their ends, by two 64-bit hashes with different seeds, runs by two hashes of those: at 1e12
+lines the chance of any wrong match is about 1e-14. Blank lines take no part and stay. Every deleted line has an
+earlier copy, so the first copy of any line always stays. No pairs are built: a position meets one place, a run one more. Keys
 with more than HOT_SHARE of all rows (so fewer than 1 / HOT_SHARE keys) are joined by broadcast and never gather in a task.
 Shuffles carry hashes, not texts, until the marked lines are joined back.
 
@@ -36,81 +38,113 @@ def _keys(text: Column, doc_id: str) -> list[Column]:
 
 
 def line_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """d, v (document key) and lines: (hash, words, place) of every line that is not blank."""
+    """d, v (document key) and lines: (h and g, two hashes; n, words; i, place) of every line that is not blank."""
     text = F.col(text_col).cast("string")
     cut = F.transform(F.split(text, "\n"), lambda x, i: F.struct(F.btrim(x, F.lit(SPACES)).alias("x"), i.alias("i")))
-    lines = F.transform(F.filter(cut, lambda x: x["x"] != ""), lambda x: F.struct(F.xxhash64(x["x"]).alias("h"), F.size(words(x["x"])).alias("n"), x["i"].alias("i")))
+    lines = F.transform(F.filter(cut, lambda x: x["x"] != ""), lambda x: F.struct(F.xxhash64(x["x"]).alias("h"), F.xxhash64(F.lit("g"), x["x"]).alias("g"), F.size(words(x["x"])).alias("n"), x["i"].alias("i")))
     return docs.where(text.isNotNull()).select(*_keys(text, id_col), lines.alias("lines")).where(F.size("lines") > 0)
 
 
 def postings(lines: DataFrame, min_words: int) -> DataFrame:
-    """d, v, fp, at (line of the fingerprint) and runs: (s, from, to, gram) around it.
+    """d, v, fp, at (line of the fingerprint), off (its place in near), near (the lines around it) and windows (s, end, stop).
 
-    The runs are the windows that selected the fingerprint, and those windows with lines added behind. s is the run's first line,
-    from and to are the places of its first and last line in the text, gram hashes its lines.
+    Windows that selected the position, counted from the first line of near: their first line, the end of the window, and the end of the
+    longest run from s that no later window contains.
     """
-    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("len"), F.lit(0).cast("long").alias("gram"), F.lit(2**63 - 1).alias("fp"), F.lit(0).alias("at"))
+    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("len"), F.lit(2**63 - 1).alias("fp"), F.lit(0).alias("at"))
 
     def step(acc: Column, x: Column) -> Column:
         lower = x["h"] <= acc["fp"]
-        more = F.struct(
-            (acc["n"] + x["n"]).alias("n"), (acc["len"] + 1).alias("len"), F.xxhash64(acc["gram"], x["h"]).alias("gram"),
-            F.when(lower, x["h"]).otherwise(acc["fp"]).alias("fp"), F.when(lower, acc["len"]).otherwise(acc["at"]).alias("at"),
-        )
+        more = F.struct((acc["n"] + x["n"]).alias("n"), (acc["len"] + 1).alias("len"), F.when(lower, x["h"]).otherwise(acc["fp"]).alias("fp"), F.when(lower, acc["len"]).otherwise(acc["at"]).alias("at"))
         return F.when(acc["n"] >= min_words, acc).otherwise(more)
 
     # A line that is not blank has a word, so min_words lines always suffice. Windows start at lines 0, 1, ... without a gap.
     begun = F.transform("lines", lambda x, s: F.struct(s.alias("s"), F.when(x["n"] >= min_words, step(start, x)).otherwise(F.aggregate(F.slice("lines", s + 1, min_words), start, step)).alias("w")))
-    placed = F.transform(F.filter(begun, lambda x: x["w"]["n"] >= min_words), lambda x: F.struct(x["s"].alias("s"), (x["s"] + x["w"]["len"]).alias("end"), x["w"]["gram"].alias("gram"), x["w"]["fp"].alias("fp"), (x["s"] + x["w"]["at"]).alias("at")))
-
-    def with_runs(ws: Column) -> Column:
-        """Each window, and the same window with one or more of the lines behind it that the next window does not complete."""
-        place = lambda k: F.get("lines", k)["i"]
-        until = lambda k: F.coalesce(F.get(ws, k + 1)["end"] - 1, F.size("lines"))
+    placed = F.transform(F.filter(begun, lambda x: x["w"]["n"] >= min_words), lambda x: F.struct(x["s"].alias("s"), (x["s"] + x["w"]["len"]).alias("end"), x["w"]["fp"].alias("fp"), (x["s"] + x["w"]["at"]).alias("at")))
 
-        def runs(w: Column, k: Column) -> Column:
-            run = lambda to, gram: F.struct(w["s"].alias("s"), place(w["s"]).alias("from"), to.alias("to"), gram.alias("gram"))
-            own = F.array(run(place(w["end"] - 1), w["gram"]))
-            longer = lambda acc, x: F.struct(F.xxhash64(acc["gram"], x["h"]).alias("gram"), F.concat(acc["runs"], F.array(run(x["i"], F.xxhash64(acc["gram"], x["h"])))).alias("runs"))
-            return F.aggregate(F.slice("lines", w["end"] + 1, F.greatest(F.lit(0), until(k) - w["end"])), F.struct(w["gram"].alias("gram"), own.alias("runs")), longer, lambda acc: acc["runs"])
-
-        return F.transform(ws, lambda w, k: F.struct(w["fp"].alias("fp"), w["at"].alias("at"), runs(w, k).alias("runs")))
+    def with_stops(ws: Column) -> Column:
+        """The next window takes over at its last line; the last window's runs go on to the text's end."""
+        return F.transform(ws, lambda w, k: F.struct(w["s"].alias("s"), w["end"].alias("end"), F.greatest(w["end"], F.coalesce(F.get(ws, k + 1)["end"] - 1, F.size("lines"))).alias("stop"), w["fp"].alias("fp"), w["at"].alias("at")))
 
     def selected(ws: Column) -> Column:
         """Windows in a row that have one position between them become one posting."""
         firsts = F.filter(F.transform(ws, lambda w, k: F.when(F.coalesce(F.get(ws, k - 1)["at"] == w["at"], F.lit(False)), F.lit(None).cast("int")).otherwise(k)), lambda k: k.isNotNull())
-        return once(firsts, lambda ks: F.transform(ks, lambda k, j: F.struct(F.get(ws, k)["fp"].alias("fp"), F.get(ws, k)["at"].alias("at"), F.flatten(F.transform(F.slice(ws, k + 1, F.coalesce(F.get(ks, j + 1), F.size(ws)) - k), lambda w: w["runs"])).alias("runs"))))
 
-    each = once(once(placed, with_runs), selected)
-    return lines.select("d", "v", F.explode(each).alias("p")).select("d", "v", "p.fp", "p.at", "p.runs")
+        def posting(k: Column, last: Column) -> Column:
+            low, stop = F.get(ws, k)["s"], F.get(ws, last)["stop"]
+            spans = F.transform(F.slice(ws, k + 1, last - k + 1), lambda w: F.struct((w["s"] - low).alias("s"), (w["end"] - low).alias("end"), (w["stop"] - low).alias("stop")))
+            return F.struct(F.get(ws, k)["fp"].alias("fp"), F.get(ws, k)["at"].alias("at"), (F.get(ws, k)["at"] - low).alias("off"), F.slice("lines", low + 1, stop - low).alias("near"), spans.alias("windows"))
+
+        return once(firsts, lambda ks: F.transform(ks, lambda k, j: posting(k, F.coalesce(F.get(ks, j + 1) - 1, F.size(ws) - 1))))
 
+    each = once(once(placed, with_stops), selected)
+    return lines.select("d", "v", F.explode(each).alias("p")).select("d", "v", "p.*")
 
-def spread_join(left: DataFrame, right: DataFrame, key: str, rows: int, how: str) -> DataFrame:
+
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], rows: int, how: str) -> DataFrame:
     """left joined with right, which has one row a key and its number n of left rows; keys with over HOT_SHARE of the rows are broadcast."""
     often = F.col("n") > F.lit(HOT_SHARE * rows)
     hot = F.broadcast(right.where(often).drop("n"))  # fewer than 1 / HOT_SHARE keys
-    rest = left.join(hot.select(key), key, "left_anti").join(right.where(~often).drop("n"), key, how)
-    return left.join(hot, key, how).unionByName(rest)
+    rest = left.join(hot.select(keys), keys, "left_anti").join(right.where(~often).drop("n"), keys, how)
+    return left.join(hot, keys, how).unionByName(rest)
+
+
+def extended(met: DataFrame, min_words: int) -> DataFrame:
+    """d, v, fp, from, to (the match's places, null if it is too short) and others: the runs around the position that it does not contain.
+
+    met: postings with first_off and first_near of their fingerprint's first place.
+    """
+
+    def equal(k: Column) -> Column:
+        a, b = F.get("near", F.col("off") + k), F.get("first_near", F.col("first_off") + k)
+        return F.coalesce((a["h"] == b["h"]) & (a["g"] == b["g"]), F.lit(False))
+
+    right = F.filter(F.sequence(F.lit(0), F.size("near") - F.col("off")), lambda k: ~equal(k))[0]
+    left = F.filter(F.sequence(F.lit(1), F.col("off") + 1), lambda k: ~equal(-k))[0] - 1
+    spans = met.withColumn("low", F.col("off") - left).withColumn("high", F.col("off") + right)  # lines low to high - 1 are equal
+    total = F.aggregate(F.slice("near", F.col("low") + 1, F.greatest(F.lit(0), F.col("high") - F.col("low"))), F.lit(0), lambda acc, x: acc + x["n"])
+    hits = spans.withColumn("hit", (right > 0) & (total >= min_words))
+
+    def runs(w: Column) -> Column:
+        """The window's run and the longer ones, of which those that the match contains are left out."""
+        start = F.struct(F.lit(0).cast("long").alias("h"), F.lit(0).cast("long").alias("g"), F.lit(0).alias("k"), F.array().cast("array<struct<from:int,to:int,h:bigint,g:bigint>>").alias("runs"))
+
+        def longer(acc: Column, x: Column) -> Column:
+            h, g, end = F.xxhash64(acc["h"], x["h"]), F.xxhash64(acc["g"], x["g"]), w["s"] + acc["k"] + 1
+            known = F.col("hit") & (F.col("low") <= w["s"]) & (end <= F.col("high"))
+            run = F.struct(F.get("near", w["s"])["i"].alias("from"), x["i"].alias("to"), h.alias("h"), g.alias("g"))
+            return F.struct(h.alias("h"), g.alias("g"), (acc["k"] + 1).alias("k"), F.when((end < w["end"]) | known, acc["runs"]).otherwise(F.concat(acc["runs"], F.array(run))).alias("runs"))
+
+        inside = F.col("hit") & (F.col("low") <= w["s"]) & (w["stop"] <= F.col("high"))
+        return F.when(inside, start["runs"]).otherwise(F.aggregate(F.slice("near", w["s"] + 1, w["stop"] - w["s"]), start, longer, lambda acc: acc["runs"]))
+
+    place = lambda k: F.when(F.col("hit"), F.get("near", k)["i"])
+    return hits.select("d", "v", "fp", place(F.col("low")).alias("from"), place(F.col("high") - 1).alias("to"), F.flatten(F.transform("windows", runs)).alias("others"))
 
 
 def repeated_runs(lines: DataFrame, min_words: int) -> DataFrame:
     """d, v and runs: disjoint (from, to) of the places to delete, in order, one row per document with any."""
     found = written(postings(lines, min_words), "postings")
     place = F.struct("d", "v", "at")
-    shared = written(found.groupBy("fp").agg(F.min(place).alias("a"), F.max(place).alias("z"), F.count("*").alias("n")).where("a <> z").select("fp", "n"), "shared")
-    hopeful = spread_join(found, shared, "fp", found.count(), "left_semi")
-    run = written(hopeful.select("d", "v", F.explode("runs").alias("r")).select("d", "v", "r.*"), "runs")
-    discard(found, shared)
-
-    spot = F.struct("d", "v", "s")
-    first = written(run.groupBy("gram").agg(F.min(spot).alias("first"), F.max(spot).alias("last"), F.count("*").alias("n")).where("first <> last").drop("last"), "first")
-    later = spread_join(run, first, "gram", run.count(), "inner").where(spot != F.col("first"))
+    shared = written(found.groupBy("fp").agg(F.min(place).alias("a"), F.max(place).alias("z"), F.count("*").alias("n")).where("a <> z").select("fp", "n", "a", F.col("n").alias("times")), "shared")
+    hopeful = written(spread_join(found, shared, ["fp"], found.count(), "inner"), "hopeful")
+    first = hopeful.where(place == F.col("a")).select("fp", F.col("times").alias("n"), F.col("off").alias("first_off"), F.col("near").alias("first_near")).dropDuplicates(["fp"])
+    met = spread_join(hopeful.where(place != F.col("a")).drop("a", "times"), first, ["fp"], hopeful.count(), "inner")
+    matched = written(extended(met, min_words), "matched")
+    discard(found, shared, hopeful)
+
+    # What differs from the first place, among itself.
+    run = matched.select("d", "v", "fp", F.explode("others").alias("r")).select("d", "v", "fp", "r.*")
+    spot, keys = F.struct("d", "v", "from"), ["fp", "h", "g"]
+    again = written(run.groupBy(keys).agg(F.min(spot).alias("first"), F.max(spot).alias("last"), F.count("*").alias("n")).where("first <> last").drop("last"), "again")
+    later = spread_join(run, again, keys, run.count(), "inner").where(spot != F.col("first")).select("d", "v", "from", "to")
+    gone = matched.where("from IS NOT NULL").select("d", "v", "from", "to").unionByName(later)
 
     # Overlapping or touching runs of a document are one.
     line = Window.partitionBy("d", "v").orderBy("from", "to")
     reach = F.max("to").over(line.rowsBetween(Window.unboundedPreceding, -1))
     return (
-        later.withColumn("new", F.when(F.coalesce(F.col("from") <= reach + 1, F.lit(False)), 0).otherwise(1))
+        gone.withColumn("new", F.when(F.coalesce(F.col("from") <= reach + 1, F.lit(False)), 0).otherwise(1))
         .withColumn("island", F.sum("new").over(line))
         .groupBy("d", "v", "island").agg(F.min("from").alias("from"), F.max("to").alias("to"))
         .groupBy("d", "v").agg(F.sort_array(F.collect_list(F.struct("from", "to"))).alias("runs"))
