@@ -13,6 +13,7 @@ from siteflow.jobs import pipeline
 from siteflow.operators import edges, gmm, mask, peaks, rescale, select, threshold, views
 from siteflow.operators.order_stats import order_statistics
 from siteflow.sources import cube as src
+from siteflow.streaming import feed
 
 SEEDS = [0, 10, 20]  # sites (0,0), (0,10), (0,20): one of each planted kind
 SMOOTH_L = 1.0
@@ -197,6 +198,10 @@ def rescale_zscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rescaled_out(_rescaled(spark, sf_dir, "z-score"))
 
 
+def rescale_none(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rescaled_out(_rescaled(spark, sf_dir, "None"))
+
+
 def rescale_log_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rescaled_out(_rescaled(spark, sf_dir, "log-mean"))
 
@@ -414,8 +419,8 @@ def kmeanspp_init(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def kmeans_init(spark: SparkSession, sf_dir: str) -> DataFrame:
-    means = gmm.init_means(src.embeddings(spark, sf_dir).cache(), 4, "sklearn-kmeans")
-    return spark.createDataFrame([(k, t, float(v)) for k, row in enumerate(means) for t, v in enumerate(row)], "k int, t int, mu double")
+    means = gmm.kmeans_means(src.embeddings(spark, sf_dir).cache(), 4, rounds=2, iterations=4, tol=0.0)
+    return spark.createDataFrame([(k, t, round(float(v), 6) + 0.0) for k, row in enumerate(means) for t, v in enumerate(row)], "k int, t int, mu double")
 
 
 def gaussian_init(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -608,6 +613,22 @@ def run_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("site", "c0", "c1", "label", "at", r6("v").alias("v"))
 
 
+def results_saved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A direct job's saved folders, read back: means and variances of the clusters beside their sites."""
+    cube = _planted(spark, sf_dir)
+    out = f"{shared_folder(spark)}/run-{uuid.uuid4().hex}"
+    pipeline.save(pipeline.direct(cube, src.YEARS, _job_config(spark, sf_dir, max_iter=3), kind="simple", reorder=False), cube, out)
+    read = lambda name: pipeline.load(spark, out, name)
+    n = read("cluster_assignments").groupBy("label").agg(F.count("*").alias("n"))
+    both = read("cluster_means").join(read("cluster_covariances"), ["k", "t"]).join(n, F.col("k") == F.col("label"), "left")
+    return both.select("k", "t", r6("mu").alias("mu"), r6("var").alias("var"), F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The windows with which a stream of events feeds a cube, here over the whole table."""
+    return feed.windowed(src.table(spark, sf_dir, "events")).select(F.date_format("at", "yyyy-MM-dd").alias("day"), "c0", "c1", r6("v").alias("v"))
+
+
 def zoom_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.zoom(views.grid(_labels(spark, sf_dir)[0], src.PLANTED), (5, 25), (0, 15))
 
@@ -631,10 +652,10 @@ QUERIES = {
     for f in (
         cube_dense, cube_solid, cube_slice, cube_loaded, cube_from_arrays, order_cube, order_kept, order_rescaled, nearest_axis_index, mask_zero_mean, mask_any_zeros, mask_complement, log_mean, fd_bin_width,
         histogram_density, kl_by_index, kl_cutoff, kl_diagnostics, simple_cutoff, no_threshold, threshold_volume, high_variance_split,
-        rescale_mean, rescale_zscore, rescale_log_mean, peak_labels_2d, peak_labels_3d, peak_trajectories, peak_sizes, pixel_labels,
+        rescale_mean, rescale_zscore, rescale_log_mean, rescale_none, peak_labels_2d, peak_labels_3d, peak_trajectories, peak_sizes, pixel_labels,
         edges_local, edges_gaussian_weights, edges_periodic, unit_cell_shape, smooth_once, smooth_periodic, gmm_estep, gmm_mstep, gmm_loglik,
         gmm_em3, gmm_stepwise3, gmm_smoothed2, gmm_periodic2, gmm_order2, order_bin_width, order_deciles, field_kept, field_peaks, field_peak_trajectories, field_smooth, field_smoothed_step, gmm_labels, cluster_sizes, discovery_cluster, gmm_full_em2, kmeanspp_init, kmeans_init,
         gaussian_init, minibatch_stepwise, post_stepwise_refine, reorder_clusters, second_pass_select, bic_table, bic_saved, best_k, recommend_mode,
-        job_direct, job_peaks, job_two_pass, job_smoothed, job_workflow, job_converged, workflow_report, cluster_avg_intensity, trajectory_envelope, cluster_shifts, qmap_grid, kspace_slice, zoom_view, threshold_space, threshold_slice, clusters_space, plot_axes, run_bundle, cutoff_plot,
+        job_direct, job_peaks, job_two_pass, job_smoothed, job_workflow, job_converged, workflow_report, cluster_avg_intensity, trajectory_envelope, cluster_shifts, qmap_grid, kspace_slice, zoom_view, threshold_space, threshold_slice, clusters_space, plot_axes, run_bundle, results_saved, event_windows, cutoff_plot,
     )
 }

@@ -454,6 +454,29 @@ for _k in range(4):  # k-means++: each pick is the least exponential, at the rat
         ORDER BY gap > 0 DESC, CASE WHEN gap > 0 THEN -ln(u) / gap ELSE u END, site LIMIT 1""",
     )
 ORACLES["kmeanspp_init"] = sql(["vec", *[f"pick{k}" for k in range(4)]], " UNION ALL ".join(f"SELECT CAST({k} AS INT) AS k, t, {R('v', 'mu')} FROM vec JOIN pick{k} USING (site)" for k in range(4)))
+_U = "({0} + 1) / CAST(2147483648 AS DOUBLE)".format
+CTES["kc0"] = (["vec"], f"SELECT CAST(0 AS BIGINT) AS turn, site FROM (SELECT DISTINCT site FROM vec) ORDER BY {drawn('site', 0, 0)}, site LIMIT 1")
+for _k in (1, 2):  # k-means||: rounds of oversampling
+    CTES[f"kd{_k}"] = (["vec", f"kc{_k - 1}"], f"SELECT site, min(gap) AS gap FROM (SELECT a.site, c.site AS c, sum((a.v - b.v) * (a.v - b.v)) AS gap FROM vec a JOIN vec b USING (t) JOIN kc{_k - 1} c ON b.site = c.site GROUP BY a.site, c.site, c.turn) GROUP BY site")
+    CTES[f"kc{_k}"] = ([f"kd{_k}", f"kc{_k - 1}"], f"SELECT * FROM kc{_k - 1} UNION ALL SELECT {_k}, site FROM kd{_k} WHERE {_U(drawn('site', 0, _k))} * (SELECT sum(gap) FROM kd{_k}) < 8 * gap")
+CTES["kcand"] = (["kc2"], "SELECT row_number() OVER (ORDER BY turn, site) - 1 AS c, site FROM kc2")
+CTES["kcv"] = (["kcand", "vec"], "SELECT c, t, v FROM kcand JOIN vec USING (site)")
+CTES["kw"] = (["kcv", "vec"], "SELECT c, count(*) AS w FROM (SELECT site, arg_min(c, (gap, c)) AS c FROM (SELECT site, c, sum((a.v - b.v) * (a.v - b.v)) AS gap FROM vec a JOIN kcv b USING (t) GROUP BY site, c) GROUP BY site) GROUP BY c")
+CTES["kp0"] = (["kw"], "SELECT c FROM kw ORDER BY w DESC, c LIMIT 1")
+for _k in range(1, 4):  # and the weighted draw among the candidates
+    _gaps = " UNION ALL ".join(f"SELECT a.c, sum((a.v - b.v) * (a.v - b.v)) AS gap FROM kcv a JOIN kcv b USING (t) JOIN kp{j} p ON b.c = p.c GROUP BY a.c" for j in range(_k))
+    CTES[f"kp{_k}"] = (
+        ["kcv", "kw", *[f"kp{j}" for j in range(_k)]],
+        f"SELECT c FROM (SELECT c, min(gap) * coalesce(any_value(w), 0) AS far FROM ({_gaps}) LEFT JOIN kw USING (c) GROUP BY c) WHERE far > 0 ORDER BY -ln({_U(drawn('c', 0, 1000 + _k))}) / far, c LIMIT 1",
+    )
+CTES["km0"] = (["kcv", *[f"kp{k}" for k in range(4)]], " UNION ALL ".join(f"SELECT {k} AS k, t, v AS mu FROM kcv JOIN kp{k} USING (c)" for k in range(4)))
+for _k in range(4):
+    CTES[f"ka{_k}"] = (["vec", f"km{_k}"], f"SELECT site, arg_min(k, (gap, k)) AS k FROM (SELECT site, k, sum((v - mu) * (v - mu)) AS gap FROM vec JOIN km{_k} USING (t) GROUP BY site, k) GROUP BY site")
+    CTES[f"km{_k + 1}"] = ([f"ka{_k}", f"km{_k}", "vec"], f"SELECT o.k, o.t, coalesce(m, mu) AS mu FROM km{_k} o LEFT JOIN (SELECT k, t, avg(v) AS m FROM vec JOIN ka{_k} USING (site) GROUP BY k, t) USING (k, t)")
+ORACLES["kmeans_init"] = sql(["km4"], f"SELECT CAST(k AS INT) AS k, t, {R('mu', 'mu')} FROM km4")
+ORACLES["rescale_none"] = sql(["kc"], f"SELECT site, t, {R('v', 'v')} FROM kc")
+ORACLES["results_saved"] = sql(["labels", EM3], f"SELECT k, t, {R('mu', 'mu')}, {R('var', 'var')}, (SELECT count(*) FROM labels WHERE label = k) AS n FROM {EM3}")
+ORACLES["event_windows"] = f"SELECT strftime(CAST(ts AS TIMESTAMP), '%Y-%m-%d') AS day, CAST(user_id % 10 AS INT) AS c0, CAST(user_id // 10 AS INT) AS c1, {R('sum(value)', 'v')} FROM events GROUP BY ALL"
 ORACLES["workflow_report"] = sql(
     [f"vec_r{k}" for k in range(2, 5)],
     f""", b AS (SELECT k, round(ll, 3) AS ll, round(bic, 3) AS bic FROM ({_VEC_BIC}))

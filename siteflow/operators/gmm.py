@@ -241,6 +241,84 @@ def kmeanspp_means(packed: DataFrame, k: int, seed: int = 0) -> np.ndarray:
     return np.array(chosen)
 
 
+def gaps(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """(N, C) squared distances."""
+    return ((x[:, None, :] - centres[None]) ** 2).sum(axis=2) if x.size * len(centres) < 1 << 24 else np.stack([((x - c) ** 2).sum(axis=1) for c in centres], axis=1)
+
+
+def nearest_sums(packed: DataFrame, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """By nearest centre (the first on ties): sites, and the sum of their values; and the summed squared distance. One pass."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total, cost = np.zeros((len(centres), 1 + centres.shape[1])), 0.0
+        for pdf in parts:
+            if len(pdf):
+                x = matrix(pdf)
+                d = gaps(x, centres)
+                near = d.argmin(axis=1)
+                cost += float(d[np.arange(len(x)), near].sum())
+                np.add.at(total, near, np.column_stack([np.ones(len(x)), x]))
+        yield _emit(total, 0, cost)
+
+    grid = np.zeros((len(centres) + 1, max(2, 1 + centres.shape[1])))
+    for r in packed.select("y").mapInPandas(run, "k int, c int, x double").groupBy("k", "c").agg(F.sum("x").alias("x")).collect():  # centres times positions
+        grid[r["k"], r["c"]] = r["x"]
+    own = grid[:-1, : 1 + centres.shape[1]]
+    return own[:, 0], own[:, 1:], float(grid[-1, 1])
+
+
+def oversampled(packed: DataFrame, k: int, seed: int, rounds: int) -> np.ndarray:
+    """Candidates of k-means||: one site, then in each round every site with a chance of 2 k times its share of the cost, so 2 k on average."""
+    first = packed.orderBy(drawn(F.col("site"), seed, 0), "site").limit(1).first()
+    chosen = np.array([first["y"]], float)
+    for turn in range(1, rounds + 1):
+        cost = nearest_sums(packed, chosen)[2]
+        if cost <= 0:
+            break
+        known = chosen
+
+        def run(parts: Iterator[pd.DataFrame], known: np.ndarray = known, cost: float = cost) -> Iterator[pd.DataFrame]:
+            for pdf in parts:
+                if len(pdf):
+                    yield pdf[pdf["u"].to_numpy() * cost < 2 * k * gaps(matrix(pdf), known).min(axis=1)][["site", "y"]]
+
+        u = ((drawn(F.col("site"), seed, turn) + 1) / float(DRAWS + 1)).alias("u")
+        more = packed.select("site", "y", u).mapInPandas(run, "site long, y array<double>").orderBy("site").collect()
+        chosen = np.concatenate([chosen, np.array([r["y"] for r in more], float).reshape(-1, chosen.shape[1])])
+    return chosen
+
+
+def kmeans_means(packed: DataFrame, k: int, seed: int = 0, *, rounds: int = 3, iterations: int = 300, tol: float = 1e-4) -> np.ndarray:
+    """Centres of k-means: oversampled candidates, weighted by the sites nearest to them, reduced to k by a weighted draw, then Lloyd's steps.
+
+    A step is one scan with a combine of k rows a task; it ends when the centres move by less than tol in the units of the first
+    candidates' spread. A centre without sites stays where it is.
+    """
+    candidates = oversampled(packed, k, seed, rounds)
+    if len(candidates) < k:  # hardly more sites than centres
+        centres = kmeanspp_means(packed, k, seed)
+    else:
+        weight = nearest_sums(packed, candidates)[0]
+        picked = [int(weight.argmax())]
+        for turn in range(1, k):
+            far = gaps(candidates, candidates[picked]).min(axis=1) * weight
+            u = np.array([(drawn(c, seed, 1000 + turn) + 1) / (DRAWS + 1) for c in range(len(candidates))])
+            rate = np.where(far > 0, -np.log(u) / np.where(far > 0, far, 1.0), np.inf)
+            rate[picked] = np.inf
+            left = [c for c in range(len(candidates)) if c not in picked]
+            picked.append(int(rate.argmin()) if np.isfinite(rate).any() else left[0])
+        centres = candidates[picked]
+    limit = tol**2 * float(candidates.var(axis=0).mean())
+    for _ in range(iterations):
+        n, s, _ = nearest_sums(packed, centres)
+        moved = np.where(n[:, None] > 0, s / np.maximum(n, 1)[:, None], centres)
+        shift = float(((moved - centres) ** 2).sum())
+        centres = moved
+        if shift <= limit:
+            break
+    return centres
+
+
 def init_means(packed: DataFrame, k: int, how: str = "kmeans++", seed: int = 0) -> np.ndarray:
     if how == "kmeans++":
         return kmeanspp_means(packed, k, seed)
@@ -249,11 +327,7 @@ def init_means(packed: DataFrame, k: int, how: str = "kmeans++", seed: int = 0)
         u = [np.array([[(drawn(c * len(m) + t, seed, turn) + 1) / (DRAWS + 1) for t in range(len(m))] for c in range(k)]) for turn in (0, 1)]
         return m + np.sqrt(-2 * np.log(u[0])) * np.cos(2 * math.pi * u[1]) * np.sqrt(s)  # normal by pairs of uniform draws
     if how in ("sklearn-kmeans", "cuml-kmeans"):
-        from pyspark.ml.clustering import KMeans
-        from pyspark.ml.functions import array_to_vector
-
-        model = KMeans(k=k, seed=seed, tol=1e-4, maxIter=300).fit(packed.select(array_to_vector("y").alias("features")))
-        return np.array(model.clusterCenters())
+        return kmeans_means(packed, k, seed)
     raise ValueError(f"unknown initial means: {how}")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -92,17 +92,52 @@ def shape(axis: DataFrame) -> dict[str, int]:
     return {r["name"]: r["n"] for r in axis.groupBy("name").agg((F.max("pos") + 1).alias("n")).collect()}
 
 
-def save_cube(cube: DataFrame, axis: DataFrame, path: str, entry: str) -> None:
-    """A cube and its axes as Parquet under path/entry, in the layout that `load_cube` reads."""
-    cube.write.mode("overwrite").parquet(f"{path}/{entry}/cells")
+#: Cells within a cube of so many positions (as a power of two) a side lie together; so many bits an axis order these cubes.
+NEAR_BITS, CURVE_BITS = 3, 12
+
+
+def curve(names: list[str]) -> Column:
+    """Place on a Z-order curve: the bits of the axes' positions in turn."""
+    out = F.lit(0).cast("long")
+    for bit in range(CURVE_BITS):
+        for k, c in enumerate(names):
+            out = out.bitwiseOR(F.shiftleft(F.shiftright(F.col(c).cast("long"), bit + NEAR_BITS).bitwiseAND(F.lit(1)), bit * len(names) + k))
+    return out
+
+
+def axes_of(cube: DataFrame) -> list[str]:
+    return ["t", *[c for c in ("c0", "c1", "c2") if c in cube.columns]]
+
+
+def save_cube(cube: DataFrame, axis: DataFrame, path: str, entry: str, files: int | None = None) -> None:
+    """A cube and its axes as Parquet under path/entry, in the layout that `load_cube` reads.
+
+    Cells are written along a space-filling curve, so that a file is a block of near positions; a small table keeps each block's bounds.
+    """
+    spark, names = cube.sparkSession, axes_of(cube)
+    placed = cube.withColumn("_z", curve(names))
+    spread = placed.repartitionByRange(files, "_z") if files else placed.repartitionByRange("_z")
+    spread.sortWithinPartitions("_z").drop("_z").write.mode("overwrite").parquet(f"{path}/{entry}/cells")
     axis.write.mode("overwrite").parquet(f"{path}/{entry}/axes")
+    bounds = [f(c).alias(f"{n}_{c}") for c in names for n, f in (("low", F.min), ("high", F.max))]
+    stored = spark.read.parquet(f"{path}/{entry}/cells").groupBy(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file")).agg(*bounds)
+    stored.coalesce(1).write.mode("overwrite").parquet(f"{path}/{entry}/blocks")
 
 
 def load_cube(spark: SparkSession, path: str, entry: str = "entry/data", slices: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """Cells and axes of any cube stored under path/entry, cut to text slices such as `:,0:1,-10:10` over t and the coordinates in order."""
+    """Cells and axes of any cube stored under path/entry, cut to text slices such as `:,0:1,-10:10` over t and the coordinates in order.
+
+    Only the files whose blocks overlap the slices are opened.
+    """
     cube, axis = spark.read.parquet(f"{path}/{entry}/cells"), spark.read.parquet(f"{path}/{entry}/axes")
-    names = ["t", *[c for c in ("c0", "c1", "c2") if c in cube.columns]]
-    return (sliced(cube, axis, parse_slices(slices, names)) if slices else cube), axis
+    if not slices:
+        return cube, axis
+    wanted = parse_slices(slices, axes_of(cube))
+    blocks = spark.read.parquet(f"{path}/{entry}/blocks")
+    for name, (first, last) in positions(axis, wanted).items():
+        blocks = blocks.where(F.lit(False) if first is None else (F.col(f"high_{name}") >= first) & (F.col(f"low_{name}") <= last))
+    found = [f"{path}/{entry}/cells/{r['file']}" for r in blocks.select("file").collect()]  # a row a file
+    return sliced(spark.read.schema(cube.schema).parquet(*found) if found else cube.limit(0), axis, wanted), axis
 
 
 def from_arrays(arrays: DataFrame, width: int) -> DataFrame:
@@ -122,15 +157,22 @@ def synthetic_cube(spark: SparkSession, sizes: list[int], n_t: int, zero_rows: i
     return full.select(*coords(len(sizes)), "site", "t", F.when(F.col("c0") < zero_rows, 0.0).otherwise(F.col("v")).alias("v"))
 
 
+def positions(axis: DataFrame, slices: dict[str, tuple[float | None, float | None]]) -> dict[str, tuple[int | None, int | None]]:
+    """First and last position of each axis whose value lies in the closed range; nothing in it gives no positions."""
+    out = {}
+    for name, (low, high) in slices.items():
+        at = axis.where((F.col("name") == name) & F.col("value").between(F.lit(float("-inf") if low is None else low), F.lit(float("inf") if high is None else high)))
+        out[name] = tuple(at.agg(F.min("pos"), F.max("pos")).first())
+    return out
+
+
 def sliced(cube: DataFrame, axis: DataFrame, slices: dict[str, tuple[float | None, float | None]]) -> DataFrame:
     """Cells whose axis values lie in the closed ranges; an open end is None. The axis is a small dimension table.
 
     Positions are looked up first and pushed to the scan as plain ranges of the coordinate columns.
     """
     out = cube
-    for name, (low, high) in slices.items():
-        at = axis.where((F.col("name") == name) & F.col("value").between(F.lit(float("-inf") if low is None else low), F.lit(float("inf") if high is None else high)))
-        first, last = at.agg(F.min("pos"), F.max("pos")).first()
+    for name, (first, last) in positions(axis, slices).items():
         out = out.where(F.lit(False) if first is None else F.col(name).between(first, last))
     return out
 

@@ -113,3 +113,24 @@ def test_mini_batches_read_their_own_cells(spark):
     read = {r[0] for r in part.select(F.input_file_name()).distinct().collect()}
     assert 0 < len(read) < len(cells.inputFiles()) and all(int(f.split("cell=")[1].split("/")[0]) in mine for f in read)
     assert cells.count() == data.count()
+
+
+def test_slices_open_only_their_blocks(spark, tmp_path):
+    cube, axis = src.planted_cube(spark, SF), src.axis_table(spark, SF)
+    src.save_cube(cube, axis, str(tmp_path), "entry/data", files=40)
+    every = src.load_cube(spark, str(tmp_path))[0]
+    part = src.load_cube(spark, str(tmp_path), slices=":,0.3:0.6,1.0:1.4")[0]
+    assert 0 < len(part.inputFiles()) <= 6 < 30 < len(every.inputFiles())
+    key = lambda df: sorted(tuple(r) for r in df.select("site", "t", "v").collect())
+    assert key(part) == key(src.sliced(cube, axis, {"c0": (0.3, 0.6), "c1": (1.0, 1.4)})) and key(every) == key(cube)
+    assert src.load_cube(spark, str(tmp_path), slices=":,90:91")[0].count() == 0
+
+
+def test_kmeans_settles(spark):
+    """Clear heaps are found from any seed, the last step does not move, and few sites are enough."""
+    rows = [(s, [float(10 * (s % 3) + s % 2 * 0.1), float(-5 * (s % 3))]) for s in range(300)]
+    data = spark.createDataFrame(rows, "site long, y array<double>").cache()
+    for seed in range(3):
+        got = sorted(gmm.kmeans_means(data, 3, seed).tolist())
+        assert np.allclose(got, [[0.05, 0], [10.05, -5], [20.05, -10]])
+    assert len(gmm.init_means(data.limit(2), 3, "sklearn-kmeans")) == 3
