@@ -23,7 +23,7 @@ OP7 = r"""
 WITH c AS (SELECT page_id, coalesce(url, '') AS url, CAST(1704067200 + ((page_id * 7919) % 8640 + 8640) % 8640 * 300 AS BIGINT) AS fetched_at FROM pages),
 h AS (SELECT *, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)) AS host,
              regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^/?#]+)', 1) AS seg FROM c),
-k AS (SELECT row_number() OVER () AS n, page_id, url, fetched_at, host, regexp_extract(host, '([^.]+\.[^.]+\.[^.]+)$', 1) AS site,
+k AS (SELECT row_number() OVER () AS n, page_id, url, fetched_at, host, regexp_extract(host, '([^.]+\.(?:(?:ac|co|com|edu|gov|net|org)\.[a-z][a-z]|[^.0-9]+))$', 1) AS site,
              CASE WHEN host = '' OR seg = '' THEN '' ELSE host || '/' || seg END AS prefix,
              CAST((fetched_at - 1704067200) // 86400 + 1 AS BIGINT) * 86400 + 1704067200 AS eff FROM h),
 e AS (SELECT 'host' AS l, host AS key, 'add' AS a, eff FROM k WHERE contains(url, 'utm_source=')
