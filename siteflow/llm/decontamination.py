@@ -10,8 +10,8 @@ A passage is dropped early when a bound cannot reach the threshold: common words
 bound every block of items. What is left goes through block-max WAND, which returns all items above the
 threshold; a hit counts when question and answer of the item overlap the passage and its surroundings (one stride each way).
 
-An index holds a block of about max_items items or max_words words at most and is shipped to every task; documents are read
-once for each block, and the blocks' hits together are those of one index.
+An index holds a block of about max_items items or max_words words at most. Tasks build the blocks; packed, they are shipped to every task of
+a reading of the documents, as many of them at once as a stated number of bytes holds. The blocks' hits together are those of one index.
 
 Nulls: null or empty texts have no passages; items without words are not indexed; hits of an item without an id have a null
 item_id. Repeated rows give repeated hits. Empty tables give no rows. Only id and text columns are read, so clashing names do
@@ -21,7 +21,9 @@ no harm.
 from __future__ import annotations
 
 import math
+import pickle
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
@@ -29,11 +31,12 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from siteflow.llm.common import written
-from siteflow.llm.sentencepiece_codec import pieces_of
 
 K1, B = 1.2, 0.75
 LEAST_STRIDE = 64
@@ -205,8 +208,8 @@ def hits_in(index: ItemIndex, cut: list[list[bytes]], stride: int, least: float)
     return [(r, item, *x) for (r, item), x in sorted(best.items())]
 
 
-HITS = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64()), ("first_word", pa.int64())])
-DDL = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, first_word long"
+HITS = pa.schema([("item_id", pa.int64()), ("score", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64()), ("first_word", pa.int64())])
+DDL = "item_id long, score double, question_overlap double, answer_overlap double, first_word long"
 
 
 def item_words(items: DataFrame) -> DataFrame:
@@ -223,39 +226,90 @@ def item_words(items: DataFrame) -> DataFrame:
     return chosen.mapInArrow(run, "item_id long, text string, n_words long, words array<binary>")
 
 
+def index_blocks(items: DataFrame, threshold: float, max_items: int, max_words: int) -> DataFrame:
+    """block, index: one row a block, whose packed indexes (one a stride) a task builds from the block's items and its words' document frequencies.
+
+    Rows of items are dealt to blocks by hash, equal rows apart, so a block holds about max_items items or max_words words at most.
+    """
+    cut_items = written(item_words(items).withColumn("row", F.monotonically_increasing_id()), "items")
+    n, words = cut_items.agg(F.count("*"), F.coalesce(F.sum("n_words"), F.lit(0))).first()
+    blocks = max(1, -(-n // max_items), -(-words // max_words))
+    tests = cut_items.withColumn("block", F.pmod(F.xxhash64("item_id", "text", "row"), F.lit(blocks)).cast("int"))
+    in_block = tests.select("block", F.explode("words").alias("word")).groupBy("word", "block").agg(F.count("*").alias("n"))
+    frequency = in_block.groupBy("word").agg(F.sum("n").alias("df"))
+    of_block = in_block.select("word", F.col("block").alias("of")).join(frequency, "word")  # a word has at most a row a block
+    mean = words / max(1, n)
+
+    def build(mine: pa.Table, known: pa.Table) -> pa.Table:
+        rows = sorted(zip(*(mine.column(c).to_pylist() for c in ("item_id", "text", "n_words")), strict=True), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+        corpus = Corpus(n, mean, dict(zip(known.column("word").to_pylist(), known.column("df").to_pylist(), strict=True)))
+        made = [(s, ItemIndex([x[:2] for x in rows if stride_of(x[2]) == s], threshold, corpus)) for s in sorted({stride_of(x[2]) for x in rows})]
+        return pa.table({"block": pa.array(mine.column("block").to_pylist()[:1], pa.int32()), "index": pa.array([zlib.compress(pickle.dumps(made, 5), 1)], pa.binary())})
+
+    return tests.select("block", "item_id", "text", "n_words").groupBy("block").cogroup(of_block.groupBy("of")).applyInArrow(build, "block int, index binary")
+
+
 def contaminated(
-    docs: DataFrame, items: DataFrame, *, threshold: float = 0.5, least_overlap: float = 0.5, max_items: int = 20_000, max_words: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame,
+    items: DataFrame,
+    *,
+    threshold: float = 0.5,
+    least_overlap: float = 0.5,
+    max_items: int = 20_000,
+    max_words: int = 2_000_000,
+    pass_bytes: int = 200_000_000,
+    id_col: str = "doc_id",
+    text_col: str = "text",
 ) -> DataFrame:
     """Hits (doc_id, item_id, score, question_overlap, answer_overlap, first_word), no shuffle of documents.
 
-    Documents without a hit have no row. The driver holds one block of items at a time, and the document frequencies of its words.
+    Documents without a hit have no row. A doc_id may be an integer or a string. One reading of the documents serves all blocks whose packed
+    indexes take pass_bytes together; a task unpacks one block at a time. Through the driver goes one packed block after the other.
     """
     spark = docs.sparkSession
-    chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    cut_items = written(item_words(items), "items")
-    n, words = cut_items.agg(F.count("*"), F.coalesce(F.sum("n_words"), F.lit(0))).first()
-    blocks = max(1, -(-n // max_items), -(-words // max_words))
-    tests = cut_items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)).cast("int"))
-    term = tests.select("block", F.explode("words").alias("word"))
-    frequency = written(term.groupBy("word").agg(F.count("*").alias("df"), F.collect_set("block").alias("blocks")), "frequency")  # at most one entry a block
-
-    def one(block: int) -> DataFrame:
-        mine = sorted(((r["item_id"], r["text"], r["n_words"]) for r in tests.where(F.col("block") == block).select("item_id", "text", "n_words").collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
-        df = {bytes(r["word"]): r["df"] for r in frequency.where(F.array_contains("blocks", block)).select("word", "df").collect()}
-        corpus = Corpus(n, words / max(1, n), df)
-        strides = sorted({stride_of(x[2]) for x in mine})
-        shipped = spark.sparkContext.broadcast([(s, ItemIndex([x[:2] for x in mine if stride_of(x[2]) == s], threshold, corpus)) for s in strides])
+    textual = isinstance(docs.schema[id_col].dataType, StringType)
+    chosen = docs.select(F.col(id_col).cast("string" if textual else "long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    schema = pa.schema([pa.field("doc_id", pa.string() if textual else pa.int64()), *list(HITS)])
+    ddl = f"doc_id {'string' if textual else 'long'}, {DDL}"
 
+    def one(shipped: list[Broadcast]) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-                for part in pieces_of(texts, 2_000_000):
-                    cut = [tokens(t) for t in texts[part]]
-                    for stride, index in shipped.value:
+            only = unpacked(shipped[0]) if len(shipped) == 1 else None
+            for keys, texts in stretches(batches, 2_000_000 if only else 16_000_000):
+                cut = [tokens(t) for t in texts]
+                for block in shipped:
+                    for stride, index in only or unpacked(block):
                         if found := hits_in(index, cut, stride, least_overlap):
-                            rows = [(keys[part.start + r], index.ids[item], *x) for r, item, *x in found]
-                            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), HITS, strict=True)], schema=HITS)
-
-        return chosen.mapInArrow(run, DDL)
-
-    return reduce(DataFrame.unionByName, [one(k) for k in range(blocks)])
+                            rows = [(keys[r], index.ids[item], *x) for r, item, *x in found]
+                            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+        return chosen.mapInArrow(run, ddl)
+
+    passes: list[DataFrame] = []
+    shipped, size = [], 0
+    for row in written(index_blocks(items, threshold, max_items, max_words), "index").toLocalIterator():
+        if shipped and size + len(row["index"]) > pass_bytes:
+            passes.append(one(shipped))
+            shipped, size = [], 0
+        shipped.append(spark.sparkContext.broadcast(bytes(row["index"])))
+        size += len(row["index"])
+    return reduce(DataFrame.unionByName, [*passes, one(shipped)] if shipped else [spark.createDataFrame([], ddl)])
+
+
+def unpacked(block: Broadcast) -> list[tuple[int, ItemIndex]]:
+    return pickle.loads(zlib.decompress(block.value))
+
+
+def stretches(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[list, list]]:
+    """Ids and texts in stretches of about so many characters, over the borders of batches."""
+    keys, texts, size = [], [], 0
+    for batch in batches:
+        for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            keys.append(key)
+            texts.append(text)
+            size += len(text or "")
+            if size >= most:
+                yield keys, texts
+                keys, texts, size = [], [], 0
+    if keys:
+        yield keys, texts

@@ -661,6 +661,35 @@ def test_op10_equals_sql(spark, scale):
     same(catalog.op10_decontamination(spark, f"/root/testdata/sf{scale}"), catalog.ORACLES["op10_decontamination"], f"/root/testdata/sf{scale}")
 
 
+def test_op10_readings_and_ids(spark, docs):
+    """Many blocks in one reading, or a reading for each, give the same hits; ids may be strings; equal items stay apart."""
+    items = [(r["item_id"], r["text"]) for r in table(spark, SF, "benchmark").collect()]
+    leaks, extra = planted_leaks(docs, items)
+    items += [*extra, *[items[0]] * 3]
+    texts = spark.createDataFrame([(f"name {i}", t) for i, t in leaks], "doc_id string, text string")
+    tests = spark.createDataFrame(items, "item_id long, text string")
+    hits = lambda **how: sorted(tuple(r) for r in decontamination.contaminated(texts, tests, **how).collect())
+    whole = hits()
+    assert hits(max_items=9) == whole == hits(max_items=9, pass_bytes=1) == hits(max_words=600, pass_bytes=30_000)
+    assert {d for d, *_ in whole} >= {f"name {20_000 + k}" for k in range(4)}
+    assert sum(d == "name 10000" and i == items[0][0] for d, i, *_ in whole) == 4
+
+
+def test_op10_blocks_are_built_by_tasks(spark):
+    """The driver's share is one packed block at a time: a row a block, each with the document frequencies of all items."""
+    rows = [(k, f"common words here and name{k % 50} of item{k}. answer{k} is given") for k in range(400)]
+    made = decontamination.index_blocks(spark.createDataFrame(rows, "item_id long, text string"), 0.5, 100, 10**6).collect()
+    assert sorted(r["block"] for r in made) == [0, 1, 2, 3]
+    found = [index for r in made for _, index in decontamination.pickle.loads(decontamination.zlib.decompress(r["index"]))]
+    assert sorted(i for x in found for i in x.ids) == list(range(400))
+    one = decontamination.ItemIndex(rows, 0.5)
+    for x in found:
+        for w in (b"common", b"name7"):
+            ours = dict(zip((x.ids[k] for k in x.items[x.term[w]]), x.impacts[x.term[w]], strict=True))
+            alone = dict(zip((one.ids[k] for k in one.items[one.term[w]]), one.impacts[one.term[w]], strict=True))
+            assert ours == pytest.approx({i: alone[i] for i in ours}) and ours
+
+
 def test_op10_search_returns_all_above_the_threshold(spark, docs):
     """WAND and the early drop lose nothing that a full sum of impacts finds."""
     items = [(r["item_id"], r["text"]) for r in table(spark, SF, "benchmark").collect()]
