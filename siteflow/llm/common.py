@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,9 +26,28 @@ def written(df: DataFrame, name: str = "cut") -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._folder = path
+    if _MADE:
+        _MADE[-1].append(back)
     return back
 
 
+#: Tables written within the steps under way, innermost last.
+_MADE: list[list[DataFrame]] = []
+
+
+def step(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """make()'s rows, written; tables that make() wrote on its way, and that nothing reads any more then, are deleted."""
+    _MADE.append([])
+    try:
+        out = written(make(), name)
+    finally:
+        inner = _MADE.pop()
+    discard(*(t for t in inner if t is not out))
+    if _MADE:
+        _MADE[-1].append(out)
+    return out
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes the folders of written tables that no later step reads."""
     for df in tables:
