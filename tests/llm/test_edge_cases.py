@@ -96,6 +96,19 @@ def test_pipeline_decides_by_id_and_text(spark, tmp_path):
     assert kept("near_duplicates", rows) == sorted([(None, a), (3, b), (9, c), (None, ""), (None, ""), (4, None)], key=str)
 
 
+def test_pipeline_leaves_one_table_behind(spark):
+    """Of all that the stages write only what the last one reads stays, and it reads it whole."""
+    import os
+
+    import corpus_pipeline
+
+    top = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    before = set(os.listdir(top))
+    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    assert [name.rsplit("-", 1)[0] for name in set(os.listdir(top)) - before] == ["decontamination"]
+    assert out.count() == out.select("doc_id").distinct().count() > 0
+
+
 def test_lm_tells_texts_of_one_checksum_apart(spark):
     import zlib
 
