@@ -15,6 +15,10 @@ its shingle sets.
 Large groups never become all pairs: sets that are equal form one class; then neighbours in a key's order are checked
 and linked; only sets whose keys still join different components are probed against each other.
 
+A key on which many sets of different components still meet (a template that texts share without being similar) is crowded. Its
+sets are not paired there: they meet by their rarest shingles instead. Similar sets share at least t of the n shingles of either, so of any n - t + 1
+shingles of a set, a similar one has some; the rarest of a common order are taken, which for texts on a template are their own.
+
 Nulls: null and empty texts have empty sets and no links; a null doc_id is not linked and its own component is
 null. Rows of one doc_id are one node. Repeated rows give repeated result rows. Empty tables give no rows. Other columns are ignored.
 Shingles are compared by 64-bit hashes.
@@ -43,6 +47,7 @@ BITS = 256  # of a sketch
 EQUAL = 3  # sets of up to so many shingles are similar only to equal ones
 DEALS = 6
 HOT = 64  # rows of a key beyond which a set would rather leave it out
+CROWD = 256  # sets of a key outside its largest component beyond which they meet by their rarest shingles instead
 SEND_IDS = 1_000_000  # most ids that are broadcast (8 MB)
 
 U = np.uint64
@@ -248,6 +253,52 @@ def sure_table(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, even long, odd long")
 
 
+def shingle_table(docs: DataFrame) -> DataFrame:
+    """rep, n, of, token: every shingle of every set; `of` tells the sets of one id apart."""
+    schema = pa.schema([("rep", pa.int64()), ("n", pa.int64()), ("of", pa.int64()), ("token", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, texts in _slices(batches):
+            tokens, n = shingle_sets(texts)
+            columns = (ids.to_numpy(zero_copy_only=False), n, _digests(tokens, n)[0].view(np.int64))
+            row = np.repeat(np.arange(len(n)), n)
+            for at in range(0, len(row), 500_000):
+                part = row[at : at + 500_000]
+                yield pa.record_batch([*(pa.array(c[part]) for c in columns), pa.array(tokens[at : at + 500_000].view(np.int64))], schema=schema)
+
+    return docs.mapInArrow(run, "rep long, n long, of long, token long")
+
+
+def met_by_rare_shingles(docs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """a, b: pairs of different components that may be similar, among docs. sets: rep, part, n and the sketch of their sets.
+
+    Shingles of one set alone come first in the order and meet nobody, so only the others are kept, with as many places as the
+    first ones leave. Rows of a shingle's largest component meet only the shingle's other rows, never each other.
+    """
+    shingle = written(shingle_table(docs), "shingles")
+    common = shingle.groupBy("token").agg(F.count("*").alias("sets")).where("sets > 1")
+    own = ["rep", "n", "of"]
+    order = Window.partitionBy(*own).orderBy("sets", "token")
+    # Equal rows share their ranks.
+    ranked = shingle.join(common, "token").select("*", F.dense_rank().over(order).alias("rank"))
+    ranked = ranked.select("*", F.max("rank").over(Window.partitionBy(*own)).alias("kept"))
+    # Of n shingles at least ceil(threshold * n / 100) are shared with a similar set.
+    places = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") / 100) + 1
+    keyed = ranked.where(F.col("rank") + F.col("n") - F.col("kept") <= places).select("rep", "n", "token")
+    rows = written(keyed.join(sets, ["rep", "n"]).distinct(), "rare")
+    by_part = rows.groupBy("token", "part").agg(F.count("*").alias("rows"))
+    major = by_part.groupBy("token").agg(F.max_by("part", F.struct("rows", "part")).alias("major"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
+    marked = rows.join(major, "token")
+    side = lambda mark: marked.select("token", *[F.col(c).alias(f"{c}_{mark}") for c in ("rep", "part", "major", "n", *SKETCH)])
+    left, right = side("r"), side("s").where("part_s <> major_s")
+    once = (F.col("part_r") == F.col("major_r")) | (F.col("rep_r") < F.col("rep_s"))
+    close = (F.col("part_r") != F.col("part_s")) & once & alike("r", "s", threshold)
+    met = left.join(right, (left["token"] == right["token"]) & close)
+    out = written(met.select(F.least("rep_r", "rep_s").alias("a"), F.greatest("rep_r", "rep_s").alias("b")).distinct(), "rare_met")
+    discard(shingle, rows)
+    return out
+
+
 def verified(pairs: DataFrame, docs: DataFrame, threshold: int) -> DataFrame:
     """Those pairs (a, b) whose sets have 100 * intersection >= threshold * union. Only the documents in pairs move."""
     ids = written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ids")
@@ -313,17 +364,31 @@ def link(docs: DataFrame, *, threshold: int = 80, id_col: str = "doc_id", text_c
     ranked = open_.join(sure, "rep").select("*", F.row_number().over(by_cost).alias("rank"), F.when(F.col("parity") == 0, F.col("even")).otherwise(F.col("odd")).alias("sure"))
     skipped = (F.col("rows") > HOT) & (F.col("rank") < F.col("sure"))
     probes = ranked.select("*", F.sum(skipped.cast("int")).over(Window.partitionBy(*own)).alias("left_out"), skipped.alias("skipped")).where("not skipped")
+    # Similar sets that meet on a crowded key are both crowded; those that meet on none lose nothing without these keys.
+    by_part = open_.where(F.col("rows") > CROWD).groupBy("key", "part").agg(F.count("*").alias("sets"))
+    busy = written(by_part.groupBy("key").agg((F.sum("sets") - F.max("sets")).alias("others")).where(F.col("others") > CROWD).select("key"), "busy")
+    n_busy = busy.count()
+    rare, made = None, [busy]
+    if n_busy:
+        busy_keys = F.broadcast(busy) if n_busy <= SEND_IDS else busy
+        probes = written(probes.join(busy_keys.withColumn("crowded", F.lit(True)), "key", "left"), "probes")
+        crowd = written(probes.where("crowded").select(F.col("rep").alias("doc_id")).distinct(), "crowd")
+        crowd_sets = probes.where("crowded").select("rep", "part", "n", *SKETCH).distinct()
+        rare = met_by_rare_shingles(picked(known, crowd), crowd_sets, threshold)
+        made += [probes, crowd, rare]
+        probes = probes.where("crowded is null").drop("crowded")
     side = lambda mark: probes.select("key", *[F.col(c).alias(f"{c}_{mark}") for c in ("rep", "part", "n", "sure", "left_out", *SKETCH)])
     # Both leave out the dearest keys of one common order, so the keys they lose are those that one of them left out.
     close = (F.col("rep_r") < F.col("rep_s")) & (F.col("part_r") != F.col("part_s")) & alike("r", "s", threshold)
     least = F.greatest("sure_r", "sure_s") - F.greatest("left_out_r", "left_out_s")
     left, right = side("r"), side("s")
     met = left.join(right, (left["key"] == right["key"]) & close).groupBy(F.col("rep_r").alias("a"), F.col("rep_s").alias("b"), least.alias("least")).count().where("count >= least")
-    fresh = met.select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
+    met = met.select("a", "b") if rare is None else met.select("a", "b").union(rare)
+    fresh = met.distinct().join(first, ["a", "b"], "left_anti")
     fresh = written(fresh, "met")
     second = verified(fresh, known, threshold)
     ends = written(components(first.union(second)), "ends")
-    discard(shared, named, first, parts, open_, reps, sure, fresh)
+    discard(shared, named, first, parts, open_, reps, sure, fresh, *made)
 
     nodes = sets.join(classes, ["n", "d1", "d2"], "left").join(ends.select(F.col("node").alias("rep"), "component"), "rep", "left")
     return nodes.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id"))

@@ -272,6 +272,35 @@ def test_op5_families_chains_and_small_sets(spark):
     assert got == brute_components(rows)
 
 
+@pytest.mark.parametrize("crowd", [0, 3, 20])
+def test_op5_templates_and_families(spark, monkeypatch, crowd):
+    """Texts on one template, with families of near copies among them: crowded keys are left to the rarest shingles, no link is lost."""
+    import random
+
+    rng, rows = random.Random(17), []
+    monkeypatch.setattr(jaccard_join, "CROWD", crowd)
+    monkeypatch.setattr(jaccard_join, "HOT", 2)
+    made = []
+    find = jaccard_join.met_by_rare_shingles
+    monkeypatch.setattr(jaccard_join, "met_by_rare_shingles", lambda *a: made.append(find(*a)) or made[-1])
+    for share, n in ((0.7, 120), (0.85, 60), (0.5, 40)):
+        template = [f"t{share}w{k}" for k in range(int(n * share))]
+        for family in range(30):
+            base = template + [f"f{share}_{family}_{k}" for k in range(n - len(template))]
+            for _ in range(rng.choice([1, 1, 3])):
+                text = list(base)
+                for _ in range(rng.randrange(0, 2 + n // 50)):
+                    text[rng.randrange(n)] = f"z{rng.randrange(99999)}"
+                rows.append((len(rows), " ".join(text)))
+                base = text
+    rows += rows[:5]  # repeated rows
+    rows += [(3, "another text of the same id with seven more words"), (None, rows[0][1]), (9999, None)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.link(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect() if r["doc_id"] not in (3, None)}
+    want = brute_components(list({i: t for i, t in rows[::-1] if i is not None}.items()))
+    del want[3]
+    assert made and got == want
+
+
 def test_op5_bands_and_agreement_hold():
     import numpy as np
 
