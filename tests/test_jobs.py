@@ -3,6 +3,7 @@
 import json
 from dataclasses import replace
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -134,3 +135,13 @@ def test_kmeans_settles(spark):
         got = sorted(gmm.kmeans_means(data, 3, seed).tolist())
         assert np.allclose(got, [[0.05, 0], [10.05, -5], [20.05, -10]])
     assert len(gmm.init_means(data.limit(2), 3, "sklearn-kmeans")) == 3
+
+
+def test_report_writes_large_numbers_as_sql_does(spark):
+    """From 1e7 on, too: a criterion of many sites is a plain decimal, and short ones stay as they are."""
+    rows = [(2, -3385021.604, 9999999.999), (3, 12345678.91, 10_000_000.0), (4, -123456789012.125, 2e16), (5, 0.001, -7.5)]
+    table = spark.createDataFrame(rows[::-1], "k int, ll double, bic double")
+    got = select.report(spark, {"rescale": "mean"}, table, {"mode": "d", "k": 5}).collect()
+    said = duckdb.execute("SELECT '[' || string_agg('{\"k\":' || k || ',\"ll\":' || ll || ',\"bic\":' || bic || '}', ',' ORDER BY k) || ']' FROM (SELECT unnest(?) AS k, unnest(?::DOUBLE[]) AS ll, unnest(?::DOUBLE[]) AS bic)", [list(c) for c in zip(*rows, strict=True)]).fetchone()[0]
+    assert [tuple(r) for r in got] == [('{"rescale":"mean"}', said, '{"mode":"d","k":"5"}')]
+    assert [tuple(r.values()) for r in json.loads(got[0]["sweep"])] == rows
