@@ -29,8 +29,7 @@ def prepared(cube: DataFrame, *, kind: str = "KL", mask_type: str = "zero_mean",
     """
     x = threshold.log_mean_packed(mask.keep_packed(src.pack(cube), mask_type, check_nan)).cache()
     cut = threshold.cutoff(x, kind, **options)
-    kept = threshold.above_packed(x, cut).cache()
-    kept.count()
+    kept = gmm.held(threshold.above_packed(x, cut))
     x.unpersist()
     return kept, cut
 
@@ -84,7 +83,7 @@ def two_pass(cube: DataFrame, n_t: int, first: gmm.Config, second: gmm.Config, *
     one = direct(cube, n_t, first, reorder=False, **options)
     counts = {r["label"]: r["n"] for r in gmm.sizes(one.labels, one.fit.params.k).collect()}
     chosen = select.second_pass(one.labels, keep=keep, drop=drop, discovery=gmm.discovery(one.fit.params, counts))
-    packed = one.packed.join(chosen, "site", "left_semi").cache()
+    packed = gmm.held(one.packed.join(chosen, "site", "left_semi"))
     found = gmm.fit(packed, second)
     labels = found.labels()
     return one, Result(labels, found, packed, labels, one.cutoff, {**one.settings, "pass": 2, "k": second.k})

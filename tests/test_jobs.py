@@ -145,3 +145,33 @@ def test_report_writes_large_numbers_as_sql_does(spark):
     said = duckdb.execute("SELECT '[' || string_agg('{\"k\":' || k || ',\"ll\":' || ll || ',\"bic\":' || bic || '}', ',' ORDER BY k) || ']' FROM (SELECT unnest(?) AS k, unnest(?::DOUBLE[]) AS ll, unnest(?::DOUBLE[]) AS bic)", [list(c) for c in zip(*rows, strict=True)]).fetchone()[0]
     assert [tuple(r) for r in got] == [('{"rescale":"mean"}', said, '{"mode":"d","k":"5"}')]
     assert [tuple(r.values()) for r in json.loads(got[0]["sweep"])] == rows
+
+
+@pytest.fixture
+def dealt_for_large(spark):
+    """Shuffles dealt for large tables."""
+    many = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in many}
+    spark.catalog.clearCache()
+    for k, v in many.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    spark.catalog.clearCache()
+
+
+def parts(df):
+    return df.rdd.getNumPartitions()
+
+
+def test_two_passes_follow_the_sites_kept(spark, dealt_for_large, monkeypatch):
+    """The tasks of an epoch follow the numbers that are passed over, not the shuffles before."""
+    one, two = pipeline.two_pass(src.planted_cube(spark, SF), src.YEARS, gmm.Config(k=2, max_iter=2), gmm.Config(k=2, max_iter=2))
+    assert [parts(one.packed), parts(two.packed)] == [1, 1] and one.labels.count() == 45
+    rows = src.embeddings(spark, SF).repartition(40)
+    monkeypatch.setattr(gmm, "TASK_CELLS", rows.count() * 64 // 10)
+    few = gmm.held(rows)
+    assert parts(few) == 10 and sorted(few.collect()) == sorted(rows.collect())
+    monkeypatch.setattr(gmm, "TASK_CELLS", rows.count() * 64 // 25)
+    assert parts(gmm.held(rows)) == 40 and gmm.held(rows.limit(0)).isEmpty()
