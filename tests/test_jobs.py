@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from siteflow.jobs import pipeline
+from siteflow.jobs import catalog, pipeline
 from siteflow.operators import gmm, select
 from siteflow.sources import cube as src
 from siteflow.streaming import feed
@@ -175,3 +175,9 @@ def test_two_passes_follow_the_sites_kept(spark, dealt_for_large, monkeypatch):
     assert parts(few) == 10 and sorted(few.collect()) == sorted(rows.collect())
     monkeypatch.setattr(gmm, "TASK_CELLS", rows.count() * 64 // 25)
     assert parts(gmm.held(rows)) == 40 and gmm.held(rows.limit(0)).isEmpty()
+
+
+def test_given_starts_follow_the_sites_kept(spark, dealt_for_large):
+    """The trajectories that give the jobs' starts and the fixed steps."""
+    packed = catalog._packed(spark, SF)
+    assert parts(packed) == 1 and packed.count() == 45
