@@ -71,7 +71,7 @@ def by_peaks(cube: DataFrame, sizes: list[int], n_t: int, config: gmm.Config, *,
     """Cluster the mean trajectories of connected peaks, and give every pixel its peak's label."""
     kept, cut = ready or prepared(cube, kind=kind)
     members, means = peak_means(kept, sizes)
-    packed = rescale.rescale_packed(means, method).cache()
+    packed = gmm.held(rescale.rescale_packed(means, method))
     found = gmm.fit(packed, config)
     found, labels = _ordered(src.unpack(means), found, found.labels(), n_t, reorder)
     pixels = peaks.to_pixels(members, labels.withColumnRenamed("site", "peak")).select("site", "label")

@@ -181,3 +181,13 @@ def test_given_starts_follow_the_sites_kept(spark, dealt_for_large):
     """The trajectories that give the jobs' starts and the fixed steps."""
     packed = catalog._packed(spark, SF)
     assert parts(packed) == 1 and packed.count() == 45
+
+
+def test_sweeps_follow_the_sites_kept(spark, dealt_for_large, monkeypatch):
+    """Every scan of both modes' sweeps and of the recommended run, peaks included."""
+    real, scans = gmm.sums_many, []
+    monkeypatch.setattr(gmm, "sums_many", lambda *a: scans.append(parts(a[0])) or real(*a))
+    cube, cfg = src.planted_cube(spark, SF), gmm.Config(k=2, max_iter=2)
+    pipeline.workflow(cube, src.PLANTED, src.YEARS, k_min=2, k_max=4, config=cfg)
+    pipeline.by_peaks(cube, src.PLANTED, src.YEARS, cfg)
+    assert len(scans) >= 8 and set(scans) == {1}
